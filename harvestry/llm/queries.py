@@ -5,15 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestry.llm import simhash
+from harvestry.llm import bpe, simhash, tokencount
 from harvestry.sources.shared import table
 
 
+VOCABULARY = "byte_bpe_50k.json"
+#: Tokens above which a document is over the limit of op8.
+TOKEN_LIMIT = 1024
+
+
+def vocabulary_path(name: str = VOCABULARY) -> str:
+    """Where the vocabulary file of the installed public tokenizers lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: 3-word shingles, 64 bits, linked at 2 or fewer differing bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
     return found.select(F.col("id").alias("doc_id"), simhash.hex16("fingerprint").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op2_simhash_near_dedup": op2_simhash_near_dedup}
+def op7_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of every whole document and of the text that they decode to."""
+    found = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
+    return found.select(
+        F.col("id").alias("doc_id"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every whole document."""
+    found = tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary_path())
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op7_bpe_encoding_and_decoding, op8_token_counts)}
 ORACLES: dict[str, str] = {}
