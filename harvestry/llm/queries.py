@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestry.llm import bpe, simhash, tokencount
+from harvestry.llm import bpe, secrets, simhash, tokencount
 from harvestry.sources.shared import table
 
 
@@ -44,5 +44,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op7_bpe_encoding_and_decoding, op8_token_counts)}
+def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole document: counts and digest of the base spans, and all spans."""
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op7_bpe_encoding_and_decoding, op8_token_counts, op9_secret_scans)}
 ORACLES: dict[str, str] = {}
