@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestry.llm import bpe, secrets, simhash, tokencount
+from harvestry.llm import bpe, secrets, simhash, tokencount, toxicity
 from harvestry.sources.shared import table
 
 
@@ -27,6 +27,15 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex16("fingerprint").alias("fingerprint"), "component_id")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents by a model that never saw the labels of the held-out third."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.fold() != 1)
+    found = toxicity.score(docs.select("doc_id", "text"), model)
+    held_out = (toxicity.fold("row.doc_id") == 1).alias("held_out")
+    return found.select("row.doc_id", held_out, "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every whole document and of the text that they decode to."""
     found = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
@@ -52,9 +61,9 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
     base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    counts = [F.size(F.expr(f"filter(spans, s -> s.kind = '{k}')")).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op7_bpe_encoding_and_decoding, op8_token_counts, op9_secret_scans)}
+QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_toxicity, op7_bpe_encoding_and_decoding, op8_token_counts, op9_secret_scans)}
 ORACLES: dict[str, str] = {}
