@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestry.llm import bpe, secrets, simhash, tokencount, toxicity
+from harvestry.llm import bpe, chat, secrets, simhash, tokencount, toxicity
 from harvestry.sources.shared import table
 
 
@@ -21,6 +21,14 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, and of one that quotes control strings, read back from their rendered form."""
+    quoted = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-7, 0, "user", quoted), (-7, 1, "assistant", quoted)], "conv_id long, turn long, role string, text string")
+    events = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe).withColumnRenamed("turn", "seq")
+    return chat.digests(chat.render(events)).withColumnRenamed("conv", "conv_id")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: 3-word shingles, 64 bits, linked at 2 or fewer differing bits."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, radius=2)
@@ -65,5 +73,5 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash_near_dedup, op4_toxicity, op7_bpe_encoding_and_decoding, op8_token_counts, op9_secret_scans)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_simhash_near_dedup, op4_toxicity, op7_bpe_encoding_and_decoding, op8_token_counts, op9_secret_scans)}
 ORACLES: dict[str, str] = {}
