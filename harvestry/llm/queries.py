@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestry.llm import bpe, chat, secrets, simhash, tokencount, toxicity
+from harvestry.llm import bpe, chat, linedup, secrets, simhash, tiling, tokencount, toxicity
 from harvestry.sources.shared import table
 
 
@@ -44,6 +44,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", held_out, "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that stand on many sites."""
+    found = linedup.remove_boilerplate(table(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", F.col("clean").alias("text"), "n_lines", "n_removed")
+
+
 def op7_bpe_encoding_and_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids of every whole document and of the text that they decode to."""
     found = bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
@@ -73,5 +79,31 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_simhash_near_dedup, op4_toxicity, op7_bpe_encoding_and_decoding, op8_token_counts, op9_secret_scans)}
-ORACLES: dict[str, str] = {}
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item that it leaks."""
+    found = tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_simhash_near_dedup, op4_toxicity, op6_line_dedup, op7_bpe_encoding_and_decoding, op8_token_counts, op9_secret_scans, op10_benchmark_decontamination)}
+ORACLES: dict[str, str] = {
+    "op6_line_dedup": f"""
+        WITH cut AS (
+            SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+            FROM documents),
+        keyed AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS key FROM cut),
+        bad AS (
+            SELECT key FROM keyed WHERE key <> '' GROUP BY key
+            HAVING count(DISTINCT source) >= {linedup.MIN_SITES}),
+        marked AS (SELECT k.*, b.key IS NOT NULL AS gone FROM keyed k LEFT JOIN bad b ON k.key = b.key),
+        judged AS (
+            SELECT *, sum(CASE WHEN gone THEN length(line) ELSE 0 END) OVER w
+                      <= {linedup.MAX_SHARE} * sum(CASE WHEN key <> '' THEN length(line) ELSE 0 END) OVER w AS fits
+            FROM marked WINDOW w AS (PARTITION BY doc_id))
+        SELECT doc_id,
+               coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT (gone AND fits)), '') AS text,
+               count(*) AS n_lines,
+               count(*) FILTER (WHERE gone AND fits) AS n_removed
+        FROM judged GROUP BY doc_id""",
+}
