@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestry.llm import bpe, chat, linedup, secrets, simhash, tiling, tokencount, toxicity
+from harvestry.llm import bpe, chat, linedup, secrets, sharding, simhash, spotsigs, tiling, tokencount, toxicity
 from harvestry.sources.shared import table
 
 
@@ -35,6 +35,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex16("fingerprint").alias("fingerprint"), "component_id")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of equal counts, equal texts together."""
+    found = sharding.balanced_shards(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity scores of all documents by a model that never saw the labels of the held-out third."""
     docs = table(spark, sf_dir, "documents")
@@ -44,6 +50,20 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", held_out, "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SpotSigs fingerprints of all documents and of their edited texts."""
+    found = spotsigs.fingerprint_edits(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        spotsigs.as_string(F.col("signatures")).alias("fingerprint"),
+        spotsigs.as_string(F.col("edited_signatures")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that stand on many sites."""
     found = linedup.remove_boilerplate(table(spark, sf_dir, "documents"))
@@ -85,7 +105,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_simhash_near_dedup, op4_toxicity, op6_line_dedup, op7_bpe_encoding_and_decoding, op8_token_counts, op9_secret_scans, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_simhash_near_dedup, op3_sharding, op4_toxicity, op5_document_fingerprints, op6_line_dedup, op7_bpe_encoding_and_decoding, op8_token_counts, op9_secret_scans, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {
     "op6_line_dedup": f"""
         WITH cut AS (
