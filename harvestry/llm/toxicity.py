@@ -38,6 +38,8 @@ IDENTITY_GROUPS = (
     ("old", "young"),
 )
 PREFIXES = (4, 5, 6)
+#: Labels up to which they are sent to the texts (some 75 MB); more of them meet the texts in a shuffle.
+SENT_LABELS = 2_000_000
 THRESHOLD = 0.7
 
 _words = re.compile(r"\w+").findall
@@ -83,7 +85,8 @@ def labelled(docs: DataFrame, labels: DataFrame, rows: Column, id_col: str, text
     """``(id, text, y)`` of the rows in ``rows`` that have a label; of several labels of an id the largest."""
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     texts = docs.filter(rows).select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return texts.join(known, "id")
+    known = materialize(known, "labels")
+    return texts.join(F.broadcast(known) if known.count() <= SENT_LABELS else known, "id")
 
 
 def feature_counts(train: DataFrame) -> DataFrame:
@@ -139,7 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column, settings: Settings = S
     """Learn from the labelled rows of ``docs`` that satisfy ``rows``.
 
     Statistics that select features cover all of those rows. The weights are fitted on the ``settings.sample`` rows
-    with the least id hash, of which only the selected features reach the driver. Without rows of both classes the
+    with the least id hash (of repeated rows at the bound, any), of which only the selected features reach the
+    driver. Without rows of both classes the
     model has no weights and the odds of the classes as its bias.
     """
     train = materialize(labelled(docs, labels, rows, id_col, text_col, label_col), "labelled")
@@ -165,8 +169,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column, settings: Settings = S
             kind = pa.list_(pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, kind), pa.array(twin, kind)], names=["y", "own", "twin"])
 
-    sample = train.orderBy(F.xxhash64("id"), "id").limit(settings.sample).select("text", "y")
-    table = sample.mapInArrow(run, "y int, own array<int>, twin array<int>").toArrow()
+    place = F.xxhash64("id")
+    bound = train.select(place.alias("h")).orderBy("h").limit(settings.sample).agg(F.max("h")).first()[0]
+    sample = train.filter(place <= bound).select("text", "y").mapInArrow(run, "y int, own array<int>, twin array<int>")
+    table = sample.limit(settings.sample).toArrow()
     y = (table.column("y").to_numpy() > 0).astype(float)
     own, twin = (_ragged(table.column(c).combine_chunks()) for c in ("own", "twin"))
     weights, bias = _descend(own, twin, y, len(names), settings)
