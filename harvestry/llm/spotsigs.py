@@ -1,6 +1,6 @@
 """SpotSigs fingerprints, with DataFrame functions only.
 
-A signature is a common word (the anchor) and the content words that follow it; a text's fingerprint is the set of
+A signature is a common word (the anchor) and the two content words that follow it; a text's fingerprint is the set of
 its signatures. Sets are compared by their Jaccard likeness; a join first parts them by length, as sets of
 very different lengths can't be alike.
 """
@@ -20,8 +20,6 @@ ANCHORS = (
     "le la les de et un une est que qui dans en du pour par sur pas au "
     "el los las y del se una es por con para su al lo"
 ).split()
-#: Content words of a chain.
-CHAIN = 2
 #: Rows of a bucket, and cells found by quantiles, in which neighbours by id are looked up.
 BUCKET_ROWS, QUANTILES = 2000, 1000
 
@@ -38,19 +36,32 @@ def normalized(text: Column) -> Column:
 def with_signatures(df: DataFrame, text_col: str, name: str) -> DataFrame:
     """``df`` with the set of signatures of a text, as a sorted array of 32-bit hashes.
 
-    A signature ends before a text does. A text without any has one for each word and the ``CHAIN`` words after it,
+    A signature ends before a text does. A text without any has one for each three words in a row,
     and one of still fewer words a single one of all its words; a text of no words has none.
     """
-    a = _anchor()
-    chain = f"{a} " + " ".join([f"(?:{a} )*+[^ ]+"] * CHAIN)
-    spots = F.regexp_extract_all("_words", F.lit(f"(?<= )(?=({chain}) ){a}(?= )"), F.lit(1))
-    plain = F.regexp_extract_all("_words", F.lit("(?<= )(?=([^ ]+" + " [^ ]+" * CHAIN + ") )[^ ]+"), F.lit(1))
+    # every anchor is tied to what follows it, so that a part between blanks is some anchors and one content word
+    tied = F.regexp_replace("_words", f"(?<= )({_anchor()}) ", "$1~")
+    df = df.withColumn("_words", normalized(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    df = df.withColumn("_parts", F.filter(F.split(tied, " "), lambda p: p != ""))
+
+    def content(part: Column) -> Column:
+        return F.substring_index(part, "~", -1)
+
+    def chains(pair: Column) -> Column:
+        tail = F.concat(F.lit(" "), content(pair["p"]), F.lit(" "), content(pair["q"]))
+        split = F.split(pair["p"], "~")
+        return F.transform(F.array_distinct(F.slice(split, F.lit(1), F.size(split) - 1)), lambda a: F.concat(a, tail))
+
+    pairs = F.arrays_zip(F.col("_parts").alias("p"), F.slice("_parts", F.lit(2), F.greatest(F.size("_parts"), F.lit(1))).alias("q"))
+    full = F.filter(pairs, lambda z: z["p"].contains("~") & (content(F.coalesce(z["q"], F.lit(""))) != ""))
+    df = df.withColumn("_spots", F.flatten(F.transform(full, chains)))
+    words = F.filter(F.split("_words", " "), lambda w: w != "")
+    threes = F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))).alias("b"), F.slice(words, F.lit(3), F.greatest(F.size(words), F.lit(1))).alias("c"))
+    threes = F.transform(F.filter(threes, lambda z: z["c"].isNotNull()), lambda z: F.concat_ws(" ", z["a"], z["b"], z["c"]))
     rest = F.when(F.length("_words") > 2, F.array("_words")).otherwise(F.array().cast("array<string>"))
-    inner = f"(?<= )(?:{a} )+"
-    df = df.withColumn("_words", normalized(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).withColumn("_spots", spots)
-    df = df.withColumn("_spots", F.when(F.size("_spots") > 0, F.transform("_spots", lambda s: F.regexp_replace(s, inner, ""))).otherwise(plain))
+    df = df.withColumn("_spots", F.when(F.size("_spots") > 0, F.col("_spots")).otherwise(threes))
     df = df.withColumn("_spots", F.when(F.size("_spots") > 0, F.col("_spots")).otherwise(rest))
-    return df.withColumn(name, F.array_sort(F.array_distinct(F.transform("_spots", lambda s: F.hash(s))))).drop("_words", "_spots")
+    return df.withColumn(name, F.array_sort(F.array_distinct(F.transform("_spots", lambda s: F.hash(s))))).drop("_words", "_parts", "_spots")
 
 
 def as_string(signatures: Column) -> Column:

@@ -11,8 +11,8 @@ def spots(text):
     words = re.findall("[^\\W_]+", text.lower())
     anchors, found = set(spotsigs.ANCHORS), set()
     for k, w in enumerate(words):
-        after = [x for x in words[k + 1 :] if x not in anchors][: spotsigs.CHAIN]
-        if w in anchors and len(after) == spotsigs.CHAIN:
+        after = [x for x in words[k + 1 :] if x not in anchors][:2]
+        if w in anchors and len(after) == 2:
             found.add((w, *after))
     found = found or {tuple(words[k : k + 3]) for k in range(len(words) - 2)}
     return found or ({tuple(words)} if words else set())
