@@ -8,15 +8,16 @@ from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_unescape(texts: pd.Series) -> pd.Series:
     """All named and numeric entities resolved. Use it on rows that hold an ampersand."""
     return texts.map(lambda t: None if t is None else html.unescape(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def url_join(base: pd.Series, href: pd.Series) -> pd.Series:
     """A reference resolved on its base, without fragment and trailing slash; null if it can't be."""
 
@@ -29,7 +30,7 @@ def url_join(base: pd.Series, href: pd.Series) -> pd.Series:
     return pd.Series([joined(b, h) for b, h in zip(base, href)], dtype=object)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def name_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """The Ratcliff-Obershelp ratio of two lower-cased strings, in argument order; 0 if either is empty or null."""
 

@@ -21,7 +21,8 @@ def _sum(parts: list[tuple[Column, int]]) -> Column:
 
 
 def clamp(score: Column) -> Column:
-    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3)
+    """Between 0 and 1, three decimals; null stays null."""
+    return F.when(score.isNotNull(), F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 3))
 
 
 def entity_confidence(name, email, phone, address, website, socials, same_block=False, header=False, semantic=False, ai=None, structured=False, fallback=False) -> Column:

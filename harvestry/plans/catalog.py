@@ -2,10 +2,446 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from harvestry.functions import scoring as S
+from harvestry.functions import text as T
+from harvestry.functions import urls as U
+from harvestry.functions import vocabulary as V
+from harvestry.functions.helpers import name_ratio
+from harvestry.operators import blocks as B
+from harvestry.operators import links as L
+from harvestry.operators import quotes as Q
+from harvestry.operators import requests as R
+from harvestry.operators.resolve import name_links, resolve
+from harvestry.plans import corpora, directory, rollup
+from harvestry.sources.html import node_table, parse_pages
+from harvestry.sources.shared import materialize, shared_dir, table
+from harvestry.streaming import incremental
+
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a function of the session and the folder of tables, with the SQL that gives the same rows."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _any(words) -> str:
+    """A pattern for any of the words in SQL text."""
+    special = ".?+()[]{}|^$*\\"
+    return "(" + "|".join("".join("\\" + c if c in special else c for c in w) for w in words).replace("'", "''") + ")"
+
+
+EMAIL_FOUND, EMAIL_SHAPE = V.EMAIL_FOUND.replace("'", "''"), V.EMAIL_SHAPE.replace("'", "''")
+
+
+@query(f"""
+    WITH found AS (SELECT doc_id, unnest(regexp_extract_all(text, '{EMAIL_FOUND}')) AS email FROM documents WHERE text LIKE '%@%')
+    SELECT doc_id, lower(email) AS email,
+           length(email) <= 254 AND regexp_matches(lower(email), '{EMAIL_SHAPE}') AND NOT regexp_matches(lower(email), '{_any(V.IMAGE_SUFFIXES)}$')
+             AND NOT regexp_matches(lower(email), '{_any(V.NOISE_EMAIL_PARTS)}') AS valid,
+           length(email) <= 254 AND regexp_matches(lower(email), '{EMAIL_SHAPE}') AND NOT regexp_matches(lower(email), '{_any(V.IMAGE_SUFFIXES)}$') AS valid_any_host
+    FROM found""")
+def email_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emails in documents, and whether they pass with and without the noise list (B1)."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.find_emails(F.col("text"))).alias("e"))
+    low = F.lower("e")
+    return found.select("doc_id", low.alias("email"), T.is_valid_email(low).alias("valid"), T.is_valid_email(low, ()).alias("valid_any_host"))
+
+
+_URL = """
+    SELECT page_id, url, rtrim(regexp_replace(url, '#.*$', ''), '/') AS norm,
+           regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '') AS domain,
+           regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) AS path,
+           regexp_extract(url, '^[^?#]*\\?([^#]*)', 1) AS query
+    FROM pages"""
+
+
+@query(f"""
+    WITH u AS ({_URL}), p AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM u)
+    SELECT page_id, norm, domain,
+           regexp_matches(lower(path), '{_any(V.ASSET_SUFFIXES)}$') AS is_asset,
+           regexp_matches(lower(path || '?' || query), '{_any(V.SKIPPED_IN_URLS)}') AS skipped,
+           len(parts) >= 2 AND (regexp_matches(parts[-1], '[0-9]') OR (parts[-1] LIKE '%-%' AND length(parts[-1]) >= 8)) AS is_listing,
+           least(CASE WHEN regexp_matches(lower(path || ' ' || query), '{_any(V.PRIORITY_PATHS)}') THEN 75 ELSE 0 END
+               + CASE WHEN regexp_matches(lower(path || ' ' || query), '{_any(V.BUSINESS_WORDS)}') THEN 20 ELSE 0 END, 100) / 100.0::DOUBLE AS page_score,
+           regexp_replace(path || '|' || query, '[^A-Za-z0-9]', '_', 'g')[1:120] AS key
+    FROM p""")
+def url_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normal form, host, predicates and score of page URLs."""
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select(
+        "page_id",
+        U.normalize_url(url).alias("norm"),
+        U.domain(url).alias("domain"),
+        U.looks_like_asset(url).alias("is_asset"),
+        U.should_skip(url).alias("skipped"),
+        U.is_listing_path(U.part(url, 3)).alias("is_listing"),
+        U.page_score(url).alias("page_score"),
+        U.output_key(F.concat_ws("|", U.part(url, 3), U.part(url, 4))).alias("key"),
+    )
+
+
+_ANCHORS = f"""
+    WITH a AS (SELECT page_id, url AS page_url, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '') AS host,
+                      regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS base,
+                      regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1) AS hrefs,
+                      regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2) AS texts FROM pages),
+    l AS (SELECT page_id, page_url, base, unnest(hrefs) AS href, unnest(texts) AS text, generate_subscripts(hrefs, 1) - 1 AS pos FROM a),
+    r AS (SELECT page_id, page_url, pos, href, trim(text, ' :|-') AS anchor_text, rtrim(base || href, '/') AS url, href AS path FROM l),
+    s AS (SELECT *, lower(anchor_text || ' ' || path || ' ') AS said, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts FROM r
+          WHERE NOT regexp_matches(lower(path || '?'), '{_any(V.SKIPPED_IN_URLS)}') AND NOT regexp_matches(lower(path), '{_any(V.ASSET_SUFFIXES)}$')),
+    t AS (SELECT *, (CASE WHEN regexp_matches(said, '{_any(V.DISCOVERY_WORDS)}') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(said, '{_any(V.PAGINATION)}') THEN 18 ELSE 0 END
+          + CASE WHEN len(parts) >= 2 AND (regexp_matches(parts[-1], '[0-9]') OR (parts[-1] LIKE '%-%' AND length(parts[-1]) >= 8)) THEN 12 ELSE 0 END
+          + CASE WHEN anchor_text <> '' THEN 3 ELSE 0 END)::INT AS score FROM s),
+    d AS (SELECT *, row_number() OVER (PARTITION BY page_id, lower(url) ORDER BY score DESC, pos) AS n FROM t),
+    w AS (SELECT page_id, page_url, url, score, pos, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, pos) AS rank FROM d WHERE n = 1)"""
+
+
+def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    links = L.internal_links(L.resolve(L.anchors(table(spark, sf_dir, "pages"), "page_id")))
+    return L.top_links(links, "page_id")
+
+
+@query(_ANCHORS + " SELECT page_id, url, score, rank FROM w WHERE rank <= 150")
+def top_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best internal links of every page."""
+    return _ranked(spark, sf_dir).select("page_id", "url", "score", "rank")
+
+
+@query(_ANCHORS + """, k AS (SELECT * FROM w WHERE rank <= 150),
+    f AS (SELECT page_url AS seed_url, url, rank FROM k WHERE lower(url) <> lower(page_url) UNION ALL SELECT url, url, 0 FROM pages),
+    g AS (SELECT seed_url, url, rank, row_number() OVER (PARTITION BY seed_url ORDER BY rank, url) - 1 AS place FROM f)
+    SELECT seed_url, url, place AS rank FROM g WHERE place < 150""")
+def discovery_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a seed, followed by its links."""
+    pages = table(spark, sf_dir, "pages")
+    ranked = _ranked(spark, sf_dir).join(pages.select("page_id", F.col("url").alias("page_url")), "page_id")
+    return L.discovery_list(pages.select(F.col("url").alias("seed_url")), ranked)
+
+
+@query(_ANCHORS + f""", k AS (SELECT *, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) || ' ' AS said FROM w WHERE rank <= 150),
+    m AS (SELECT *, least(CASE WHEN regexp_matches(lower(said), '{_any(V.PRIORITY_PATHS)}') THEN 75 ELSE 0 END + CASE WHEN regexp_matches(lower(said), '{_any(V.BUSINESS_WORDS)}') THEN 20 ELSE 0 END, 100) / 100.0::DOUBLE AS page_score FROM k)
+    SELECT page_id, url, page_score, row_number() OVER (PARTITION BY page_id ORDER BY page_score DESC, rank) AS place FROM m""")
+def crawl_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links by page priority."""
+    return L.crawl_order(_ranked(spark, sf_dir), "page_id").select("page_id", "url", "page_score", "place")
+
+
+@query(_ANCHORS + """ SELECT DISTINCT page_url AS seed_url, url FROM w WHERE rank <= 150 AND url NOT IN (SELECT url FROM w WHERE rank <= 2)""")
+def unseen_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that are nowhere among the first two of a page."""
+    ranked = _ranked(spark, sf_dir).join(table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("seed_url")), "page_id")
+    return L.unseen(ranked, ranked.filter("rank <= 2"), ("url",)).select("seed_url", "url").distinct()
+
+
+@query()
+def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a crawl of every host visits, over the links that pages of the host share."""
+    pages = directory.with_seed(table(spark, sf_dir, "pages"))
+    ranked = _ranked(spark, sf_dir).join(pages.select("page_id", "seed_url", F.col("url").alias("page_url")), "page_id")
+    # a linked path stands for the page that the host shows there
+    links = ranked.select("page_url", "url", "rank").unionByName(ranked.select(F.col("url").alias("page_url"), F.col("page_url").alias("url"), F.lit(1000).alias("rank")))
+    start = pages.groupBy("seed_url").agg(F.min("url").alias("url")).select("seed_url", "url", F.lit(0).alias("rank"))
+    return L.frontier(start, links)
+
+
+@query(f"""
+    WITH c AS (SELECT doc_id, unnest(regexp_extract_all(text, '{V.PHONE_FOUND}')) AS found FROM documents),
+    d AS (SELECT doc_id, trim(regexp_replace(found, '\\s+', ' ', 'g'), ' :|-') AS v, regexp_replace(found, '[^0-9]', '', 'g') AS digits FROM c)
+    SELECT doc_id, v AS found, CASE WHEN length(digits) NOT BETWEEN 7 AND 15 THEN '' WHEN v LIKE '+%' THEN '+' || digits
+           WHEN digits LIKE '0%' AND length(digits) = 11 THEN '+234' || digits[2:] WHEN length(digits) > 10 THEN '+' || digits ELSE digits END AS phone FROM d""")
+def phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything in documents with the look of a phone, normalised."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.find_phones(F.col("text"))).alias("f"))
+    return found.select("doc_id", T.clean_text(F.col("f")).alias("found"), T.normalize_phone(F.col("f")).alias("phone"))
+
+
+_PRICE = V.PRICE.removeprefix("(?i)")
+
+
+@query(f"""
+    WITH p AS (SELECT doc_id, regexp_extract(text, '{_PRICE}', 1, 'i') AS token, regexp_extract(text, '{_PRICE}', 2, 'i') AS amt, text FROM documents WHERE regexp_matches(text, '{_PRICE}', 'i'))
+    SELECT doc_id, token || amt AS price, CASE upper(token) WHEN '₦' THEN 'NGN' WHEN '$' THEN 'USD' WHEN '£' THEN 'GBP' WHEN '€' THEN 'EUR' WHEN 'N' THEN 'NGN' ELSE upper(token) END AS currency,
+           try_cast(replace(amt, ',', '') AS DECIMAL(18,2)) AS amount, regexp_matches(text, '\\b(starting from|starts at|from|as low as|packages? from|fees?)\\b', 'i') AS starting FROM p""")
+def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first price of every document, and the cue of a lower bound."""
+    found = table(spark, sf_dir, "documents").withColumn("p", S.parse_price(F.col("text"))).filter("p is not null")
+    return found.select("doc_id", "p.price", "p.currency", "p.amount", S.starts_from(F.col("text")).alias("starting"))
+
+
+@query("""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+    c AS (SELECT doc_id, pos, trim(regexp_replace(line, '[\\s\\p{Z}]+', ' ', 'g'), ' :|-') AS cleaned FROM l)
+    SELECT doc_id, pos, cleaned, rtrim(cleaned[1:40]) AS cut FROM c WHERE pos < 3""")
+def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first three lines of every document, cleaned and cut."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter("pos < 3")
+    return rows.select("doc_id", "pos", T.clean_text(F.col("line")).alias("cleaned"), T.clean_text(F.col("line"), 40).alias("cut"))
+
+
+_AT = [(f"\\s*\\[\\s*{w}\\s*\\]\\s*", f"\\s*\\(\\s*{w}\\s*\\)\\s*", f"\\s+\\b{w}\\b\\s+", sign) for w, sign in (("at", "@"), ("dot", "."))]
+
+
+def _deobfuscated(sql: str) -> str:
+    for *patterns, sign in _AT:
+        for p in patterns:
+            sql = f"regexp_replace({sql}, '{p}', '{sign}', 'gi')"
+    return sql
+
+
+@query(f"SELECT doc_id, md5({_deobfuscated('text')}) AS digest, len(regexp_extract_all({_deobfuscated('text')}, '{EMAIL_FOUND}')) AS n_emails FROM documents WHERE lang = 'en'")
+def deobfuscated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English documents with spelled-out signs put back, and how many emails that makes."""
+    rows = table(spark, sf_dir, "documents").filter("lang = 'en'").withColumn("t", T.deobfuscate(F.col("text")))
+    return rows.select("doc_id", F.md5("t").alias("digest"), F.size(T.find_emails(F.col("t"))).cast("long").alias("n_emails"))
+
+
+@query(_ANCHORS + f""" SELECT page_id, pos, regexp_replace(anchor_text, '\\b({'|'.join(V.TRAILING_NAV)})\\b$', '', 'i') AS name,
+      length(anchor_text) >= 2 AND lower(anchor_text) NOT IN ({', '.join(f"'{n}'" for n in V.NOISE_NAMES)}) AS real_name,
+      length(anchor_text) BETWEEN 2 AND 90 AND NOT regexp_matches(anchor_text, '[0-9]{{5,}}') AND anchor_text NOT LIKE '%@%' AND NOT regexp_matches(anchor_text, '\\b({'|'.join(V.NOT_A_NAME)})\\b', 'i') AS name_line
+    FROM r WHERE regexp_matches(anchor_text, '^[a-zA-Z ]{{2,}}$')""")
+def anchor_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchor texts as company names."""
+    rows = L.anchors(table(spark, sf_dir, "pages"), "page_id").filter(F.col("anchor_text").rlike("^[a-zA-Z ]{2,}$"))
+    a = F.col("anchor_text")
+    return rows.select("page_id", "pos", T.clean_company_name(a).alias("name"), T.has_real_name(a).alias("real_name"), T.looks_like_name(a).alias("name_line"))
+
+
+@query(f"""
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
+    c AS (SELECT doc_id, pos, rtrim(trim(regexp_replace(raw, '[\\s\\p{{Z}}]+', ' ', 'g'), ' :|-')[1:240]) AS line FROM l)
+    SELECT doc_id, pos, length(line) AS n FROM c WHERE length(line) BETWEEN 12 AND 240 AND line NOT LIKE '%@%' AND NOT regexp_matches(line, '[^ -~]')
+      AND (regexp_matches(line, '\\b({V.ADDRESS_HINTS})\\b', 'i') OR (line LIKE '%,%' AND regexp_matches(line, '\\b({V.STATES})\\b', 'i')))""")
+def address_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of documents, of plain ASCII, with the look of an address."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).withColumn("line", T.clean_text(F.col("raw"), 240))
+    return rows.filter(T.looks_like_address(F.col("line")) & ~F.col("line").rlike("[^ -~]")).select("doc_id", "pos", F.length("line").alias("n"))
+
+
+@query("""
+    WITH r AS (SELECT page_id // 12 AS request_id, page_id AS pos, CASE page_id % 5 WHEN 0 THEN regexp_replace(url, '^https?://', '') WHEN 1 THEN 'not-a-url' WHEN 2 THEN '' ELSE url END AS u FROM pages WHERE page_id % 12 < 9 OR (page_id // 12) % 2 = 0),
+    v AS (SELECT *, u <> '' AND u <> 'not-a-url' AS ok FROM r),
+    g AS (SELECT request_id, count(*) AS n, count(*) FILTER (WHERE ok) AS good, count(*) FILTER (WHERE u = 'not-a-url') AS bad,
+          string_agg(CASE WHEN u LIKE 'http%' THEN u ELSE 'https://' || u END, ' ' ORDER BY pos) FILTER (WHERE ok) AS urls FROM v GROUP BY request_id)
+    SELECT request_id, n <= 10 AND good > 0 AS valid, CASE WHEN n > 10 THEN 'Maximum 10 URLs allowed per request' WHEN good = 0 THEN 'No valid URLs found'
+           WHEN bad > 0 THEN 'Validated ' || good || ' URLs. ' || bad || ' invalid.' ELSE 'All URLs are valid' END AS message,
+           CASE WHEN n <= 10 AND good > 0 THEN urls ELSE '' END AS urls, CASE WHEN n <= 10 AND good > 0 THEN good ELSE 0 END::INT AS count FROM g""")
+def url_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page URLs, some without scheme, blank or wrong, as batches of requests."""
+    p = table(spark, sf_dir, "pages").filter("page_id % 12 < 9 or floor(page_id / 12) % 2 = 0")
+    way = F.col("page_id") % 5
+    url = F.when(way == 0, F.regexp_replace("url", "^https?://", "")).when(way == 1, "not-a-url").when(way == 2, "").otherwise(F.col("url"))
+    done = R.validate_batches(p.select(F.floor(F.col("page_id") / 12).alias("request_id"), F.col("page_id").alias("pos"), url.alias("url")))
+    return done.select("request_id", "valid", "message", F.array_join("valid_urls", " ").alias("urls"), "count")
+
+
+@query("""
+    SELECT page_id, len(regexp_extract_all(html, '<li[ >]')) AS n_li, len(regexp_extract_all(html, '<a ')) AS n_a, len(regexp_extract_all(html, '<p>')) AS n_p,
+           len(regexp_extract_all(html, '<article')) AS n_article FROM pages""")
+def node_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The node table of every page, counted by tag."""
+    nodes = node_table(parse_pages(table(spark, sf_dir, "pages"), "page_id"), "page_id")
+    return nodes.groupBy("page_id").agg(*[F.count_if(F.col("tag") == t).alias(f"n_{t}") for t in ("li", "a", "p", "article")])
+
+
+@query(_ANCHORS + """ SELECT page_id, pos, anchor_text AS text, 'body > nav > ul > li > a' AS path FROM r""")
+def anchor_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text and path of every link node."""
+    nodes = node_table(parse_pages(table(spark, sf_dir, "pages"), "page_id"), "page_id").filter("tag = 'a'")
+    rows = nodes.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "text", "path"))).alias("x"))
+    return rows.select("page_id", F.posexplode("x").alias("pos", "a")).select("page_id", F.col("pos").cast("long").alias("pos"), T.clean_text(F.col("a.text")).alias("text"), "a.path")
+
+
+_FACTS = """
+    WITH f AS (SELECT s_suppkey AS key, 'Vendor House ' || s_suppkey AS name, 'sales' || s_suppkey || '@house' || s_suppkey || '.co' AS email, '+1202' || lpad(s_suppkey::VARCHAR, 7, '5') AS phone,
+               s_suppkey || ' Market Street, ' || upper(n_name[1:1]) || lower(n_name[2:]) AS address, 'https://facebook.com/house' || s_suppkey AS social, s_suppkey // 40 AS page
+               FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+
+
+@query(_FACTS + " SELECT page AS page_id, name AS company_name, email, phone, address, social, 0.96::DOUBLE AS confidence FROM f")
+def directory_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A directory rendered from suppliers, read back as companies."""
+    return flagship(spark, sf_dir)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies of every page of the rendered directory."""
+    parsed = materialize(parse_pages(corpora.directory_pages(spark, sf_dir), "page_id"), "parsed")
+    found = B.entities(B.detect_blocks(parsed, "page_id"), "page_id")
+    return found.select("page_id", "company_name", "email", "phone", "address", F.get("socials", F.lit(0)).alias("social"), "confidence")
+
+
+@query(_FACTS + " SELECT page AS page_id, name AS company_name, email FROM f")
+def disguised_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Emails that are spelled out, protected by a key, or in base64."""
+    parsed = materialize(parse_pages(corpora.disguised_pages(spark, sf_dir), "page_id"), "parsed")
+    return B.entities(B.detect_blocks(parsed, "page_id"), "page_id").select("page_id", "company_name", "email")
+
+
+@query(_FACTS + " SELECT key AS page_id, name AS company_name, email, phone, address || CASE WHEN key % 2 = 0 THEN ', US' ELSE '' END AS address, 0.79::DOUBLE AS confidence FROM f")
+def structured_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies in JSON-LD objects, lists and graphs."""
+    found = B.structured_entities(corpora.structured_pages(spark, sf_dir), "page_id")
+    return found.select("page_id", "company_name", "email", "phone", "address", "confidence")
+
+
+@query("""
+    SELECT p_name || ' no ' || p_partkey AS title, '$' || p_retailprice::DECIMAL(18,2)::VARCHAR AS price, p_retailprice::DECIMAL(18,2) AS amount, 'USD' AS currency, 'from' AS description, 1.0::DOUBLE AS confidence FROM part""")
+def package_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price boxes rendered from parts, read back as quotes."""
+    parsed = materialize(parse_pages(corpora.pricing_pages(spark, sf_dir), "page_id"), "parsed")
+    found = Q.distinct_in_page(Q.quotes(Q.containers(parsed, "page_id"), "page_id"), "page_id")
+    return found.select("title", "price", "amount", "currency", "description", "confidence")
+
+
+@query("""
+    WITH c AS (SELECT c_custkey // 50 AS seed, c_custkey AS k, c_custkey % 4 AS way FROM customer)
+    SELECT seed, k AS c_custkey, CASE WHEN way = 3 THEN 2 ELSE 1 END AS n_companies, CASE WHEN way = 3 THEN 0.6 ELSE 0.65 END::DOUBLE AS confidence FROM c""")
+def resolved_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two sightings of every customer, merged by email, phone or host, or kept apart."""
+    done = resolve(corpora.customer_records(spark, sf_dir), "seed")
+    key = F.regexp_extract("container_path", r"#c(\d+)", 1).cast("long")
+    return done.groupBy(F.col("scope").alias("seed"), key.alias("c_custkey")).agg(F.count("*").alias("n_companies"), F.max("confidence").alias("confidence"))
+
+
+@query()
+def similar_customer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customer names that are nearly the same, by nation."""
+    rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("scope"), F.col("c_custkey").alias("eid"), F.col("c_name").alias("company_name"))
+    pairs = materialize(name_links(rows), "pairs")
+    names = rows.select("eid", "company_name")
+    both = pairs.join(names.withColumnsRenamed({"eid": "a", "company_name": "left_name"}), "a").join(names.withColumnsRenamed({"eid": "b", "company_name": "right_name"}), "b")
+    return both.select("a", "b", name_ratio("left_name", "right_name").alias("ratio"))
+
+
+def _pages_with_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directory cards with a price each, on pages of three seeds."""
+    f = corpora.supplier_facts(spark, sf_dir)
+    card = F.concat(F.lit("<div><h3>"), "name", F.lit('</h3><a href="mailto:'), "email", F.lit('">Mail</a><address>'), "address", F.lit("</address><p>from $"), F.col("key") + 100, F.lit("</p></div>"))
+    pages = corpora._pages(f.select("page", F.col("key").alias("at"), card.alias("card")), "priced.house", '<main class="directory-results">', "</main>")
+    return pages.withColumn("seed_url", F.concat(F.lit("seed"), F.col("page_id") % 3))
+
+
+_SEEDS = _FACTS + """, s AS (SELECT *, 'seed' || (page % 3) AS seed_url FROM f)"""
+
+
+@query(_SEEDS + """
+    SELECT seed_url, count(DISTINCT page) AS n_pages, count(*) AS n_companies, count(*) AS n_quotes, 0 AS n_errors, 'success' AS status, string_agg(email, ' ' ORDER BY email) AS emails FROM s GROUP BY seed_url""")
+def seed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies, quotes, pages and contacts by seed."""
+    _, _, done = directory.seeds(directory.extract(_pages_with_prices(spark, sf_dir)))
+    return done.select("seed_url", "n_pages", "n_companies", "n_quotes", "n_errors", "status", F.array_join(F.array_sort("emails"), " ").alias("emails"))
+
+
+@query(_SEEDS + """
+    SELECT seed_url, 'https://priced.house/list/' || page AS source_url, name AS company_name, email, NULL AS quote_price FROM s
+    UNION ALL SELECT seed_url, 'https://priced.house/list/' || page, name, NULL, '$' || (key + 100) FROM s""")
+def csv_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat export: companies, then quotes with their owners."""
+    companies, quotes, _ = directory.seeds(directory.extract(_pages_with_prices(spark, sf_dir)))
+    return rollup.csv_rows(companies, quotes).select("seed_url", "source_url", "company_name", "email", "quote_price")
+
+
+@query(_SEEDS + """
+    SELECT seed_url, name AS "listing", email, 'N/A' AS phone, name || ' $' || (key + 100) || ' USD' AS own_quote, '73%' AS confidence, 'success' AS status FROM s""")
+def analyst_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analyst's table, with each company's own quote among its quotes (A5, F8)."""
+    t = rollup.analyst_table(*directory.seeds(directory.extract(_pages_with_prices(spark, sf_dir))))
+    name = F.col("`Listing / Business Name`")
+    own = F.get(F.filter(F.split("Quotes", "; "), lambda q: q.startswith(F.concat(name, F.lit(" $")))), F.lit(0))
+    return t.select("seed_url", name.alias("listing"), F.col("Email").alias("email"), F.col("Phone").alias("phone"), own.alias("own_quote"), F.col("Confidence").alias("confidence"), F.col("Status").alias("status"))
+
+
+@query(_SEEDS + " SELECT count(*) AS listings, count(*) AS quotes, count(DISTINCT page) AS pages FROM s")
+def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals over all seeds."""
+    _, _, done = directory.seeds(directory.extract(_pages_with_prices(spark, sf_dir)))
+    return rollup.run_metrics(done)
+
+
+@query("""
+    SELECT c_custkey, '"pages, house",Shop ' || c_custkey || ',,"Say ""hi""' || '",,+44' || c_custkey || ',,,a; b,0.5,ok' AS line FROM customer""")
+def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The row export with quoted cells (A4)."""
+    c, none = table(spark, sf_dir, "customer"), F.lit(None).cast("string")
+    name = F.concat(F.lit("Shop "), F.col("c_custkey"))
+    rows = c.select("c_custkey", F.lit("").alias("source_url"), F.lit("pages, house").alias("url"), name.alias("company_name"), none.alias("business_name"), F.lit('Say "hi"').alias("listing_name"), none.alias("email"), F.concat(F.lit("+44"), F.col("c_custkey")).alias("phone"), none.alias("address"), none.alias("website"), F.array(F.lit("a"), F.lit("b")).alias("socials"), F.lit("0.5").alias("confidence"), F.lit("ok").alias("status"))
+    done = rollup.status_rows(rows)
+    return done.select(F.regexp_extract("company_name", r"(\d+)", 1).cast("long").alias("c_custkey"), "line")
+
+
+@query(_FACTS + """ SELECT key, 'Model House ' || key AS company_name, email, '+1202' || lpad(key::VARCHAR, 7, '5') AS phone, CASE WHEN key % 2 = 0 THEN 0.9 ELSE 1.0 END::DOUBLE AS ai_confidence, 1 AS n_quotes FROM f""")
+def model_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests made from records, answers joined by hash, normalised and applied."""
+    f = corpora.supplier_facts(spark, sf_dir)
+    none = F.array().cast("array<string>")
+    rows = f.select("key", F.lit("https://model.house/").alias("source_url"), F.lit("body > div").alias("container_path"), F.lit("").alias("heading"), F.concat_ws(" ", "name", "address").alias("text"), F.array(F.struct(F.lit("x").alias("text"), F.col("social").alias("href"))).alias("links"), F.struct("name").alias("traditional"), F.struct(F.lit(1).alias("signal_count")).alias("dom_signals"), F.lit("").alias("company_name"), F.lit("").alias("business_name"), F.lit("").alias("listing_name"), none.alias("emails"), none.alias("phone_numbers"), none.alias("addresses"), none.alias("socials"), *[F.lit(None).cast("string").alias(c) for c in ("email", "phone", "address", "website")], F.lit(0.2).alias("confidence"))
+    asked = materialize(R.model_requests(rows), "requests")
+    number = F.regexp_extract("request", r"Vendor House (\d+)", 1)
+    # numbers as numbers or text, lists as lists or single values, a quote without a price
+    answer = F.concat(F.lit('{"company_name":"Model House '), number, F.lit(' ","emails":"sales'), number, F.lit("@house"), number, F.lit('.co","phones":["+1202'), F.lpad(number, 7, "5"), F.lit('"],"confidence":'), F.when(number.cast("long") % 2 == 0, "0.9").otherwise('"7"'), F.lit(',"quotes":[{"title":"a","price":"$5","currency":"usd"},{"title":"b","price":""}]}'))
+    known = asked.select("request_hash", answer.alias("response"))
+    hashed = rows.join(asked.select("request_hash", number.cast("long").alias("key")), "key")
+    said = materialize(R.normalize_responses(R.cached(asked, known)), "responses")
+    done = R.apply_responses(hashed, said)
+    n = R.model_quotes(done, said).groupBy("company").agg(F.count("*").cast("int").alias("n_quotes"))
+    return done.join(n, done.company_name == n.company).select("key", "company_name", "email", "phone", "ai_confidence", "n_quotes")
+
+
+@query(_ANCHORS + """, k AS (SELECT page_id, url, min(rank) AS rank FROM w WHERE rank <= 150 GROUP BY page_id, url), n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rank) AS i FROM k)
+    SELECT page_id, url, least(1.0, (length(url) % 13) / 10.0)::DOUBLE AS model_score FROM n WHERE i <= 40 AND length(url) % 13 <> 5""")
+def model_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a page's first links as a model answers them; what is no number is dropped."""
+    asked = R.page_score_requests(_ranked(spark, sf_dir), "page_id")
+    said = F.map_from_entries(F.transform("urls", lambda u: F.struct(u, F.when(F.length(u) % 13 == 5, "none").otherwise((F.length(u) % 13 / 10.0).cast("string")))))
+    return R.page_scores(asked.select("page_id", F.to_json(said).alias("response")), "page_id")
+
+
+@query("SELECT DISTINCT regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '') AS seed_url, url FROM pages")
+def streamed_new_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that arrive as a stream, each seed and URL once (K1)."""
+    schema = table(spark, sf_dir, "pages").schema
+    reader = spark.readStream.schema(schema)
+    whole = table(spark, sf_dir, "pages").inputFiles()[0].endswith("/pages.parquet")  # one file, beside others
+    source = reader.option("pathGlobFilter", "pages.parquet").parquet(sf_dir) if whole else reader.parquet(f"{sf_dir}/pages.parquet")
+    stream = directory.with_seed(source)
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    new = incremental.new_pages(stream.select("seed_url", "url"))
+    new.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/out").select("seed_url", "url")
+
+
+@query("""
+    SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'info@s' || s_suppkey || '.co' END AS email, CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE '+1 (202) ' || lpad(s_suppkey::VARCHAR, 7, '0') END AS phone,
+           CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_suppkey || ' Mill Road' END AS address, 'Big Shop' || s_suppkey || 'A' AS host_name FROM supplier""")
+def sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single contacts cleaned or dropped, and names from hosts."""
+    k = F.col("s_suppkey")
+    email = F.when(k % 3 == 0, F.concat(F.lit("name@s"), k)).otherwise(F.concat(F.lit(" Info@S"), k, F.lit(".co :")))
+    phone = F.when(k % 2 == 0, "tel 12-34").otherwise(F.concat(F.lit("tel+1 (202) "), F.lpad(k, 7, "0"), F.lit("x")))
+    address = F.when(k % 5 == 0, " - 1 ").otherwise(F.concat(k, F.lit("\n Mill  Road |")))
+    host = U.name_from_url(F.concat(F.lit("https://www.big-shop"), k, F.lit("a.co:80/x")))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", T.sanitize_email(email).alias("email"), T.sanitize_phone(phone).alias("phone"), T.sanitize_address(address).alias("address"), host.alias("host_name"))
 
 
-def flagship(spark, sf_dir):
-    """Placeholder until the first extraction job is in place."""
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+@query("""
+    WITH w AS (SELECT page_id, string_split(regexp_replace(html, '<[^>]*>', ' ', 'g'), ' ')[1:60] AS a FROM pages), u AS (SELECT page_id, unnest(a) AS v, generate_subscripts(a, 1) AS i FROM w),
+    f AS (SELECT page_id, lower(trim(v)) AS k, min(i) AS i, arg_min(v, i) AS v FROM u WHERE trim(v) <> '' GROUP BY ALL)
+    SELECT page_id, string_agg(v, ' ' ORDER BY i) AS kept FROM f GROUP BY page_id""")
+def distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sixty pieces of each page's text, each kept once in order without regard to case."""
+    pieces = F.slice(F.split(F.regexp_replace("html", "<[^>]*>", " "), " "), 1, 60)
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(T.unique_keep_order(pieces), " ").alias("kept")).filter("kept <> ''")
