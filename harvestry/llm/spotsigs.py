@@ -104,11 +104,10 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], tie: str) -> Dat
     heads = materialize(heads.select("_b", "_head", F.coalesce(F.lag("_b").over(order), last).alias("_before")), "heads")
     spread = spread.join(F.broadcast(heads), "_b")  # at most QUANTILES times the fine cells between them
     copies = F.when(key.eqNullSafe(F.col("_head")), F.array(F.struct("_b", F.lit(0).alias("g")), F.struct(F.col("_before").alias("_b"), F.lit(1).alias("g")))).otherwise(F.array(F.struct("_b", F.lit(0).alias("g"))))
-    spread = spread.withColumn("_to", F.explode(copies)).drop("_b", "_head", "_before")
-    near = Window.partitionBy("_to._b").orderBy("_to.g", F.col(id_col).desc_nulls_last(), F.col(tie).desc())
-    for c in columns:
-        spread = spread.withColumn(f"next_{c}", F.lead(c).over(near))
-    return spread.filter("_to.g = 0").drop("_to")
+    spread = spread.withColumn("_to", F.explode(copies)).select(*docs.columns, F.col("_to._b").alias("_bucket"), F.col("_to.g").alias("_copy"))
+    near = Window.partitionBy("_bucket").orderBy("_copy", F.col(id_col).desc_nulls_last(), F.col(tie).desc())
+    spread = spread.withColumns({f"next_{c}": F.lead(c).over(near) for c in columns})  # one window, and one shuffle
+    return spread.filter("_copy = 0").drop("_bucket", "_copy")
 
 
 def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
