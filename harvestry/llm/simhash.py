@@ -93,7 +93,10 @@ def ball_links(values: DataFrame, radius: int = 2, bits: int = 64) -> DataFrame:
     half = radius // 2
     masks = _masks(bits, half)
     ball = F.array(*[F.lit(m).cast("long") for m in masks])
-    emitted = values.select(F.col("v").cast("long").alias("v")).filter("v is not null").distinct().select("v", F.explode(ball).alias("m")).select(F.expr("v ^ m").alias("variant"), "v", "m")
+    # values are few bytes, but each becomes a ball: dealt by number, they are not gathered into few tasks before that
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = values.select(F.col("v").cast("long").alias("v")).filter("v is not null").repartition(parts, "v").dropDuplicates(["v"])
+    emitted = distinct.select("v", F.explode(ball).alias("m")).select(F.expr("v ^ m").alias("variant"), "v", "m")
     if half == 1:
         met = emitted.groupBy("variant").agg(F.bit_or("m").alias("flips"), F.max(F.expr("m = 0")).alias("self"))
         met = met.filter(F.expr("bit_count(flips) + int(self) > 1"))
