@@ -107,6 +107,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_simhash_near_dedup, op3_sharding, op4_toxicity, op5_document_fingerprints, op6_line_dedup, op7_bpe_encoding_and_decoding, op8_token_counts, op9_secret_scans, op10_benchmark_decontamination)}
 ORACLES: dict[str, str] = {
+    "op1_chat_formatting": r"""
+        WITH c AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
+        SELECT conv_id,
+               count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               sum(11 + 2 * length(role || text) - length(regexp_replace(role || text, '[<\[\]\\]', '', 'g')))::BIGINT AS formatted_chars
+        FROM c GROUP BY conv_id""",
     "op6_line_dedup": f"""
         WITH cut AS (
             SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

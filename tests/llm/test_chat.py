@@ -4,6 +4,7 @@ from hypothesis import given
 from hypothesis import strategies as st
 
 from harvestry.llm import chat, queries
+from tests.llm.oracle import same
 
 texts = st.text(st.sampled_from("<>[]/\\s|INST\n aé\U0001f389"), max_size=25)
 
@@ -38,6 +39,10 @@ def test_query(spark, sf):
     assert all(r.formatted_chars > r.loss_chars for r in got)
 
 
+def test_query_against_sql(spark, sf):
+    assert same(queries.op1_chat_formatting(spark, sf), queries.ORACLES["op1_chat_formatting"], sf)
+
+
 def test_fold(spark):
     log = [
         (1, 0, "a", "message", "user", "helo"), (1, 1, "b", "message", "assistant", ""), (1, 2, "b", "delta", None, "fir"), (1, 3, "b", "delta", None, "st"),
