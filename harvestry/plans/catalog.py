@@ -267,7 +267,7 @@ def anchor_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _FACTS = """
     WITH f AS (SELECT s_suppkey AS key, 'Vendor House ' || s_suppkey AS name, 'sales' || s_suppkey || '@house' || s_suppkey || '.co' AS email, '+1202' || lpad(s_suppkey::VARCHAR, 7, '5') AS phone,
-               s_suppkey || ' Market Street, ' || upper(n_name[1:1]) || lower(n_name[2:]) AS address, 'https://facebook.com/house' || s_suppkey AS social, s_suppkey // 40 AS page
+               s_suppkey || ' Market Street, ' || upper(n_name[1:1]) || lower(n_name[2:]) AS address, 'https://facebook.com/house' || s_suppkey AS social, s_suppkey // 25 AS page
                FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
 
 

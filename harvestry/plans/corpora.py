@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from harvestry.sources.shared import table
 
-#: Cards of a page: more than two, so that no card is over three quarters of a page, and within the cap of blocks.
-CARDS = 40
+#: Cards of a page: several, so that none is over three quarters of a page; at three hits each they stay within the cap of 80.
+CARDS = 25
 
 
 def supplier_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
