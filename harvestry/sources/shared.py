@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+#: The folders made for sessions whose cluster names none, by application.
+_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder named in ``spark.checkpoint.dir``; a new local one only where that is unset, as in tests."""
     named = spark.conf.get(CHECKPOINT_DIR, None)
-    if not named:
-        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set(CHECKPOINT_DIR, named)
-    return named
+    if named:
+        return named
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        _own[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _own[app]
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
