@@ -8,6 +8,7 @@ bounds every group by the size of that ball (65 at radius 2), however many copie
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations, islice, repeat
 
@@ -16,6 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from harvestry.plans.components import connected_components
 from harvestry.sources.shared import materialize
@@ -23,6 +25,10 @@ from harvestry.sources.shared import materialize
 SEED = 42
 #: Hashes that are turned into bits at a time, so that a text of any length takes little memory.
 CHUNK = 1 << 15
+#: Texts, about, that are counted to order shingles by rarity, and frequent shingles that are told apart, at most.
+ORDER_TEXTS, ORDER_SHINGLES = 20_000, 1 << 18
+#: Turns in which a bucket's members are compared with one of them, before all pairs of different components are.
+HUB_TURNS = 2
 
 
 def shingles(words: list[bytes], width: int) -> Iterable[bytes]:
@@ -32,12 +38,6 @@ def shingles(words: list[bytes], width: int) -> Iterable[bytes]:
     return map(b" ".join, zip(*(words[k:] for k in range(width))))
 
 
-def content_words(words: list[bytes], width: int) -> Iterable[bytes]:
-    """The distinct words of more than ``width`` bytes, or all of them in a text that has none."""
-    distinct = set(words)
-    return [w for w in distinct if len(w) > width] or distinct
-
-
 def _bit_counts(hashes: Iterator[int]) -> tuple[np.ndarray, int]:
     counts, n = np.zeros(64, np.int64), 0
     while True:
@@ -137,38 +137,108 @@ def _shingle_set(text: Column, width: int) -> tuple[Column, Column]:
     return words, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("words", i + 1, width), " "))))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, bits: int = 40, bands: int = 4, min_word: int = 3, radius: int = 2) -> DataFrame:
+def _prefix_length(n: int, similarity: float) -> int:
+    """A set of ``n`` shares one of so many first items with every set at least ``similarity`` alike, in any common order."""
+    return n - math.ceil(n * similarity - 1e-9) + 1
+
+
+def _shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    words = (text or "").encode().lower().split()
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(words, width), repeat(SEED)), np.uint64).view(np.int64))
+
+
+def _frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Frequent shingles, sorted, and their counts, from a part of the texts. They only choose an order, so neither bound loses a pair."""
+    every = max(1, texts.count() // ORDER_TEXTS)
+    part = texts.filter(F.pmod("key", F.lit(every)) == 0).dropDuplicates(["key"]).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(_shingle_hashes(text.as_py(), width))], names=["s"])
+
+    counts = part.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 3")
+    top = counts.orderBy(F.desc("n"), "s").limit(ORDER_SHINGLES).toArrow()
+    s, n = top.column("s").to_numpy(), top.column("n").to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
+def _prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``(key, n, pos, s, own)``: the first shingles of every text's set of ``n``, rare ones before frequent ones, where another text has one too.
+
+    ``own`` is the rest of the set: of a family of copies the original has the least, as edits make shingles of their own.
+    """
+    known, counts = _frequent_shingles(texts, width)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, firsts = [], []
+            for text in batch.column(1):
+                own = _shingle_hashes(text.as_py(), width)
+                if len(known) and len(own):
+                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                    own = own[np.argsort(np.where(known[at] == own, counts[at], 0), kind="stable")]
+                sizes.append(len(own))
+                firsts.append(own[: _prefix_length(len(own), similarity)] if len(own) else own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["key", "n", "s"])
+
+    flat = texts.mapInArrow(run, "key long, n int, s array<long>").select("key", "n", F.posexplode("s").alias("pos", "s"))
+    bucket = Window.partitionBy("s")
+    flat = flat.withColumn("lo", F.min("key").over(bucket)).withColumn("hi", F.max("key").over(bucket))
+    met = flat.filter("lo <> hi").select("key", "n", "pos", "s").distinct()
+    return met.withColumn("own", F.col("n") - F.count("*").over(Window.partitionBy("key")))
+
+
+def _may_be_alike(a: str, b: str, similarity: float) -> Column:
+    """Whether two sets that meet in an item can be ``similarity`` alike, if it is the first in order that both have."""
+    least = similarity / (1 + similarity) * (F.col(f"{a}.n") + F.col(f"{b}.n")) - 1e-6
+    return F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos")) >= least
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(text_key, component)`` of the texts that have a near-duplicate: shingle sets with a Jaccard of ``similarity``.
 
-    Candidates come from ball hashing on ``bands`` short fingerprints of the content words (over ``min_word``
-    bytes), in which a few edits flip few bits. Each candidate link is then verified on the exact
-    sets of ``width``-word shingles, so that what is not similar is never grouped. ``text_key`` is the XXH64 of
+    No pair is missed: two sets so alike share one of their first shingles in a common order (prefix filter), and meet
+    in its bucket. First the members of a bucket are compared with one of them only, which joins most large groups. Then all pairs
+    of a bucket that are not yet in one component are compared, as a text that is unlike its hub may be like others.
+    Candidates are verified on the exact sets of ``width``-word shingles. ``text_key`` is the XXH64 of
     the text (nulls count as empty); equal texts are one node, and texts of no words are only equal to each other.
     """
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("key"), "text")
-    sig = fingerprints(texts, "key", "text", min_word, bits, bands, content_words)
-    sig = materialize(sig.distinct().filter("exists(bands, b -> b <> 0)"), "bands")
-    hits = []
-    for k in range(bands):
-        own = sig.select("id", F.col("bands")[k].alias("v"))
-        least = materialize(own.groupBy("v").agg(F.min("id").alias("rep")), "band")
-        near = ball_links(least, radius, bits)
-        near = near.join(least.select(F.col("v").alias("a"), F.col("rep").alias("x")), "a").join(least.select(F.col("v").alias("b"), F.col("rep").alias("y")), "b").select("x", "y")
-        same = own.join(least, "v").filter("id <> rep").select(F.col("rep").alias("x"), F.col("id").alias("y"))
-        hits.append(near.unionByName(same))
-    pairs = hits[0]
-    for more in hits[1:]:
-        pairs = pairs.unionByName(more)
-    pairs = materialize(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
-    wanted = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key"))).distinct()
+    met = materialize(_prefixes(texts, width, similarity), "prefixes")
     words, shingled = _shingle_set(F.col("text"), width)
-    sets = texts.join(wanted, "key", "left_semi").select("key", words.alias("words")).select("key", shingled.alias("set")).dropDuplicates(["key"])
-    sets = materialize(sets, "sets")
-    both = pairs.join(sets.select(F.col("key").alias("x"), F.col("set").alias("s")), "x").join(sets.select(F.col("key").alias("y"), F.col("set").alias("t")), "y")
-    both = both.filter(F.least(F.size("s"), F.size("t")) >= similarity * F.greatest(F.size("s"), F.size("t")))
+    some = texts.join(met.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    sets = materialize(some.select("key", words.alias("words")).select("key", shingled.alias("set")), "sets")
+    bucket, links, tried, groups = Window.partitionBy("s"), None, None, None
+    for turn in range(HUB_TURNS + 1):
+        now = met.withColumn("c", F.col("key"))
+        if groups is not None:
+            now = met.join(groups.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("c", F.coalesce("component", "key"))
+        deal = F.col("own").cast("double") / F.col("n") if turn == 0 else F.xxhash64("key", "s")
+        now = now.select("s", F.struct(deal.alias("deal"), "key", "n", "pos", "c").alias("a"))
+        if turn < HUB_TURNS:
+            both = now.withColumn("b", F.min("a").over(bucket))
+        else:
+            now = now.withColumn("lo", F.min("a.c").over(bucket)).withColumn("hi", F.max("a.c").over(bucket)).filter("lo <> hi").select("s", "a")
+            now = materialize(now, "unsettled")
+            both = now.join(now.withColumnRenamed("a", "b"), "s").filter("a.key < b.key")
+        pairs = both.filter("a.c <> b.c").filter(_may_be_alike("a", "b", similarity)).select(F.least("a.key", "b.key").alias("x"), F.greatest("a.key", "b.key").alias("y")).distinct()
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), "candidates")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        found = materialize(_alike(pairs, sets, similarity), "links")
+        links = found if links is None else links.unionByName(found)
+        groups = connected_components(links, "x", "y")
+    return groups.select(F.col("node").alias("text_key"), "component")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(x, y)`` whose ``sets`` have a Jaccard of ``similarity``."""
+    wanted = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key"))).distinct()
+    own = sets.join(wanted, "key", "left_semi")
+    both = pairs.join(own.select(F.col("key").alias("x"), F.col("set").alias("s")), "x").join(own.select(F.col("key").alias("y"), F.col("set").alias("t")), "y")
     common = F.size(F.array_intersect("s", "t"))
-    links = both.filter(common >= similarity * (F.size("s") + F.size("t") - common)).select("x", "y")
-    return connected_components(links, "x", "y").select(F.col("node").alias("text_key"), "component")
+    return both.filter(common >= similarity * (F.size("s") + F.size("t") - common)).select("x", "y")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

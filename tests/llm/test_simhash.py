@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -78,3 +79,44 @@ def test_keep_one_of_near_copies(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, k string")
     got = sorted((r.doc_id, r.k) for r in simhash.keep_one(docs).collect())
     assert got == [(1, "d"), (2, "b"), (7, "e"), (20, "f"), (22, "h")]
+
+
+def families(kind):
+    """Texts with a passage added, cut or replaced; or a family of copies that are unlike each other and like their original."""
+    rng, texts = random.Random(7), []
+
+    def words(n):
+        return [f"{rng.choice('abcdefgh')}{rng.randrange(9000)}" for _ in range(n)]
+
+    if kind == "passages":
+        for n in (60, 200, 500):
+            for share in (0.05, 0.1, 0.15, 0.19):
+                for _ in range(6):
+                    base, k = words(n), int(n * share)
+                    texts += [base, base + words(k)], [base, base[k:]], [base, base[: n // 2] + words(k) + base[n // 2 :]]
+    else:
+        base = words(600)
+        texts.append([base])
+        for _ in range(60):
+            copy = list(base)
+            for at in rng.sample(range(600), 12):
+                copy[at] = words(1)[0]
+            texts[0].append(copy)
+    return [" ".join(w) for family in texts for w in family]
+
+
+@pytest.mark.parametrize("kind", ["passages"])
+def test_groups_are_those_of_all_pairs(spark, kind):
+    texts = families(kind)
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
+    want, by_shingle = list(range(len(texts))), {}
+    for i, own in enumerate(sets):
+        for s in own:
+            by_shingle.setdefault(s, []).append(i)
+    for i, own in enumerate(sets):
+        for j in {j for s in own for j in by_shingle[s] if j > i}:
+            if len(own & sets[j]) >= 0.8 * len(own | sets[j]) and want[i] != want[j]:
+                low, high = sorted((want[i], want[j]))
+                want = [low if w == high else w for w in want]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(want)
