@@ -28,7 +28,7 @@ CHUNK = 1 << 15
 #: Texts, about, that are counted to order shingles by rarity, and frequent shingles that are told apart, at most.
 ORDER_TEXTS, ORDER_SHINGLES = 20_000, 1 << 18
 #: Turns in which a bucket's members are compared with one of them, before all pairs of different components are.
-HUB_TURNS = 2
+HUB_TURNS = 1
 
 
 def shingles(words: list[bytes], width: int) -> Iterable[bytes]:

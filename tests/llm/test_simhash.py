@@ -105,7 +105,7 @@ def families(kind):
     return [" ".join(w) for family in texts for w in family]
 
 
-@pytest.mark.parametrize("kind", ["passages"])
+@pytest.mark.parametrize("kind", ["passages", "copies unlike each other"])
 def test_groups_are_those_of_all_pairs(spark, kind):
     texts = families(kind)
     sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for t in texts]
