@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harvestry.plans.skew import join_facts
 from harvestry.sources.shared import materialize
 
 
@@ -12,19 +13,20 @@ def _neighbours(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Hang every larger neighbour of a node on the node's smallest neighbour."""
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
+    """Hang every larger neighbour of a node on the node's smallest neighbour. Hubs are hot keys, and joined as such."""
     both = _neighbours(edges)
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    hung = join_facts(both.filter("v > u"), least, "u", 2 * total, F.xxhash64("v"))
+    return hung.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Hang a node and its smaller neighbours on the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    least = down.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    moved = join_facts(down, least, "u", 2 * total, F.xxhash64("v")).filter("v <> m")
+    return moved.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int = 60) -> DataFrame:
@@ -41,7 +43,7 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         if mark == seen or mark[0] == 0:
             break
         seen = mark
-        now = materialize(_small_star(_large_star(now)), "edges")
+        now = materialize(_small_star(_large_star(now, mark[0]), mark[0]), "edges")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     own = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))

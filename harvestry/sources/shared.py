@@ -18,10 +18,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in ``spark.checkpoint.dir``; a new local one only where that is unset, as in tests."""
+    """The folder named in ``spark.checkpoint.dir``; a new local one only where that is unset and all work is done in this process, as in tests."""
     named = spark.conf.get(CHECKPOINT_DIR, None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError(f"{CHECKPOINT_DIR} must name a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
