@@ -1,7 +1,8 @@
 """Line dedup by distinct-site spread, with DataFrame functions only.
 
-A line that stands on many sites is boilerplate. One HyperLogLog sketch of sites per line hash, merged by
-aggregation, settles most lines; those whose estimate is near the threshold get an exact distinct count.
+A line that stands on many sites, and in as many different texts, is boilerplate: a text that was copied from site to
+site is one text, and no reason to take its lines away. HyperLogLog sketches of sites and texts per line hash, merged
+by aggregation, settle most lines; those whose estimate is near the threshold get exact distinct counts.
 """
 
 from __future__ import annotations
@@ -9,11 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harvestry.plans.skew import join_facts
 from harvestry.sources.shared import materialize
 
+#: Distinct sites, and distinct texts, from which on a line is boilerplate.
 MIN_SITES = 5
-#: Part of a document's characters, at most, that removal may take; a text of more boilerplate is a copy, and left whole.
-MAX_SHARE = 0.5
 LG_K = 12
 #: Relative distance to the threshold in which the sketch does not decide: six times its standard error.
 BAND = 0.1
@@ -36,40 +37,39 @@ def lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFra
 
 
 def boilerplate(found: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
-    """``(h)``: the line hashes of :func:`lines` on at least ``min_sites`` distinct sites. Null sites count as none."""
-    sketched = found.groupBy("h").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", lg_k)).alias("sites"))
+    """``(h, n)``: the line hashes of :func:`lines` on at least ``min_sites`` distinct sites and in as many distinct texts.
+
+    ``n`` is how often the line occurs. Null sites count as none.
+    """
     low, high = min_sites * (1 - BAND) - 1, min_sites * (1 + BAND) + 1
-    sketched = materialize(sketched.filter(F.col("sites") >= low), "spread")
-    sure, near = sketched.filter(F.col("sites") > high), sketched.filter(F.col("sites") <= high)
-    pairs = found.filter("site is not null").select("h", "site").distinct().join(near.select("h"), "h", "left_semi")
-    exact = pairs.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites)
-    return sure.select("h").unionByName(exact.select("h"))
+    sketches = [F.hll_sketch_estimate(F.hll_sketch_agg(c, lg_k)).alias(name) for c, name in (("site", "sites"), ("k", "texts"))]
+    least = F.least("sites", "texts")
+    spread = materialize(found.groupBy("h").agg(*sketches, F.count("*").alias("n")).withColumn("least", least).filter(least >= low), "spread")
+    near = found.select("h", "site", "k").join(spread.filter(F.col("least") <= high).select("h"), "h", "left_semi")
+    exact = near.groupBy("h").agg(F.count_distinct("site").alias("sites"), F.count_distinct("k").alias("texts"), F.count("*").alias("n"))
+    return spread.filter(F.col("least") > high).select("h", "n").unionByName(exact.filter(least >= min_sites).select("h", "n"))
 
 
-def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, max_share: float = MAX_SHARE) -> DataFrame:
+def remove_boilerplate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """``(row, clean, n_lines, n_removed)`` for every row of ``docs``; ``row`` holds its columns.
 
-    ``clean`` is the text without the lines that stand on ``min_sites`` sites or more, in order, joined by line feeds.
-    A text of which that would take over ``max_share`` of the characters in non-blank lines is left as it is,
-    with 0 removed. Blank lines are never boilerplate. Null texts are empty (one blank line) and come out empty. Rows keep
-    their number; rows with the same id are told apart by their texts, null ids are ids like others.
+    ``clean`` is the text without the lines that stand on ``min_sites`` sites or more and in as many different texts, in order, joined
+    by line feeds; however much of the text that is. Blank lines are never boilerplate. Null texts are empty (one blank line)
+    and come out empty. Rows keep their number; rows with the same id are told apart by their texts, null ids are ids like others.
     """
     found = materialize(lines(docs, id_col, text_col, site_col), "lines")
     bad = materialize(boilerplate(found, min_sites), "boilerplate")
-    hit = found.select("id", "k", "pos", "h").join(bad, "h").groupBy("id", "k").agg(F.collect_set("pos").alias("gone"))
+    # a boilerplate line is a hot key by its nature
+    hit = join_facts(found.select("id", "k", "pos", "h"), bad, "h", found.count(), F.xxhash64("id", "k", "pos"))
+    hit = hit.groupBy("id", "k").agg(F.collect_set("pos").alias("gone"))
     hit = hit.select(F.col("id").alias("hit_id"), F.col("k").alias("hit_k"), "gone")
     text = _text(docs, text_col)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("k"))
     both = rows.join(hit, F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("k") == F.col("hit_k")), "left")
     both = both.select("row", "text", "gone", F.split("text", "\n").alias("parts"))
-
-    def size(parts: Column) -> Column:
-        return F.aggregate(parts, F.lit(0), lambda n, x: n + F.when(line_key(x) != "", F.length(x)).otherwise(0))
-
-    taken = F.aggregate("gone", F.lit(0), lambda n, at: n + F.length(F.get("parts", at)))
-    both = both.withColumn("drop", F.col("gone").isNotNull() & (taken <= max_share * size(F.col("parts"))))
     left = F.array_join(F.filter("parts", lambda x, at: ~F.array_contains("gone", at)), "\n")
-    return both.select("row", F.when(F.col("drop"), left).otherwise(F.col("text")).alias("clean"), F.size("parts").cast("long").alias("n_lines"), F.when(F.col("drop"), F.size("gone")).otherwise(0).cast("long").alias("n_removed"))
+    clean = F.when(F.col("gone").isNull(), F.col("text")).otherwise(left)
+    return both.select("row", clean.alias("clean"), F.size("parts").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))
 
 
 def clean_documents(docs: DataFrame, **options) -> DataFrame:

@@ -121,21 +121,16 @@ ORACLES: dict[str, str] = {
         FROM c GROUP BY conv_id""",
     "op6_line_dedup": f"""
         WITH cut AS (
-            SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+            SELECT doc_id, source, md5(coalesce(text, '')) AS digest, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
             FROM documents),
         keyed AS (SELECT *, trim(line, ' ' || chr(9) || chr(13)) AS key FROM cut),
         bad AS (
             SELECT key FROM keyed WHERE key <> '' GROUP BY key
-            HAVING count(DISTINCT source) >= {linedup.MIN_SITES}),
-        marked AS (SELECT k.*, b.key IS NOT NULL AS gone FROM keyed k LEFT JOIN bad b ON k.key = b.key),
-        judged AS (
-            SELECT *, sum(CASE WHEN gone THEN length(line) ELSE 0 END) OVER w
-                      <= {linedup.MAX_SHARE} * sum(CASE WHEN key <> '' THEN length(line) ELSE 0 END) OVER w AS fits
-            FROM marked WINDOW w AS (PARTITION BY doc_id))
+            HAVING count(DISTINCT source) >= {linedup.MIN_SITES} AND count(DISTINCT digest) >= {linedup.MIN_SITES})
         SELECT doc_id,
-               coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT (gone AND fits)), '') AS text,
+               coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE b.key IS NULL), '') AS text,
                count(*) AS n_lines,
-               count(*) FILTER (WHERE gone AND fits) AS n_removed
-        FROM judged GROUP BY doc_id""",
+               count(b.key) AS n_removed
+        FROM keyed k LEFT JOIN bad b ON k.key = b.key GROUP BY doc_id""",
 }

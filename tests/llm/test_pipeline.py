@@ -31,14 +31,12 @@ def test_stages_one_by_one(spark, sf):
     for r in b.values():
         for line in r.text.split("\n"):
             if key := line.strip(" \t\r"):
-                lines.setdefault(key, set()).add(r.source)
+                sites, texts = lines.setdefault(key, (set(), set()))
+                sites.add(r.source)
+                texts.add(r.text)
+    bad = {key for key, (sites, texts) in lines.items() if min(len(sites), len(texts)) >= linedup.MIN_SITES}
     for i, r in b.items():
-        parts = r.text.split("\n")
-        bad = [len(lines.get(p.strip(" \t\r"), ())) >= linedup.MIN_SITES for p in parts]
-        taken = sum(len(p) for p, x in zip(parts, bad) if x)
-        if taken <= linedup.MAX_SHARE * sum(len(p) for p in parts if p.strip(" \t\r")):
-            parts = [p for p, x in zip(parts, bad) if not x]
-        assert c[i].text == "\n".join(parts) and c[i].n_chars == len(c[i].text)
+        assert c[i].text == "\n".join(p for p in r.text.split("\n") if p.strip(" \t\r") not in bad) and c[i].n_chars == len(c[i].text)
     sets = {i: shingle_set(r.text) for i, r in c.items()}
     first = {}
     for i in sorted(c):
