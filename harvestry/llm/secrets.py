@@ -37,11 +37,22 @@ CLASSES = (
     CharacterClass("entropy_hex", r"[0-9A-Fa-f]{20,}", ("[0-9]", "[A-Fa-f]"), 20, 3.0),
     CharacterClass("entropy_base64", r"[A-Za-z0-9+/_-]{24,}={0,2}", ("[0-9]", "[a-z]", "[A-Z]"), 24, 3.8),
 )
-#: Candidates that are never secrets: UUIDs, repeated units, runs of the alphabet or of digits.
+
+
+def _run(signs: str, least: int) -> str:
+    """A pattern for the first ``least`` of ``signs`` or more of them, in order."""
+    more = ""
+    for sign in reversed(signs[least:]):
+        more = f"(?:{sign}{more})?"
+    return signs[:least] + more
+
+
+#: Parts of candidates that are never secrets: UUIDs, 12 characters and more of a repeated unit, runs of the alphabet or of digits.
 ALLOWED = (
     r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",
-    r"(.{1,8}?)\1{2,}.{0,7}",
-    r"(?i:.*(?:abcdefghij|0123456789abc).*)",
+    *[rf"(.{{{n}}})\1{{{max(2, math.ceil(12 / n) - 1)},}}" for n in range(1, 9)],
+    f"(?i:{_run('abcdefghijklmnopqrstuvwxyz', 10)})",
+    f"(?i:{_run('0123456789abcdef', 10)})",
 )
 
 
@@ -88,7 +99,7 @@ class Scanner:
         # the longest runs from the leftmost on, so that the least length can be asked for at once
         self.hex = re.compile(HEX.replace("+", f"{{{HEX_LEAST},}}")).finditer
         self.classes = [(c, re.compile(c.pattern).finditer, [re.compile(n).search for n in c.needs]) for c in classes]
-        self.allowed = [re.compile(a, re.DOTALL).fullmatch for a in allowed]
+        self.allowed = [re.compile(a, re.DOTALL).finditer for a in allowed]
 
     def base(self, text: str) -> list[tuple[int, int, int]]:
         """``(start, end, kind)`` of the base patterns, kinds 0 to 2 as listed."""
@@ -101,24 +112,47 @@ class Scanner:
         found += [(*m.span(), 2) for m in self.hex(text)]
         return sorted(found, key=lambda s: (s[0], s[2], s[1]))
 
+    def pieces(self, start: int, candidate: str) -> Iterator[tuple[int, str]]:
+        """What the allow-list leaves of a candidate: the pieces between allowed parts, with their places."""
+        at = 0
+        for s, e in sorted(m.span() for a in self.allowed for m in a(candidate)):
+            if s > at:
+                yield start + at, candidate[at:s]
+            at = max(at, e)
+        if at < len(candidate):
+            yield start + at, candidate[at:]
+
+    def added(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """``(start, end, kind)`` of the suspicious spans, class by class."""
+        for k, (c, candidates, needs) in enumerate(self.classes):
+            for m in candidates(text):
+                for start, piece in self.pieces(m.start(), m[0]):
+                    if len(piece) >= c.width and all(n(piece) for n in needs):
+                        for s, e in suspicious(piece, c.width, c.bits):
+                            yield start + s, start + e, 3 + k
+
     def scan(self, text: str) -> list[tuple[str, int, int]]:
-        """``(kind, start, end)`` by start, then kind: base spans, and entropy spans that no base span holds."""
+        """``(kind, start, end)`` by start, then kind: base spans, and entropy spans that no base span holds.
+
+        Both are in order of their starts; a span is held if one of the base spans that start before it ends behind it.
+        """
         names = ["assign", "access", "hex", *(c.kind for c, _, _ in self.classes)]
         base = self.base(text)
-        more = []
-        for k, (c, candidates, needs) in enumerate(self.classes):
-            for m in candidates(text):
-                if all(n(m[0]) for n in needs) and not any(a(m[0]) for a in self.allowed):
-                    more += [(m.start() + s, m.start() + e, 3 + k) for s, e in suspicious(m[0], c.width, c.bits)]
-        more = [x for x in more if not any(b[0] <= x[0] and x[1] <= b[1] for b in base)]
-        return [(names[k], s, e) for s, e, k in sorted(base + more, key=lambda x: (x[0], x[2], x[1]))]
+        kept, k, reach = [], 0, -1
+        for x in sorted(self.added(text)):
+            while k < len(base) and base[k][0] <= x[0]:
+                reach, k = max(reach, base[k][1]), k + 1
+            if x[1] > reach:
+                kept.append(x)
+        return [(names[k], s, e) for s, e, k in sorted(base + kept, key=lambda x: (x[0], x[2], x[1]))]
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes: Iterable[CharacterClass] = CLASSES, allowed: Iterable[str] = ALLOWED) -> DataFrame:
     """``(id, spans array<struct<kind, start, end>>)`` for every row of ``docs``; positions in code points, end exclusive.
 
     Base kinds are the leftmost non-overlapping matches that are long enough. Entropy kinds are added where a window
-    of a candidate string is suspicious, unless the candidate is on the allow-list or lies in a base span. Null
+    of a candidate string is suspicious; parts of it on the allow-list are left out, and so are spans in a base span. Work is
+    linear in the length of a text. Null
     and empty texts have no spans. Repeated rows and null ids keep their rows; other columns are not read.
     """
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))

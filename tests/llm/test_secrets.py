@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from hypothesis import given, settings
@@ -54,10 +55,27 @@ def test_entropy_kinds_and_allow_list():
     assert scan("aB3aB3aB3aB3aB3aB3aB3aB3aB3aB3") == []
     assert scan("1B9D6BCD-BBFD-4B2D-9B5D-AB8DFBBD4BED") == []
     assert scan("Averylongcompoundwordwithoutanydigits") == []
+    assert scan(f"{key}abcdefghij") == [("entropy_base64", 0, len(key))]  # only the allowed part is suppressed
+    assert scan(f"{key}-1B9D6BCD-BBFD-4B2D-9B5D-AB8DFBBD4BED{key}") == [("entropy_base64", 0, len(key) + 1), ("entropy_base64", len(key) + 37, 2 * len(key) + 37)]
     assert secrets.Scanner(allowed=["Zx8.*"]).scan(f"see {key} here") == []
     assert [k for k, _, _ in scan(f"token={key}")] == ["assign"]
 
 
+def test_spans_are_swept_in_linear_time():
+    dice = random.Random(4)
+    unit = "".join(f" token=abcdef{k} {''.join(dice.choices('abcXYZ0123456789defGHI', k=40))} " for k in range(50))
+    scan = secrets.Scanner().scan
+    scan(unit)
+
+    def seconds(text):
+        began = time.process_time()
+        found = scan(text)
+        return time.process_time() - began, len(found)
+
+    (t, n), (t8, n8) = seconds(unit * 40), seconds(unit * 320)  # a million characters
+    assert n8 == 8 * n and t8 < 16 * max(t, 0.05)
+
+
 def test_query(spark, sf):
     sf = sf.replace("sf0.001", "sf0.01")  # the smallest tables hold no secret
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
