@@ -1,8 +1,9 @@
 """Benchmark decontamination by greedy string tiling.
 
-Runs of ``least`` words that a document shares with a benchmark item are seeds, found by Karp-Rabin hashes. From
-the seeds of a document and an item the longest run of equal words that is not yet covered on either side is
-marked, again and again; the share of the item's words that gets covered tells a leak, in whatever order its parts stand.
+Runs of ``least`` words that a text shares with a benchmark item are seeds, found by Karp-Rabin hashes that texts and items
+send to a join. From the seeds of a text and an item the longest run of equal words that is not yet covered on either
+side is marked, again and again; the share of the item's words that gets covered tells a leak, in whatever order its
+parts stand.
 """
 
 from __future__ import annotations
@@ -10,17 +11,27 @@ from __future__ import annotations
 import heapq
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from harvestry.llm.bytelevel import Recent
+from harvestry.plans.skew import join_facts
+from harvestry.sources.shared import materialize
 
 LEAST, COVERAGE = 5, 0.8
-#: Words of benchmark items that one broadcast block holds, about.
-BLOCK_WORDS = 1_000_000
+#: Bits of the filter that tells most seeds of texts to be in no item: 8 MB, whatever the benchmark.
+FILTER_BITS = 1 << 26
+#: Bits of one of Spark's bitmaps.
+BITMAP = 1 << 15
+#: Items that share a seed, from which on it counts as common.
+COMMON = 100
+#: Pairs of places that are held at a time.
+PAIRS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 _words = re.compile(r"\w+").findall
@@ -31,103 +42,65 @@ def words_of(text: str | None) -> list[str]:
     return _words((text or "").lower())
 
 
+class Words:
+    """Texts as arrays of 64-bit hashes of their words; holds the words that a task has met."""
+
+    def __init__(self):
+        self.known = Recent(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")))
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        words = words_of(text)
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+
+
 def rolling(ids: np.ndarray, width: int) -> np.ndarray:
     """A Karp-Rabin hash of every run of ``width`` numbers, modulo 2^64."""
     n = max(0, len(ids) - width + 1)
-    hashes, ids = np.zeros(n, np.uint64), ids.astype(np.uint64) + np.uint64(1)
+    hashes = np.zeros(n, np.uint64)
     for k in range(width):
         hashes = hashes * _BASE + ids[k : k + n]
     return hashes
 
 
-@dataclass
-class Index:
-    """A block of benchmark items: their words as numbers, and where each seed occurs in which item."""
-
-    least: int
-    coverage: float
-    vocabulary: dict
-    items: list
-    ids: list
-    seeds: np.ndarray
-    first: np.ndarray
-    owner: np.ndarray
-    place: np.ndarray
-
-    @classmethod
-    def build(cls, items: list[tuple], least: int, coverage: float) -> Index:
-        vocabulary: dict[str, int] = {}
-        kept = [(i, w) for i, t in items if len(w := words_of(t)) >= least]
-        ids = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words], np.int64) for _, words in kept]
-        hashes = [rolling(x, least) for x in ids]
-        joined = np.concatenate([np.zeros(0, np.uint64), *hashes])
-        owner = np.repeat(np.arange(len(ids)), [len(h) for h in hashes])
-        place = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(h)) for h in hashes)])
-        order = np.argsort(joined, kind="stable")
-        seeds, first = np.unique(joined[order], return_index=True)
-        return cls(least, coverage, vocabulary, [i for i, _ in kept], ids, seeds, np.append(first, len(joined)), owner[order], place[order])
-
-    def leaks(self, text: str | None) -> list[tuple]:
-        """``(item, covered words, words)`` of the items of which the text covers enough."""
-        if not len(self.seeds):
-            return []
-        get = self.vocabulary.get
-        ids = np.array([get(w, -1) for w in words_of(text)], np.int64)
-        if len(ids) < self.least:
-            return []
-        known = np.cumsum(np.append(0, ids >= 0))
-        spots = np.flatnonzero(known[self.least :] - known[: -self.least] == self.least)
-        if not len(spots):
-            return []
-        hashes = rolling(ids, self.least)[spots]
-        at = np.minimum(np.searchsorted(self.seeds, hashes), len(self.seeds) - 1)
-        hit = self.seeds[at] == hashes
-        spots, at = spots[hit], at[hit]
-        return self._covered(ids, spots, at) if len(spots) else []
-
-    def _covered(self, ids: np.ndarray, spots: np.ndarray, at: np.ndarray) -> list[tuple]:
-        """Tile the items that enough seeds point to: ``c`` words in runs of at least ``m`` need ``c / m`` seed places."""
-        found = np.unique(at)
-        owners = np.concatenate([self.owner[self.first[s] : self.first[s + 1]] for s in found])
-        numbers, counts = np.unique(owners, return_counts=True)
-        order = np.argsort(at, kind="stable")
-        spots, at = spots[order], at[order]
-        out = []
-        for k, n in zip(numbers.tolist(), counts.tolist()):
-            size = len(self.ids[k])
-            need = int(np.ceil(self.coverage * size - 1e-9))
-            if n * self.least < need:
-                continue
-            covered = tile(self.ids[k], ids, *self._pairs(k, found, spots, at), self.least)
-            if covered >= need:
-                out.append((self.items[k], covered, size))
-        return out
-
-    def _pairs(self, k: int, found: np.ndarray, spots: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All places of item ``k`` and of the text that hold the same seed."""
-        left, right = [], []
-        for s in found.tolist():
-            own = slice(self.first[s], self.first[s + 1])
-            places = self.place[own][self.owner[own] == k]
-            if len(places):
-                there = spots[np.searchsorted(at, s) : np.searchsorted(at, s, "right")]
-                left.append(np.repeat(places, len(there)))
-                right.append(np.tile(there, len(places)))
-        return np.concatenate(left), np.concatenate(right)
-
-
-def tile(item: np.ndarray, text: np.ndarray, left: np.ndarray, right: np.ndarray, least: int) -> int:
-    """The words of ``item`` that greedy tiling covers, from the seed pairs ``left`` and ``right``.
-
-    Seeds that follow each other on a diagonal are one match. Matches are marked from the longest on, ties by
-    place; one that meets marked words is cut down to its free parts, which wait for their turn.
+def matches(item: np.ndarray, text: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """``(i, j, n)``: the longest runs in which ``n`` seeds of an item and a text are equal, from places ``i`` and ``j`` on.
+
+    Pairs of places are looked at for some places of the item at a time, so that what repeats itself takes little memory.
+    """
+    order = np.argsort(text, kind="stable")
+    first, last = (np.searchsorted(text[order], item, side) for side in ("left", "right"))
+    counts = last - first
+    starts, at, parts = np.cumsum(counts), 0, []
+    while at < len(item):
+        end = max(at + 1, int(np.searchsorted(starts, PAIRS + (starts[at - 1] if at else 0), "right")))
+        n = counts[at:end]
+        left = np.repeat(np.arange(at, min(end, len(item))), n)
+        right = order[np.arange(n.sum()) + np.repeat(first[at:end] - np.cumsum(n) + n, n)]
+        parts.append(_joined(left, right, np.ones(len(left), np.int64)))
+        at = end
+    i, j, n = _joined(*(np.concatenate([p[k] for p in parts]) for k in range(3))) if parts else ([], [], [])
+    yield from zip(map(int, i), map(int, j), map(int, n))
+
+
+def _joined(i: np.ndarray, j: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs with those that follow each other on a diagonal made one."""
+    order = np.lexsort((i, j - i))
+    i, j, n = i[order], j[order], n[order]
+    fresh = np.ones(len(i), bool)
+    fresh[1:] = (i[1:] != i[:-1] + n[:-1]) | (j[1:] != j[:-1] + n[:-1])
+    starts = np.flatnonzero(fresh)
+    return i[starts], j[starts], np.add.reduceat(n, starts) if len(starts) else n
+
+
+def tile(item: np.ndarray, text: np.ndarray, least: int) -> int:
+    """The words of ``item`` that greedy tiling covers by runs of ``text`` of at least ``least`` words.
+
+    Matches are marked from the longest on, ties by place; one that meets marked words is cut down to its free
+    parts, which wait for their turn.
     """
-    order = np.lexsort((left, right - left))
-    left, right = left[order], right[order]
-    starts = np.flatnonzero((np.diff(left, prepend=-9) != 1) | (np.diff(right, prepend=-9) != 1))
-    lengths = np.diff(np.append(starts, len(left))) + least - 1
     heap = []
-    for i, j, n in zip(left[starts].tolist(), right[starts].tolist(), lengths.tolist()):
+    for i, j, n in matches(rolling(item, least), rolling(text, least)):
+        n += least - 1
         heap += _runs(item[i : i + n] == text[j : j + n], i, j, least)  # hashes may agree by chance
     heapq.heapify(heap)
     free_item, free_text = np.ones(len(item), bool), np.ones(len(text), bool)
@@ -150,44 +123,132 @@ def _runs(good: np.ndarray, i: int, j: int, least: int) -> list[tuple[int, int,
     return [(int(s - e), i + int(s), j + int(s)) for s, e in zip(edges[::2], edges[1::2]) if e - s >= least]
 
 
-def blocks(benchmark: DataFrame, least: int, coverage: float, block_words: int, id_col: str, text_col: str) -> list[Broadcast]:
-    """The benchmark's index, broadcast in blocks of bounded size: each item goes to one block by its hash."""
-    spark = benchmark.sparkSession
-    items = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).filter("t is not null")
-    total = items.agg(F.sum(F.size(F.split("t", " ")))).first()[0] or 0
-    n = max(1, -(-total // block_words))
-    made = []
-    for k in range(n):
-        own = items.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k).toArrow()
-        made.append(spark.sparkContext.broadcast(Index.build(list(zip(own.column("i").to_pylist(), own.column("t").to_pylist())), least, coverage)))
-    return made
-
-
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", least: int = LEAST, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``(id, item_id, covered, words, coverage)``: the documents that cover at least ``coverage`` of an item's words.
+def item_seeds(items: DataFrame, least: int, coverage: float) -> DataFrame:
+    """``(seed, item, places, spare, need)``: the seeds that lead to an item, from ``(item, text)``.
 
-    Words are lower-cased runs of letters, digits and underscores; tiles have at least ``least`` words. Items of fewer
-    words, and null or empty texts, never match. Rows of ``docs`` answer one by one, so repeated rows repeat
-    their answers; equal items each answer; null ids stay null. Without items or documents there are no rows.
+    A leak covers ``c`` words in runs of ``least`` or more, and so needs ``c / least`` seed places. Of the seeds that many
+    items share, the commonest are left out, as long as they have fewer places than that: every leak still holds
+    another seed. ``spare`` is how many places were left out.
     """
-    made = blocks(benchmark, least, coverage, block_words, item_col, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            out = [(i, *leak) for i, text in zip(ids, batch.column(1)) for b in made for leak in b.value.leaks(text.as_py())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], names=["id", "item_id", "covered", "words"])
+            for item, text in zip(batch.column(0), batch.column(1)):
+                ids = words(text.as_py())
+                seeds, places = np.unique(rolling(ids, least).view(np.int64), return_counts=True)
+                need = -(-int(np.ceil(coverage * len(ids) - 1e-9)) // least)
+                columns = [pa.array([item.as_py()] * len(seeds), pa.int64()), pa.array(seeds), pa.array(places, pa.int64()), pa.array([need] * len(seeds), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["item", "seed", "places", "need"])
+
+    rows = materialize(items.select("item", "text").mapInArrow(run, "item long, seed long, places long, need long"), "item-seeds")
+    common = rows.groupBy("seed").agg(F.count("*").alias("n")).filter(F.col("n") > COMMON)
+    rows = rows.join(common, "seed", "left")
+    before = F.sum(F.when(F.col("n").isNotNull(), F.col("places"))).over(Window.partitionBy("item").orderBy(F.desc_nulls_last("n"), "seed"))
+    rows = rows.withColumn("out", F.coalesce(F.col("n").isNotNull() & (before < F.col("need")), F.lit(False)))
+    spare = F.sum(F.when(F.col("out"), F.col("places")).otherwise(0)).over(Window.partitionBy("item"))
+    return materialize(rows.withColumn("spare", spare).filter("not out").select("seed", "item", "places", "spare", "need"), "item-seeds")
+
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, item_id long, covered long, words long").withColumn("coverage", F.col("covered") / F.col("words"))
+def _positions(seed: Column) -> list[Column]:
+    return [F.pmod(seed, F.lit(FILTER_BITS)), F.pmod(F.shiftrightunsigned(seed, 32), F.lit(FILTER_BITS))]
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The rows of ``docs`` whose ``text`` leaks no item of ``benchmark``, unchanged."""
-    made = blocks(benchmark, least, coverage, block_words, "item_id", "text")
+def seed_filter(seeds: DataFrame) -> np.ndarray:
+    """A Bloom filter of the seeds, of ``FILTER_BITS`` bits: bitmaps made and merged by aggregation."""
+    at = seeds.select(F.explode(F.array(*_positions(F.col("seed")))).alias("at"))
+    maps = at.groupBy(F.floor(F.col("at") / BITMAP).alias("part")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(BITMAP))).alias("bits"))
+    whole = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in maps.toLocalIterator():
+        whole[r.part * BITMAP // 8 : (r.part + 1) * BITMAP // 8] = np.frombuffer(r.bits, np.uint8)
+    return whole
 
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        return texts.map(lambda t: not any(b.value.leaks(t) for b in made)).astype(bool)
 
-    return docs.filter(clean(F.col("text").cast("string")))
+def passes(seeds: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Whether each seed may be among those of the filter."""
+    found = np.ones(len(seeds), bool)
+    for shift in (0, 32):
+        at = (seeds >> np.uint64(shift)) & np.uint64(FILTER_BITS - 1)
+        found &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
+    return found
+
+
+def text_key(text_col: str) -> Column:
+    return F.xxhash64(F.col(text_col).cast("string"))
+
+
+def leaking_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
+    """``(k, leaks array<struct<item_id, covered, words>>)`` of the texts, by their XXH64, that leak an item.
+
+    Seeds of texts that pass the filter meet the seeds of items in a shuffle; texts and items that share enough of them meet as
+    whole texts, and are tiled. Copies of a text are one text all the way.
+    """
+    named = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    named = materialize(named.select("item_id", F.xxhash64("text").alias("item"), "text"), "items")
+    items = named.select("item", "text").dropDuplicates(["item"])
+    seeds = item_seeds(items, least, coverage)
+    bits = docs.sparkSession.sparkContext.broadcast(seed_filter(seeds))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        for batch in batches:
+            keys, hits = [], []
+            for k, text in zip(batch.column(0), batch.column(1)):
+                own = rolling(words(text.as_py()), least)
+                own = np.unique(own[passes(own, bits.value)])
+                if len(own):
+                    keys.append(k.as_py())
+                    hits.append(own.view(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(hits, pa.list_(pa.int64()))], names=["k", "seeds"])
+
+    texts = docs.select(text_key(text_col).alias("k"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
+    hit = texts.mapInArrow(found, "k long, seeds array<long>").select("k", F.explode("seeds").alias("seed")).distinct()
+    met = hit.join(seeds, "seed").groupBy("k", "item").agg(F.sum("places").alias("places"), F.first("spare").alias("spare"), F.first("need").alias("need"))
+    pairs = materialize(met.filter(F.col("places") + F.col("spare") >= F.col("need")).select("k", "item"), "candidates")
+    own = texts.join(pairs.select("k").distinct(), "k", "left_semi").dropDuplicates(["k"])
+    both = pairs.join(items.withColumnRenamed("text", "said"), "item").join(own, "k")
+
+    def tiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
+        last, text = None, None
+        for batch in batches:
+            out = []
+            for k, item, said, whole in zip(*(batch.column(c) for c in ("k", "item", "said", "text"))):
+                if last != k.as_py():
+                    last, text = k.as_py(), words(whole.as_py())
+                wanted = words(said.as_py())
+                covered = tile(wanted, text, least)
+                if covered >= coverage * len(wanted) - 1e-9:
+                    out.append((last, item.as_py(), covered, len(wanted)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 4)], names=["k", "item", "covered", "words"])
+
+    leaks = materialize(both.select("k", "item", "said", "text").mapInArrow(tiled, "k long, item long, covered long, words long"), "leaks")
+    ids = named.groupBy("item").agg(F.collect_list("item_id").alias("ids"), F.count_if(F.col("item_id").isNull()).alias("unnamed"))
+    ids = ids.select("item", F.concat("ids", F.array_repeat(F.lit(None).cast("long"), F.col("unnamed").cast("int"))).alias("ids"))
+    counts = leaks.groupBy("item").agg(F.count("*").alias("n"))
+    named_leaks = join_facts(leaks, ids.join(counts, "item"), "item", leaks.count(), F.xxhash64("k"))
+    answers = named_leaks.select("k", F.explode("ids").alias("item_id"), "covered", "words")
+    return answers.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("item_id", "covered", "words"))).alias("leaks"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
+    """``(id, item_id, covered, words, coverage)``: the documents that cover at least ``coverage`` of an item's words.
+
+    Words are lower-cased runs of letters, digits and underscores; tiles have at least ``least`` words, the least match of the method, so
+    that an item of fewer words has no tile, and null or empty texts never match. Rows of ``docs`` answer one by one, so
+    repeated rows repeat their answers; equal items each answer; null ids stay null. Without items or documents there are no rows.
+    """
+    leaks = materialize(leaking_texts(docs, benchmark, text_col, item_col, least, coverage), "leaking")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text_col).alias("k")).join(leaks.select("k"), "k", "left_semi")
+    rows = materialize(rows, "leaking-rows")
+    counts = rows.groupBy("k").agg(F.count("*").alias("n"))
+    found = join_facts(rows, leaks.join(counts, "k"), "k", rows.count(), F.xxhash64("id"))
+    found = found.select("id", F.explode("leaks").alias("x")).select("id", "x.item_id", "x.covered", "x.words")
+    return found.withColumn("coverage", F.col("covered") / F.col("words"))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
+    """The rows of ``docs`` whose ``text`` leaks no item of ``benchmark``, unchanged; rows without a text stay."""
+    leaks = materialize(leaking_texts(docs, benchmark, least=least, coverage=coverage).select(F.col("k").alias("_leaking")), "leaking")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.when(F.col("text").isNotNull(), text_key("text")).alias("k"))
+    return rows.join(leaks, F.col("k") == F.col("_leaking"), "left_anti").select("row.*")
