@@ -19,7 +19,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from harvestry.llm.bytelevel import Recent
 from harvestry.plans.components import connected_components
+from harvestry.plans.skew import join_facts
 from harvestry.sources.shared import materialize
 
 SEED = 42
@@ -27,8 +29,9 @@ SEED = 42
 CHUNK = 1 << 15
 #: Texts, about, that are counted to order shingles by rarity, and frequent shingles that are told apart, at most.
 ORDER_TEXTS, ORDER_SHINGLES = 20_000, 1 << 18
-#: Turns in which a bucket's members are compared with one of them, before all pairs of different components are.
-HUB_TURNS = 1
+#: Shingles that leave a task at a time.
+FLUSH = 1 << 20
+_BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 def shingles(words: list[bytes], width: int) -> Iterable[bytes]:
@@ -38,20 +41,24 @@ def shingles(words: list[bytes], width: int) -> Iterable[bytes]:
     return map(b" ".join, zip(*(words[k:] for k in range(width))))
 
 
-def _bit_counts(hashes: Iterator[int]) -> tuple[np.ndarray, int]:
+def majority(parts: Iterable[np.ndarray]) -> int:
+    """64 bits, as a signed number: a bit is 1 if it is set in over half the hashes, given in parts; 0 of none."""
     counts, n = np.zeros(64, np.int64), 0
-    while True:
-        part = np.fromiter(islice(hashes, CHUNK), np.uint64)
-        if not len(part):
-            return counts, n
+    for part in parts:
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         n += len(part)
+    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
 
 
 def simhash(features: Iterable[bytes], seed: int = SEED) -> int:
-    """64 bits, as a signed number: a bit is 1 if it is set in over half the features' XXH64 hashes; 0 of none."""
-    counts, n = _bit_counts(map(xxhash.xxh64_intdigest, features, repeat(seed)))
-    return int(np.packbits(counts * 2 > n, bitorder="little").view(np.int64)[0])
+    """The fingerprint of features by their XXH64 hashes."""
+    hashes = map(xxhash.xxh64_intdigest, features, repeat(seed))
+    return majority(_parts(hashes))
+
+
+def _parts(hashes: Iterator[int]) -> Iterator[np.ndarray]:
+    while len(part := np.fromiter(islice(hashes, CHUNK), np.uint64)):
+        yield part
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = 3, bits: int = 64, bands: int = 1, features: Callable = shingles) -> DataFrame:
@@ -121,20 +128,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null ids keep their rows and never name a component unless all its ids are null.
     """
     sig = materialize(fingerprints(docs, id_col, text_col, width).select("id", F.col("bands")[0].alias("v")), "simhash")
-    reps = materialize(sig.groupBy("v").agg(F.min("id").alias("least")), "simhash-reps")
+    total = sig.count()
+    reps = materialize(sig.groupBy("v").agg(F.min("id").alias("least"), F.count("*").alias("n")), "simhash-reps")
     labels = connected_components(ball_links(reps, radius), "a", "b").select(F.col("node").alias("v"), "component")
-    linked = labels.join(reps, "v")
-    tops = linked.groupBy("component").agg(F.min("least").alias("top"))
-    linked = linked.join(tops, "component").select("v", "top")
-    nodes = reps.join(linked, "v", "left").select("v", F.coalesce("top", "least").alias("component_id"))
-    return sig.join(nodes, "v").select("id", F.col("v").alias("fingerprint"), "component_id")
-
-
-def _shingle_set(text: Column, width: int) -> tuple[Column, Column]:
-    """The words of a text, and from a column ``words`` the distinct hashes of a text's word shingles; of the whole sequence if it is shorter."""
-    words = F.filter(F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("words") - width))
-    return words, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("words", i + 1, width), " "))))
+    linked = materialize(labels.join(reps.select("v", "least"), "v"), "simhash-linked")
+    tops = linked.groupBy("component").agg(F.min("least").alias("top"), F.count("*").alias("n"))
+    linked = join_facts(linked, tops, "component", total, F.xxhash64("v")).select("v", "top")
+    nodes = reps.join(linked, "v", "left").select("v", F.coalesce("top", "least").alias("component_id"), "n")
+    # a fingerprint may be that of a third of all rows
+    done = join_facts(sig, materialize(nodes, "simhash-nodes"), "v", total, F.xxhash64("id"))
+    return done.select("id", F.col("v").alias("fingerprint"), "component_id")
 
 
 def _prefix_length(n: int, similarity: float) -> int:
@@ -142,9 +145,44 @@ def _prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(n * similarity - 1e-9) + 1
 
 
-def _shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    words = (text or "").encode().lower().split()
-    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, shingles(words, width), repeat(SEED)), np.uint64).view(np.int64))
+class Shingler:
+    """Shingle sets of texts as 64-bit hashes, rolled over the hashes of words; holds the words that a task has met."""
+
+    def __init__(self, width: int):
+        self.width = width
+        self.words = Recent(lambda w: xxhash.xxh64_intdigest(w, SEED))
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        """The distinct shingles of a text, sorted; of fewer words than a shingle has, that of the whole sequence."""
+        words = (text or "").encode().lower().split()
+        ids = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
+        width = min(self.width, len(ids))
+        if not width:
+            return np.zeros(0, np.int64)
+        rolled = np.full(len(ids) - width + 1, width, np.uint64)
+        for k in range(width):
+            rolled = rolled * _BASE + ids[k : k + len(rolled)]
+        rolled ^= rolled >> np.uint64(31)
+        rolled *= _MIX
+        rolled ^= rolled >> np.uint64(29)
+        return np.unique(rolled.view(np.int64))
+
+
+def _batches(rows: Iterable[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows that end with an array, in batches of a bounded number of its items."""
+    out, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+
+    for row in rows:
+        out.append(row)
+        size += len(row[-1]) + 1
+        if size >= FLUSH:
+            yield batch()
+            out, size = [], 0
+    if out:
+        yield batch()
 
 
 def _frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,9 +191,10 @@ def _frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.nda
     part = texts.filter(F.pmod("key", F.lit(every)) == 0).dropDuplicates(["key"]).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Shingler(width)
         for batch in batches:
             for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(_shingle_hashes(text.as_py(), width))], names=["s"])
+                yield pa.RecordBatch.from_arrays([pa.array(own(text.as_py()))], names=["s"])
 
     counts = part.mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter("n > 3")
     top = counts.orderBy(F.desc("n"), "s").limit(ORDER_SHINGLES).toArrow()
@@ -164,26 +203,32 @@ def _frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.nda
     return s[order], n[order]
 
 
-def _prefixes(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``(key, n, pos, s, own)``: the first shingles of every text's set of ``n``, rare ones before frequent ones, where another text has one too.
-
-    ``own`` is the rest of the set: of a family of copies the original has the least, as edits make shingles of their own.
-    """
+def _sketched(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``(key, v, n, s)`` of every text: fingerprint, number of shingles, and the first of them, rare ones before frequent ones."""
     known, counts = _frequent_shingles(texts, width)
+    def told(shingled: Shingler, text: str | None) -> tuple:
+        own = shingled(text)
+        v = majority(own[k : k + CHUNK].view(np.uint64) for k in range(0, len(own), CHUNK))
+        if len(known) and len(own):
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            own = own[np.argsort(np.where(known[at] == own, counts[at], 0), kind="stable")]
+        return v, len(own), own[: _prefix_length(len(own), similarity)] if len(own) else own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingled = Shingler(width)
         for batch in batches:
-            sizes, firsts = [], []
-            for text in batch.column(1):
-                own = _shingle_hashes(text.as_py(), width)
-                if len(known) and len(own):
-                    at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                    own = own[np.argsort(np.where(known[at] == own, counts[at], 0), kind="stable")]
-                sizes.append(len(own))
-                firsts.append(own[: _prefix_length(len(own), similarity)] if len(own) else own)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["key", "n", "s"])
-
-    flat = texts.mapInArrow(run, "key long, n int, s array<long>").select("key", "n", F.posexplode("s").alias("pos", "s"))
+            rows = ((k.as_py(), *told(shingled, t.as_py())) for k, t in zip(batch.column(0), batch.column(1)))
+            yield from _batches(rows, ["key", "v", "n", "s"], [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())])
+
+    return texts.mapInArrow(run, "key long, v long, n int, s array<long>")
+
+
+def _met(sketched: DataFrame) -> DataFrame:
+    """``(key, n, pos, s, own)``: the first shingles that another text has among its first ones too.
+
+    ``own`` counts the others: of a family of copies the original has the least, as edits make shingles of their own.
+    """
+    flat = sketched.select("key", "n", F.posexplode("s").alias("pos", "s"))
     bucket = Window.partitionBy("s")
     flat = flat.withColumn("lo", F.min("key").over(bucket)).withColumn("hi", F.max("key").over(bucket))
     met = flat.filter("lo <> hi").select("key", "n", "pos", "s").distinct()
@@ -196,47 +241,59 @@ def _may_be_alike(a: str, b: str, similarity: float) -> Column:
     return F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos")) >= least
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def _ball_pairs(sketched: DataFrame, radius: int) -> DataFrame:
+    """``(x, y)``: texts whose fingerprints collide, each fingerprint's texts as a star on the least, and colliding ones by those."""
+    values = sketched.filter("n > 0").groupBy("v").agg(F.min("key").alias("x"), F.max("key").alias("last"), F.count("*").alias("n"))
+    values = materialize(values, "fingerprints")
+    shared = sketched.select("v", "key").join(values.filter("x <> last").select("v", "x"), "v").filter("key <> x")
+    links = ball_links(values, radius)
+    firsts = values.select("v", "x")
+    across = links.join(firsts.withColumnsRenamed({"v": "a", "x": "p"}), "a").join(firsts.withColumnsRenamed({"v": "b", "x": "q"}), "b")
+    return shared.select("x", F.col("key").alias("y")).unionByName(across.select(F.col("p").alias("x"), F.col("q").alias("y")))
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, radius: int = 2) -> DataFrame:
     """``(text_key, component)`` of the texts that have a near-duplicate: shingle sets with a Jaccard of ``similarity``.
 
-    No pair is missed: two sets so alike share one of their first shingles in a common order (prefix filter), and meet
-    in its bucket. First the members of a bucket are compared with one of them only, which joins most large groups. Then all pairs
-    of a bucket that are not yet in one component are compared, as a text that is unlike its hub may be like others.
-    Candidates are verified on the exact sets of ``width``-word shingles. ``text_key`` is the XXH64 of
+    Candidates are the pairs whose SimHash fingerprints collide in ball hashing, and, as fingerprints within ``radius`` bits
+    miss pairs, those of a second way that misses none: two sets so alike share one of their first shingles in a common
+    order (prefix filter), and meet in its bucket. First a bucket's members are compared with one of them only, which joins most large
+    groups; then pairs of a bucket in different components are, as a text that is unlike its hub may be like others.
+    All candidates are verified on the exact sets of ``width``-word shingles. ``text_key`` is the XXH64 of
     the text (nulls count as empty); equal texts are one node, and texts of no words are only equal to each other.
     """
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("key"), "text")
-    met = materialize(_prefixes(texts, width, similarity), "prefixes")
-    words, shingled = _shingle_set(F.col("text"), width)
-    some = texts.join(met.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
-    sets = materialize(some.select("key", words.alias("words")).select("key", shingled.alias("set")), "sets")
-    bucket, links, tried, groups = Window.partitionBy("s"), None, None, None
-    for turn in range(HUB_TURNS + 1):
-        now = met.withColumn("c", F.col("key"))
-        if groups is not None:
-            now = met.join(groups.select(F.col("node").alias("key"), "component"), "key", "left").withColumn("c", F.coalesce("component", "key"))
-        deal = F.col("own").cast("double") / F.col("n") if turn == 0 else F.xxhash64("key", "s")
-        now = now.select("s", F.struct(deal.alias("deal"), "key", "n", "pos", "c").alias("a"))
-        if turn < HUB_TURNS:
-            both = now.withColumn("b", F.min("a").over(bucket))
-        else:
-            now = now.withColumn("lo", F.min("a.c").over(bucket)).withColumn("hi", F.max("a.c").over(bucket)).filter("lo <> hi").select("s", "a")
-            now = materialize(now, "unsettled")
-            both = now.join(now.withColumnRenamed("a", "b"), "s").filter("a.key < b.key")
-        pairs = both.filter("a.c <> b.c").filter(_may_be_alike("a", "b", similarity)).select(F.least("a.key", "b.key").alias("x"), F.greatest("a.key", "b.key").alias("y")).distinct()
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["x", "y"], "left_anti"), "candidates")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        found = materialize(_alike(pairs, sets, similarity), "links")
-        links = found if links is None else links.unionByName(found)
-        groups = connected_components(links, "x", "y")
+    sketched = materialize(_sketched(texts, width, similarity), "sketched")
+    met = materialize(_met(sketched), "met")
+    bucket = Window.partitionBy("s")
+    now = met.select("s", F.struct((F.col("own").cast("double") / F.col("n")).alias("deal"), "key", "n", "pos").alias("a"))
+    hubs = now.withColumn("b", F.min("a").over(bucket)).filter("a.key <> b.key").filter(_may_be_alike("a", "b", similarity))
+    pairs = hubs.select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).unionByName(_ball_pairs(sketched, radius))
+    pairs = materialize(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
+    links = materialize(_alike(pairs, texts, width, similarity), "links")
+    groups = connected_components(links, "x", "y")
+    now = met.join(groups.select(F.col("node").alias("key"), "component"), "key", "left").select("s", F.struct("key", "n", "pos", F.coalesce("component", "key").alias("c")).alias("a"))
+    now = now.withColumn("lo", F.min("a.c").over(bucket)).withColumn("hi", F.max("a.c").over(bucket)).filter("lo <> hi").select("s", "a")
+    now = materialize(now, "unsettled")
+    both = now.join(now.withColumnRenamed("a", "b"), "s").filter("a.key < b.key and a.c <> b.c").filter(_may_be_alike("a", "b", similarity))
+    more = both.select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti")
+    found = materialize(_alike(materialize(more, "candidates"), texts, width, similarity), "links")
+    groups = connected_components(links.unionByName(found), "x", "y")
     return groups.select(F.col("node").alias("text_key"), "component")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(x, y)`` whose ``sets`` have a Jaccard of ``similarity``."""
+def _alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The pairs ``(x, y)`` whose texts have shingle sets with a Jaccard of ``similarity``. Only the texts in pairs are looked at."""
     wanted = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key"))).distinct()
-    own = sets.join(wanted, "key", "left_semi")
-    both = pairs.join(own.select(F.col("key").alias("x"), F.col("set").alias("s")), "x").join(own.select(F.col("key").alias("y"), F.col("set").alias("t")), "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingled = Shingler(width)
+        for batch in batches:
+            yield from _batches(((k.as_py(), shingled(t.as_py())) for k, t in zip(batch.column(0), batch.column(1))), ["key", "set"], [pa.int64(), pa.list_(pa.int64())])
+
+    own = texts.join(wanted, "key", "left_semi").dropDuplicates(["key"])
+    own = materialize(own.mapInArrow(run, "key long, set array<long>"), "sets")
+    both = pairs.join(own.select(F.col("key").alias("y"), F.col("set").alias("t")), "y").join(own.select(F.col("key").alias("x"), F.col("set").alias("s")), "x")
     common = F.size(F.array_intersect("s", "t"))
     return both.filter(common >= similarity * (F.size("s") + F.size("t") - common)).select("x", "y")
 

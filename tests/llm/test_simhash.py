@@ -1,11 +1,13 @@
+import math
 import random
 import re
+from collections import Counter
 
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from harvestry.llm import simhash
+from harvestry.llm import queries, simhash
 
 
 def brute(text, width=3):
@@ -41,7 +43,7 @@ def test_against_brute_force(spark, sf):
 def test_long_text_in_chunks():
     text = " ".join(f"w{i % 977} x{i % 13}" for i in range(40_000))
     assert simhash.simhash(simhash.shingles(text.encode().split(), 3)) % 2**64 == brute(text)
-    assert simhash._bit_counts(iter([1] * (2 * simhash.CHUNK + 3)))[1] == 2 * simhash.CHUNK + 3
+    assert [len(x) for x in simhash._parts(iter([1] * (2 * simhash.CHUNK + 3)))] == [simhash.CHUNK, simhash.CHUNK, 3]
 
 
 @pytest.mark.parametrize("radius", [0, 2, 4])
@@ -120,3 +122,37 @@ def test_groups_are_those_of_all_pairs(spark, kind):
                 want = [low if w == high else w for w in want]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == set(want)
+
+
+def test_no_pair_of_documents_is_missed(spark, sf):
+    """Groups of sf0.1 against a plain prefix filter on the sets themselves, by exact counts of all shingles."""
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/documents.parquet")
+    first, counts, index = {}, Counter(), {}
+    for r in sorted(docs.collect(), key=lambda r: r.doc_id):
+        first.setdefault(r.text, r.doc_id)
+    words = {i: t.encode().lower().split() for t, i in first.items()}
+    sets = {i: {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in words.items() if w}
+    for own in sets.values():
+        counts.update(own)
+    near = []
+    for i, own in sorted(sets.items(), key=lambda x: len(x[1])):
+        prefix = sorted(own, key=lambda s: (counts[s], s))[: len(own) - math.ceil(0.8 * len(own) - 1e-9) + 1]
+        met = {j for s in prefix for j in index.get(s, ()) if len(sets[j]) >= 0.8 * len(own) - 1e-9}
+        near += [(i, j) for j in met if len(own & sets[j]) >= 0.8 * len(own | sets[j])]
+        for s in prefix:
+            if counts[s] > 1:
+                index.setdefault(s, []).append(i)
+    assert len(near) > 20
+    groups = {r.text_key: r.component for r in simhash.similar_groups(docs).collect()}
+    keys = {r.doc_id: r.k for r in docs.select("doc_id", F.xxhash64("text").alias("k")).collect()}
+    assert all(groups.get(keys[i], i) == groups.get(keys[j], j) for i, j in near)
+    assert {k for k in groups} == {keys[i] for pair in near for i in pair}
+    assert simhash.keep_one(docs).count() == len(first) - len(groups) + len(set(groups.values()))
+
+
+def test_query(spark, sf):
+    got = queries.op2_simhash_near_dedup(spark, sf).collect()
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    prints = {i: brute(t) for i, t in texts.items()}
+    assert {r.doc_id: r.fingerprint for r in got} == {i: f"{p:016x}" for i, p in prints.items()}
+    assert {r.doc_id: r.component_id for r in got} == classes(sorted(texts), prints)
