@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from harvestry.llm import bloom
 from harvestry.llm.bytelevel import Recent
 from harvestry.plans.components import connected_components
 from harvestry.plans.skew import join_facts
-from harvestry.sources.shared import materialize
+from harvestry.sources.shared import materialize, release
 
 SEED = 42
 #: Hashes that are turned into bits at a time, so that a text of any length takes little memory.
@@ -228,10 +229,12 @@ def _met(sketched: DataFrame) -> DataFrame:
 
     ``own`` counts the others: of a family of copies the original has the least, as edits make shingles of their own.
     """
-    flat = sketched.select("key", "n", F.posexplode("s").alias("pos", "s"))
+    flat = sketched.select("key", F.col("n").cast("long").alias("n"), F.posexplode("s").alias("pos", "s"))
+    flat = flat.select("key", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("np"), "s")  # most rows end here: they are kept small
     bucket = Window.partitionBy("s")
     flat = flat.withColumn("lo", F.min("key").over(bucket)).withColumn("hi", F.max("key").over(bucket))
-    met = flat.filter("lo <> hi").select("key", "n", "pos", "s").distinct()
+    met = flat.filter("lo <> hi").select("key", "np", "s").distinct()
+    met = met.withColumn("n", F.shiftright("np", 32).cast("int")).withColumn("pos", F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).drop("np")
     return met.withColumn("own", F.col("n") - F.count("*").over(Window.partitionBy("key")))
 
 
@@ -262,6 +265,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     All candidates are verified on the exact sets of ``width``-word shingles. ``text_key`` is the XXH64 of
     the text (nulls count as empty); equal texts are one node, and texts of no words are only equal to each other.
     """
+    spark = docs.sparkSession
+    release(spark)
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("key"), "text")
     sketched = materialize(_sketched(texts, width, similarity), "sketched")
     met = materialize(_met(sketched), "met")
@@ -270,31 +275,44 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hubs = now.withColumn("b", F.min("a").over(bucket)).filter("a.key <> b.key").filter(_may_be_alike("a", "b", similarity))
     pairs = hubs.select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).unionByName(_ball_pairs(sketched, radius))
     pairs = materialize(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
-    links = materialize(_alike(pairs, texts, width, similarity), "links")
+    release(spark)
+    sets = _sets(texts, met.select("key").unionByName(pairs.select(F.explode(F.array("x", "y")).alias("key"))).distinct(), width)
+    links = materialize(_alike(pairs, sets, similarity), "links")
+    release(spark)
     groups = connected_components(links, "x", "y")
     now = met.join(groups.select(F.col("node").alias("key"), "component"), "key", "left").select("s", F.struct("key", "n", "pos", F.coalesce("component", "key").alias("c")).alias("a"))
     now = now.withColumn("lo", F.min("a.c").over(bucket)).withColumn("hi", F.max("a.c").over(bucket)).filter("lo <> hi").select("s", "a")
     now = materialize(now, "unsettled")
     both = now.join(now.withColumnRenamed("a", "b"), "s").filter("a.key < b.key and a.c <> b.c").filter(_may_be_alike("a", "b", similarity))
     more = both.select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti")
-    found = materialize(_alike(materialize(more, "candidates"), texts, width, similarity), "links")
+    found = materialize(_alike(materialize(more, "candidates"), sets, similarity), "links")
     groups = connected_components(links.unionByName(found), "x", "y")
+    release(spark)
     return groups.select(F.col("node").alias("text_key"), "component")
 
 
-def _alike(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs ``(x, y)`` whose texts have shingle sets with a Jaccard of ``similarity``. Only the texts in pairs are looked at."""
-    wanted = pairs.select(F.col("x").alias("key")).unionByName(pairs.select(F.col("y").alias("key"))).distinct()
+def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """``(key, set)`` of the texts whose ``key`` is ``wanted``. A filter of their keys spares most others, and lets few pass."""
+    bits = texts.sparkSession.sparkContext.broadcast(bloom.build(wanted, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingled = Shingler(width)
         for batch in batches:
-            yield from _batches(((k.as_py(), shingled(t.as_py())) for k, t in zip(batch.column(0), batch.column(1))), ["key", "set"], [pa.int64(), pa.list_(pa.int64())])
+            asked = np.flatnonzero(bloom.passes(batch.column(0).to_numpy().view(np.uint64), bits.value)).tolist()
+            rows = ((batch.column(0)[k].as_py(), shingled(batch.column(1)[k].as_py())) for k in asked)
+            yield from _batches(rows, ["key", "set"], [pa.int64(), pa.list_(pa.int64())])
+
+    return materialize(texts.mapInArrow(run, "key long, set array<long>").dropDuplicates(["key"]), "sets")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``(x, y)`` whose ``sets`` have a Jaccard of ``similarity``. Only the sets in pairs are dealt out."""
+
+    def side(c: str, name: str) -> DataFrame:
+        return sets.join(pairs.select(F.col(c).alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias(c), F.col("set").alias(name))
 
-    own = texts.join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    own = materialize(own.mapInArrow(run, "key long, set array<long>"), "sets")
-    both = pairs.join(own.select(F.col("key").alias("y"), F.col("set").alias("t")), "y").join(own.select(F.col("key").alias("x"), F.col("set").alias("s")), "x")
     common = F.size(F.array_intersect("s", "t"))
+    both = pairs.join(side("y", "t"), "y").join(side("x", "s"), "x")
     return both.filter(common >= similarity * (F.size("s") + F.size("t") - common)).select("x", "y")
 
 

@@ -19,15 +19,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from harvestry.llm import bloom
 from harvestry.llm.bytelevel import Recent
 from harvestry.plans.skew import join_facts
 from harvestry.sources.shared import materialize
 
 LEAST, COVERAGE = 5, 0.8
-#: Bits of the filter that tells most seeds of texts to be in no item: 8 MB, whatever the benchmark.
-FILTER_BITS = 1 << 26
-#: Bits of one of Spark's bitmaps.
-BITMAP = 1 << 15
 #: Items that share a seed, from which on it counts as common.
 COMMON = 100
 #: Pairs of places that are held at a time.
@@ -150,29 +147,6 @@ def item_seeds(items: DataFrame, least: int, coverage: float) -> DataFrame:
     return materialize(rows.withColumn("spare", spare).filter("not out").select("seed", "item", "places", "spare", "need"), "item-seeds")
 
 
-def _positions(seed: Column) -> list[Column]:
-    return [F.pmod(seed, F.lit(FILTER_BITS)), F.pmod(F.shiftrightunsigned(seed, 32), F.lit(FILTER_BITS))]
-
-
-def seed_filter(seeds: DataFrame) -> np.ndarray:
-    """A Bloom filter of the seeds, of ``FILTER_BITS`` bits: bitmaps made and merged by aggregation."""
-    at = seeds.select(F.explode(F.array(*_positions(F.col("seed")))).alias("at"))
-    maps = at.groupBy(F.floor(F.col("at") / BITMAP).alias("part")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(BITMAP))).alias("bits"))
-    whole = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in maps.toLocalIterator():
-        whole[r.part * BITMAP // 8 : (r.part + 1) * BITMAP // 8] = np.frombuffer(r.bits, np.uint8)
-    return whole
-
-
-def passes(seeds: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    """Whether each seed may be among those of the filter."""
-    found = np.ones(len(seeds), bool)
-    for shift in (0, 32):
-        at = (seeds >> np.uint64(shift)) & np.uint64(FILTER_BITS - 1)
-        found &= (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) > 0
-    return found
-
-
 def text_key(text_col: str) -> Column:
     return F.xxhash64(F.col(text_col).cast("string"))
 
@@ -187,7 +161,7 @@ def leaking_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     named = materialize(named.select("item_id", F.xxhash64("text").alias("item"), "text"), "items")
     items = named.select("item", "text").dropDuplicates(["item"])
     seeds = item_seeds(items, least, coverage)
-    bits = docs.sparkSession.sparkContext.broadcast(seed_filter(seeds))
+    bits = docs.sparkSession.sparkContext.broadcast(bloom.build(seeds, "seed"))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -195,7 +169,7 @@ def leaking_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             keys, hits = [], []
             for k, text in zip(batch.column(0), batch.column(1)):
                 own = rolling(words(text.as_py()), least)
-                own = np.unique(own[passes(own, bits.value)])
+                own = np.unique(own[bloom.passes(own, bits.value)])
                 if len(own):
                     keys.append(k.as_py())
                     hits.append(own.view(np.int64))
