@@ -1,8 +1,8 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A sparse logistic model over the words of a text and their prefixes. For every sentence of the fit that names an
-identity group, a twin with the identity terms swapped is made, and differences between the scores of the two
-are penalised, so that a group's mention alone does not make a text toxic.
+A sparse logistic model over the words of a text and their prefixes. For every sentence of a labelled text that names
+an identity group, a twin with the identity terms swapped in their places is made, and differences between the scores
+of the two are penalised, so that a group's mention alone does not make a text toxic.
 """
 
 from __future__ import annotations
@@ -42,7 +42,8 @@ PREFIXES = (4, 5, 6)
 SENT_LABELS = 2_000_000
 THRESHOLD = 0.7
 
-_words = re.compile(r"\w+").findall
+_words, _word = re.compile(r"\w+").findall, re.compile(r"\w+")
+_ends = re.compile(r"[.!?\u2026\n\r]+")
 
 
 @dataclass(frozen=True)
@@ -75,10 +76,33 @@ def text_words(text: str | None) -> set[str]:
     return set(_words((text or "").lower()))
 
 
-def swapped(words: set[str], groups: tuple = IDENTITY_GROUPS) -> set[str]:
-    """The words with every identity term replaced by the next one of its group."""
-    into = {g[k]: g[(k + 1) % len(g)] for g in groups for k in range(len(g))}
-    return {into.get(w, w) for w in words}
+def sentences(text: str | None) -> list[str]:
+    """The sentences of a text; line ends end them too."""
+    return [x for x in _ends.split(text or "") if x.strip()]
+
+
+def swaps(groups: tuple = IDENTITY_GROUPS) -> dict[str, str]:
+    """Each identity term, and the next one of its group."""
+    return {g[k]: g[(k + 1) % len(g)] for g in groups for k in range(len(g))}
+
+
+def swapped(sentence: str, into: dict[str, str]) -> str:
+    """The sentence with every identity term exchanged where it stands, all at once; capitals stay as they were."""
+
+    def other(m: re.Match) -> str:
+        new = into.get(m[0].lower())
+        if new is None:
+            return m[0]
+        return new.upper() if len(m[0]) > 1 and m[0].isupper() else new.capitalize() if m[0][0].isupper() else new
+
+    return _word.sub(other, sentence)
+
+
+def twins(text: str | None, into: dict[str, str]) -> Iterator[tuple[str, str]]:
+    """The sentences of a text that name an identity group, each with its twin."""
+    for sentence in sentences(text):
+        if (other := swapped(sentence, into)) != sentence:
+            yield sentence, other
 
 
 def labelled(docs: DataFrame, labels: DataFrame, rows: Column, id_col: str, text_col: str, label_col: str) -> DataFrame:
@@ -142,9 +166,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column, settings: Settings = S
     """Learn from the labelled rows of ``docs`` that satisfy ``rows``.
 
     Statistics that select features cover all of those rows. The weights are fitted on the ``settings.sample`` rows
-    with the least id hash (of repeated rows at the bound, any), of which only the selected features reach the
-    driver. Without rows of both classes the
-    model has no weights and the odds of the classes as its bias.
+    with the least id hash, of those the least text hash and label, of which only the selected features reach the
+    driver. Without rows of both classes the model has no weights and the odds of the classes as its bias.
     """
     train = materialize(labelled(docs, labels, rows, id_col, text_col, label_col), "labelled")
     sizes = train.agg(F.count_if(F.col("y") > 0).alias("p"), F.count_if(F.col("y") <= 0).alias("n")).first()
@@ -155,34 +178,40 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column, settings: Settings = S
     if not names:
         return prior
     index = {f: k for k, f in enumerate(names)}
-    groups = settings.groups
+    into = swaps(settings.groups)
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.list_(pa.int32()))]
+
+    def told(made: Recent, text: str | None) -> tuple:
+        def features(part: str | None) -> set[int]:
+            return {k for w in text_words(part) for k in made[w]}
+
+        pairs = {(tuple(sorted(x - y)), tuple(sorted(y - x))) for x, y in ((features(a), features(b)) for a, b in twins(text, into))}
+        pairs = sorted(pairs - {((), ())})
+        return sorted(features(text)), [x for x, _ in pairs], [y for _, y in pairs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Recent(lambda w: tuple(index[f] for f in word_features(w) if f in index))
         for batch in batches:
-            own, twin = [], []
-            for text in batch.column(0):
-                words = text_words(text.as_py())
-                other = swapped(words, groups)
-                own.append(sorted({k for w in words for k in made[w]}))
-                twin.append(sorted({k for w in other for k in made[w]}))
-            kind = pa.list_(pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(own, kind), pa.array(twin, kind)], names=["y", "own", "twin"])
+            rows = [(h.as_py(), k.as_py(), y.as_py(), *told(made, t.as_py())) for h, k, y, t in zip(*batch.columns)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["h", "k", "y", "own", "lost", "won"])
 
     place = F.xxhash64("id")
     bound = train.select(place.alias("h")).orderBy("h").limit(settings.sample).agg(F.max("h")).first()[0]
-    sample = train.filter(place <= bound).select("text", "y").mapInArrow(run, "y int, own array<int>, twin array<int>")
-    table = sample.limit(settings.sample).toArrow()
+    sample = train.filter(place <= bound).select(place.alias("h"), F.xxhash64("text").alias("k"), "y", "text")
+    sample = sample.mapInArrow(run, "h long, k long, y int, own array<int>, lost array<array<int>>, won array<array<int>>")
+    table = sample.orderBy("h", "k", "y").limit(settings.sample).toArrow()
     y = (table.column("y").to_numpy() > 0).astype(float)
-    own, twin = (_ragged(table.column(c).combine_chunks()) for c in ("own", "twin"))
-    weights, bias = _descend(own, twin, y, len(names), settings)
+    own = _ragged(table.column("own").combine_chunks())
+    lost, won = (_ragged(table.column(c).combine_chunks().flatten()) for c in ("lost", "won"))
+    pairs = sum(len(x) for x in table.column("lost").combine_chunks())
+    weights, bias = _descend(own, lost, won, pairs, y, len(names), settings)
     # a sparse fit chooses the features, and a second one without the pull towards zero weighs them
     chosen = np.flatnonzero(abs(weights) > 1e-3)
     place = np.full(len(names), -1)
     place[chosen] = np.arange(len(chosen))
-    own, twin = ((place[i][place[i] >= 0], row[place[i] >= 0]) for i, row in (own, twin))
+    own, lost, won = ((place[i][place[i] >= 0], row[place[i] >= 0]) for i, row in (own, lost, won))
     names = [names[k] for k in chosen]
-    weights, bias = _descend(own, twin, y, len(names), replace(settings, sparsity=0.0))
+    weights, bias = _descend(own, lost, won, pairs, y, len(names), replace(settings, sparsity=0.0))
     return Model({f: float(w) for f, w in zip(names, weights) if w}, float(bias))
 
 
@@ -192,32 +221,33 @@ def _ragged(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.flatten().to_numpy(), np.repeat(np.arange(len(lengths)), lengths)
 
 
-def _descend(own: tuple, twin: tuple, y: np.ndarray, size: int, settings: Settings) -> tuple[np.ndarray, float]:
+def _descend(own: tuple, lost: tuple, won: tuple, pairs: int, y: np.ndarray, size: int, settings: Settings) -> tuple[np.ndarray, float]:
     """Accelerated proximal descent on log loss + ridge + counterfactual penalty, with soft thresholds for sparsity.
 
-    The counterfactual penalty is the mean squared difference of the log-odds of a text and its twin.
+    The counterfactual penalty is the mean squared difference of the log-odds of a sentence and its twin, over the ``pairs`` in
+    which they differ: in the features that the sentence has ``lost`` and ``won`` by the swap.
     """
-    n = len(y)
+    n, m = len(y), max(pairs, 1)
     balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
 
-    def score(at: tuple, w: np.ndarray) -> np.ndarray:
-        return np.bincount(at[1], w[at[0]], minlength=n)
+    def score(at: tuple, w: np.ndarray, rows: int) -> np.ndarray:
+        return np.bincount(at[1], w[at[0]], minlength=rows)
 
     def back(at: tuple, r: np.ndarray) -> np.ndarray:
         return np.bincount(at[0], r[at[1]], minlength=size)
 
-    most = max(np.bincount(own[1], minlength=n).max(initial=1), 1)
+    most = max(*(np.bincount(x[1], minlength=1).max(initial=1) for x in (own, lost, won)), 1)
     rate = 1.0 / (0.25 * balance.max() * (most + 1) + 4 * settings.counterfactual * most + settings.ridge)
     rate *= 8  # the bound is for the worst text; a step that fails below halves it
     w = v = np.zeros(size)
     b = c = 0.0
     t, last = 1.0, np.inf
     for _ in range(settings.rounds):
-        z = score(own, v) + c
-        gap = z - score(twin, v) - c
+        z = score(own, v, n) + c
+        gap = score(lost, v, m) - score(won, v, m)
         p = 1 / (1 + np.exp(-z))
         r = balance * (p - y) / n
-        g = back(own, r) + settings.ridge * v + settings.counterfactual * 2 / n * (back(own, gap) - back(twin, gap))
+        g = back(own, r) + settings.ridge * v + settings.counterfactual * 2 / m * (back(lost, gap) - back(won, gap))
         loss = float((balance * (np.logaddexp(0, z) - y * z)).mean() + settings.counterfactual * (gap**2).mean() + settings.ridge / 2 * (v @ v) + settings.sparsity * abs(v).sum())
         if loss > last * 1.05:
             rate, t, v, c, last = rate / 2, 1.0, w, b, np.inf

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -64,11 +65,56 @@ def test_labels_of_held_out_rows_do_not_matter(spark, sf):
 
 
 def test_gradient_settles():
-    own = (np.array([0, 1, 0, 1]), np.array([0, 1, 2, 3]))
-    w, b = toxicity._descend(own, own, np.array([1.0, 0, 1, 0]), 2, toxicity.Settings(sparsity=0.0))
+    own, none = (np.array([0, 1, 0, 1]), np.array([0, 1, 2, 3])), (np.array([], int), np.array([], int))
+    w, b = toxicity._descend(own, none, none, 0, np.array([1.0, 0, 1, 0]), 2, toxicity.Settings(sparsity=0.0))
     assert w[0] + b > 2 > -2 > w[1] + b
 
 
+def test_descent_reaches_the_least_of_the_penalised_loss():
+    """Plain numeric descent on the whole objective, from its definition."""
+    dice = np.random.default_rng(3)
+    x, y = dice.random((60, 5)) < 0.4, (dice.random(60) < 0.4).astype(float)
+    a, b = dice.random((8, 5)) < 0.3, dice.random((8, 5)) < 0.3
+    settings = toxicity.Settings(counterfactual=0.7, sparsity=0.0, ridge=0.05, rounds=3000)
+    balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+
+    def loss(w):
+        z = x @ w[:5] + w[5]
+        return (balance * (np.logaddexp(0, z) - y * z)).mean() + 0.7 * (((a.astype(float) - b) @ w[:5]) ** 2).mean() + 0.025 * (w[:5] @ w[:5])
+
+    def ragged(m):
+        rows, at = np.nonzero(m)
+        return at, rows
+
+    got = np.append(*toxicity._descend(ragged(x), ragged(a & ~b), ragged(b & ~a), 8, y, 5, settings))
+    for k in range(6):
+        for step in (-1e-3, 1e-3):
+            assert loss(got) <= loss(got + step * np.eye(6)[k]) + 1e-9
+
+
+def test_sentences_are_swapped_in_place():
+    into = toxicity.swaps((("he", "she"), ("muslim", "jewish", "hindu")))
+    assert toxicity.swapped("He saw SHE and a Muslim, not the theme; hindu?", into) == "She saw HE and a Jewish, not the theme; muslim?"
+    text = "He walks. No group here! SHE\nand he; x"
+    assert list(toxicity.twins(text, into)) == [("He walks", "She walks"), (" SHE", " HE"), ("and he; x", "and she; x")]
+    assert list(toxicity.twins(None, into)) == [] == list(toxicity.twins(" \n.", into))
+
+
+def test_labelled_texts_have_twins(spark, sf):
+    sf = sf.replace("sf0.001", "sf0.01")
+    ids = {r.doc_id for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r.doc_id in ids]
+    pairs = [p for t in texts for p in toxicity.twins(t, toxicity.swaps())]
+    assert len(pairs) > 50 and all(len(toxicity._words(a)) == len(toxicity._words(b)) for a, b in pairs)
+
+
+def test_feature_counts_against_plain_ones(spark, sf):
+    rows = [(r.text, r.doc_id % 2) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + [(None, 1), ("", 0)]
+    want = Counter((f, y) for t, y in rows for f in {f for w in toxicity.text_words(t) for f in toxicity.word_features(w)})
+    got = toxicity.feature_counts(spark.createDataFrame(rows, "text string, y int")).collect()
+    assert {(r.feature, y): n for r in got for y, n in ((1, r.pos), (0, r.neg)) if n} == dict(want)
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 5.0), (2, "", 5.0), (None, "vilefool", 5.0), (3, "x " * 300_000, 5.0), (3, "y", 5.0)], "doc_id long, text string, score double")
     labels = spark.createDataFrame([(1, None), (None, 1), (3, 0), (3, 0)], "doc_id long, toxic int")
