@@ -1,16 +1,19 @@
 """BPE encoding and decoding with a tokenization automaton.
 
-The merges are compiled in order, one gadget each: merge ``m = (u, v) -> w`` takes away the arc ``v`` behind ``u``
-and adds an arc ``w`` that enters where ``u`` does and leaves where ``v`` does. The outcome is a deterministic
-automaton: states are the last token read, arcs are labelled by tokens, and every byte string is spelled by
-exactly one path, the one that merging would give. Encoding follows that path along a trie of the labels;
-decoding emits the labels of the arcs. The table of 50,000 states and as many arcs is not written out: a cell
-is settled from the gadgets on the touching edges of two tokens when first needed, and then remembered.
+The merges are compiled in order, one gadget each, into a deterministic automaton whose states are the last token read
+and whose arcs are labelled by tokens. Merge ``m = (u, v) -> w`` takes the arc ``v`` away from state ``u``, and adds an arc ``w``
+that enters wherever ``u`` does and leaves wherever ``v`` does. Of any text exactly one path remains, the one that merging
+would give. The table is sparse: a state's row holds the arcs that were taken away, and as all labels that began with
+``v`` before ``m`` acted on them stand side by side in one order of the labels, a gadget takes away one interval of it.
+Encoding reads a word byte by byte, and finds the one arc that ends at each place: of the labels that end there (a second table
+steps from byte to byte to the longest of them, and on to shorter ones) the one for which the state at its start has an
+arc. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
 
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,120 +22,145 @@ from pyspark.sql import functions as F
 
 from harvestry.llm.bytelevel import Recent, Vocabulary, chunks, pretokens, read_source
 
-NEVER = 1 << 60
-START = LABEL = -1
-#: Cells of the transition table that are remembered.
-CELLS = 400_000
 #: Bytes of text that one batch of results covers.
 FLUSH = 4 << 20
 
 
 class Automaton:
-    """The compiled merges of a vocabulary."""
+    """The compiled merges of a vocabulary.
+
+    ``place`` is where a label stands in the order of labels, and ``table`` from ``start[s]`` to ``start[s + 1]`` the bounds of the
+    intervals of labels for which state ``s`` has no arc.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.labels = vocabulary.labels
         n = len(self.labels)
-        self.left, self.right, self.rank = array("i", [-1]) * n, array("i", [-1]) * n, array("q", [-1]) * n
-        self.gadgets: dict[int, int] = {}
-        self.alone = bytearray(n)  # tokens that their own bytes are merged to
+        merged, children, rank = set(), [[] for _ in range(n)], [0] * n
+        for at, (u, _, w) in enumerate(vocabulary.merges):
+            if w not in merged:
+                merged.add(w)
+                rank[w] = at
+                children[u].append(w)
+        self.place, last = self._order(children, merged)
+        # tokens that their own bytes are merged to
+        self.alone = bytearray(n)
         for b in range(256):
             self.alone[vocabulary.ids[bytes([b])]] = 1
+        rows = [array("i") for _ in range(n)]
         for at, (u, v, w) in enumerate(vocabulary.merges):
-            self._add_gadget(at, u, v, w)
-        self.trie: dict = {}
-        for word, t in vocabulary.ids.items():
-            if self.alone[t]:
-                self._add_label(word, t)
-        self.longest = max(map(len, vocabulary.ids))
+            if rank[w] == at:
+                self._add_gadget(rows, children[v], rank, last, at, u, v, w)
+        self.table, self.start = array("i"), array("i", [0])
+        for row in rows:
+            self.table.extend(row)
+            self.start.append(len(self.table))
         self.whole = {word: t for word, t in vocabulary.ids.items() if self.alone[t]}
-        self.cells: dict[int, bool] = {}
-
-    def _add_gadget(self, at: int, u: int, v: int, w: int) -> None:
-        if (u << 32 | v) in self.gadgets or self.rank[w] >= 0:
-            return
-        self.alone[w] = self.alone[u] and self.alone[v] and self._touch(u, v, at)
-        self.gadgets[u << 32 | v] = at
-        self.left[w], self.right[w], self.rank[w] = u, v, at
-
-    def _add_label(self, word: bytes, t: int) -> None:
-        node = self.trie
-        for b in word:
-            node = node.setdefault(b, {})
-        node[LABEL] = t
-
-    def _touch(self, a: int, b: int, until: int = NEVER) -> bool:
-        """Whether no merge joins token ``a`` to a following ``b`` before time ``until``.
-
-        Looks back from the finished tokens to their bytes: at any time the bound lies between a symbol on the right
-        edge of ``a`` and one on the left edge of ``b``. A gadget for the two acts if it comes before both are used
-        up by their own token; of equal merges the leftmost acts first, so ``a``'s own goes before it.
+        self._add_steps()
+
+    @staticmethod
+    def _order(children: list[list[int]], merged: set[int]) -> tuple[array, array]:
+        """The labels in an order in which all that start with a label follow it, by the time of their merge; and where each of these stretches ends."""
+        place, last, k = array("i", [0]) * len(children), array("i", [0]) * len(children), 0
+        for root in range(len(children)):
+            open_ = [] if root in merged else [(root, 0)]
+            while open_:
+                t, at = open_.pop()
+                if not at:
+                    place[t] = k
+                    k += 1
+                if at < len(children[t]):
+                    open_ += [(t, at + 1), (children[t][at], 0)]
+                else:
+                    last[t] = k
+        return place, last
+
+    def _add_gadget(self, rows: list[array], begun: list[int], rank: list[int], last: array, at: int, u: int, v: int, w: int) -> None:
+        """Merge ``at``: state ``w`` leaves as ``v`` does, and ``u`` loses its arcs for ``v`` and for what will be made from a ``v`` in front later.
+
+        An arc ``w`` enters wherever ``u`` does, as ``w`` stands in the stretch of ``u``. Of equal merges the leftmost acts first, so that what merge ``at``
+        itself makes of a ``v`` in front is among what is lost.
+        """
+        self.alone[w] = self.alone[u] and self.alone[v] and not bisect_right(rows[u], self.place[v]) % 2
+        rows[w] = rows[v][:]
+        self._take(rows[u], self.place[v], self.place[v] + 1)
+        later = bisect_left(begun, at, key=rank.__getitem__)
+        if later < len(begun):
+            self._take(rows[u], self.place[begun[later]], last[v])
+
+    @staticmethod
+    def _take(row: array, low: int, high: int) -> None:
+        """Add the interval from ``low`` to before ``high`` to a row; what touches becomes one."""
+        i, j = bisect_left(row, low), bisect_right(row, high)
+        row[i:j] = array("i", [low] * (i % 2 == 0) + [high] * (j % 2 == 0))
+
+    def _add_steps(self) -> None:
+        """``step`` leads from the longest beginning of a label that ends at a place, and a byte, to the next one's.
+
+        ``back`` is the next shorter beginning that ends there too, ``ends`` the longest label that does, and ``shorter`` the one
+        after that, as nodes; ``label`` and ``size`` are the label of a node and its length.
         """
-        end_a = end_b = until
-        while True:
-            at = self.gadgets.get(a << 32 | b, NEVER)
-            if at < end_a and at <= end_b and at < until:
-                return False
-            if self.rank[a] > self.rank[b]:
-                end_a, a = self.rank[a], self.right[a]
-            elif self.rank[b] >= 0:
-                end_b, b = self.rank[b], self.left[b]
-            else:
-                return True
+        self.step: dict[int, int] = {}
+        self.label, levels = array("i", [-1]), [[]]
+        for word, t in self.whole.items():
+            node = 0
+            for depth, b in enumerate(word, 1):
+                key = node << 8 | b
+                if (at := self.step.get(key)) is None:
+                    at = self.step[key] = len(self.label)
+                    self.label.append(-1)
+                    if depth == len(levels):
+                        levels.append([])
+                    levels[depth].append((at, key))
+                node = at
+            self.label[node] = t
+        n = len(self.label)
+        self.back, self.ends, self.shorter = array("i", [0]) * n, array("i", [0]) * n, array("i", [0]) * n
+        for level in levels[1:]:
+            for node, key in level:
+                parent, b = key >> 8, key & 255
+                if parent:
+                    up = self.back[parent]
+                    while (at := self.step.get(up << 8 | b)) is None:
+                        up = self.back[up]
+                    self.back[node] = at
+                self.shorter[node] = self.ends[self.back[node]]
+                self.ends[node] = node if self.label[node] >= 0 else self.shorter[node]
+        self.size = array("i", [len(self.labels[t]) if t >= 0 else 0 for t in self.label])
 
     def arc(self, state: int, t: int) -> bool:
         """Whether the automaton has an arc ``t`` from ``state``."""
-        if state == START:
-            return True
-        cell = state << 32 | t
-        found = self.cells.get(cell)
-        if found is None:
-            if len(self.cells) >= CELLS:
-                self.cells.clear()
-            found = self.cells[cell] = self._touch(state, t)
-        return found
-
-    def _labels_at(self, word: bytes, at: int) -> list[int]:
-        """The labels that ``word`` spells from position ``at``, the longest last."""
-        node, found = self.trie, []
-        for b in word[at : at + self.longest]:
-            node = node.get(b)
-            if node is None:
-                break
-            if LABEL in node:
-                found.append(node[LABEL])
-        return found
+        low = self.start[state]
+        return not (bisect_right(self.table, self.place[t], low, self.start[state + 1]) - low) % 2
 
     def encode(self, word: bytes) -> list[int]:
         """The ids on the one path that spells ``word``.
 
-        Long arcs are tried first. The path to a position is the same however it is found, so a position from which
-        there was no way on is never tried again, and the work is linear in the length of the word.
+        To every place leads exactly one path, so that a place has one state: the label of the arc that ends there. No
+        step is ever taken back.
         """
         if (whole := self.whole.get(word)) is not None:
             return [whole]
-        n, at, state, labels = len(word), 0, START, self.labels
-        ids: list[int] = []
-        dead: set[int] = set()
-        open_ = [self._labels_at(word, 0)]
-        while at < n:
-            choices = open_[-1]
-            while choices:
-                t = choices.pop()
-                to = at + len(labels[t])
-                if to not in dead and self.arc(state, t):
+        step, back, ends, shorter = self.step.get, self.back, self.ends, self.shorter
+        label, size, table, start, place = self.label, self.size, self.table, self.start, self.place
+        node, states = 0, [-1]
+        for at, b in enumerate(word, 1):
+            while (to := step(node << 8 | b)) is None:
+                node = back[node]
+            node = to
+            end = ends[node]
+            while at > size[end]:
+                state = states[at - size[end]]
+                low = start[state]
+                if not (bisect_right(table, place[label[end]], low, start[state + 1]) - low) & 1:
                     break
-            else:
-                dead.add(at)
-                open_.pop()
-                at -= len(labels[ids.pop()])
-                state = ids[-1] if ids else START
-                continue
-            ids.append(t)
-            at, state = to, t
-            if at < n:
-                open_.append(self._labels_at(word, at))
-        return ids
+                end = shorter[end]
+            states.append(label[end])
+        ids, at = [], len(word)
+        while at:
+            ids.append(states[at])
+            at -= len(self.labels[states[at]])
+        return ids[::-1]
 
     def decode(self, ids: memoryview | list[int]) -> bytes:
         """The labels of the arcs ``ids``, joined."""
