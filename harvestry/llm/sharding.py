@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from harvestry.plans.skew import join_facts
 from harvestry.sources.shared import materialize
 
 SHARDS, ROUNDS = 16, 12
@@ -18,18 +19,23 @@ SHARDS, ROUNDS = 16, 12
 FULL = 0.98
 
 
-def ranked(df: DataFrame, group: list[str], cell: Column, order: list, name: str) -> DataFrame:
-    """``df`` with the 0-based place of each row in its group, in the order of ``cell``, then ``order``.
+def ranked(df: DataFrame, group: list[str], coarse: Column, fine: Column, order: list, name: str) -> DataFrame:
+    """``df`` with the 0-based place of each row in its group, in the order of ``coarse``, ``fine``, then ``order``.
 
-    Rows are sorted within cells only. Cells are counted, and running sums of the counts give each cell its start.
+    Rows are sorted within fine cells only. Cells are counted, and running sums of the counts, first of the fine cells in
+    each coarse one, then of the coarse ones, give each cell its start: no task sorts more than the cells of one kind.
     """
-    df = df.withColumn("_cell", cell)
-    keys = [*group, "_cell"]
+    df = df.withColumn("_coarse", coarse).withColumn("_fine", fine)
+    outer, keys = [*group, "_coarse"], [*group, "_coarse", "_fine"]
+
+    def before(part: list[str], by: str) -> Column:
+        return F.coalesce(F.sum("_n").over(Window.partitionBy(*part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    first = counts.groupBy(*outer).agg(F.sum("_n").alias("_n")).select(*outer, before(group, "_coarse").alias("_first"))
+    starts = counts.select(*keys, before(outer, "_fine").alias("_before")).join(first, outer)
     within = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.join(starts, keys).withColumn(name, F.col("_start") + within - 1).drop("_cell", "_start")
+    return df.join(starts, keys).withColumn(name, F.col("_first") + F.col("_before") + within - 1).drop("_coarse", "_fine", "_first", "_before")
 
 
 def quotas(wanted: list[list[int]], load: list[int], cap: list[int]) -> list[list[float]]:
@@ -64,9 +70,10 @@ def propagate(links: DataFrame, cap: list[int], rounds: int = ROUNDS) -> DataFra
     shards = range(n)
     state = links.select("rid", "key", F.pmod(F.xxhash64("rid"), F.lit(n)).cast("int").alias("shard"))
     state = materialize(state, "labels")
+    total = state.count()
     for at in range(rounds):
-        tally = state.groupBy("key").agg(*[F.count_if(F.col("shard") == k).alias(f"c{k}") for k in shards])
-        seen = state.join(tally, "key").groupBy("rid").agg(F.min("shard").alias("shard"), F.min("key").alias("salt"), *[F.sum(f"c{k}").alias(f"c{k}") for k in shards])
+        tally = state.groupBy("key").agg(*[F.count_if(F.col("shard") == k).alias(f"c{k}") for k in shards], F.count("*").alias("n"))
+        seen = join_facts(state, tally, "key", total, F.xxhash64("rid")).groupBy("rid").agg(F.min("shard").alias("shard"), F.min("key").alias("salt"), *[F.sum(f"c{k}").alias(f"c{k}") for k in shards])
         held = {r.shard: r.n for r in state.groupBy("shard").agg(F.count_distinct("rid").alias("n")).collect()}
         open_ = [F.lit(held.get(k, 0) < FULL * cap[k]) for k in shards]
         choices = [F.struct(F.when(open_[k] | (F.col("shard") == k), F.col(f"c{k}")).otherwise(-1).alias("n"), open_[k].alias("open"), (-F.pmod(F.lit(k) - F.xxhash64("salt"), F.lit(n))).alias("tie"), F.lit(k).alias("k")) for k in shards]
@@ -97,25 +104,25 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(text).alias("key"))
     rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "rows")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", F.lit(True).alias("linked"))
-    rows = materialize(rows.join(shared, "key", "left").withColumn("linked", F.coalesce("linked", F.lit(False))), "rows")
     total = rows.count()
+    shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", "n", F.lit(True).alias("linked"))
+    rows = materialize(join_facts(rows, shared, "key", total, F.xxhash64("rid"), "left").withColumn("linked", F.coalesce("linked", F.lit(False))), "rows")
     quota = [total // shards + (k < total % shards) for k in range(shards)]
     side = max(1, round(total ** (1 / 3)))
     # cells keep the rows of a group near each other, and part even the largest group
-    cell = F.pmod(F.xxhash64("key"), F.lit(side)) * side + F.pmod(F.xxhash64("rid"), F.lit(side))
+    coarse, fine = F.pmod(F.xxhash64("key"), F.lit(side)), F.pmod(F.xxhash64("rid"), F.lit(side))
     limit = F.get(F.array(*[F.lit(q) for q in quota]), F.col("shard"))
     labels = propagate(rows.filter("linked").select("rid", "key"), quota, rounds)
-    placed = materialize(ranked(labels, ["shard"], cell, ["key", "rid"], "place").withColumn("fits", F.col("place") < limit), "placed")
+    placed = materialize(ranked(labels, ["shard"], coarse, fine, ["key", "rid"], "place").withColumn("fits", F.col("place") < limit), "placed")
     stay = placed.filter("fits").select("rid", "shard")
     taken = {r.shard: r.n for r in stay.groupBy("shard").agg(F.count("*").alias("n")).collect()}
     spare = placed.filter("not fits").select("rid", "key", F.lit(0).alias("later"))
     spare = spare.unionByName(rows.filter("not linked").select("rid", "key", F.lit(1).alias("later")))
-    spare = ranked(spare, [], F.col("later") * side * side + cell, ["key", "rid"], "place")
+    spare = ranked(spare, [], F.col("later") * side + coarse, fine, ["key", "rid"], "place")
     ends, end = [], 0
     for k in range(shards):
         end += quota[k] - taken.get(k, 0)
         ends.append(end)
     filled = spare.select("rid", F.size(F.filter(F.array(*[F.lit(e) for e in ends]), lambda e: e <= F.col("place"))).alias("shard"))
     whole = materialize(rows.join(stay.unionByName(filled), "rid").select("rid", "key", "id", "size", "text_crc32", F.col("shard").cast("int").alias("shard")), "shards")
-    return ranked(whole, ["shard"], cell, ["key", "rid"], "slot").select("id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))
+    return ranked(whole, ["shard"], coarse, fine, ["key", "rid"], "slot").select("id", "size", "text_crc32", "shard", F.col("slot").cast("long").alias("slot"))

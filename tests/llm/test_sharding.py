@@ -58,6 +58,32 @@ def test_rows_with_several_keys(spark):
     assert len(got) == 40 and cut(got) < 0.5 * cut(start)
 
 
+def test_cut_edges_against_plain_propagation(spark, sf):
+    """Edges between copies that are cut, against a sequential propagation over the same documents with the same room."""
+    docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    docs = docs.unionByName(docs.limit(60).withColumn("text", F.concat(F.lit("big group"), F.col("doc_id") % 2)))
+    rows = list(enumerate(r.text for r in docs.collect()))
+    members = defaultdict(list)
+    for i, t in rows:
+        members[t].append(i)
+    room = [len(rows) // 16 + (k < len(rows) % 16) for k in range(16)]
+    where, load = {}, Counter()
+    for group in sorted(members.values(), key=len, reverse=True):  # the plain way: whole groups first, the largest before all
+        k = max(range(16), key=lambda k: room[k] - load[k])
+        for i in group:
+            k = k if load[k] < room[k] else max(range(16), key=lambda k: room[k] - load[k])
+            where[i], load[k] = k, load[k] + 1
+
+    def cut(shards):
+        return sum(n * (n - 1) // 2 - sum(c * (c - 1) // 2 for c in Counter(x).values()) for x in shards if (n := len(x)))
+
+    plain = cut([[where[i] for i in group] for group in members.values()])
+    found = defaultdict(list)
+    for r in sharding.balanced_shards(docs).collect():
+        found[r.size, r.text_crc32].append(r.shard)
+    assert cut(found.values()) <= plain
+
+
 def test_quotas_keep_capacities():
     wanted = [[0, 50, 10], [5, 0, 0], [30, 40, 0]]
     load, cap = [100, 60, 90], [100, 80, 100]
