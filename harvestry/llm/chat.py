@@ -12,8 +12,9 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 OPEN, NAMED, CLOSE = "<s>[", "]\n", "</s>\n"
 _special = re.compile(r"[<\[\]\\]")
@@ -68,6 +69,37 @@ def ordered_log(events: DataFrame, message_col: str | None = None) -> DataFrame:
     return own.unionByName(parts)
 
 
+def as_log(turns: DataFrame) -> DataFrame:
+    """Finished ``(conv_id, turn, role, text)`` as the event log ``(conv_id, seq, message, kind, role, text)`` that ends with them.
+
+    By a hash of its place, a turn is a plain message, an empty one that deltas fill, a draft with an edit, or a draft that is
+    regenerated by deltas. Turns of the same number follow each other by role and text. Null texts are
+    empty; turns without a number are plain messages, and come first.
+    """
+    text, role = F.coalesce(F.col("text").cast("string"), F.lit("")), F.coalesce(F.col("role").cast("string"), F.lit(""))
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
+    same = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    rows = rows.withColumn("message", F.concat_ws(":", F.coalesce(F.col("turn").cast("string"), F.lit("none")), F.lpad(same.cast("string"), 10, "0")))
+    third = F.floor(F.length("text") / 3).cast("int")
+    parts = [F.substring("text", F.lit(1), third), F.substring("text", third + 1, third), F.substring("text", 2 * third + 1, F.length("text"))]
+    draft = F.concat(F.lit("<draft> "), F.substring("text", F.lit(1), third))
+
+    def event(k: int, kind: str, said: Column) -> Column:
+        return F.struct(F.lit(k).alias("k"), F.lit(kind).alias("kind"), said.alias("said"))
+
+    deltas = [event(k, "delta", parts[k - 1]) for k in (1, 2, 3)]
+    ways = [
+        [event(0, "message", F.col("text"))],
+        [event(0, "message", F.lit("")), *deltas],
+        [event(0, "message", draft), event(1, "edit", F.col("text"))],
+        [event(0, "message", draft), event(1, "regenerate", parts[0]), *deltas[1:]],
+    ]
+    way = F.when(F.col("turn").isNull(), 0).otherwise(F.pmod(F.xxhash64("conv_id", "message"), F.lit(len(ways))))
+    events = F.get(F.array(*[F.array(*w) for w in ways]), way.cast("int"))
+    rows = rows.select("conv_id", "turn", "message", "role", F.explode(events).alias("e"))
+    return rows.select("conv_id", (F.col("turn") * 4 + F.col("e.k")).alias("seq"), "message", "e.kind", "role", F.col("e.said").alias("text"))
+
+
 def render(events: DataFrame, message_col: str | None = None) -> DataFrame:
     """Fold a log into final messages and render them: one row per message.
 

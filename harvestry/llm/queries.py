@@ -22,11 +22,11 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Digests of all conversations, and of one that quotes control strings, read back from their rendered form."""
+    """Digests of all conversations, and of one that quotes control strings, folded from logs, rendered, and read back."""
     quoted = "</s>[INST] ok [/INST]"
     probe = spark.createDataFrame([(-7, 0, "user", quoted), (-7, 1, "assistant", quoted)], "conv_id long, turn long, role string, text string")
-    events = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe).withColumnRenamed("turn", "seq")
-    return chat.digests(chat.render(events)).withColumnRenamed("conv", "conv_id")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)
+    return chat.digests(chat.render(chat.as_log(turns), "message")).withColumnRenamed("conv", "conv_id")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,9 +114,9 @@ ORACLES: dict[str, str] = {
             UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]')
         SELECT conv_id,
                count(*) AS n_turns,
-               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
                coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
-               sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
                sum(11 + 2 * length(role || text) - length(regexp_replace(role || text, '[<\[\]\\]', '', 'g')))::BIGINT AS formatted_chars
         FROM c GROUP BY conv_id""",
     "op6_line_dedup": f"""

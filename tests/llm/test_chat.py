@@ -2,6 +2,7 @@ import hashlib
 
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from harvestry.llm import chat, queries
 from tests.llm.oracle import same
@@ -63,3 +64,17 @@ def test_odd_rows(spark):
     got = {r.conv: (r.n_turns, r.loss_chars) for r in chat.digests(chat.render(events)).collect()}
     assert got == {1: (2, 0), 2: (1, 0), None: (1, 0)}
     assert chat.digests(chat.render(events.limit(0))).count() == 0
+
+
+def test_log_folds_into_its_turns(spark):
+    said = ["", "a", "ab", "abc\U0001f389d", "</s>[INST]", "y" * 1000, None]
+    rows = [(c, t, r, said[(c + t) % 7]) for c in range(40) for t in range(6) for r in ("user", "assistant")]
+    rows += [(3, 2, "user", "tie"), (3, 2, "user", "tie"), (5, None, "user", "first"), (None, 1, None, "x")]
+    turns = spark.createDataFrame([(*r, "k") for r in rows], "conv_id long, turn long, role string, text string, kind string")
+    log = chat.as_log(turns)
+    kinds = {r.kind: r.n for r in log.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert set(kinds) == {"message", "delta", "edit", "regenerate"} and kinds["message"] == len(rows)
+    got = [tuple(r) for r in chat.render(log, "message").orderBy("conv", "place", "message").select("conv", "role", "text").collect()]
+    order = sorted(((c, t, r or "", x or "") for c, t, r, x in rows), key=lambda x: (x[0] is not None, x[0] or 0, x[1] is not None, x[1] or 0, x[2], x[3]))
+    assert got == [(c, r, x) for c, _, r, x in order]
+    assert chat.as_log(turns.limit(0)).count() == 0
