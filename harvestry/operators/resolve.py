@@ -1,167 +1,231 @@
-"""Entity resolution: blocking joins find what may merge, components part it, and a small fold decides in order.
+"""Entity resolution: blocking joins find what may merge, components part it, and an ordered assignment decides.
 
 Records can only merge if they share an email, a phone or a host, or have nearly the same name. Those links are
-laid as stars on each key's first record, so a hot key costs one link per record; the ordered rules then run per component.
+laid as stars on each key's first record, so a hot key costs one link per record. What a record has to say in a decision is
+worked out in columns; the records of a component then stream by in order, and each joins the first cluster that takes it.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from harvestry.functions import urls as U
 from harvestry.functions.helpers import name_ratio
+from harvestry.functions.scoring import present
 from harvestry.plans.components import connected_components
+from harvestry.plans.skew import join_facts, ranked_within
 from harvestry.sources.shared import materialize
 
 SAME_HOST, SAME_NAME, BUMP = 0.72, 0.94, 0.05
-#: Records of a component that one task folds, at most; larger ones are reported and left as they are.
-MAX_COMPONENT = 20_000
-SCALARS = ("company_name", "email", "phone", "address", "website", "source_url")
+#: Characters of the pieces by which names are matched.
+GRAM = 3
+#: Rows that leave a task at a time.
+FLUSH = 5000
 ARRAYS = ("emails", "phone_numbers", "addresses", "socials")
-RECORD = "company_name string, business_name string, listing_name string, container_path string, email string, emails array<string>, phone string, phone_numbers array<string>, address string, addresses array<string>, website string, socials array<string>, source_url string, extraction_scope string, confidence double"
+RECORD = (
+    "company_name string, business_name string, listing_name string, container_path string, email string, emails array<string>, "
+    "phone string, phone_numbers array<string>, address string, addresses array<string>, website string, socials array<string>, "
+    "source_url string, extraction_scope string, confidence double"
+)
+NAMES = tuple(c.split()[0] for c in RECORD.split(", "))
+#: What a cluster takes over from a record where it has nothing yet.
+FILLED = tuple(c for c in NAMES if c not in ARRAYS and c not in ("container_path", "extraction_scope", "confidence"))
 
 
-def key_links(records: DataFrame, key: str) -> DataFrame:
-    """``(a, b)``: every record with a value of ``key`` to the first of its scope with the same value."""
-    some = records.filter(F.col(key).isNotNull() & (F.col(key) != "")) if key != "host" else records.filter(F.col(key).isNotNull())
-    first = some.groupBy("scope", key).agg(F.min("eid").alias("a"), F.count("*").alias("n")).filter("n > 1")
-    return some.select("scope", key, F.col("eid").alias("b")).join(first, ["scope", key]).filter("a <> b").select("a", "b")
+def key_links(records: DataFrame) -> DataFrame:
+    """``(a, b)``: every record with an email, a phone or a host to the first of its scope with the same one."""
+    keys = [F.when(present(F.col(c)), F.xxhash64("scope", F.lit(c), F.col(c))) for c in ("email", "phone")]
+    keys.append(F.when(F.col("host").isNotNull(), F.xxhash64("scope", F.lit("host"), "host")))
+    flat = records.select(F.explode(F.array(*keys)).alias("k"), F.col("eid").alias("b")).filter("k is not null")
+    first = flat.groupBy("k").agg(F.min("b").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    return join_facts(flat, first, "k", 3 * records.count(), F.col("b")).filter("a <> b").select("a", "b")
+
+
+def _slack(length: Column, least: float) -> Column:
+    """How many characters of a name may have no partner in one that is ``least`` alike, whatever the length of that."""
+    return F.floor(length * ((1 - least) * (1 + (2 - least) / least)) + 1e-9).cast("int")
+
+
+def named(records: DataFrame) -> DataFrame:
+    """``(eid, scope, name, k)``: records with a name, in lower case, and a key of scope and name."""
+    rows = records.select("eid", "scope", F.lower("company_name").alias("name")).filter("name <> ''")
+    return rows.withColumn("k", F.xxhash64("scope", "name"))
+
+
+def equal_names(records: DataFrame) -> DataFrame:
+    """``(a, b)``: every named record to the first of its scope with the same name, ``a`` and ``b`` being one for that record itself."""
+    rows = named(records)
+    first = rows.groupBy("k").agg(F.min("eid").alias("a"), F.count("*").alias("n"))
+    return join_facts(rows, first, "k", records.count(), F.col("eid")).select("a", F.col("eid").alias("b"))
+
+
+def similar_names(records: DataFrame, least: float = SAME_NAME) -> DataFrame:
+    """``(a, b)`` of different names of a scope with a ratio of ``least`` or more in either order, as their first records, the earlier first.
+
+    A name has a piece of ``GRAM`` characters at each place. ``d`` characters without a partner spoil ``GRAM * d`` pieces at most, so that of
+    the ``GRAM * d + 1`` rarest pieces of two names they have one in common: names meet in those, are cut down by their edit distance, and
+    what is left is compared.
+    """
+    classes = materialize(named(records).groupBy("scope", "name").agg(F.min("eid").alias("eid")), "names")
+    size = F.length("name")
+    long = classes.filter(_slack(size, least) > 0).select("scope", "eid", "name", _slack(size, least).alias("d"))
+    places = F.sequence(F.lit(1), F.greatest(F.length("name") - GRAM + 1, F.lit(1)))
+    flat = long.select("scope", "eid", "d", F.explode(F.transform(places, lambda i: F.substring("name", i, F.lit(GRAM)))).alias("piece"))
+    # the second occurrence of a piece is another piece
+    flat = flat.groupBy("scope", "eid", "piece").agg(F.count("*").alias("times"), F.first("d").alias("d"))
+    flat = materialize(flat.select("scope", "eid", "d", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time"), "piece"), "pieces")
+    shared = flat.groupBy("scope", "piece", "time").agg(F.count("*").alias("n"), F.min("eid").alias("least"), F.max("eid").alias("most"))
+    known = F.xxhash64("scope", "piece", "time").alias("g")
+    facts = shared.select(known, "n", F.col("n").alias("df"))
+    rare = join_facts(flat.select("eid", "d", known), facts, "g", flat.count(), F.xxhash64("eid"))
+    rare = rare.withColumn("at", F.row_number().over(Window.partitionBy("eid").orderBy("df", "g")))
+    rare = rare.filter((F.col("at") <= GRAM * F.col("d") + 1) & (F.col("df") > 1)).select("g", "eid")
+    met = rare.withColumnRenamed("eid", "a").join(rare.withColumnRenamed("eid", "b"), "g").filter("a < b").select("a", "b").distinct()
+    names = long.select("eid", "scope", "name")
+    both = met.join(names.withColumnsRenamed({"eid": "a", "scope": "s", "name": "p"}), "a").join(names.withColumnsRenamed({"eid": "b", "scope": "t", "name": "q"}), "b")
+    apart = f"cast(floor({1 - least} * (length(p) + length(q)) + 1e-9) as int)"
+    both = both.filter("s = t").filter(f"levenshtein(p, q, {apart}) >= 0")
+    both = both.filter(F.greatest(name_ratio("p", "q"), name_ratio("q", "p")) >= least)
+    return both.select("a", "b")
 
 
 def name_links(records: DataFrame, least: float = SAME_NAME) -> DataFrame:
-    """``(a, b)`` of a scope's records whose names have a ratio of ``least`` or more, the earlier first.
+    """``(a, b)`` of a scope's records whose names are nearly the same; equal names are a star, and their first stands for them."""
+    return similar_names(records, least).unionByName(equal_names(records).filter("a <> b"))
+
 
-    A pair so alike differs in ``k = floor(2 (1 - r) / r n)`` places at most, with ``n`` the shorter length: cut the shorter name
-    into ``k + 1`` segments, and one of them stands in the longer name, moved by ``k`` places at most. Equal names
-    are linked as a star, and only their first stands for them.
+class Assignment:
+    """Clusters of one component, made from its records in order.
+
+    ``found`` tells which clusters hold an email, phone, host or name, so that a record is only weighed against those that it has
+    something in common with, the oldest first.
     """
-    named = records.select("scope", "eid", F.lower("company_name").alias("name")).filter("name <> ''")
-    classes = named.groupBy("scope", "name").agg(F.min("eid").alias("eid"))
-    same = named.join(classes.withColumnRenamed("eid", "a"), ["scope", "name"]).filter("a <> eid").select("a", F.col("eid").alias("b"))
-    slack = 2 * (1 - least) / least
-    classes = materialize(classes.withColumn("n", F.length("name")), "names")
-    k = F.floor(F.col("n") * slack + 1e-9).cast("int")
-    # segment i of k + 1 starts at floor(i n / (k + 1))
-    cut = F.transform(F.sequence(F.lit(0), F.col("k")), lambda i: F.struct(i.alias("i"), F.floor(i * F.col("n") / (F.col("k") + 1)).cast("int").alias("s"), F.floor((i + 1) * F.col("n") / (F.col("k") + 1)).cast("int").alias("e")))
-    short = classes.withColumn("k", k).withColumn("c", F.explode(cut)).select("scope", F.col("n").alias("m"), F.col("c.i").alias("i"), F.expr("substring(name, c.s + 1, c.e - c.s)").alias("part"), F.col("eid").alias("x"), F.col("name").alias("x_name"))
-    shortest = F.ceil(F.col("n") * least / (2 - least) - 1e-9).cast("int")
-    long = classes.withColumn("m", F.explode(F.sequence(F.greatest(shortest, F.lit(1)), F.col("n")))).withColumn("k", F.floor(F.col("m") * slack + 1e-9).cast("int"))
-    long = long.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    s, e = F.floor(F.col("i") * F.col("m") / (F.col("k") + 1)).cast("int"), F.floor((F.col("i") + 1) * F.col("m") / (F.col("k") + 1)).cast("int")
-    long = long.withColumn("s", s).withColumn("len", e - s).withColumn("at", F.explode(F.sequence(F.greatest(F.col("s") - F.col("k"), F.lit(0)), F.col("s") + F.col("k"))))
-    long = long.filter(F.col("at") + F.col("len") <= F.col("n")).select("scope", "m", "i", F.expr("substring(name, at + 1, len)").alias("part"), F.col("eid").alias("y"), F.col("name").alias("y_name")).distinct()
-    met = short.join(long, ["scope", "m", "i", "part"]).filter("x <> y").select("x", "y", "x_name", "y_name")
-    met = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(F.col("x") < F.col("y"), F.col("x_name")).otherwise(F.col("y_name")).alias("p"), F.when(F.col("x") < F.col("y"), F.col("y_name")).otherwise(F.col("x_name")).alias("q")).distinct()
-    return met.filter(name_ratio("p", "q") >= least).select("a", "b").unionByName(same)
-
-
-class Fold:
-    """The ordered merge of records, given as dictionaries in order of confidence."""
 
-    @staticmethod
-    def similarity(a: str | None, b: str | None) -> float:
-        return SequenceMatcher(None, a.lower(), b.lower()).ratio() if a and b else 0.0
+    def __init__(self):
+        self.clusters: list[dict] = []
+        self.found: dict[tuple, list[int]] = defaultdict(list)
+        self.ratios: dict[tuple, float] = {}
 
-    @staticmethod
-    def apart(a: dict, b: dict) -> bool:
-        """Different blocks of one page are different listings."""
-        paths = (a["container_path"] or "").strip(), (b["container_path"] or "").strip()
-        return all(paths) and a["source_url"] == b["source_url"] and a["extraction_scope"] == b["extraction_scope"] == "dom_block" and paths[0] != paths[1]
+    def ratio(self, a: str, b: str) -> float:
+        if (a, b) not in self.ratios:
+            self.ratios[a, b] = SequenceMatcher(None, a, b).ratio()
+        return self.ratios[a, b]
 
     @staticmethod
-    def conflict(a: dict, b: dict) -> bool:
-        if any(a[k] and b[k] and a[k] != b[k] for k in ("phone", "address")):
-            return True
-        return bool(a["socials"]) and bool(b["socials"]) and not set(a["socials"]) & set(b["socials"])
-
-    @classmethod
-    def accepts(cls, a: dict, b: dict) -> bool:
-        if cls.apart(a, b):
-            return False
-        if any(a[k] and a[k] == b[k] for k in ("email", "phone")):
+    def keys(r: dict) -> list[tuple]:
+        return [(k, r[k]) for k in ("email", "phone", "host") if r[k] or (k == "host" and r[k] is not None)]
+
+    def takes(self, c: dict, r: dict) -> bool:
+        """Whether cluster ``c`` takes record ``r``. Keys and fields that either lacks say nothing."""
+        if c["listing"] and r["listing"] and c["source_url"] == r["source_url"] and c["listing"] != r["listing"]:
+            return False  # two blocks of a page are two listings
+        same = {k: c[k] == r[k] for k in ("email", "phone", "address") if c[k] and r[k]}
+        if same.get("email") or same.get("phone"):
             return True
-        if cls.conflict(a, b):
-            return False
-        hosts = bool(a["website"] and b["website"]) and a["host"] == b["host"]
-        sparse = min(sum(bool(x[k]) for k in ("email", "phone", "address", "website")) for x in (a, b)) <= 1
-        if not hosts and not sparse:
+        foreign = c["socials"] and r["socials"] and set(c["socials"]).isdisjoint(r["socials"])
+        if foreign or not all(same.get(k, True) for k in ("phone", "address")):
             return False
-        ratio = cls.similarity(a["company_name"], b["company_name"])
-        return (hosts and ratio >= SAME_HOST) or (sparse and ratio >= SAME_NAME)
-
-    @staticmethod
-    def absorb(a: dict, b: dict) -> None:
-        for k in SCALARS:
-            if not a[k] and b[k]:
-                a[k] = b[k]
-                if k == "website":
-                    a["host"] = b["host"]
-        for k in ("business_name", "listing_name"):
-            a[k] = a[k] or a["company_name"] or b[k]
+        bars = [SAME_HOST] if c["host"] is not None and c["host"] == r["host"] else []
+        if any(sum(bool(x[k]) for k in ("email", "phone", "address", "website")) < 2 for x in (c, r)):
+            bars.append(SAME_NAME)
+        return bool(bars and c["low"] and r["low"]) and self.ratio(c["low"], r["low"]) >= min(bars)
+
+    def add(self, r: dict, times: int) -> None:
+        """Give the record, listed so many times, to the first cluster that takes it, or to a new one."""
+        near = {k for clue in [*self.keys(r), *(("name", n) for n in r["kin"])] for k in self.found.get(clue, ())}
+        at = next((k for k in sorted(near) if self.takes(self.clusters[k], r)), len(self.clusters))
+        if at == len(self.clusters):
+            self.clusters.append(r | {k: [] for k in ARRAYS} | {"n_merged": 0, "seen": {k: set() for k in ARRAYS}})
+            times -= 1
+        c = self.clusters[at]
+        if not c["low"]:
+            c["low"], c["class"] = r["low"], r["class"]
+        for k in FILLED:
+            c[k] = c[k] or r[k]
+        c["host"] = r["host"] if c["host"] is None else c["host"]
         for k in ARRAYS:
-            seen, joined = set(), []
-            for x in [*a[k], *b[k]]:
-                if (low := str(x).strip().lower()) and low not in seen:
-                    seen.add(low)
-                    joined.append(x)
-            a[k] = joined
-        a["confidence"] = round(max(0.0, min(1.0, max(a["confidence"], b["confidence"]) + BUMP)), 3)
-        a["n_merged"] += b["n_merged"]
-
-    @classmethod
-    def run(cls, records: list[dict], count_hits: bool) -> list[dict]:
-        done: list[dict] = []
-        for r in records:
-            copies = max(1, int(r.pop("n_hits"))) if count_hits else 1
-            r["n_merged"] = 1
-            target = next((x for x in done if cls.accepts(x, r)), None)
-            if target is None:
-                done.append(r)
-                target, copies = r, copies - 1
-            twin = {**r, "n_merged": 0}
-            for k in range(copies):
-                cls.absorb(target, r if k == 0 and target is not r else twin)
-        return done
-
-
-def resolve(records: DataFrame, scope: str, count_hits: bool = True, max_component: int = MAX_COMPONENT) -> DataFrame:
-    """Merge the records of each ``scope``: ``(scope, eid, <record>, n_merged, unresolved, place)``, best first.
+            for x in r[k]:
+                if (low := x.strip().lower()) and low not in c["seen"][k]:
+                    c["seen"][k].add(low)
+                    c[k].append(x)
+        c["n_merged"] += 1
+        for _ in range(times):
+            c["confidence"] = round(min(1.0, max(c["confidence"], r["confidence"]) + BUMP), 3)
+        for clue in [*self.keys(c), ("name", c["class"])]:
+            if at not in self.found[clue][-1:]:
+                self.found[clue].append(at)
+
+
+def assigned(rows: DataFrame, count_hits: bool) -> DataFrame:
+    """The clusters of each component of ``rows``: ``(scope, eid, <record>, n_merged)``.
+
+    Rows stream by in the order of their component; a task holds the clusters of one component, never its records.
+    """
+    out = ["scope", "eid", *NAMES, "n_merged"]
+    wanted = ["component", "scope", "eid", *NAMES, "host", "low", "listing", "class", "kin", "n_hits"]
+    rows = rows.select(*wanted)
+    schema = ", ".join([f"scope {rows.schema['scope'].dataType.simpleString()}", "eid long", RECORD, "n_merged long"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, own, done = None, Assignment(), []
+
+        def full() -> pa.RecordBatch:
+            kinds = [batch.schema.field(c).type if c != "n_merged" else pa.int64() for c in out]
+            return pa.RecordBatch.from_arrays([pa.array([r[c] for r in done], t) for c, t in zip(out, kinds)], names=out)
+
+        batch = None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if r["component"] != now:
+                    done += own.clusters
+                    now, own = r["component"], Assignment()
+                    if len(done) >= FLUSH:
+                        yield full()
+                        done = []
+                r |= {k: [x for x in r[k] if x is not None] for k in ARRAYS}
+                own.add(r, max(1, r["n_hits"]) if count_hits else 1)
+        done += own.clusters
+        if batch is not None:
+            yield full()
+
+    return rows.repartition("component").sortWithinPartitions("component", "eid").mapInArrow(run, schema)
+
+
+def resolve(records: DataFrame, scope: str, count_hits: bool = True) -> DataFrame:
+    """Merge the records of each ``scope``: ``(scope, eid, <record>, n_merged, place)``, best first.
 
     ``records`` has the record columns and ``pos``; ``n_hits``, how often a record was listed, counts as so many equal copies.
-    Order is by confidence, then source URL and ``pos``. A component of over ``max_component`` records is not folded: its records come
-    out as they are, marked ``unresolved``. Null or empty keys link nothing; nulls in arrays count as empty arrays.
+    Order is by confidence, then source URL, ``pos`` and name. Components of any size are merged. Null or empty keys link nothing; null
+    arrays, and nulls in them, count as empty.
     """
-    names = [c.split()[0] for c in RECORD.split(", ")]
-    rows = records.select(F.col(scope).alias("scope"), *[F.coalesce(c, F.array().cast("array<string>")).alias(c) if c in ARRAYS else F.col(c) for c in names], "pos", (F.col("n_hits") if "n_hits" in records.columns else F.lit(1)).alias("n_hits"))
+    hits = F.coalesce("n_hits", F.lit(1)) if "n_hits" in records.columns else F.lit(1)
+    lists = [F.coalesce(c, F.array().cast("array<string>")).alias(c) if c in ARRAYS else F.col(c) for c in NAMES]
+    rows = records.select(F.col(scope).alias("scope"), *lists, "pos", hits.cast("long").alias("n_hits"))
     rows = rows.withColumn("host", F.when(F.col("website") != "", U.domain(F.col("website"))))
-    order = Window.partitionBy("scope").orderBy(F.desc("confidence"), "source_url", "pos", "company_name")
-    rows = rows.withColumn("at", F.row_number().over(order))
-    # the window leaves a scope's rows in order in one partition, so that these numbers keep that order
+    # numbers that follow the order; a sort by ranges deals them out, so that no scope is gathered in one task
+    rows = rows.orderBy(F.desc("confidence"), "source_url", "pos", "company_name")
     rows = materialize(rows.withColumn("eid", F.monotonically_increasing_id()), "records")
-    links = key_links(rows, "email").unionByName(key_links(rows, "phone")).unionByName(key_links(rows, "host")).unionByName(name_links(rows))
+    pairs, equal = materialize(similar_names(rows), "similar-names"), materialize(equal_names(rows), "equal-names")
+    links = key_links(rows).unionByName(pairs).unionByName(equal.filter("a <> b"))
     parts = connected_components(links, "a", "b").select(F.col("node").alias("eid"), "component")
-    rows = rows.join(parts, "eid", "left").withColumn("component", F.coalesce("component", "eid"))
-    sizes = rows.groupBy("scope", "component").agg(F.count("*").alias("size"))
-    rows = rows.join(sizes, ["scope", "component"]).withColumn("alone", (F.col("size") == 1) | (F.col("size") > max_component))
-    out = ["scope", "eid", *names, "n_merged", "unresolved"]
+    rows = rows.join(parts, "eid", "left")
+    # of each record the first one with its name, and those of names like it
+    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    kin = both.groupBy("a").agg(F.collect_set("b").alias("kin"))
+    kin = equal.groupBy("a").agg(F.count("*").alias("n")).join(kin, "a", "left")
+    kin = join_facts(equal, kin, "a", rows.count(), F.col("b")).select(F.col("b").alias("eid"), F.col("a").alias("class"), "kin")
     bump = F.lit(BUMP) * (F.greatest(F.col("n_hits"), F.lit(1)) - 1) if count_hits else F.lit(0.0)
-    single = rows.filter("alone").withColumn("unresolved", F.col("size") > 1).withColumn("confidence", F.round(F.least(F.lit(1.0), F.col("confidence") + bump), 3)).withColumn("n_merged", F.lit(1).cast("long")).select(*out)
-
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("eid")
-        group = group.astype(object).where(group.notna(), None)
-        found = group.to_dict("records")
-        for r in found:
-            for k in ARRAYS:
-                r[k] = [x for x in r[k] if x is not None]
-        done = Fold.run(found, count_hits)
-        return pd.DataFrame([{**{k: r[k] for k in out if k in r}, "unresolved": False} for r in done], columns=out)
-
-    folded = rows.filter("not alone").select("scope", "component", "eid", "host", "n_hits", *names).groupBy("scope", "component").applyInPandas(fold, f"scope {dict(rows.dtypes)['scope']}, eid long, {RECORD}, n_merged long, unresolved boolean")
-    both = single.unionByName(folded)
-    return both.withColumn("place", F.row_number().over(Window.partitionBy("scope").orderBy(F.desc("confidence"), "eid")))
+    single = rows.filter("component is null").withColumn("confidence", F.round(F.least(F.lit(1.0), F.col("confidence") + bump), 3))
+    single = single.withColumn("n_merged", F.lit(1).cast("long")).select("scope", "eid", *NAMES, "n_merged")
+    block = (F.col("extraction_scope") == "dom_block") & present(F.trim("container_path"))
+    more = rows.filter("component is not null").join(kin, "eid", "left")
+    more = more.withColumns({"low": F.coalesce(F.lower("company_name"), F.lit("")), "listing": F.when(block, F.trim("container_path")), "class": F.coalesce("class", "eid")})
+    more = more.withColumn("kin", F.array_append(F.coalesce("kin", F.array().cast("array<long>")), F.col("class")))
+    return ranked_within(single.unionByName(assigned(more, count_hits)), "scope", [F.desc("confidence"), F.col("eid")], "place")

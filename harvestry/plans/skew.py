@@ -1,9 +1,12 @@
-"""Joins of many rows to facts about their keys, where one key may hold a large part of the rows."""
+"""Joins and ranks of many rows, where one key may hold a large part of them."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from harvestry.sources.shared import materialize
 
 #: Rows from which on a key may be hot, and keys that can be hot, at most.
 HOT_ROWS, HOT_KEYS = 500, 1000
@@ -31,3 +34,19 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, total: int, deal: Co
     if how == "inner":
         both = both.filter("_own is not null")
     return both.select(*[F.col(f"`{c}`") for c in rows.columns], *[F.col(f"_own.`{c}`").alias(c) for c in names])
+
+
+def ranked_within(df: DataFrame, group: str, order: list[Column], name: str) -> DataFrame:
+    """``df`` with the place of each row in its group, from 1, in the given order, which leaves no ties.
+
+    Rows are dealt by ranges of group and order, so that a large group is sorted by many tasks; only the sizes of the pieces are
+    added up by group.
+    """
+    by = [F.col(group).asc(), *order]
+    dealt = df.repartitionByRange(*by).sortWithinPartitions(*by)
+    dealt = materialize(dealt.withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "ranked")
+    pieces = dealt.groupBy(F.col(group).alias("_group"), F.col("_part").alias("_piece")).agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("_group").orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = pieces.select("_group", "_piece", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    both = dealt.join(pieces, F.col(group).eqNullSafe(F.col("_group")) & (F.col("_part") == F.col("_piece")))
+    return both.select(*df.columns, (F.col("_row") + F.col("_shift")).cast("int").alias(name))
