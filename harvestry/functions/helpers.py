@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import html
 from difflib import SequenceMatcher
-from urllib.parse import urldefrag, urljoin
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
+from harvestry.sources.html import resolved
+
 
 @F.pandas_udf(StringType())
 def html_unescape(texts: pd.Series) -> pd.Series:
@@ -21,13 +22,7 @@ def html_unescape(texts: pd.Series) -> pd.Series:
 def url_join(base: pd.Series, href: pd.Series) -> pd.Series:
     """A reference resolved on its base, without fragment and trailing slash; null if it can't be."""
 
-    def joined(b: str | None, h: str | None) -> str | None:
-        try:
-            return urldefrag(urljoin(b or "", html.unescape((h or "").strip())))[0].rstrip("/") if h else ""
-        except ValueError:
-            return None
-
-    return pd.Series([joined(b, h) for b, h in zip(base, href)], dtype=object)
+    return pd.Series([resolved(b, None if h is None else html.unescape(h)) for b, h in zip(base, href)], dtype=object)
 
 
 @F.pandas_udf(DoubleType())

@@ -76,9 +76,14 @@ def looks_like_address(col: Column, hints: str = V.ADDRESS_HINTS, states: str =
 
 
 def unique_keep_order(values: Column) -> Column:
-    """The distinct strings of an array without regard to case and edge blanks, first spelling kept, blanks dropped."""
-    keys = F.transform(values, lambda x: F.lower(F.trim(x)))
-    return F.filter(values, lambda x, at: (F.trim(x) != "") & (F.array_position(keys, F.lower(F.trim(x))) == at + 1))
+    """The distinct strings of an array without regard to case and edge blanks, first spelling kept, blanks dropped; by sorting, in any length."""
+    keyed = F.array_sort(F.transform(values, lambda x, i: F.struct(F.lower(F.trim(x)).alias("k"), i.alias("i"), x.alias("x"))))
+
+    def firsts(all_: Column) -> Column:
+        return F.filter(all_, lambda e, j: (e["k"] != "") & ((j == 0) | ~F.get(all_, j - 1)["k"].eqNullSafe(e["k"])))
+
+    kept = F.get(F.transform(F.array(keyed), firsts), F.lit(0))  # bound once, and looked up for each
+    return F.transform(F.array_sort(F.transform(kept, lambda e: F.struct(e["i"], e["x"]))), lambda e: e["x"])
 
 
 def sanitize_email(col: Column) -> Column:

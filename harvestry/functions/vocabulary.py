@@ -20,7 +20,10 @@ STATES = "lagos|abuja|fct|kano|kaduna|rivers|oyo|ogun|enugu|edo|delta|akwa ibom|
 
 PHONE_FOUND = r"(?:\+\d{1,3}[\s().-]?)?(?:\(?\d{2,5}\)?[\s().-]?){2,5}\d{2,5}"
 #: Region: trunk prefix, digits with it, country code.
-TRUNKS = {"NG": ("0", 11, "234")}
+TRUNKS = {
+    "AU": ("0", 10, "61"), "DE": ("0", 12, "49"), "FR": ("0", 10, "33"), "GB": ("0", 11, "44"), "GH": ("0", 10, "233"), "IN": ("0", 11, "91"),
+    "KE": ("0", 10, "254"), "NG": ("0", 11, "234"), "ZA": ("0", 10, "27"),
+}
 
 ASSET_SUFFIXES = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".svg", ".pdf", ".zip", ".css", ".js", ".ico", ".woff", ".woff2", ".ttf")
 SKIPPED_IN_URLS = ("login", "signin", "sign-in", "register", "cart", "checkout", "privacy", "terms", "cookie", "logout", "account", "wp-admin", "feed", "rss")

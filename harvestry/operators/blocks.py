@@ -10,33 +10,48 @@ from harvestry.functions import scoring as S
 from harvestry.functions import text as T
 from harvestry.functions import urls as U
 from harvestry.functions import vocabulary as V
-from harvestry.operators.contacts import attr_has, class_has, has_attr, is_class, node_text, signals, tag_is, with_contacts
+from harvestry.functions.helpers import html_unescape, url_join
+from harvestry.operators.contacts import attr_has, both, class_has, has_attr, is_class, node_text, signals, tag_is, with_contacts
 
 MAX_BLOCKS, MAX_SECTIONS = 80, 40
 PAGE_SHARE, SECTION_SHARE = 0.75, 0.65
 
 #: What may be the block of a company.
 BLOCK_PLACES = (
-    *[lambda n, w=w: has_attr(n, "itemscope") & attr_has(n, "itemtype", w) for w in ("Organization", "LocalBusiness")],
-    *[lambda n, a=a: has_attr(n, a) for a in ("data-company", "data-business", "data-listing")],
-    *[lambda n, w=w: attr_has(n, "data-testid", w) for w in ("company", "business", "listing")],
-    *[lambda n, c=c: is_class(n, c) for c in ("company-card", "company", "profile-card", "business-card", "vendor-card", "listing", "directory-item")],
-    *[lambda n, w=w: class_has(n, w) for w in ("company-card", "business-card", "vendor-card", "profile-card", "listing-card", "directory-item", "search-result", "result-card")],
-    *[lambda n, t=t: tag_is(n, t) for t in ("article", "li", "section")],
+    *[both(has_attr("itemscope"), attr_has("itemtype", w)) for w in ("Organization", "LocalBusiness")],
+    *[has_attr(a) for a in ("data-company", "data-business", "data-listing")],
+    *[attr_has("data-testid", w) for w in ("company", "business", "listing")],
+    *[is_class(c) for c in ("company-card", "company", "profile-card", "business-card", "vendor-card", "listing", "directory-item")],
+    *[class_has(w) for w in ("company-card", "business-card", "vendor-card", "profile-card", "listing-card", "directory-item", "search-result", "result-card")],
+    *[tag_is(t) for t in ("article", "li", "section")],
 )
 CONTAINERS = ("main", "body", "section", "article", "ul", "ol", "table")
 CONTAINER_CLASSES = ("list", "grid", "results", "directory")
 LISTING_TAGS = ("div", "li", "article", "section", "tr")
 SECTION_PLACES = (
-    *[lambda n, w=w: class_has(n, w) for w in ("contact", "about", "profile", "company", "business", "pricing", "package")],
-    *[lambda n, w=w: attr_has(n, "id", w) for w in ("contact", "about", "profile", "pricing")],
-    *[lambda n, t=t: tag_is(n, t) for t in ("address", "article", "section")],
+    *[class_has(w) for w in ("contact", "about", "profile", "company", "business", "pricing", "package")],
+    *[attr_has("id", w) for w in ("contact", "about", "profile", "pricing")],
+    *[tag_is(t) for t in ("address", "article", "section")],
 )
 
 
-def hits(node: Column, places) -> Column:
-    """How many of the places a node stands at."""
-    return sum((F.coalesce(p(node), F.lit(False)).cast("int") for p in places), F.lit(0))
+def hits(places: tuple[str, ...]) -> str:
+    """How many of the places a node ``n`` stands at, in SQL text."""
+    return "(" + " + ".join(f"int(coalesce({p}, false))" for p in places) + ")"
+
+
+def _under(test: str) -> str:
+    """Whether the parent ``u`` of a node ``n`` passes a test."""
+    return f"coalesce(exists(slice(nodes, n.parent_id + 1, 1), u -> {test}), false)"
+
+
+def candidates() -> Column:
+    """The nodes that a rule may take for a block, with how many places name each as one, as a listing, and as a section."""
+    container = " or ".join([tag_is(*CONTAINERS, node="u"), *[class_has(c, node="u") for c in CONTAINER_CLASSES]])
+    listed = f"int(n.parent_id >= 0 and {tag_is(*LISTING_TAGS)} and if(n.parent_id >= 0, {_under(container)}, false))"
+    main = f"int(n.parent_id >= 0 and n.tag = 'div' and if(n.parent_id >= 0, {_under(tag_is('main', node='u'))}, false))"
+    judged = f"transform(nodes, n -> struct(n as b, {hits(BLOCK_PLACES)} as direct, {listed} as listed, {hits(SECTION_PLACES)} + {main} as section))"
+    return F.expr(f"filter({judged}, w -> w.direct + w.listed + w.section > 0 and w.b.tok_len > 0)")
 
 
 def blocks_of(parsed: DataFrame, wanted: Column, *keep: str) -> DataFrame:
@@ -51,31 +66,17 @@ def blocks_of(parsed: DataFrame, wanted: Column, *keep: str) -> DataFrame:
     )
 
 
-def _below_container(n: Column) -> Column:
-    up = F.get(F.col("nodes"), n["parent_id"])
-    inside = tag_is(up, *CONTAINERS)
-    for c in CONTAINER_CLASSES:
-        inside = inside | class_has(up, c)
-    return F.coalesce(inside & tag_is(n, *LISTING_TAGS) & (n["parent_id"] >= 0), F.lit(False)).cast("int")
-
-
-def _main_child(n: Column) -> Column:
-    up = F.get(F.col("nodes"), n["parent_id"])
-    return F.coalesce(tag_is(n, "div") & tag_is(up, "main"), F.lit(False)).cast("int")
-
-
-def detect_blocks(parsed: DataFrame, *keep: str, region: str = "NG", noise=V.NOISE_EMAIL_PARTS, cap: int = MAX_BLOCKS) -> DataFrame:
+def detect_blocks(parsed: DataFrame, *keep: str, region: str = "NG", noise=V.NOISE_EMAIL_PARTS, cap: int | None = MAX_BLOCKS, section_cap: int | None = MAX_SECTIONS) -> DataFrame:
     """The listing blocks of each page with their contacts: company blocks, repeated siblings, else sections.
 
     ``keep`` must hold the page's key as its first column. A node that several places name is one row with ``n_hits``. Of nested
-    candidates the innermost stay, and of equally long ones the first. The innermost ``cap`` hits stay, shortest first.
+    candidates the innermost stay, and of equally long ones the first. The innermost ``cap`` hits stay, shortest first, or
+    ``section_cap`` of a page that only has sections; without a cap all do.
     Contacts are extracted once for every node that any rule looks at; one shuffle brings a page's candidates together.
     """
     key = keep[0]
-    judged = F.transform("nodes", lambda n: F.struct(n.alias("b"), hits(n, BLOCK_PLACES).alias("direct"), _below_container(n).alias("listed"), (hits(n, SECTION_PLACES) + _main_child(n)).alias("section")))
-    wanted = F.filter(judged, lambda w: (w["direct"] + w["listed"] + w["section"] > 0) & (w["b"]["tok_len"] > 0))
     n = F.length("text")
-    rows = blocks_of(parsed, wanted, *keep).filter(n >= 20)
+    rows = blocks_of(parsed, candidates(), *keep).filter(n >= 20)
     rows = rows.filter(((F.col("direct") > 0) & (n <= PAGE_SHARE * F.col("page_len"))) | ((F.col("listed") > 0) & (n <= 1200)) | ((F.col("section") > 0) & (n <= SECTION_SHARE * F.col("page_len"))))
     rows = with_contacts(rows, region, noise).drop("nodes", "tokens", "sub", "markup", "lines")
     # what follows looks at all candidates of a page, and is planned above the windows: contacts are not worked out again
@@ -88,7 +89,8 @@ def detect_blocks(parsed: DataFrame, *keep: str, region: str = "NG", noise=V.NOI
     rows = rows.withColumn("any", F.max("n_hits").over(Window.partitionBy(key)))
     fallback = (F.col("any") == 0) & (F.col("section") > 0) & (n <= SECTION_SHARE * F.col("page_len")) & (F.col("signals") >= 1)
     rows = rows.withColumn("n_hits", F.when(fallback, F.col("section")).otherwise(F.col("n_hits"))).filter("n_hits > 0")
-    return _innermost(rows, key, F.when(F.col("any") == 0, MAX_SECTIONS).otherwise(cap)).drop("any", "direct", "listed", "section", "n_candidates")
+    most = F.when(F.col("any") == 0, F.lit(section_cap).cast("long")).otherwise(F.lit(cap).cast("long"))
+    return _innermost(rows, key, most).drop("any", "direct", "listed", "section", "n_candidates")
 
 
 def _innermost(found: DataFrame, key: str, cap: Column) -> DataFrame:
@@ -105,7 +107,7 @@ def _innermost(found: DataFrame, key: str, cap: Column) -> DataFrame:
     found = found.filter(~F.exists("others", lambda o: beats(o))).drop("others", "me")
     order = Window.partitionBy(key).orderBy(F.length("text"), F.col("b.node_id"))
     before = F.coalesce(F.sum("n_hits").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return found.withColumn("before", before).filter(F.col("before") < cap).withColumn("pos", F.row_number().over(order) - 1).drop("before")
+    return found.withColumn("before", before).filter(F.coalesce(F.col("before") < cap, F.lit(True))).withColumn("pos", F.row_number().over(order) - 1).drop("before")
 
 
 def entities(blocks: DataFrame, *keep: str) -> DataFrame:
@@ -128,10 +130,9 @@ def with_low_confidence(rows: DataFrame, threshold: float = 0.45) -> DataFrame:
     return rows.withColumn("low_confidence", F.col("confidence") < threshold)
 
 
-def structured_entities(pages: DataFrame, *keep: str, region: str = "NG", validate: bool = False) -> DataFrame:
-    """Company records of the JSON-LD scripts of each page: objects, lists and graphs; bad JSON is skipped."""
-    script = F.lit(r"""(?is)<script\b[^>]*type\s*=\s*["']application/ld\+json["'][^>]*>(.*?)</script\s*>""")
-    rows = pages.select(*keep, "url", F.posexplode(F.regexp_extract_all("html", script, F.lit(1))).alias("script", "body"))
+def structured_entities(parsed: DataFrame, *keep: str, region: str = "NG", validate: bool = False) -> DataFrame:
+    """Company records of the JSON-LD scripts of each parsed page: objects, lists and graphs; bad JSON is skipped."""
+    rows = parsed.select(*keep, "url", F.posexplode("scripts").alias("script", "body"))
     rows = rows.select(*keep, "url", "script", F.try_parse_json("body").alias("v")).filter("v is not null")
     return _structured(rows, keep, region, validate)
 
@@ -147,12 +148,19 @@ def _structured(rows: DataFrame, keep: tuple, region: str, validate: bool) -> Da
         return F.expr(f"try_variant_get(o, \"{path}\", 'string')")
 
     kinds = F.lower(F.coalesce(F.array_join(F.expr("try_variant_get(o, \"$['@type']\", 'array<string>')"), " "), text("$['@type']"), F.lit("")))
-    parts = F.filter(F.array(*[T.clean_text(text(f"$.address.{k}")) for k in ("streetAddress", "addressLocality", "addressRegion", "addressCountry")]), lambda x: x != "")
     is_object = F.expr("schema_of_variant(try_variant_get(o, '$.address', 'variant')) like 'OBJECT%'")
-    address = T.clean_text(F.when(is_object, F.array_join(parts, ", ")).otherwise(text("$.address")), 240)
-    rows = rows.filter(kinds.rlike("organization|localbusiness|corporation"))
-    email, phone, site = F.lower(T.clean_text(text("$.email"))), T.normalize_phone(text("$.telephone"), region), U.normalize_url(text("$.url"), F.col("url"))
-    name = T.clean_company_name(text("$.name"))
+    parts = ("streetAddress", "addressLocality", "addressRegion", "addressCountry")
+    said = {"name": text("$.name"), "mail": text("$.email"), "call": text("$.telephone"), "site": text("$.url"), "place": F.when(~is_object, text("$.address"))}
+    said |= {f"part{k}": text(f"$.address.{p}") for k, p in enumerate(parts)}
+    # strings of JSON may hold entities of any kind; few rows get here
+    where = F.row_number().over(Window.partitionBy(*keep, "url").orderBy("script", "i", "j")) - 1
+    rows = rows.filter(kinds.rlike("organization|localbusiness|corporation")).withColumn("pos", where)
+    rows = rows.select(*keep, "url", "pos", *[html_unescape(c).alias(n) for n, c in said.items()])
+    told = F.filter(F.array(*[T.clean_text(F.col(f"part{k}")) for k in range(len(parts))]), lambda x: x != "")
+    address = T.clean_text(F.coalesce("place", F.array_join(told, ", ")), 240)
+    email, phone = F.lower(T.clean_text(F.col("mail"))), T.normalize_phone(F.col("call"), region)
+    site = F.when(F.coalesce(F.trim("site"), F.lit("")) == "", "").otherwise(url_join("url", "site"))
+    name = T.clean_company_name(F.col("name"))
     if validate:
         email = F.when(T.is_valid_email(email), email).otherwise("")
     none = F.array().cast("array<string>")
@@ -160,10 +168,9 @@ def _structured(rows: DataFrame, keep: tuple, region: str, validate: bool) -> Da
     def one(x: Column) -> Column:
         return F.when(S.present(x), F.array(x)).otherwise(none)
 
-    done = rows.select(
-        *keep, F.col("url").alias("source_url"), (F.col("script") * 1_000_000 + F.col("i") * 1000 + F.col("j")).cast("int").alias("pos"), F.lit(1).alias("n_hits"), name.alias("company_name"), F.lit(None).cast("string").alias("container_path"),
-        one(email).alias("emails"), F.when(text("$.telephone").isNotNull(), F.array(phone)).otherwise(none).alias("phone_numbers"), one(address).alias("addresses"), F.nullif(site, F.lit("")).alias("website"), none.alias("socials"), F.lit("structured_data").alias("extraction_scope"),
-        F.nullif(email, F.lit("")).alias("email"), F.nullif(phone, F.lit("")).alias("phone"), F.nullif(address, F.lit("")).alias("address"), name.alias("business_name"), name.alias("listing_name"),
-    )
+    done = rows.select(*keep, F.col("url").alias("source_url"), "pos", name.alias("company_name"), email.alias("email"), phone.alias("phone"), address.alias("address"), site.alias("website"), F.col("call").isNotNull().alias("called"))
+    done = done.withColumns({"emails": one(F.col("email")), "phone_numbers": F.when(F.col("called"), F.array("phone")).otherwise(none), "addresses": one(F.col("address")), "socials": none})
+    done = done.withColumns({c: F.nullif(c, F.lit("")) for c in ("email", "phone", "address", "website")})
+    done = done.withColumns({"n_hits": F.lit(1), "container_path": F.lit(None).cast("string"), "extraction_scope": F.lit("structured_data"), "business_name": F.col("company_name"), "listing_name": F.col("company_name")}).drop("called")
     score = S.entity_confidence(F.col("company_name"), F.col("email"), F.col("phone"), F.col("address"), F.col("website"), F.col("socials"), structured=True)
     return useful(done.withColumn("confidence", score))

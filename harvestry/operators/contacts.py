@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from harvestry.functions import text as T
 from harvestry.functions import urls as U
 from harvestry.functions import vocabulary as V
+from harvestry.sources.html import RESOLVED
 
 MAX_ADDRESSES, MAX_SOCIALS = 5, 8
 
@@ -20,102 +21,103 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
-def attr(node: Column, name: str) -> Column:
-    return F.try_element_at(node["attrs"], F.lit(name))
+def attr(name: str, node: str = "n") -> str:
+    """An attribute of a node, in SQL text like all that follows: a node is looked at in so many places that Columns would take long to plan."""
+    return f"try_element_at({node}.attrs, '{name}')"
 
 
-def has_attr(node: Column, name: str) -> Column:
-    return attr(node, name).isNotNull()
+def has_attr(name: str) -> str:
+    return f"map_contains_key(n.attrs, '{name}')"
 
 
-def class_has(node: Column, *parts: str) -> Column:
+def class_has(*parts: str, node: str = "n") -> str:
     """``[class*=part]`` for all parts."""
-    whole = F.coalesce(attr(node, "class"), F.lit(""))
-    test = F.lit(True)
-    for p in parts:
-        test = test & whole.contains(p)
-    return test
+    return "(" + " and ".join(f"contains(coalesce({attr('class', node)}, ''), '{p}')" for p in parts) + ")"
 
 
-def is_class(node: Column, name: str) -> Column:
-    return F.array_contains(node["classes"], name)
+def is_class(name: str) -> str:
+    return f"array_contains(n.classes, '{name}')"
 
 
-def tag_is(node: Column, *tags: str) -> Column:
-    return node["tag"].isin(*tags)
+def tag_is(*tags: str, node: str = "n") -> str:
+    return f"{node}.tag in ({', '.join(map(repr, tags))})"
 
 
-def attr_has(node: Column, name: str, part: str) -> Column:
-    return F.coalesce(attr(node, name).contains(part), F.lit(False))
+def attr_has(name: str, part: str) -> str:
+    return f"coalesce(contains({attr(name)}, '{part}'), false)"
 
 
-def attr_is(node: Column, name: str, value: str) -> Column:
-    return F.coalesce(attr(node, name) == value, F.lit(False))
+def attr_is(name: str, value: str) -> str:
+    return f"coalesce({attr(name)} = '{value}', false)"
 
 
-def node_text(node: Column, tokens: str | Column = "tokens", glue: str = " ") -> Column:
-    return F.array_join(F.slice(tokens, node["tok_start"] + 1, node["tok_len"]), glue)
+def both(*tests: str) -> str:
+    return " and ".join(f"({t})" for t in tests)
+
+
+def some(array: str, test: str) -> Column:
+    """The nodes ``n`` of an array that pass a test."""
+    return F.expr(f"filter({array}, n -> {test})")
+
+
+def firsts(array: str, places: tuple[str, ...]) -> Column:
+    """The first node at each of the places, null where there is none."""
+    return F.expr(f"array({', '.join(f'get(filter({array}, n -> {p}), 0)' for p in places)})")
+
+
+def value_of(node: Column, name: str) -> Column:
+    return F.try_element_at(node["attrs"], F.lit(name))
 
 
-def _href_to(word: str):
-    return lambda n: tag_is(n, "a") & attr_has(n, "href", word)
+def node_text(node: Column, tokens: str | Column = "tokens", glue: str = " ") -> Column:
+    return F.array_join(F.slice(tokens, node["tok_start"] + 1, node["tok_len"]), glue)
 
 
 #: Where a name may stand, in order of priority.
 NAME_PLACES = (
-    lambda n: attr_is(n, "itemprop", "name"),
-    *[lambda n, c=c: is_class(n, c) for c in ("company-name", "business-name", "profile-name", "title")],
-    *[lambda n, t=t: tag_is(n, t) for t in ("h1", "h2", "h3", "h4")],
-    *[_href_to(w) for w in ("company", "profile", "business", "listing")],
-    *[lambda n, w=w: class_has(n, w, "name") for w in ("company", "business", "listing", "vendor", "profile")],
-    *[lambda n, w=w: class_has(n, w) for w in ("title", "heading", "card-title", "result-title")],
-    *[lambda n, t=t: tag_is(n, t) for t in ("strong", "b")],
-    lambda n: tag_is(n, "meta") & attr_is(n, "property", "og:site_name"),
-    lambda n: tag_is(n, "title"),
+    attr_is("itemprop", "name"),
+    *[is_class(c) for c in ("company-name", "business-name", "profile-name", "title")],
+    *[tag_is(t) for t in ("h1", "h2", "h3", "h4")],
+    *[both(tag_is("a"), attr_has("href", w)) for w in ("company", "profile", "business", "listing")],
+    *[class_has(w, "name") for w in ("company", "business", "listing", "vendor", "profile")],
+    *[class_has(w) for w in ("title", "heading", "card-title", "result-title")],
+    *[tag_is(t) for t in ("strong", "b")],
+    both(tag_is("meta"), attr_is("property", "og:site_name")),
+    tag_is("title"),
 )
 
 ADDRESS_PLACES = (
-    lambda n: tag_is(n, "address"),
-    *[lambda n, c=c: is_class(n, c) for c in ("address", "contact-address", "business-address", "location", "venue", "office")],
-    *[lambda n, a=a: has_attr(n, a) for a in ("data-address", "data-location", "data-venue")],
-    *[lambda n, w=w: attr_has(n, "data-testid", w) for w in ("address", "location")],
-    *[lambda n, w=w: class_has(n, w) for w in ("address", "location", "venue", "office")],
-    lambda n: attr_has(n, "itemprop", "address"),
+    tag_is("address"),
+    *[is_class(c) for c in ("address", "contact-address", "business-address", "location", "venue", "office")],
+    *[has_attr(a) for a in ("data-address", "data-location", "data-venue")],
+    *[attr_has("data-testid", w) for w in ("address", "location")],
+    *[class_has(w) for w in ("address", "location", "venue", "office")],
+    attr_has("itemprop", "address"),
 )
 
 
-def first_value(sub: Column, place, value) -> Column:
-    """``value`` of the first node of ``sub`` at ``place``; null if there is none."""
-    hit = F.get(F.filter(sub, lambda n: place(n)), F.lit(0))
-    return F.when(hit.isNotNull(), value(hit))
-
-
 def extract_name(tokens: str = "tokens") -> Column:
     """The first real name at the name places, in the label of the block, in an image's text, or the text itself."""
-    sub = F.col("sub")
 
     def value(n: Column) -> Column:
-        return T.clean_company_name(F.when(tag_is(n, "meta"), attr(n, "content")).otherwise(node_text(n, tokens)))
+        return F.when(n["node_id"].isNotNull(), F.when(n["tag"] == "meta", value_of(n, "content")).otherwise(node_text(n, tokens)))
 
-    named = F.transform(F.array(*[F.get(F.filter(sub, _bound(p)), F.lit(0)) for p in NAME_PLACES]), lambda n: F.when(n["node_id"].isNotNull(), value(n)))
-    label = T.clean_company_name(attr(F.col("b"), "aria-label"))
-    image = first_value(sub, lambda n: tag_is(n, "img") & has_attr(n, "alt"), lambda n: T.clean_company_name(attr(n, "alt")))
+    label = value_of(F.col("b"), "aria-label")
+    image = value_of(F.get(some("sub", both(tag_is("img"), has_attr("alt"))), F.lit(0)), "alt")
+    told = F.filter(F.concat(F.transform(firsts("sub", NAME_PLACES), value), F.array(label, image)), lambda x: x.isNotNull())
     whole = F.filter(F.array(T.clean_company_name(F.col("text"))), lambda t: T.looks_like_name(t))
-    found = F.filter(F.concat(named, F.array(label, image), whole), lambda x: T.has_real_name(x))
+    found = F.filter(F.concat(F.transform(told, lambda x: T.clean_company_name(x)), whole), lambda x: T.has_real_name(x))
     return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
 
 
-def _bound(place):
-    """A place as a function of one argument, which array functions tell from one that takes an index."""
-    return lambda n: place(n)
-
-
 def extract_emails(noise=V.NOISE_EMAIL_PARTS) -> Column:
     """Mail links, protected addresses, patterns in plain or disguised markup and text, and base64, in that order."""
-    sub, markup, text = F.col("sub"), F.col("markup"), F.col("text")
-    mail = F.transform(F.filter(sub, lambda n: tag_is(n, "a") & F.coalesce(attr(n, "href").startswith("mailto:"), F.lit(False))), lambda n: F.split_part(F.substring(attr(n, "href"), 8, 1 << 30), F.lit("?"), F.lit(1)))
-    shielded = F.transform(F.filter(sub, lambda n: has_attr(n, "data-cfemail")), lambda n: T.decode_protected_email(attr(n, "data-cfemail")))
-    linked = F.transform(F.filter(sub, lambda n: tag_is(n, "a") & attr_has(n, "href", "/cdn-cgi/l/email-protection#")), lambda n: T.decode_protected_email(F.substring_index(attr(n, "href"), "#", -1)))
+    markup, text = F.col("markup"), F.col("text")
+    href = attr("href")
+    mail = F.expr(f"transform(filter(sub, n -> n.tag = 'a' and startswith({href}, 'mailto:')), n -> split_part(substring({href}, 8), '?', 1))")
+    shielded = F.transform(F.expr(f"transform(filter(sub, n -> {has_attr('data-cfemail')}), n -> {attr('data-cfemail')})"), lambda x: T.decode_protected_email(x))
+    linked = F.expr(f"transform(filter(sub, n -> n.tag = 'a' and contains({href}, '/cdn-cgi/l/email-protection#')), n -> substring_index({href}, '#', -1))")
+    linked = F.transform(linked, lambda x: T.decode_protected_email(x))
     likely = markup.contains("@") | markup.rlike(r"(?i)\bat\b")
     in_markup = F.when(likely, T.find_emails(T.deobfuscate(T.basic_unescape(markup)))).otherwise(_none())
     in_text = F.when(text.contains("@") | text.rlike(r"(?i)\bat\b"), T.find_emails(T.deobfuscate(text))).otherwise(_none())
@@ -126,40 +128,35 @@ def extract_emails(noise=V.NOISE_EMAIL_PARTS) -> Column:
 
 def extract_phones(region: str = "NG") -> Column:
     """Phone links, chat links, and patterns in the text, normalised."""
-    sub = F.col("sub")
-
-    def href(n: Column) -> Column:
-        return F.coalesce(attr(n, "href"), F.lit(""))
-
-    links = F.filter(sub, lambda n: tag_is(n, "a"))
-    dialled = F.transform(F.filter(links, lambda n: href(n).startswith("tel:")), lambda n: F.substring(href(n), 5, 1 << 30))
-    chats = F.filter(links, lambda n: href(n).contains("wa.me/") | href(n).contains("whatsapp.com/send"))
-    chats = F.flatten(F.transform(chats, lambda n: F.array(F.when(U.part(href(n), 2).contains("wa.me"), F.btrim(U.part(href(n), 3), F.lit("/"))), F.try_url_decode(F.regexp_extract(U.part(href(n), 4), r"(?:^|&)phone=([^&]*)", 1)))))
-    found = F.concat(dialled, F.filter(chats, lambda c: c != ""), T.find_phones(F.col("text")))
+    href = attr("href")
+    dialled = F.expr(f"transform(filter(sub, n -> n.tag = 'a' and startswith({href}, 'tel:')), n -> substring({href}, 5))")
+    chats = F.expr(f"transform(filter(sub, n -> n.tag = 'a' and (contains({href}, 'wa.me/') or contains({href}, 'whatsapp.com/send'))), n -> {href})")
+    asked = r"(?:^|&)phone=([^&]*)"
+    chats = F.transform(chats, lambda h: F.array(F.when(U.part(h, 2).contains("wa.me"), F.btrim(U.part(h, 3), F.lit("/"))), F.try_url_decode(F.regexp_extract(U.part(h, 4), asked, 1))))
+    found = F.concat(dialled, F.filter(F.flatten(chats), lambda c: c != ""), T.find_phones(F.col("text")))
     return F.filter(F.array_distinct(F.transform(found, lambda p: T.normalize_phone(p, region))), lambda p: p != "")
 
 
 def extract_addresses() -> Column:
     """Address places, item parts, labelled text and its next sibling, and lines with the look of an address."""
-    sub, nodes = F.col("sub"), F.col("nodes")
 
     def texts(hits: Column, cut: int = 240) -> Column:
         return F.filter(F.transform(hits, lambda n: T.clean_text(node_text(n), cut)), lambda t: t != "")
 
-    placed = F.flatten(F.array(*[texts(F.filter(sub, _bound(p))) for p in ADDRESS_PLACES]))
-    parts = texts(F.filter(sub, lambda n: F.coalesce(attr(n, "itemprop").isin("streetAddress", "addressLocality", "addressRegion"), F.lit(False))), 160)
+    placed = texts(F.expr(f"flatten(array({', '.join(f'filter(sub, n -> {p})' for p in ADDRESS_PLACES)}))"))
+    parts = texts(some("sub", f"coalesce({attr('itemprop')} in ('streetAddress', 'addressLocality', 'addressRegion'), false)"), 160)
     # the innermost element of a labelled text: its own tokens, apart from those of children, hold the label
     label = "(?i)" + V.ADDRESS_LABELS
 
-    def labelled(n: Column) -> Column:
-        return F.exists(F.slice("tokens", n["tok_start"] + 1, n["tok_len"]), lambda t: t.rlike(label))
+    def labelled(n: str) -> str:
+        return f"{n}.tok_len > 0 and exists(slice(tokens, {n}.tok_start + 1, {n}.tok_len), t -> rlike(t, {sql_text(label)}))"
 
-    holders = F.filter(sub, lambda n: (n["tok_len"] > 0) & labelled(n))
-    inner = F.filter(holders, lambda n: ~F.exists(F.slice(nodes, n["node_id"] + 2, n["end_id"] - n["node_id"] - 1), lambda m: (m["tok_len"] > 0) & labelled(m)))
+    inner = some(f"filter(sub, m -> {labelled('m')})", f"not exists(slice(nodes, n.node_id + 2, n.end_id - n.node_id - 1), o -> {labelled('o')})")
+    inner = F.when(F.col("text").rlike(label), inner).otherwise(F.slice("sub", 1, 0))
 
     def told(n: Column) -> Column:
         own = T.clean_text(node_text(n), 240)
-        after = F.get(nodes, n["end_id"])
+        after = F.get("nodes", n["end_id"])
         follow = F.when((after["parent_id"] == n["parent_id"]), T.clean_text(node_text(after), 240))
         return F.array(F.btrim(F.regexp_replace(own, label, ""), F.lit(" :-")), follow)
 
@@ -169,10 +166,14 @@ def extract_addresses() -> Column:
     return F.slice(F.filter(found, lambda a: F.length(a) >= 10), 1, MAX_ADDRESSES)
 
 
+def sql_text(value: str) -> str:
+    """A text as a literal in SQL."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _links() -> Column:
-    """Hrefs of the block on the page's URL; references that need general rules are left as they are."""
-    hits = F.filter(F.col("sub"), lambda n: tag_is(n, "a") & has_attr(n, "href"))
-    return F.transform(hits, lambda n: F.struct(attr(n, "href").alias("href"), U.normalize_url(attr(n, "href"), F.col("url")).alias("url"), F.lower(T.clean_text(node_text(n))).alias("anchor")))
+    """The links of the block with their URLs, as the parser resolved them on the page's."""
+    return F.transform(some("sub", both(tag_is("a"), has_attr(RESOLVED))), lambda n: F.struct(value_of(n, "href").alias("href"), value_of(n, RESOLVED).alias("url"), F.lower(T.clean_text(node_text(n))).alias("anchor")))
 
 
 def extract_website(strict_social: bool = False) -> Column:

@@ -7,33 +7,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from harvestry.functions import urls as U
-from harvestry.functions.helpers import url_join
 from harvestry.functions.text import clean_text
+from harvestry.sources.html import RESOLVED, parse_pages
 from harvestry.sources.shared import materialize
 
 MAX_LINKS, MAX_DEPTH, MAX_PAGES = 150, 3, 150
 
 
 def anchors(pages: DataFrame, *keep: str) -> DataFrame:
-    """``(keep..., page_url, pos, href, anchor_text)`` for every ``a`` with a quoted ``href``, comments and scripts left out."""
-    body = F.regexp_replace(F.coalesce("html", F.lit("")), r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", "")
-    link = F.lit(r"""(?is)<a\b[^>]*?\shref\s*=\s*["']([^"'>]*)["'][^>]*>(.*?)</a\s*>""")
-    found = F.arrays_zip(F.regexp_extract_all(body, link, F.lit(1)).alias("href"), F.regexp_extract_all(body, link, F.lit(2)).alias("inner"))
-    rows = pages.select(*keep, F.col("url").alias("page_url"), F.posexplode(found).alias("pos", "a"))
-    return rows.select(*keep, "page_url", "pos", F.col("a.href").alias("href"), clean_text(F.regexp_replace("a.inner", "<[^>]*>", " ")).alias("anchor_text"))
+    """``(keep..., page_url, pos, href, url, anchor_text)`` for every ``a`` with an ``href`` of pages, parsed or not.
 
-
-def resolve(links: DataFrame) -> DataFrame:
-    """``links`` with ``url``: hrefs on their page's URL. Only references that need general rules go to the helper."""
-    href = F.trim("href")
-    simple = U.is_simple(href) | (href == "")
-    plain = links.filter(simple).withColumn("url", U.normalize_url(F.col("href"), F.col("page_url")))
-    rest = links.filter(~simple).withColumn("url", url_join("page_url", "href"))
-    return plain.unionByName(rest)
+    ``url`` is the href on its page's URL; references that can't be resolved are left out.
+    """
+    parsed = pages if "nodes" in pages.columns else parse_pages(pages, *keep)
+    found = F.filter("nodes", lambda n: (n["tag"] == "a") & F.map_contains_key(n["attrs"], F.lit(RESOLVED)))
+    rows = parsed.select(*keep, F.col("url").alias("page_url"), "tokens", F.posexplode(found).alias("pos", "a"))
+    text = F.array_join(F.slice("tokens", F.col("a.tok_start") + 1, F.col("a.tok_len")), " ")
+    attrs = F.col("a.attrs")
+    return rows.select(*keep, "page_url", "pos", attrs["href"].alias("href"), attrs[RESOLVED].alias("url"), clean_text(text).alias("anchor_text"))
 
 
 def internal_links(links: DataFrame, http_only: bool = False, all_internal: bool = True) -> DataFrame:
-    """Links of :func:`resolve` to the page's own host, assets and skipped URLs left out, with their ``score``.
+    """Links of :func:`anchors` to the page's own host, assets and skipped URLs left out, with their ``score``.
 
     Links without a host (``mailto:`` and the like) pass unless ``http_only``; without ``all_internal`` only scored ones do.
     """

@@ -9,34 +9,34 @@ from pyspark.sql.window import Window
 from harvestry.functions import scoring as S
 from harvestry.functions import text as T
 from harvestry.functions.helpers import name_ratio
-from harvestry.operators.contacts import _bound, attr_is, class_has, first_value, is_class, node_text, tag_is
+from harvestry.operators.contacts import attr_is, class_has, firsts, is_class, node_text, tag_is
 
 MAX_CONTAINERS, SHARE, ATTACH = 80, 0.75, 0.35
 
 CONTAINER_PLACES = (
-    *[lambda n, c=c: is_class(n, c) for c in ("pricing", "price", "plan", "package", "fee", "quote")],
-    *[lambda n, w=w: class_has(n, w) for w in ("pricing", "package", "price")],
-    *[lambda n, t=t: tag_is(n, t) for t in ("table", "article", "section", "li")],
+    *[is_class(c) for c in ("pricing", "price", "plan", "package", "fee", "quote")],
+    *[class_has(w) for w in ("pricing", "package", "price")],
+    *[tag_is(t) for t in ("table", "article", "section", "li")],
 )
-TITLE_PLACES = (*[lambda n, t=t: tag_is(n, t) for t in ("h1", "h2", "h3", "h4")], *[lambda n, c=c: is_class(n, c) for c in ("title", "plan-name", "package-name")])
+TITLE_PLACES = (*[tag_is(t) for t in ("h1", "h2", "h3", "h4")], *[is_class(c) for c in ("title", "plan-name", "package-name")])
 HINT_PLACES = (
-    lambda n: attr_is(n, "itemprop", "name"),
-    *[lambda n, c=c: is_class(n, c) for c in ("company-name", "business-name", "profile-name")],
-    *[lambda n, t=t: tag_is(n, t) for t in ("h1", "h2", "h3", "h4", "strong")],
+    attr_is("itemprop", "name"),
+    *[is_class(c) for c in ("company-name", "business-name", "profile-name")],
+    *[tag_is(t) for t in ("h1", "h2", "h3", "h4", "strong")],
 )
 
 
-def _first(sub: Column, places, keep) -> Column:
+def _first(array: str, places, keep) -> Column:
     """The first text over the places that ``keep`` accepts; empty if none."""
-    texts = F.transform(F.array(*[F.get(F.filter(sub, _bound(p)), F.lit(0)) for p in places]), lambda n: F.when(n["node_id"].isNotNull(), T.clean_text(node_text(n), 120)))
+    texts = F.transform(firsts(array, places), lambda n: F.when(n["node_id"].isNotNull(), T.clean_text(node_text(n), 120)))
     return F.coalesce(F.get(F.filter(texts, lambda t: t.isNotNull() & keep(t)), F.lit(0)), F.lit(""))
 
 
-def containers(parsed: DataFrame, *keep: str, roots: DataFrame | None = None, strict: bool = False, cap: int = MAX_CONTAINERS) -> DataFrame:
+def containers(parsed: DataFrame, *keep: str, roots: DataFrame | None = None, strict: bool = False, cap: int | None = MAX_CONTAINERS) -> DataFrame:
     """The outermost price containers of each page, or of each root block (``keep[0]``, ``root_id``), with their subtree.
 
     A container has 8 characters and a price, and at most three quarters of the text of its scope. The outermost stay, ``cap`` hits
-    in order of their places. With ``roots`` a block without containers that shows a price is its own container.
+    in order of their places, or all without a cap. With ``roots`` a block without containers that shows a price is its own container.
     """
     key = keep[0]
     rows = parsed.select(*keep, "url", "nodes", "tokens")
@@ -50,11 +50,9 @@ def containers(parsed: DataFrame, *keep: str, roots: DataFrame | None = None, st
         scope_text = node_text(F.get("nodes", F.col("root")))
     rows = rows.withColumn("scope_len", F.length(T.clean_text(scope_text)))
 
-    def judged(n: Column) -> Column:
-        order = F.array(*[F.coalesce(p(n), F.lit(False)) for p in CONTAINER_PLACES])
-        return F.struct(n.alias("b"), F.array_position(order, F.lit(True)).alias("first"), F.size(F.filter(order, lambda x: x)).alias("n_hits"))
-
-    found = rows.withColumn("w", F.explode(F.filter(F.transform("inner", judged), lambda w: (w["n_hits"] > 0) & (w["b"]["tok_len"] > 0))))
+    places = f"array({', '.join(f'coalesce({p}, false)' for p in CONTAINER_PLACES)})"
+    judged = f"transform(inner, n -> transform(array({places}), o -> struct(n as b, array_position(o, true) as first, size(filter(o, x -> x)) as n_hits))[0])"
+    found = rows.withColumn("w", F.explode(F.expr(f"filter({judged}, w -> w.n_hits > 0 and w.b.tok_len > 0)")))
     found = found.withColumn("text", T.clean_text(node_text(F.col("w.b"))))
     n = F.length("text")
     found = found.filter((n >= 8) & S.has_price(F.col("text"), strict) & (n <= SHARE * F.col("scope_len")))
@@ -63,7 +61,7 @@ def containers(parsed: DataFrame, *keep: str, roots: DataFrame | None = None, st
     found = found.withColumn("spans", spans).filter(~F.exists("spans", lambda o: (o["s"] < F.col("w.b.node_id")) & (o["e"] >= F.col("w.b.end_id"))))
     order = scope.orderBy("w.first", "w.b.node_id")
     before = F.coalesce(F.sum("w.n_hits").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    found = found.withColumn("before", before).filter(F.col("before") < cap).withColumn("pos", F.row_number().over(order) - 1)
+    found = found.withColumn("before", before).filter(F.coalesce(F.col("before") < F.lit(cap).cast("long"), F.lit(True))).withColumn("pos", F.row_number().over(order) - 1)
     b = F.col("w.b")
     found = found.select(*keep, "url", "root", "tokens", "pos", "text", F.slice("nodes", b["node_id"] + 2, b["end_id"] - b["node_id"] - 1).alias("sub"), "nodes")
     if roots is not None:
@@ -75,12 +73,11 @@ def containers(parsed: DataFrame, *keep: str, roots: DataFrame | None = None, st
 
 def quotes(found: DataFrame, *keep: str, scope: str = "pricing_container", strict: bool = False) -> DataFrame:
     """One quote per container: the first price in its first 600 characters. In blocks ``company`` is the block's hint."""
-    sub = F.col("sub")
     rows = found.withColumn("cut", F.rtrim(F.substring("text", 1, 600))).withColumn("p", S.parse_price(F.col("cut"), strict)).filter("p is not null")
     root = F.get("nodes", F.col("root"))
-    inner = F.slice("nodes", F.col("root") + 2, root["end_id"] - F.col("root") - 1)
-    hint = F.when(F.col("root").isNotNull(), _first(inner, HINT_PLACES, lambda t: (t != "") & ~S.has_price(t, strict))).otherwise("")
-    rows = rows.withColumn("heading", _first(sub, TITLE_PLACES, lambda t: t != "")).withColumn("company", hint).withColumn("title", S.quote_title(F.col("heading"), F.col("cut")))
+    rows = rows.withColumn("inner", F.when(F.col("root").isNotNull(), F.slice("nodes", F.col("root") + 2, root["end_id"] - F.col("root") - 1)))
+    hint = F.when(F.col("root").isNotNull(), _first("inner", HINT_PLACES, lambda t: (t != "") & ~S.has_price(t, strict))).otherwise("")
+    rows = rows.withColumn("heading", _first("sub", TITLE_PLACES, lambda t: t != "")).withColumn("company", hint).withColumn("title", S.quote_title(F.col("heading"), F.col("cut")))
     rows = rows.withColumn("description", S.quote_description(F.col("cut"), F.col("title"), F.col("p.price")))
     score = S.quote_confidence(F.col("p.price"), F.col("p.currency"), F.col("title"), F.col("description"), F.lit(""), F.lit(True), S.starts_from(F.col("cut")))
     return rows.select(*keep, F.col("url").alias("source_url"), "root", "pos", "company", "title", "p.price", "p.amount", "p.currency", "description", F.lit(scope).alias("extraction_scope"), score.alias("confidence"))
@@ -127,14 +124,38 @@ def attach_companies(found: DataFrame, companies: DataFrame, key: str, least: fl
     return rest.select(*found.columns).unionByName(best.select(*found.columns))
 
 
+def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:
+    """``(seed, needle, hay)`` of a seed's strings ``needle`` that stand in its strings ``hay``; empty ones stand nowhere.
+
+    What stands in a string has all its pieces of three characters (or itself, if it is shorter) in it: needles ask by
+    the piece that the fewest strings have.
+    """
+    hays = hays.select("seed", "hay").filter("hay <> ''").distinct()
+    places = F.sequence(F.lit(1), F.length("hay"))
+    pieces = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(*[F.substring("hay", i, F.lit(n)) for n in (1, 2, 3)]))))
+    flat = hays.select("seed", "hay", F.explode(pieces).alias("piece"))
+    known = flat.groupBy("seed", "piece").agg(F.count("*").alias("n"))
+    needles = needles.select("seed", "needle").filter("needle <> ''").distinct()
+    own = F.transform(F.sequence(F.lit(1), F.greatest(F.length("needle") - 2, F.lit(1))), lambda i: F.substring("needle", i, F.lit(3)))
+    asked = needles.select("seed", "needle", F.explode(own).alias("piece")).join(known, ["seed", "piece"], "left")
+    asked = asked.groupBy("seed", "needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("m")).select("seed", "needle", F.col("m.piece").alias("piece"))
+    return asked.join(flat, ["seed", "piece"]).filter(F.col("hay").contains(F.col("needle"))).select("seed", "needle", "hay")
+
+
 def quotes_for_company(found: DataFrame, rows: DataFrame, seed: str) -> DataFrame:
     """``rows`` with ``quotes``: all of the seed's if it has one company, else those whose company holds the listing name or is in it.
 
-    ``rows`` has ``seed, row_id, listing_name, n_companies``. An empty listing name matches every named quote.
+    ``rows`` has ``seed, row_id, listing_name, n_companies``. An empty listing name matches every named quote. Names meet by their pieces, never
+    all with all.
     """
-    quote = found.select(F.col(seed).alias("_s"), F.struct("place", "title", "price", "currency").alias("q"), F.lower(F.coalesce("company", F.lit(""))).alias("owner"))
-    name = F.lower(F.coalesce("listing_name", F.lit("")))
-    fits = (F.col("n_companies") == 1) | ((F.col("owner") != "") & (name.contains(F.col("owner")) | F.col("owner").contains(name)))
-    met = rows.join(quote, (F.col(seed) == F.col("_s")) & fits, "left")
-    lists = met.groupBy(seed, "row_id").agg(F.array_sort(F.collect_list("q")).alias("quotes"))
+    quote = found.select(F.col(seed).alias("seed"), F.struct("place", "title", "price", "currency").alias("q"), F.lower(F.coalesce("company", F.lit(""))).alias("owner"))
+    asked = rows.select(F.col(seed).alias("seed"), "row_id", F.lower(F.coalesce("listing_name", F.lit(""))).alias("name"), "n_companies")
+    single, many = asked.filter("n_companies = 1"), asked.filter("n_companies <> 1")
+    owners, names = quote.select("seed", "owner").distinct(), many.select("seed", "name").distinct()
+    inside = contained(names.withColumnRenamed("name", "needle"), owners.withColumnRenamed("owner", "hay")).select("seed", F.col("needle").alias("name"), F.col("hay").alias("owner"))
+    around = contained(owners.withColumnRenamed("owner", "needle"), names.withColumnRenamed("name", "hay")).select("seed", F.col("hay").alias("name"), F.col("needle").alias("owner"))
+    met = many.join(inside.unionByName(around).distinct(), ["seed", "name"]).join(quote, ["seed", "owner"]).select("seed", "row_id", "q")
+    met = met.unionByName(many.filter("name = ''").join(quote.filter("owner <> ''"), "seed").select("seed", "row_id", "q"))
+    met = met.unionByName(single.join(quote, "seed").select("seed", "row_id", "q"))
+    lists = met.groupBy(F.col("seed").alias(seed), "row_id").agg(F.array_sort(F.collect_list("q")).alias("quotes"))
     return rows.join(lists, [seed, "row_id"], "left")

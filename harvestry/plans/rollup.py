@@ -115,8 +115,3 @@ def write_exports(seeds: DataFrame, rows: DataFrame, path: str) -> None:
     """JSON lines and CSV files by seed under ``path``. Keys of seeds may clash, so the seed itself stays in every row."""
     seeds.withColumn("key", U.output_key(F.col("seed_url"))).write.partitionBy("key").mode("overwrite").json(f"{path}/json")
     rows.withColumn("key", U.output_key(F.col("seed_url"))).write.partitionBy("key").mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/csv")
-
-
-def compact_url(col: Column) -> Column:
-    return F.regexp_replace(U.part(col, 2), r"^www\.|:\d+$", "")
-

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
+from urllib.parse import urldefrag, urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,16 +20,37 @@ BLOCKS = frozenset("address article aside blockquote div dl fieldset footer form
 FENCES = frozenset("ul ol table dl select body html".split())
 HEAD = frozenset("title meta link style script base".split())
 NODE = "array<struct<node_id: int, end_id: int, parent_id: int, depth: int, tag: string, id: string, classes: array<string>, attrs: map<string, string>, path: string, tok_start: int, tok_len: int, html_start: int, html_len: int>>"
+#: The attribute that holds the ``href`` of a link on the URL of its page.
+RESOLVED = "@url"
 #: Code points of markup whose nodes leave a task at a time.
 FLUSH = 4 << 20
 
 
+def resolved(base: str | None, href: str | None) -> str | None:
+    """A reference on its base, without fragment and trailing slash; null if it can't be resolved."""
+    href = (href or "").strip()
+    try:
+        return urldefrag(urljoin(base or "", href))[0].rstrip("/") if href else ""
+    except ValueError:
+        return None
+
+
+def plain(text: str) -> str:
+    """A text of the parsed page with entities that were written twice resolved too."""
+    return unescape(text) if "&" in text else text
+
+
 class _Nodes(HTMLParser):
-    """Nodes in document order; ``end_id`` is one behind the last descendant, tokens are text outside scripts and styles."""
+    """Nodes in document order; ``end_id`` is one behind the last descendant, tokens are text outside scripts and styles.
+
+    All entities are resolved, also those that were written twice. Links have their URL, and scripts of JSON-LD are kept.
+    """
 
-    def __init__(self, markup: str):
+    def __init__(self, markup: str, url: str | None = None):
         super().__init__(convert_charrefs=True)
+        self.url = url
         self.nodes: list[dict] = []
+        self.scripts: list[str] = []
         self.open: list[dict] = []
         self.tokens: list[str] = []
         self.lines = [0]
@@ -46,6 +69,8 @@ class _Nodes(HTMLParser):
 
     def _close_from(self, depth: int, at: int) -> None:
         for node in self.open[depth:]:
+            if "_text" in node and node["tag"] == "script" and "application/ld+json" in dict(node["attrs"]).get("type", "").lower():
+                self.scripts.append("".join(node["_text"]))
             node["end_id"], node["tok_len"], node["html_len"] = len(self.nodes), len(self.tokens) - node["tok_start"], at - node["html_start"]
         del self.open[depth:]
 
@@ -77,7 +102,9 @@ class _Nodes(HTMLParser):
     def _push(self, tag: str, attrs: list, at: int) -> None:
         known: dict[str, str] = {}
         for k, v in attrs:
-            known.setdefault(k, v or "")
+            known.setdefault(k, plain(v or ""))
+        if tag == "a" and "href" in known and (url := resolved(self.url, known["href"])) is not None:
+            known[RESOLVED] = url
         classes = known.get("class", "").split()
         label = tag + (f"#{known['id']}" if known.get("id") else "." + ".".join(classes[:2]) if classes else "")
         path = [*(self.open[-1]["_path"] if self.open else []), label] if tag != "html" else []
@@ -119,42 +146,45 @@ class _Nodes(HTMLParser):
         if data.strip() and inside not in HEAD:
             self._ensure_body("#text", self._at())
         if self.open:
-            self.tokens.append(data)
+            self.tokens.append(plain(data))
 
 
-def _parsed(markup: str | None) -> tuple[list[dict], list[str], str | None]:
+def _parsed(markup: str | None, url: str | None = None) -> tuple[list[dict], list[str], list[str], str | None]:
     try:
-        found = _Nodes(markup or "")
+        found = _Nodes(markup or "", url)
     except Exception as error:  # a page that can't be parsed is a row with an error, and the job goes on
-        return [], [], f"{type(error).__name__}: {error}"
-    return [{k: v for k, v in n.items() if k[0] != "_"} for n in found.nodes], found.tokens, None
+        return [], [], [], f"{type(error).__name__}: {error}"
+    return [{k: v for k, v in n.items() if k[0] != "_"} for n in found.nodes], found.tokens, found.scripts, None
 
 
 def parse_pages(pages: DataFrame, *keep: str) -> DataFrame:
-    """One row per page: the columns ``keep``, ``url``, ``html``, and ``nodes``, ``tokens``, ``error``.
+    """One row per page: the columns ``keep``, ``url``, ``html``, and ``nodes``, ``tokens``, ``scripts``, ``error``.
 
     Nodes are in document order, so that the subtree of a node is the slice from it to ``end_id``, and its text the
-    tokens ``tok_start`` to ``tok_start + tok_len``. Missing ``html`` and ``body`` are added, void and implied ends are closed. Null
-    markup is a page without nodes; a page that fails has an ``error`` and no nodes.
+    tokens ``tok_start`` to ``tok_start + tok_len``. Missing ``html`` and ``body`` are added, void and implied ends are closed. A link's URL is its attribute
+    ``RESOLVED``, ``scripts`` are the bodies of JSON-LD scripts. Null markup is a page without nodes; a page that fails has an ``error`` and no nodes.
     """
     names = ["url", "html", *keep]
-    node = pa.list_(pa.struct([("node_id", pa.int32()), ("end_id", pa.int32()), ("parent_id", pa.int32()), ("depth", pa.int32()), ("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("path", pa.string()), ("tok_start", pa.int32()), ("tok_len", pa.int32()), ("html_start", pa.int32()), ("html_len", pa.int32())]))
+    ints = ("node_id", "end_id", "parent_id", "depth")
+    node = [(n, pa.int32()) for n in ints] + [("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("path", pa.string())]
+    node += [(n, pa.int32()) for n in ("tok_start", "tok_len", "html_start", "html_len")]
+    kinds = [pa.list_(pa.struct(node)), pa.list_(pa.string()), pa.list_(pa.string()), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, start, size = [], 0, 0
-            for k, markup in enumerate(batch.column("html")):
-                out.append(_parsed(markup.as_py()))
+            for k, (url, markup) in enumerate(zip(batch.column("url"), batch.column("html"))):
+                out.append(_parsed(markup.as_py(), url.as_py()))
                 size += len(markup.as_py() or "")
                 if size >= FLUSH or k == batch.num_rows - 1:
                     part = batch.slice(start, k + 1 - start)
-                    more = [pa.array([x[0] for x in out], node), pa.array([x[1] for x in out], pa.list_(pa.string())), pa.array([x[2] for x in out], pa.string())]
-                    yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*names, "nodes", "tokens", "error"])
+                    more = [pa.array(c, t) for c, t in zip(zip(*out), kinds)]
+                    yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*names, "nodes", "tokens", "scripts", "error"])
                     out, start, size = [], k + 1, 0
 
     rows = pages.select(F.col("url").cast("string"), F.col("html").cast("string"), *keep)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.mapInArrow(run, f"{schema}, nodes {NODE}, tokens array<string>, error string")
+    return rows.mapInArrow(run, f"{schema}, nodes {NODE}, tokens array<string>, scripts array<string>, error string")
 
 
 def node_table(parsed: DataFrame, *keep: str) -> DataFrame:

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 KEYS = ("seed_url", "url")
+#: Folders that seeds are dealt to by a hash.
+BUCKETS = 256
 
 
 def new_pages(stream: DataFrame, keys: tuple[str, ...] = KEYS, time_col: str | None = None, delay: str = "1 day") -> DataFrame:
@@ -21,17 +24,22 @@ def new_pages(stream: DataFrame, keys: tuple[str, ...] = KEYS, time_col: str | N
 def snapshots(stream: DataFrame, path: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame], rebuild: Callable[[DataFrame], DataFrame], **trigger) -> StreamingQuery:
     """Run ``extract`` on new pages, and ``rebuild`` for the seeds that they touch.
 
-    Rows of ``extract`` (with ``seed_url``) go to ``<path>/records`` in a folder per batch, so that a batch that is repeated replaces its own rows. All
-    records of the touched seeds are then rebuilt, and replace those seeds' partitions of ``<path>/seeds``.
+    Rows of ``extract`` (with ``seed_url``) go to ``<path>/records`` in a folder per batch and bucket of seeds, so that a batch that is repeated replaces
+    its own rows. The records of the touched buckets alone are then read and rebuilt, and replace those buckets of ``<path>/seeds``.
     """
+    bucket = F.pmod(F.xxhash64("seed_url"), F.lit(BUCKETS)).cast("int")
 
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        extract(batch).write.mode("overwrite").parquet(f"{path}/records/batch={number}")
-        touched = spark.read.parquet(f"{path}/records/batch={number}").select("seed_url").distinct()
-        records = spark.read.parquet(f"{path}/records").drop("batch").join(touched, "seed_url", "left_semi")
-        done = rebuild(records).withColumn("seed", F.sha2(F.col("seed_url"), 256))
-        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("seed").parquet(f"{path}/seeds")
+        extract(batch).withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/records/batch={number}")
+        try:
+            fresh = spark.read.parquet(f"{path}/records/batch={number}")
+        except AnalysisException:  # a batch without rows has no files
+            return
+        touched = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # at most BUCKETS
+        records = spark.read.parquet(f"{path}/records").filter(F.col("bucket").isin(touched)).drop("batch", "bucket")
+        done = rebuild(records).withColumn("bucket", bucket)
+        done.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{path}/seeds")
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
