@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from harvestry.functions import scoring as S
 from harvestry.functions import text as T
@@ -16,7 +17,7 @@ from harvestry.operators import blocks as B
 from harvestry.operators import links as L
 from harvestry.operators import quotes as Q
 from harvestry.operators import requests as R
-from harvestry.operators.resolve import name_links, resolve
+from harvestry.operators.resolve import SAME_NAME, name_links, resolve
 from harvestry.plans import corpora, directory, rollup
 from harvestry.sources.html import node_table, parse_pages
 from harvestry.sources.shared import materialize, shared_dir, table
@@ -44,6 +45,12 @@ def _any(words) -> str:
     return "(" + "|".join("".join("\\" + c if c in special else c for c in w) for w in words).replace("'", "''") + ")"
 
 
+def _word(words: str) -> str:
+    """A pattern for any of the words between bounds, in SQL text whose bounds know ASCII only. A dot that may follow a word is a bound itself."""
+    edge = r"[^\p{L}\p{N}_]"
+    return f"(^|{edge})({words.replace(chr(92) + '.?', '')})($|{edge})"
+
+
 EMAIL_FOUND, EMAIL_SHAPE = V.EMAIL_FOUND.replace("'", "''"), V.EMAIL_SHAPE.replace("'", "''")
 
 
@@ -111,7 +118,7 @@ _ANCHORS = f"""
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = L.internal_links(L.resolve(L.anchors(table(spark, sf_dir, "pages"), "page_id")))
+    links = L.internal_links(L.anchors(table(spark, sf_dir, "pages"), "page_id"))
     return L.top_links(links, "page_id")
 
 
@@ -147,15 +154,37 @@ def unseen_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.unseen(ranked, ranked.filter("rank <= 2"), ("url",)).select("seed_url", "url").distinct()
 
 
-@query()
+def _crawl_level(k: int) -> str:
+    """One level of a crawl in SQL: what level ``k - 1`` links to and nobody has seen, by its first parent, up to 150 pages."""
+    return f"""
+    f{k} AS (SELECT v.seed_url, l.url, v.url AS parent_url, v.rank AS pr, l.rank AS lr, row_number() OVER (PARTITION BY v.seed_url, l.url ORDER BY v.rank, l.rank, v.url) AS n
+        FROM v{k - 1} v JOIN l ON l.page_url = v.url WHERE v.depth = {k - 1} AND NOT EXISTS (SELECT 1 FROM v{k - 1} w WHERE w.seed_url = v.seed_url AND w.url = l.url)),
+    g{k} AS (SELECT f.seed_url, f.url, {k} AS depth, f.parent_url, (c.n + row_number() OVER (PARTITION BY f.seed_url ORDER BY pr, lr, f.url))::INT AS rank
+        FROM f{k} f JOIN (SELECT seed_url, count(*) AS n FROM v{k - 1} GROUP BY seed_url) c ON c.seed_url = f.seed_url WHERE f.n = 1),
+    v{k} AS (SELECT * FROM v{k - 1} UNION ALL SELECT * FROM g{k} WHERE rank <= 150)"""
+
+
+@query(f"""
+    WITH e AS (SELECT 'customer/' || o_custkey AS page_url, 'order/' || o_orderkey AS url FROM orders
+        UNION SELECT 'order/' || l_orderkey, 'supplier/' || l_suppkey FROM lineitem
+        UNION SELECT 'supplier/' || s_suppkey, 'nation/' || s_nationkey FROM supplier),
+    l AS (SELECT page_url, url, row_number() OVER (PARTITION BY page_url ORDER BY url) AS rank FROM e),
+    v0 AS (SELECT 'customer/' || c_custkey AS seed_url, 'customer/' || c_custkey AS url, 0 AS depth, NULL::VARCHAR AS parent_url, 1 AS rank FROM customer),
+    {", ".join(_crawl_level(k) for k in (1, 2, 3))}
+    SELECT seed_url, url, depth, parent_url, rank FROM v3""")
 def crawl_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What a crawl of every host visits, over the links that pages of the host share."""
-    pages = directory.with_seed(table(spark, sf_dir, "pages"))
-    ranked = _ranked(spark, sf_dir).join(pages.select("page_id", "seed_url", F.col("url").alias("page_url")), "page_id")
-    # a linked path stands for the page that the host shows there
-    links = ranked.select("page_url", "url", "rank").unionByName(ranked.select(F.col("url").alias("page_url"), F.col("page_url").alias("url"), F.lit(1000).alias("rank")))
-    start = pages.groupBy("seed_url").agg(F.min("url").alias("url")).select("seed_url", "url", F.lit(0).alias("rank"))
-    return L.frontier(start, links)
+    """What a crawl from every customer visits over orders and suppliers to nations, each linked to the next."""
+
+    def page(kind: str, key: str) -> Column:
+        return F.concat(F.lit(f"{kind}/"), F.col(key))
+
+    links = table(spark, sf_dir, "orders").select(page("customer", "o_custkey").alias("page_url"), page("order", "o_orderkey").alias("url"))
+    links = links.union(table(spark, sf_dir, "lineitem").select(page("order", "l_orderkey"), page("supplier", "l_suppkey")))
+    links = links.union(table(spark, sf_dir, "supplier").select(page("supplier", "s_suppkey"), page("nation", "s_nationkey"))).distinct()
+    links = links.withColumn("rank", F.row_number().over(Window.partitionBy("page_url").orderBy("url")))
+    url = page("customer", "c_custkey")
+    start = table(spark, sf_dir, "customer").select(url.alias("seed_url"), url.alias("url"), F.lit(0).alias("rank"))
+    return L.frontier(start, materialize(links, "links"))
 
 
 @query(f"""
@@ -185,10 +214,10 @@ def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
     c AS (SELECT doc_id, pos, trim(regexp_replace(line, '[\\s\\p{Z}]+', ' ', 'g'), ' :|-') AS cleaned FROM l)
-    SELECT doc_id, pos, cleaned, rtrim(cleaned[1:40]) AS cut FROM c WHERE pos < 3""")
+    SELECT doc_id, pos, cleaned, rtrim(cleaned[1:40]) AS cut FROM c""")
 def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three lines of every document, cleaned and cut."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).filter("pos < 3")
+    """All lines of every document, cleaned and cut."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     return rows.select("doc_id", "pos", T.clean_text(F.col("line")).alias("cleaned"), T.clean_text(F.col("line"), 40).alias("cut"))
 
 
@@ -202,20 +231,21 @@ def _deobfuscated(sql: str) -> str:
     return sql
 
 
-@query(f"SELECT doc_id, md5({_deobfuscated('text')}) AS digest, len(regexp_extract_all({_deobfuscated('text')}, '{EMAIL_FOUND}')) AS n_emails FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, md5({_deobfuscated('text')}) AS digest, len(regexp_extract_all({_deobfuscated('text')}, '{EMAIL_FOUND}')) AS n_emails FROM documents")
 def deobfuscated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """English documents with spelled-out signs put back, and how many emails that makes."""
-    rows = table(spark, sf_dir, "documents").filter("lang = 'en'").withColumn("t", T.deobfuscate(F.col("text")))
+    """Documents with spelled-out signs put back, and how many emails that makes."""
+    rows = table(spark, sf_dir, "documents").withColumn("t", T.deobfuscate(F.col("text")))
     return rows.select("doc_id", F.md5("t").alias("digest"), F.size(T.find_emails(F.col("t"))).cast("long").alias("n_emails"))
 
 
-@query(_ANCHORS + f""" SELECT page_id, pos, regexp_replace(anchor_text, '\\b({'|'.join(V.TRAILING_NAV)})\\b$', '', 'i') AS name,
+@query(_ANCHORS + f""", n AS (SELECT *, trim(regexp_replace(anchor_text, '(^|[^\\p{{L}}\\p{{N}}_])({'|'.join(V.TRAILING_NAV)})$', '', 'i'), ' :|-') AS cut FROM r)
+    SELECT page_id, pos, CASE WHEN length(cut) < 2 THEN '' ELSE cut END AS name,
       length(anchor_text) >= 2 AND lower(anchor_text) NOT IN ({', '.join(f"'{n}'" for n in V.NOISE_NAMES)}) AS real_name,
       length(anchor_text) BETWEEN 2 AND 90 AND NOT regexp_matches(anchor_text, '[0-9]{{5,}}') AND anchor_text NOT LIKE '%@%' AND NOT regexp_matches(anchor_text, '\\b({'|'.join(V.NOT_A_NAME)})\\b', 'i') AS name_line
-    FROM r WHERE regexp_matches(anchor_text, '^[a-zA-Z ]{{2,}}$')""")
+    FROM n""")
 def anchor_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchor texts as company names."""
-    rows = L.anchors(table(spark, sf_dir, "pages"), "page_id").filter(F.col("anchor_text").rlike("^[a-zA-Z ]{2,}$"))
+    rows = L.anchors(table(spark, sf_dir, "pages"), "page_id")
     a = F.col("anchor_text")
     return rows.select("page_id", "pos", T.clean_company_name(a).alias("name"), T.has_real_name(a).alias("real_name"), T.looks_like_name(a).alias("name_line"))
 
@@ -223,16 +253,16 @@ def anchor_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""
     WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
     c AS (SELECT doc_id, pos, rtrim(trim(regexp_replace(raw, '[\\s\\p{{Z}}]+', ' ', 'g'), ' :|-')[1:240]) AS line FROM l)
-    SELECT doc_id, pos, length(line) AS n FROM c WHERE length(line) BETWEEN 12 AND 240 AND line NOT LIKE '%@%' AND NOT regexp_matches(line, '[^ -~]')
-      AND (regexp_matches(line, '\\b({V.ADDRESS_HINTS})\\b', 'i') OR (line LIKE '%,%' AND regexp_matches(line, '\\b({V.STATES})\\b', 'i')))""")
+    SELECT doc_id, pos, length(line) AS n FROM c WHERE length(line) BETWEEN 12 AND 240 AND line NOT LIKE '%@%'
+      AND (regexp_matches(line, '{_word(V.ADDRESS_HINTS)}', 'i') OR (line LIKE '%,%' AND regexp_matches(line, '{_word(V.STATES)}', 'i')))""")
 def address_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents, of plain ASCII, with the look of an address."""
+    """Lines of documents with the look of an address."""
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).withColumn("line", T.clean_text(F.col("raw"), 240))
-    return rows.filter(T.looks_like_address(F.col("line")) & ~F.col("line").rlike("[^ -~]")).select("doc_id", "pos", F.length("line").alias("n"))
+    return rows.filter(T.looks_like_address(F.col("line"))).select("doc_id", "pos", F.length("line").alias("n"))
 
 
 @query("""
-    WITH r AS (SELECT page_id // 12 AS request_id, page_id AS pos, CASE page_id % 5 WHEN 0 THEN regexp_replace(url, '^https?://', '') WHEN 1 THEN 'not-a-url' WHEN 2 THEN '' ELSE url END AS u FROM pages WHERE page_id % 12 < 9 OR (page_id // 12) % 2 = 0),
+    WITH r AS (SELECT page_id // 12 * 2 + CASE WHEN page_id % 12 >= 9 AND page_id // 12 % 2 = 1 THEN 1 ELSE 0 END AS request_id, page_id AS pos, CASE page_id % 5 WHEN 0 THEN regexp_replace(url, '^https?://', '') WHEN 1 THEN 'not-a-url' WHEN 2 THEN '' ELSE url END AS u FROM pages),
     v AS (SELECT *, u <> '' AND u <> 'not-a-url' AS ok FROM r),
     g AS (SELECT request_id, count(*) AS n, count(*) FILTER (WHERE ok) AS good, count(*) FILTER (WHERE u = 'not-a-url') AS bad,
           string_agg(CASE WHEN u LIKE 'http%' THEN u ELSE 'https://' || u END, ' ' ORDER BY pos) FILTER (WHERE ok) AS urls FROM v GROUP BY request_id)
@@ -240,11 +270,12 @@ def address_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
            WHEN bad > 0 THEN 'Validated ' || good || ' URLs. ' || bad || ' invalid.' ELSE 'All URLs are valid' END AS message,
            CASE WHEN n <= 10 AND good > 0 THEN urls ELSE '' END AS urls, CASE WHEN n <= 10 AND good > 0 THEN good ELSE 0 END::INT AS count FROM g""")
 def url_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Page URLs, some without scheme, blank or wrong, as batches of requests."""
-    p = table(spark, sf_dir, "pages").filter("page_id % 12 < 9 or floor(page_id / 12) % 2 = 0")
+    """All page URLs, some without scheme, blank or wrong, as batches of three, nine or twelve."""
+    p = table(spark, sf_dir, "pages")
+    request = F.expr("floor(page_id / 12) * 2 + if(page_id % 12 >= 9 and floor(page_id / 12) % 2 = 1, 1, 0)")
     way = F.col("page_id") % 5
     url = F.when(way == 0, F.regexp_replace("url", "^https?://", "")).when(way == 1, "not-a-url").when(way == 2, "").otherwise(F.col("url"))
-    done = R.validate_batches(p.select(F.floor(F.col("page_id") / 12).alias("request_id"), F.col("page_id").alias("pos"), url.alias("url")))
+    done = R.validate_batches(p.select(request.alias("request_id"), F.col("page_id").alias("pos"), url.alias("url")))
     return done.select("request_id", "valid", "message", F.array_join("valid_urls", " ").alias("urls"), "count")
 
 
@@ -265,37 +296,73 @@ def anchor_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.posexplode("x").alias("pos", "a")).select("page_id", F.col("pos").cast("long").alias("pos"), T.clean_text(F.col("a.text")).alias("text"), "a.path")
 
 
-_FACTS = """
+_FACTS = f"""
     WITH f AS (SELECT s_suppkey AS key, 'Vendor House ' || s_suppkey AS name, 'sales' || s_suppkey || '@house' || s_suppkey || '.co' AS email, '+1202' || lpad(s_suppkey::VARCHAR, 7, '5') AS phone,
-               s_suppkey || ' Market Street, ' || upper(n_name[1:1]) || lower(n_name[2:]) AS address, 'https://facebook.com/house' || s_suppkey AS social, s_suppkey // 25 AS page
+               s_suppkey || ' Market Street, ' || upper(n_name[1:1]) || lower(n_name[2:]) AS address, 'https://facebook.com/house' || s_suppkey AS social, s_suppkey // {corpora.CARDS} AS page
                FROM supplier JOIN nation ON s_nationkey = n_nationkey)"""
+_DIRECTORY = """
+    SELECT page AS page_id, name AS company_name, CASE WHEN key % 5 <> 0 THEN email END AS email, phone, address, CASE WHEN key % 3 = 2 THEN 'https://wa.me/' || phone END AS website,
+           CASE WHEN key % 7 <> 0 THEN social END AS social,
+           least(100, 71 + CASE WHEN key % 5 <> 0 THEN 18 ELSE 0 END + CASE WHEN key % 3 = 2 THEN 12 ELSE 0 END + CASE WHEN key % 7 <> 0 THEN 7 ELSE 0 END) / 100.0::DOUBLE AS confidence FROM f"""
 
 
-@query(_FACTS + " SELECT page AS page_id, name AS company_name, email, phone, address, social, 0.96::DOUBLE AS confidence FROM f")
+@query(_FACTS + _DIRECTORY)
 def directory_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A directory rendered from suppliers, read back as companies."""
+    """A directory rendered from suppliers in many shapes, read back as companies."""
     return flagship(spark, sf_dir)
 
 
+def _companies(parsed: DataFrame, **options) -> DataFrame:
+    return B.entities(B.detect_blocks(materialize(parsed, "parsed"), "page_id", **options), "page_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Companies of every page of the rendered directory."""
-    parsed = materialize(parse_pages(corpora.directory_pages(spark, sf_dir), "page_id"), "parsed")
-    found = B.entities(B.detect_blocks(parsed, "page_id"), "page_id")
-    return found.select("page_id", "company_name", "email", "phone", "address", F.get("socials", F.lit(0)).alias("social"), "confidence")
+    found = _companies(parse_pages(corpora.directory_pages(spark, sf_dir), "page_id"))
+    return found.select("page_id", "company_name", "email", "phone", "address", "website", F.get("socials", F.lit(0)).alias("social"), "confidence")
+
+
+@query(_FACTS + """, t AS (SELECT key // 100 AS page, name, row_number() OVER (PARTITION BY key // 100 ORDER BY
+      length(name) + length(address) + CASE key % 4 WHEN 1 THEN 16 WHEN 2 THEN 12 WHEN 3 THEN 8 ELSE 0 END + CASE WHEN key % 5 <> 0 THEN 8 ELSE 0 END
+      + CASE key % 3 WHEN 0 THEN 8 WHEN 1 THEN 10 + length(phone) ELSE 5 END + CASE WHEN key % 3 = 2 THEN 9 ELSE 0 END + CASE WHEN key % 7 <> 0 THEN 5 ELSE 0 END, key) AS n FROM f)
+    SELECT page AS page_id, name AS company_name FROM t WHERE n <= 80""")
+def capped_directory_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a hundred cards, of which the cap lets the eighty shortest pass."""
+    return _companies(parse_pages(corpora.directory_pages(spark, sf_dir, 100), "page_id")).select("page_id", "company_name")
 
 
 @query(_FACTS + " SELECT page AS page_id, name AS company_name, email FROM f")
 def disguised_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Emails that are spelled out, protected by a key, or in base64."""
-    parsed = materialize(parse_pages(corpora.disguised_pages(spark, sf_dir), "page_id"), "parsed")
-    return B.entities(B.detect_blocks(parsed, "page_id"), "page_id").select("page_id", "company_name", "email")
+    """Emails that are spelled out, protected by a key, or in base64, on pages of more hits than the usual cap."""
+    return _companies(parse_pages(corpora.disguised_pages(spark, sf_dir), "page_id"), cap=None).select("page_id", "company_name", "email")
+
+
+@query(_FACTS + " SELECT key AS page_id, name AS company_name, email, 'https://section.house/' || key AS source_url FROM f")
+def section_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without any listing, of which a section tells the company."""
+    return _companies(parse_pages(corpora.section_pages(spark, sf_dir), "page_id")).select("page_id", "company_name", "email", "source_url")
+
 
+@query(_FACTS + """ SELECT page AS page_id, 'Café House ' || key AS company_name,
+      CASE key % 3 WHEN 0 THEN 'https://sites.house/go/' || key WHEN 1 THEN 'https://shop' || key || '.co/a?x=1&y=2' ELSE 'https://shop' || key || '.co/./b/../c' END AS website,
+      'https://instagram.com/house' || key AS social FROM f""")
+def company_websites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Websites by relative, unquoted and dotted links, and names with entities."""
+    found = _companies(parse_pages(corpora.website_pages(spark, sf_dir), "page_id"), cap=None)
+    return found.select("page_id", "company_name", "website", F.get("socials", F.lit(0)).alias("social"))
 
-@query(_FACTS + " SELECT key AS page_id, name AS company_name, email, phone, address || CASE WHEN key % 2 = 0 THEN ', US' ELSE '' END AS address, 0.79::DOUBLE AS confidence FROM f")
+
+_STRUCTURED = """
+    SELECT key AS page_id, name || ' & Sóns' AS company_name, CASE WHEN key % 5 <> 4 THEN email END AS email, CASE WHEN key % 5 <> 4 THEN phone END AS phone,
+           CASE WHEN key % 5 <> 4 THEN address || CASE WHEN key % 2 = 0 THEN ', US' ELSE '' END END AS address, CASE WHEN key % 5 = 4 THEN 'https://structured.house/about?x=1' END AS website,
+           CASE WHEN key % 5 = 4 THEN 0.44 ELSE 0.79 END::DOUBLE AS confidence, key % 5 = 4 AS low_confidence FROM f"""
+
+
+@query(_FACTS + _STRUCTURED)
 def structured_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Companies in JSON-LD objects, lists and graphs."""
-    found = B.structured_entities(corpora.structured_pages(spark, sf_dir), "page_id")
-    return found.select("page_id", "company_name", "email", "phone", "address", "confidence")
+    """Companies in JSON-LD objects, lists and graphs, and whether their confidence is low."""
+    found = B.structured_entities(parse_pages(corpora.structured_pages(spark, sf_dir), "page_id"), "page_id")
+    return B.with_low_confidence(found).select("page_id", "company_name", "email", "phone", "address", "website", "confidence", "low_confidence")
 
 
 @query("""
@@ -317,59 +384,97 @@ def resolved_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.groupBy(F.col("scope").alias("seed"), key.alias("c_custkey")).agg(F.count("*").alias("n_companies"), F.max("confidence").alias("confidence"))
 
 
+@query("""
+    WITH c AS (SELECT c_custkey // 50 AS seed, c_custkey AS k, c_custkey % 4 AS way, unnest([0, 1]) AS side FROM customer),
+    m AS (SELECT seed, k, side, CASE WHEN way = 3 THEN 0.6 ELSE 0.65 END::DOUBLE AS confidence FROM c WHERE side = 0 OR way = 3)
+    SELECT seed, k AS c_custkey, side, row_number() OVER (PARTITION BY seed ORDER BY confidence DESC, 'https://pages.house/' || side || '/' || k)::INT AS place FROM m""")
+def ranked_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged customers of each seed, best first."""
+    done = resolve(corpora.customer_records(spark, sf_dir), "seed")
+    part = [F.regexp_extract("source_url", r"house/(\d)/(\d+)", k) for k in (1, 2)]
+    return done.select(F.col("scope").alias("seed"), part[1].cast("long").alias("c_custkey"), part[0].cast("int").alias("side"), "place")
+
+
 @query()
 def similar_customer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customer names that are nearly the same, by nation."""
+    """Customer names that are nearly the same, the earlier against the later, by nation."""
     rows = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("scope"), F.col("c_custkey").alias("eid"), F.col("c_name").alias("company_name"))
     pairs = materialize(name_links(rows), "pairs")
     names = rows.select("eid", "company_name")
     both = pairs.join(names.withColumnsRenamed({"eid": "a", "company_name": "left_name"}), "a").join(names.withColumnsRenamed({"eid": "b", "company_name": "right_name"}), "b")
-    return both.select("a", "b", name_ratio("left_name", "right_name").alias("ratio"))
+    return both.select("a", "b", name_ratio("left_name", "right_name").alias("ratio")).filter(F.col("ratio") >= SAME_NAME)
 
 
-def _pages_with_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Directory cards with a price each, on pages of three seeds."""
+def _seed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directory cards with a price each, two pages a seed; every third seed has a page that could not be had, and each nation a seed with nothing else."""
     f = corpora.supplier_facts(spark, sf_dir)
     card = F.concat(F.lit("<div><h3>"), "name", F.lit('</h3><a href="mailto:'), "email", F.lit('">Mail</a><address>'), "address", F.lit("</address><p>from $"), F.col("key") + 100, F.lit("</p></div>"))
     pages = corpora._pages(f.select("page", F.col("key").alias("at"), card.alias("card")), "priced.house", '<main class="directory-results">', "</main>")
-    return pages.withColumn("seed_url", F.concat(F.lit("seed"), F.col("page_id") % 3))
+    seed = F.floor(F.col("page_id") / 2)
+    pages = pages.withColumns({"seed_url": F.concat(F.lit("seed"), seed), "fetch_error": F.lit(None).cast("string")})
+    nothing = F.lit(None).cast("string")
+    late = pages.filter((F.col("page_id") % 6) == 0).select((F.col("page_id") + 1_000_000_000).alias("page_id"), F.concat("url", F.lit("/late")).alias("url"), nothing.alias("html"), "seed_url", F.lit("timeout").alias("fetch_error"))
+    key = F.col("n_nationkey").cast("long")
+    lost = table(spark, sf_dir, "nation").select((key + 2_000_000_000).alias("page_id"), F.concat(F.lit("https://lost.house/"), key).alias("url"), nothing.alias("html"), F.concat(F.lit("lost"), key).alias("seed_url"), F.lit("refused").alias("fetch_error"))
+    return pages.unionByName(late).unionByName(lost)
 
 
-_SEEDS = _FACTS + """, s AS (SELECT *, 'seed' || (page % 3) AS seed_url FROM f)"""
+def _seeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return directory.seeds(directory.extract(_seed_pages(spark, sf_dir), cap=None))
 
 
-@query(_SEEDS + """
-    SELECT seed_url, count(DISTINCT page) AS n_pages, count(*) AS n_companies, count(*) AS n_quotes, 0 AS n_errors, 'success' AS status, string_agg(email, ' ' ORDER BY email) AS emails FROM s GROUP BY seed_url""")
+_SEEDS = _FACTS + """, s AS (SELECT *, 'seed' || (page // 2) AS seed_url FROM f),
+    late AS (SELECT DISTINCT seed_url FROM s WHERE page % 6 = 0)"""
+_RESULTS = _SEEDS + """, r AS (
+    SELECT s.seed_url, count(DISTINCT page) + count(DISTINCT late.seed_url) AS n_pages, count(*) AS n_companies, count(*) AS n_quotes, count(DISTINCT late.seed_url) AS n_errors,
+           CASE WHEN count(late.seed_url) > 0 THEN 'partial' ELSE 'success' END AS status, string_agg(email, ' ' ORDER BY email) AS emails
+    FROM s LEFT JOIN late ON late.seed_url = s.seed_url GROUP BY s.seed_url
+    UNION ALL SELECT 'lost' || n_nationkey, 1, 0, 0, 1, 'error', '' FROM nation)"""
+
+
+@query(_RESULTS + " SELECT * FROM r")
 def seed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Companies, quotes, pages and contacts by seed."""
-    _, _, done = directory.seeds(directory.extract(_pages_with_prices(spark, sf_dir)))
+    """Companies, quotes, pages, errors and contacts by seed."""
+    _, _, done = _seeds(spark, sf_dir)
     return done.select("seed_url", "n_pages", "n_companies", "n_quotes", "n_errors", "status", F.array_join(F.array_sort("emails"), " ").alias("emails"))
 
 
+@query(_RESULTS + """ SELECT r.seed_url, r.status, s.name AS company_name, s.email, CASE WHEN r.status = 'success' THEN NULL WHEN r.status = 'error' THEN 'refused' ELSE 'timeout' END AS first_error
+    FROM r LEFT JOIN s ON s.seed_url = r.seed_url""")
+def exported_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nested export, written as JSON lines by seed and read back."""
+    companies, quotes, done = _seeds(spark, sf_dir)
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    rollup.write_exports(done, rollup.csv_rows(companies, quotes), path)
+    back = spark.read.schema("seed_url string, status string, companies array<struct<company_name: string, email: string>>, errors array<struct<error: string>>").json(f"{path}/json")
+    return back.select("seed_url", "status", F.explode_outer("companies").alias("c"), F.get("errors", F.lit(0))["error"].alias("first_error")).select("seed_url", "status", "c.company_name", "c.email", "first_error")
+
+
 @query(_SEEDS + """
-    SELECT seed_url, 'https://priced.house/list/' || page AS source_url, name AS company_name, email, NULL AS quote_price FROM s
-    UNION ALL SELECT seed_url, 'https://priced.house/list/' || page, name, NULL, '$' || (key + 100) FROM s""")
+    SELECT seed_url, 'https://priced.house/list/' || page AS source_url, name AS company_name, name AS business_name, name AS listing_name, email, NULL AS phone, address, NULL AS website, '' AS socials, '0.73' AS confidence,
+           NULL AS quote_title, NULL AS quote_price, NULL AS quote_currency, NULL AS quote_confidence FROM s
+    UNION ALL SELECT seed_url, 'https://priced.house/list/' || page, name, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, name, '$' || (key + 100), 'USD', '1.0' FROM s""")
 def csv_export_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The flat export: companies, then quotes with their owners."""
-    companies, quotes, _ = directory.seeds(directory.extract(_pages_with_prices(spark, sf_dir)))
-    return rollup.csv_rows(companies, quotes).select("seed_url", "source_url", "company_name", "email", "quote_price")
+    """The flat export of 14 columns: companies, then quotes with their owners."""
+    companies, quotes, _ = _seeds(spark, sf_dir)
+    return rollup.csv_rows(companies, quotes).drop("kind", "place")
 
 
-@query(_SEEDS + """
-    SELECT seed_url, name AS "listing", email, 'N/A' AS phone, name || ' $' || (key + 100) || ' USD' AS own_quote, '73%' AS confidence, 'success' AS status FROM s""")
+@query(_RESULTS + """
+    SELECT s.seed_url, name AS "listing", s.email, 'N/A' AS phone, name || ' $' || (key + 100) || ' USD' AS own_quote, '73%' AS confidence, r.status FROM s JOIN r ON r.seed_url = s.seed_url
+    UNION ALL SELECT seed_url, 'N/A', 'N/A', 'N/A', NULL, 'N/A', status FROM r WHERE n_companies = 0""")
 def analyst_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The analyst's table, with each company's own quote among its quotes (A5, F8)."""
-    t = rollup.analyst_table(*directory.seeds(directory.extract(_pages_with_prices(spark, sf_dir))))
+    """The analyst's table, with each company's own quote among its quotes, and a row for each seed without companies (A5, F8)."""
+    t = rollup.analyst_table(*_seeds(spark, sf_dir))
     name = F.col("`Listing / Business Name`")
     own = F.get(F.filter(F.split("Quotes", "; "), lambda q: q.startswith(F.concat(name, F.lit(" $")))), F.lit(0))
     return t.select("seed_url", name.alias("listing"), F.col("Email").alias("email"), F.col("Phone").alias("phone"), own.alias("own_quote"), F.col("Confidence").alias("confidence"), F.col("Status").alias("status"))
 
 
-@query(_SEEDS + " SELECT count(*) AS listings, count(*) AS quotes, count(DISTINCT page) AS pages FROM s")
+@query(_RESULTS + " SELECT sum(greatest(n_companies, 1))::BIGINT AS listings, sum(n_quotes)::BIGINT AS quotes, sum(n_pages)::BIGINT AS pages FROM r")
 def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals over all seeds."""
-    _, _, done = directory.seeds(directory.extract(_pages_with_prices(spark, sf_dir)))
-    return rollup.run_metrics(done)
+    return rollup.run_metrics(_seeds(spark, sf_dir)[2])
 
 
 @query("""
@@ -410,20 +515,41 @@ def model_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.page_scores(asked.select("page_id", F.to_json(said).alias("response")), "page_id")
 
 
-@query("SELECT DISTINCT regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '') AS seed_url, url FROM pages")
-def streamed_new_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages that arrive as a stream, each seed and URL once (K1)."""
+def _page_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = table(spark, sf_dir, "pages").schema
     reader = spark.readStream.schema(schema)
     whole = table(spark, sf_dir, "pages").inputFiles()[0].endswith("/pages.parquet")  # one file, beside others
     source = reader.option("pathGlobFilter", "pages.parquet").parquet(sf_dir) if whole else reader.parquet(f"{sf_dir}/pages.parquet")
-    stream = directory.with_seed(source)
+    return directory.with_seed(source)
+
+
+@query("SELECT DISTINCT regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '') AS seed_url, url FROM pages")
+def streamed_new_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that arrive as a stream, each seed and URL once (K1)."""
+    stream = _page_stream(spark, sf_dir)
     path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     new = incremental.new_pages(stream.select("seed_url", "url"))
     new.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{path}/out").select("seed_url", "url")
 
 
+@query("""
+    WITH p AS (SELECT DISTINCT regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)), '^www\\.', '') AS seed_url, url FROM pages)
+    SELECT seed_url, count(*) AS n_pages, min(url) AS first_url FROM p GROUP BY seed_url""")
+def streamed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshots of the seeds that arriving pages touch (K2)."""
+    path = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    run = incremental.snapshots(
+        incremental.new_pages(_page_stream(spark, sf_dir)),
+        f"{path}/out",
+        f"{path}/state",
+        lambda batch: batch.select("seed_url", "url"),
+        lambda records: records.groupBy("seed_url").agg(F.count("*").alias("n_pages"), F.min("url").alias("first_url")),
+    )
+    run.awaitTermination()
+    return spark.read.parquet(f"{path}/out/seeds").select("seed_url", "n_pages", "first_url")
+
+
 @query("""
     SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'info@s' || s_suppkey || '.co' END AS email, CASE WHEN s_suppkey % 2 = 0 THEN NULL ELSE '+1 (202) ' || lpad(s_suppkey::VARCHAR, 7, '0') END AS phone,
            CASE WHEN s_suppkey % 5 = 0 THEN NULL ELSE s_suppkey || ' Mill Road' END AS address, 'Big Shop' || s_suppkey || 'A' AS host_name FROM supplier""")
@@ -438,10 +564,10 @@ def sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    WITH w AS (SELECT page_id, string_split(regexp_replace(html, '<[^>]*>', ' ', 'g'), ' ')[1:60] AS a FROM pages), u AS (SELECT page_id, unnest(a) AS v, generate_subscripts(a, 1) AS i FROM w),
+    WITH w AS (SELECT page_id, string_split(regexp_replace(html, '<[^>]*>', ' ', 'g'), ' ') AS a FROM pages), u AS (SELECT page_id, unnest(a) AS v, generate_subscripts(a, 1) AS i FROM w),
     f AS (SELECT page_id, lower(trim(v)) AS k, min(i) AS i, arg_min(v, i) AS v FROM u WHERE trim(v) <> '' GROUP BY ALL)
     SELECT page_id, string_agg(v, ' ' ORDER BY i) AS kept FROM f GROUP BY page_id""")
 def distinct_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first sixty pieces of each page's text, each kept once in order without regard to case."""
-    pieces = F.slice(F.split(F.regexp_replace("html", "<[^>]*>", " "), " "), 1, 60)
+    """All pieces of each page's text, each kept once in order without regard to case."""
+    pieces = F.split(F.regexp_replace("html", "<[^>]*>", " "), " ")
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(T.unique_keep_order(pieces), " ").alias("kept")).filter("kept <> ''")

@@ -8,8 +8,8 @@ from pyspark.sql.window import Window
 
 from harvestry.sources.shared import table
 
-#: Cards of a page: several, so that none is over three quarters of a page; at three hits each they stay within the cap of 80.
-CARDS = 25
+#: Cards of a page: several, so that none is over three quarters of a page. At three hits each they exceed the usual cap of 80.
+CARDS = 40
 
 
 def supplier_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,16 +30,54 @@ def supplier_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pages(cards: DataFrame, host: str, head: str, tail: str) -> DataFrame:
     """Cards ``(page, at, card)`` as pages ``(page_id, url, html)``; every page ends with some text of its own."""
-    rows = cards.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "card"))), lambda x: x["card"]), "").alias("body"))
+    # pages are costly for their size: they are dealt to all tasks, and stay there
+    tasks = int(cards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = cards.repartition(tasks, "page").groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "card"))), lambda x: x["card"]), "").alias("body"))
     filler = "<p>" + "This page lists some partners of the house and says little else. " * 2 + "</p>"
     return rows.select(F.col("page").alias("page_id"), F.concat(F.lit(f"https://{host}/list/"), F.col("page")).alias("url"), F.concat(F.lit("<html><body><h1>Our partners</h1>" + head), F.col("body"), F.lit(tail + filler + "</body></html>")).alias("html"))
 
 
-def directory_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One plain ``div`` card per supplier: heading, mail and phone links, address, social link."""
+def directory_pages(spark: SparkSession, sf_dir: str, cards: int = CARDS) -> DataFrame:
+    """One plain ``div`` card per supplier, in many shapes by its key: where name and address stand, how the phone is told, what is missing.
+
+    Every fifth has no email, every seventh no social link.
+    """
+    f = supplier_facts(spark, sf_dir)
+
+    def by(n: int, *shapes: Column) -> Column:
+        return F.get(F.array(*shapes), F.pmod("key", F.lit(n)).cast("int"))
+
+    def said(before: str, value: str, after: str) -> Column:
+        return F.concat(F.lit(before), F.col(value), F.lit(after))
+
+    name = by(4, said("<h3>", "name", "</h3>"), said("<p>Member since 99</p><strong>", "name", "</strong>"), said('<h4>Our partner</h4><span class="company-name">', "name", "</span>"), said('<h2>Welcome</h2><i itemprop="name">', "name", "</i>"))
+    mail = F.when(F.pmod("key", F.lit(5)) == 0, "").otherwise(said('<a href="mailto:', "email", '?subject=hi">Mail us</a> '))
+    phone = by(3, said('<a href="tel:', "phone", '">Call us</a>'), said("<p>Ring ", "phone", " now</p>"), said('<a href="https://wa.me/', "phone", '">Chat</a>'))
+    address = by(3, said("<address>", "address", "</address>"), said('<b class="venue">', "address", "</b>"), said('<p>Address: ', "address", "</p>"))
+    social = F.when(F.pmod("key", F.lit(7)) == 0, "").otherwise(said('<a href="', "social", '">Page</a>'))
+    card = F.concat(F.lit("<div>"), name, mail, phone, address, social, F.lit("</div>"))
+    page = F.floor(F.col("key") / cards).cast("long").alias("page")
+    return _pages(f.select(page, F.col("key").alias("at"), card.alias("card")), "directory.house", '<main class="directory-results">', "</main>")
+
+
+def section_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One page per supplier without any listing: only a section of contacts, beside other text."""
+    f = supplier_facts(spark, sf_dir)
+    body = F.concat(F.lit('<div class="contact-panel"><h2>'), "name", F.lit("</h2><p>Write to "), "email", F.lit("</p></div>"))
+    rest = "<p>" + "This page says a lot of other things that matter little to anyone. " * 4 + "</p>"
+    return f.select(F.col("key").alias("page_id"), F.concat(F.lit("https://section.house/"), "key").alias("url"), F.concat(F.lit("<html><body><h1>Hello</h1>"), body, F.lit(rest + "</body></html>")).alias("html"))
+
+
+def website_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List items with odd entities, unquoted and relative links, and a website that is told in three ways."""
     f = supplier_facts(spark, sf_dir)
-    card = F.concat(F.lit("<div><h3>"), "name", F.lit('</h3><a href="mailto:'), "email", F.lit('">Mail us</a> <a href="tel:'), "phone", F.lit('">Call us</a><address>'), "address", F.lit('</address><a href="'), "social", F.lit('">Page</a></div>'))
-    return _pages(f.select("page", F.col("key").alias("at"), card.alias("card")), "directory.house", '<main class="directory-results">', "</main>")
+    way = F.pmod("key", F.lit(3))
+    name = F.concat(F.when(way == 0, "Caf&eacute;").when(way == 1, "Caf&#233;").otherwise("Caf&amp;eacute;"), F.lit(" House "), "key")
+    link = F.when(way == 0, F.concat(F.lit("<a href=../go/"), "key", F.lit(">Website</a>"))).when(way == 1, F.concat(F.lit("<a href='//shop"), "key", F.lit(".co/a?x=1&amp;y=2#top'>more</a>")))
+    link = link.otherwise(F.concat(F.lit('<a title="a>b" HREF = "https://shop'), "key", F.lit('.co/./b/../c/">more</a>')))
+    social = F.concat(F.lit("<a href=//instagram.com/house"), "key", F.lit(">pictures</a>"))
+    card = F.concat(F.lit("<li><h3>"), name, F.lit("</h3><a href=/inside>inside</a> "), social, link, F.lit(" Market Street and more"))
+    return _pages(f.select("page", F.col("key").alias("at"), card.alias("card")), "sites.house", "<ul>", "</ul>")
 
 
 def disguised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,20 +96,22 @@ def disguised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def structured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One page per supplier with JSON-LD: an object, a list or a graph, the address as an object or a string, by turns."""
+    """One page per supplier with JSON-LD: an object, a list or a graph, the address as an object or a string, by turns; every fifth has a URL only."""
     f = supplier_facts(spark, sf_dir)
-    way = F.pmod("key", F.lit(3))
+    way, bare = F.pmod("key", F.lit(3)), F.pmod("key", F.lit(5)) == 4
     address = F.when(F.pmod("key", F.lit(2)) == 0, F.concat(F.lit('{"@type":"PostalAddress","streetAddress":"'), "address", F.lit('","addressCountry":"US"}'))).otherwise(F.concat(F.lit('"'), "address", F.lit('"')))
-    one = F.concat(F.lit('{"@type":"Organization","name":"'), "name", F.lit('","email":"'), "email", F.lit('","telephone":"'), "phone", F.lit('","address":'), address, F.lit("}"))
+    contact = F.concat(F.lit('"email":"'), "email", F.lit('","telephone":"'), "phone", F.lit('","address":'), address)
+    one = F.concat(F.lit('{"@type":"Organization","name":"'), "name", F.lit(' &amp; S&oacute;ns",'), F.when(bare, '"url":"about?x=1"').otherwise(contact), F.lit("}"))
     body = F.when(way == 0, one).when(way == 1, F.concat(F.lit("["), one, F.lit("]"))).otherwise(F.concat(F.lit('{"@graph":['), one, F.lit(',{"@type":"Person","name":"x"}]}')))
-    html = F.concat(F.lit('<html><head><script type="application/ld+json">'), body, F.lit('</script><script type="application/ld+json">{bad</script></head><body>-</body></html>'))
+    kind = F.when(F.pmod("key", F.lit(2)) == 0, '"application/ld+json"').otherwise("application/ld+json id=q")
+    html = F.concat(F.lit("<html><head><script type="), kind, F.lit(">"), body, F.lit('</script><script type="application/ld+json">{bad</script></head><body>-</body></html>'))
     return f.select(F.col("key").alias("page_id"), F.concat(F.lit("https://structured.house/"), "key").alias("url"), html.alias("html"))
 
 
 def pricing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One ``.package`` box per part: its name as heading, and a dollar price."""
     parts = table(spark, sf_dir, "part").withColumn("at", F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1)
-    page = (F.pmod(F.xxhash64("p_brand"), F.lit(1 << 40)) * 100_000 + F.floor(F.col("at") / CARDS)).cast("long")
+    page = (F.pmod(F.xxhash64("p_brand"), F.lit(1 << 40)) * 100_000 + F.floor(F.col("at") / 25)).cast("long")
     card = F.concat(F.lit('<div class="package"><h3>'), F.col("p_name"), F.lit(" no "), F.col("p_partkey"), F.lit("</h3><span>from $"), price_text(), F.lit("</span></div>"))
     return _pages(parts.select(page.alias("page"), "at", card.alias("card")), "prices.house", "<main>", "</main>")
 

@@ -31,26 +31,33 @@ def with_seed(pages: DataFrame) -> DataFrame:
     return pages if "seed_url" in pages.columns else pages.withColumn("seed_url", U.host_of_absolute(F.col("url")))
 
 
-def extract(pages: DataFrame, region: str = "NG", noise=V.NOISE_EMAIL_PARTS) -> Extraction:
-    """Companies and quotes of every page of ``(page_id, url, html)``. Each page is parsed once, and the node table written once."""
+def extract(pages: DataFrame, region: str = "NG", noise=V.NOISE_EMAIL_PARTS, cap: int | None = B.MAX_BLOCKS, section_cap: int | None = B.MAX_SECTIONS, quote_cap: int | None = Q.MAX_CONTAINERS) -> Extraction:
+    """Companies and quotes of every page of ``(page_id, url, html)``. Each page is parsed once, and the node table written once.
+
+    A column ``fetch_error`` says why a page could not be had; such pages, and those that can't be parsed, are errors of their seed. The caps
+    are those of a page's blocks, sections and price containers; None lifts them.
+    """
     pages = with_seed(pages)
-    parsed = materialize(parse_pages(pages, "page_id", "seed_url"), "parsed")
-    found = materialize(B.detect_blocks(parsed, "page_id", "seed_url", region=region, noise=noise), "blocks")
-    records = B.entities(found, "page_id", "seed_url").unionByName(B.structured_entities(pages, "page_id", "seed_url", region=region))
+    failed = F.col("fetch_error") if "fetch_error" in pages.columns else F.lit(None).cast("string")
+    pages = pages.withColumn("failed", failed)
+    parsed = materialize(parse_pages(pages, "page_id", "seed_url", "failed"), "parsed")
+    found = materialize(B.detect_blocks(parsed, "page_id", "seed_url", region=region, noise=noise, cap=cap, section_cap=section_cap), "blocks")
+    records = B.entities(found, "page_id", "seed_url").unionByName(B.structured_entities(parsed, "page_id", "seed_url", region=region))
     companies = resolve(records, "page_id").withColumnRenamed("scope", "page_id")
     companies = materialize(companies.join(pages.select("page_id", "seed_url"), "page_id"), "companies")
     roots = found.select("page_id", F.col("b.node_id").alias("root_id"))
-    in_blocks = Q.quotes(Q.containers(parsed, "page_id", "seed_url", roots=roots), "page_id", "seed_url", scope="dom_block")
-    in_pages = Q.quotes(Q.containers(parsed, "page_id", "seed_url"), "page_id", "seed_url")
+    in_blocks = Q.quotes(Q.containers(parsed, "page_id", "seed_url", roots=roots, cap=quote_cap), "page_id", "seed_url", scope="dom_block")
+    in_pages = Q.quotes(Q.containers(parsed, "page_id", "seed_url", cap=quote_cap), "page_id", "seed_url")
     both = materialize(Q.all_quotes(Q.distinct_in_page(in_blocks, "page_id"), Q.distinct_in_page(in_pages, "page_id")), "quotes")
     quotes = materialize(Q.attach_companies(both, companies.select("page_id", "company_name", "place"), "page_id"), "quotes")
-    status = parsed.select("page_id", "seed_url", F.col("url").alias("source_url"), F.when(F.col("error").isNull(), "success").otherwise("error").alias("status"), "error", F.col("page_id").alias("place"))
+    error = F.coalesce("failed", "error")
+    status = parsed.select("page_id", "seed_url", F.col("url").alias("source_url"), F.when(error.isNull(), "success").otherwise("error").alias("status"), error.alias("error"), F.col("page_id").alias("place"))
     return Extraction(companies, quotes, status)
 
 
 def seeds(found: Extraction) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(companies, quotes, seed_results)``: merged and distinct within each seed, and nested by seed."""
-    records = found.companies.drop("eid", "unresolved", "n_merged").withColumnRenamed("place", "pos")
+    records = found.companies.drop("eid", "n_merged").withColumnRenamed("place", "pos")
     companies = resolve(records, "seed_url").withColumnRenamed("scope", "seed_url")
     companies = materialize(companies, "companies")
     quotes = materialize(Q.distinct_in_seed(found.quotes, "seed_url").drop("page_id", "root", "pos", "source_rank"), "quotes")

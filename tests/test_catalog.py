@@ -1,3 +1,4 @@
+from difflib import SequenceMatcher
 from pathlib import Path
 
 import duckdb
@@ -36,3 +37,13 @@ def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(catalog.ORACLES) <= set(catalog.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_similar_names_against_all_pairs(spark, sf):
+    """Of the queries without SQL: every pair of a nation's customers by the ratio itself."""
+    by_nation = {}
+    for r in spark.read.parquet(f"{sf}/customer.parquet").orderBy("c_custkey").collect():
+        by_nation.setdefault(r.c_nationkey, []).append((r.c_custkey, r.c_name.lower()))
+    want = {(a, b, SequenceMatcher(None, p, q).ratio()) for own in by_nation.values() for k, (a, p) in enumerate(own) for b, q in own[k + 1 :]}
+    got = catalog.similar_customer_names(spark, sf).collect()
+    assert {tuple(r) for r in got} == {x for x in want if x[2] >= 0.94} and len(got) > 5

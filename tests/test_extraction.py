@@ -1,4 +1,5 @@
 import random
+from difflib import SequenceMatcher
 
 import pandas as pd
 import pytest
@@ -7,23 +8,23 @@ from pyspark.sql import functions as F
 from harvestry.operators import blocks as B
 from harvestry.operators import links as L
 from harvestry.operators import requests as R
-from harvestry.operators.resolve import RECORD, Fold, name_links, resolve
+from harvestry.operators.resolve import ARRAYS, RECORD, name_links, resolve
 from harvestry.plans import directory
 from harvestry.sources.html import _parsed, parse_pages
 from harvestry.streaming import incremental
 
-PAGE = """<html><body><main class="directory-results">
-<div><h3>Alpha Catering</h3><a href="mailto:sales@alpha.test-shop.org">Mail</a><a href="tel:+2348030000001">Call</a><address>12 Market Street, Lagos</address><a href="https://facebook.com/alpha">Page</a></div>
-<div><h3>Beta Decor</h3><a href="mailto:hello@beta.shop.org">Mail</a><a href="tel:+2348030000002">Call</a><address>8 Garden Avenue, Abuja</address><a href="https://instagram.com/beta">Page</a></div>
-</main></body></html>"""
+PAGE = """<html><body><ul id="mills">
+<li><strong>North Mill</strong> grinds rye. <a href="tel:+2348030000001">ring</a> <span class="venue">3 River Road, Kano</span> <a href="mailto:flour@north-mill.org">write</a> <a href="https://youtube.com/northmill">films</a>
+<li><strong>South Mill</strong> grinds oats. <a href="tel:+2348030000002">ring</a> <span class="venue">9 Canal Close, Oyo</span> <a href="mailto:flour@south-mill.org">write</a> <a href="https://tiktok.com/southmill">films</a>
+</ul></body></html>"""
 
 
-def test_two_plain_cards_stay_two_companies(spark):
+def test_two_listings_stay_two_companies(spark):
     pages = spark.createDataFrame([(1, "https://list.org/x", PAGE), (2, "https://list.org/y", None), (3, "https://list.org/z", "<p>just words, nothing to find</p>")], "page_id long, url string, html string")
     found = B.entities(B.detect_blocks(parse_pages(pages, "page_id"), "page_id"), "page_id").collect()
     assert sorted((r.company_name, r.emails, r.phone_numbers, r.addresses, r.socials) for r in found) == [
-        ("Alpha Catering", ["sales@alpha.test-shop.org"], ["+2348030000001"], ["12 Market Street, Lagos"], ["https://facebook.com/alpha"]),
-        ("Beta Decor", ["hello@beta.shop.org"], ["+2348030000002"], ["8 Garden Avenue, Abuja"], ["https://instagram.com/beta"]),
+        ("North Mill", ["flour@north-mill.org"], ["+2348030000001"], ["3 River Road, Kano"], ["https://youtube.com/northmill"]),
+        ("South Mill", ["flour@south-mill.org"], ["+2348030000002"], ["9 Canal Close, Oyo"], ["https://tiktok.com/southmill"]),
     ]
 
 
@@ -39,30 +40,73 @@ def resolved(spark, rows, **options):
 
 
 def test_branches_of_one_name_stay_apart(spark):
-    rows = [record(company_name="Same Name", phone=p, phone_numbers=[p], address=a, addresses=[a]) for p, a in (("+1", "1 Mill Road"), ("+2", "2 Mill Road"))]
-    assert len(resolved(spark, rows)) == 2
-
-
-def test_components_give_what_one_global_fold_gives(spark):
-    dice = random.Random(7)
-    for trial in range(3):
-        rows = []
+    kiosks = [record(company_name="Corner Kiosk", phone=p, phone_numbers=[p], address=a, addresses=[a]) for p, a in (("+1", "1 Mill Road"), ("+2", "2 Mill Road"))]
+    assert len(resolved(spark, kiosks)) == 2
+
+
+def similarity(a, b):
+    return SequenceMatcher(None, a.lower(), b.lower()).ratio() if a and b else 0.0
+
+
+def plain_merge(records):
+    """All records of a scope in order, each weighed against all clusters: the rules one by one, without any blocking."""
+    clusters = []
+    for r in records:
+        for c in clusters:
+            other_block = c["extraction_scope"] == r["extraction_scope"] == "dom_block" and c["source_url"] == r["source_url"] and c["container_path"] and r["container_path"] and c["container_path"] != r["container_path"]
+            sure = (c["email"] and c["email"] == r["email"]) or (c["phone"] and c["phone"] == r["phone"])
+            against = [c["phone"] and r["phone"] and c["phone"] != r["phone"], c["address"] and r["address"] and c["address"] != r["address"], c["socials"] and r["socials"] and not set(c["socials"]) & set(r["socials"])]
+            bare = min(sum(x is not None for x in (y["email"], y["phone"], y["address"], y["website"])) for y in (c, r)) <= 1
+            likeness = similarity(c["company_name"], r["company_name"])
+            likely = (c["host"] and c["host"] == r["host"] and likeness >= 0.72) or (bare and likeness >= 0.94)
+            if not other_block and (sure or (likely and not any(against))):
+                for k in ("email", "phone", "address", "website", "host"):
+                    c[k] = r[k] if c[k] is None else c[k]
+                for k in ARRAYS:
+                    c[k] = c[k] + [x for x in r[k] if x not in c[k]]
+                c["confidence"], c["n"] = round(min(1.0, c["confidence"] + 0.05), 3), c["n"] + 1
+                break
+        else:
+            clusters.append(r | {"n": 1})
+    return clusters
+
+
+def test_components_give_what_one_global_pass_gives(spark):
+    dice, rows = random.Random(7), []
+    for scope in range(30):
         for k in range(40):
             n = dice.randrange(12)
             pick = lambda make: make(dice.randrange(12)) if dice.random() < 0.4 else None
-            email, phone, site = pick(lambda x: f"a{x}@b.co"), pick(lambda x: f"+{x}"), pick(lambda x: f"https://h{x % 4}.co")
-            rows.append(record(company_name=f"Company Number {n} of the Valley" + " x" * dice.randrange(2), email=email, emails=[email] if email else [], phone=phone, phone_numbers=[phone] if phone else [], website=site, confidence=round(dice.random(), 2), source_url=f"u{dice.randrange(3)}", container_path=f"p{dice.randrange(3)}", extraction_scope="dom_block"))
-        got = [(r.company_name, r.email, r.phone, r.website, tuple(r.emails), r.confidence, r.n_merged) for r in resolved(spark, rows)]
-        order = sorted(range(40), key=lambda k: (-rows[k]["confidence"], rows[k]["source_url"], k))
-        plain = Fold.run([rows[k] | {"n_hits": 1, "host": (rows[k]["website"] or "")[8:]} for k in order], True)
-        want = [(r["company_name"], r["email"], r["phone"], r["website"], tuple(r["emails"]), r["confidence"], r["n_merged"]) for r in plain]
-        assert sorted(map(repr, got)) == sorted(map(repr, want))
+            email, phone, site, place = pick(lambda x: f"a{x}@b.co"), pick(lambda x: f"+{x}"), pick(lambda x: f"https://h{x % 4}.co"), pick(lambda x: f"{x % 3} Mill Road")
+            rows.append(record(scope=scope, pos=k, company_name=f"Company Number {n} of the Valley" + " x" * dice.randrange(2), email=email, emails=[email] if email else [], phone=phone, phone_numbers=[phone] if phone else [], address=place, addresses=[place] if place else [], website=site, socials=dice.sample("uvw", dice.randrange(2)), confidence=round(dice.random(), 2), source_url=f"u{dice.randrange(3)}", container_path=dice.choice([None, "p1", "p2"]), extraction_scope=dice.choice(["dom_block", "dom_block", "structured_data"])))
+
+    def seen(r, n):
+        return tuple(map(repr, (r["scope"], r["company_name"], r["email"], r["phone"], r["address"], r["website"], r["emails"], r["socials"], r["confidence"], n)))
 
+    want = []
+    for scope in range(30):
+        order = sorted((r for r in rows if r["scope"] == scope), key=lambda r: (-r["confidence"], r["source_url"], r["pos"]))
+        want += [seen(r, r["n"]) for r in plain_merge([r | {"host": r["website"] and r["website"][8:]} for r in order])]
+    got = [r.asDict() for r in resolved(spark, rows)]
+    assert sorted(seen(r, r["n_merged"]) for r in got) == sorted(want) and len(want) < 1000
+    for scope in range(30):
+        own = [r for r in got if r["scope"] == scope]
+        assert [r["place"] for r in own] == list(range(1, len(own) + 1))
+        assert [r["confidence"] for r in own] == sorted((r["confidence"] for r in own), reverse=True)
 
-def test_copies_of_a_listing_raise_its_score_and_huge_components_are_reported(spark):
+
+def test_copies_of_a_listing_raise_its_score(spark):
     rows = [record(company_name="One", email="a@b.co", emails=["a@b.co"], confidence=0.5, n_hits=3), record(company_name="Two", email="a@b.co", emails=["a@b.co"], confidence=0.4)]
     assert [(r.company_name, r.confidence, r.n_merged) for r in resolved(spark, rows)] == [("One", 0.65, 2)]
-    assert [(r.company_name, r.unresolved) for r in resolved(spark, rows, max_component=1)] == [("One", True), ("Two", True)]
+
+
+def test_a_component_of_any_size_is_merged(spark):
+    """30,000 records that the phone of a platform makes one component; those without it only share emails with others."""
+    same = F.when(F.col("id") % 2 == 0, "+44207").otherwise(F.concat(F.lit("+1"), F.col("id").cast("string")))
+    none = F.array().cast("array<string>")
+    rows = spark.range(30_000).select(F.lit(1).alias("scope"), F.col("id").cast("int").alias("pos"), *[F.lit(None).cast(k).alias(c) for c, k in (x.split() for x in RECORD.split(", ")) if c not in ("company_name", "phone", "email", "confidence", *ARRAYS)], *[none.alias(c) for c in ARRAYS], F.concat(F.lit("Name "), F.col("id").cast("string")).alias("company_name"), same.alias("phone"), F.concat(F.floor(F.col("id") / 2).cast("string"), F.lit("@b.co")).alias("email"), F.lit(0.5).alias("confidence"))
+    got = resolve(rows, "scope").select("n_merged").collect()
+    assert len(got) == 15_000 and max(r.n_merged for r in got) == 15_001  # all with the phone, and the one that has the first one's email
 
 
 def test_name_links_lose_no_pair(spark):
@@ -76,7 +120,7 @@ def test_name_links_lose_no_pair(spark):
     first = {}
     for k, n in enumerate(names):
         first.setdefault(n, k)
-    want = {(a, b) for a in first.values() for b in first.values() if a < b and Fold.similarity(names[a], names[b]) >= 0.94}
+    want = {(a, b) for a in first.values() for b in first.values() if a < b and max(similarity(names[a], names[b]), similarity(names[b], names[a])) >= 0.94}
     want |= {(first[n], k) for k, n in enumerate(names) if first[n] != k}
     assert got == want
 
@@ -92,14 +136,14 @@ def test_name_links_lose_no_pair(spark):
     ],
 )
 def test_markup(markup, tags):
-    nodes, tokens, error = _parsed(markup)
+    nodes, tokens, _, error = _parsed(markup)
     assert [n["tag"] for n in nodes] == tags and error is None
     assert all(n["node_id"] < n["end_id"] <= len(nodes) for n in nodes)
 
 
 def test_scripts_hold_no_text_and_offsets_cut_the_markup():
     markup = '<div id="q" class="a b c"><script>var x = "</p>"</script>text &amp; more</div>'
-    nodes, tokens, _ = _parsed(markup)
+    nodes, tokens, _, _ = _parsed(markup)
     div = next(n for n in nodes if n["tag"] == "div")
     assert tokens == ["text & more"] and div["path"] == "body > div#q"
     assert markup[div["html_start"] : div["html_start"] + div["html_len"]] == markup
@@ -134,8 +178,8 @@ def test_stream_snapshots(spark, tmp_path):
 
 
 def test_seed_rollup(spark):
-    pages = spark.createDataFrame([(1, "https://list.org/x", PAGE), (2, "https://list.org/y", PAGE.replace("Beta Decor", "Beta Decor Ltd"))], "page_id long, url string, html string")
+    pages = spark.createDataFrame([(1, "https://list.org/x", PAGE), (2, "https://list.org/y", PAGE.replace("South Mill", "South Mill Ltd"))], "page_id long, url string, html string")
     companies, quotes, done = directory.seeds(directory.extract(pages))
     row = done.first()
     assert (row.n_companies, row.n_quotes, row.status, len(row.companies)) == (2, 0, "success", 2)
-    assert sorted(row.emails) == ["hello@beta.shop.org", "sales@alpha.test-shop.org"] and len(row.crawled_urls) == 2
+    assert sorted(row.emails) == ["flour@north-mill.org", "flour@south-mill.org"] and len(row.crawled_urls) == 2

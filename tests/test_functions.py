@@ -29,7 +29,8 @@ def test_text(spark):
 def test_contacts(spark):
     phones = ["+1 (202) 555-0100", "08012345678", "12345", "555-0100", "1234567890123456", "020 7946 0000 ext. 5", None, "12345678901"]
     assert values(spark, phones, T.normalize_phone) == ["+12025550100", "+2348012345678", "", "5550100", "", "+2342079460000", "", "+12345678901"]
-    assert values(spark, ["08012345678"], lambda c: T.normalize_phone(c, "GB")) == ["+08012345678"]
+    assert values(spark, ["08012345678"], lambda c: T.normalize_phone(c, "ZZ")) == ["+08012345678"]  # a region without a rule
+    assert values(spark, ["020 7946 0000", "0033 1 2345"], lambda c: T.normalize_phone(c, "GB")) == ["+442079460000", "003312345"]
     coded = "2a" + "".join(f"{ord(c) ^ 42:02x}" for c in "me@x.co")
     assert values(spark, [coded, "zz", "", None, "2a", "2a1"], T.decode_protected_email) == ["me@x.co", "", "", "", "", chr(42 ^ 1)]
     good, none = base64.b64encode(b"   hi@deep.co   ").decode().rstrip("="), base64.b64encode(b"nothing here").decode()
