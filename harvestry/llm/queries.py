@@ -64,6 +64,11 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def document_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of all documents by their SpotSigs sets, parted by length and compared behind rare prefixes (with operator 5)."""
+    return spotsigs.similar_classes(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the lines that stand on many sites."""
     found = linedup.remove_boilerplate(table(spark, sf_dir, "documents"))
@@ -105,7 +110,7 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_simhash_near_dedup, op3_sharding, op4_toxicity, op5_document_fingerprints, op6_line_dedup, op7_bpe_encoding_and_decoding, op8_token_counts, op9_secret_scans, op10_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_simhash_near_dedup, op3_sharding, op4_toxicity, op5_document_fingerprints, op6_line_dedup, op7_bpe_encoding_and_decoding, op8_token_counts, op9_secret_scans, op10_benchmark_decontamination, document_classes)}
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": r"""
         WITH c AS (

@@ -238,10 +238,17 @@ def _met(sketched: DataFrame) -> DataFrame:
     return met.withColumn("own", F.col("n") - F.count("*").over(Window.partitionBy("key")))
 
 
-def _may_be_alike(a: str, b: str, similarity: float) -> Column:
-    """Whether two sets that meet in an item can be ``similarity`` alike, if it is the first in order that both have."""
-    least = similarity / (1 + similarity) * (F.col(f"{a}.n") + F.col(f"{b}.n")) - 1e-6
-    return F.least(F.col(f"{a}.n") - F.col(f"{a}.pos"), F.col(f"{b}.n") - F.col(f"{b}.pos")) >= least
+def shared_enough(met: DataFrame, similarity: float) -> DataFrame:
+    """``(x, y)`` of the pairs in ``met``, a row ``(a, b)`` of structs with ``key`` and ``n`` for each first item they share, that can be ``similarity`` alike.
+
+    Of two sets take the one whose first items end earlier in the common order: those that the other has are among that one's first
+    items too. So they have no more in common than the first items they share, and what comes after the first items of that set.
+    """
+    a, b = F.col("a"), F.col("b")
+    rest = F.greatest(*[F.ceil(c["n"] * similarity - 1e-9) - 1 for c in (a, b)])
+    need = similarity / (1 + similarity) * (a["n"] + b["n"]) - 1e-6 - rest
+    rows = met.select(F.least("a.key", "b.key").alias("x"), F.greatest("a.key", "b.key").alias("y"), need.alias("need"))
+    return rows.groupBy("x", "y").agg(F.count("*").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("x", "y")
 
 
 def _ball_pairs(sketched: DataFrame, radius: int) -> DataFrame:
@@ -272,27 +279,27 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     met = materialize(_met(sketched), "met")
     bucket = Window.partitionBy("s")
     now = met.select("s", F.struct((F.col("own").cast("double") / F.col("n")).alias("deal"), "key", "n", "pos").alias("a"))
-    hubs = now.withColumn("b", F.min("a").over(bucket)).filter("a.key <> b.key").filter(_may_be_alike("a", "b", similarity))
-    pairs = hubs.select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).unionByName(_ball_pairs(sketched, radius))
-    pairs = materialize(pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidates")
+    hubs = shared_enough(now.withColumn("b", F.min("a").over(bucket)).filter("a.key <> b.key"), similarity)
+    ball = _ball_pairs(sketched, radius).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    pairs = materialize(hubs.unionByName(ball).distinct(), "candidates")
     release(spark)
-    sets = _sets(texts, met.select("key").unionByName(pairs.select(F.explode(F.array("x", "y")).alias("key"))).distinct(), width)
-    links = materialize(_alike(pairs, sets, similarity), "links")
+    links = materialize(alike(pairs, _sets(texts, pairs, width), similarity), "links")
     release(spark)
     groups = connected_components(links, "x", "y")
     now = met.join(groups.select(F.col("node").alias("key"), "component"), "key", "left").select("s", F.struct("key", "n", "pos", F.coalesce("component", "key").alias("c")).alias("a"))
     now = now.withColumn("lo", F.min("a.c").over(bucket)).withColumn("hi", F.max("a.c").over(bucket)).filter("lo <> hi").select("s", "a")
     now = materialize(now, "unsettled")
-    both = now.join(now.withColumnRenamed("a", "b"), "s").filter("a.key < b.key and a.c <> b.c").filter(_may_be_alike("a", "b", similarity))
-    more = both.select(F.col("a.key").alias("x"), F.col("b.key").alias("y")).distinct().join(pairs, ["x", "y"], "left_anti")
-    found = materialize(_alike(materialize(more, "candidates"), sets, similarity), "links")
+    both = now.join(now.withColumnRenamed("a", "b"), "s").filter("a.key < b.key and a.c <> b.c")
+    more = materialize(shared_enough(both, similarity).join(pairs, ["x", "y"], "left_anti"), "candidates")
+    found = materialize(alike(more, _sets(texts, more, width), similarity), "links")
     groups = connected_components(links.unionByName(found), "x", "y")
     release(spark)
     return groups.select(F.col("node").alias("text_key"), "component")
 
 
-def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """``(key, set)`` of the texts whose ``key`` is ``wanted``. A filter of their keys spares most others, and lets few pass."""
+def _sets(texts: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """``(key, set)`` of the texts in pairs ``(x, y)``. A filter of their keys spares most others, and lets few pass."""
+    wanted = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
     bits = texts.sparkSession.sparkContext.broadcast(bloom.build(wanted, "key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +312,7 @@ def _sets(texts: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return materialize(texts.mapInArrow(run, "key long, set array<long>").dropDuplicates(["key"]), "sets")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``(x, y)`` whose ``sets`` have a Jaccard of ``similarity``. Only the sets in pairs are dealt out."""
 
     def side(c: str, name: str) -> DataFrame:

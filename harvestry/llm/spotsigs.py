@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from harvestry.llm.simhash import alike, shared_enough
+from harvestry.plans.components import connected_components
+from harvestry.plans.skew import join_facts
 from harvestry.sources.shared import materialize
 
 #: Common words of four languages, the anchors.
@@ -20,8 +23,8 @@ ANCHORS = (
     "le la les de et un une est que qui dans en du pour par sur pas au "
     "el los las y del se una es por con para su al lo"
 ).split()
-#: Rows of a bucket, and cells found by quantiles, in which neighbours by id are looked up.
-BUCKET_ROWS, QUANTILES = 2000, 1000
+#: Rows of a bucket, cells found by quantiles, and buckets of a cell at most, in which neighbours by id are looked up.
+BUCKET_ROWS, QUANTILES, FINE = 2000, 1000, 100
 
 
 def _anchor() -> str:
@@ -80,12 +83,13 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], tie: str) -> Dat
     """``docs`` with ``next_<column>`` of the next row by descending id; the last row is followed by the first.
 
     No task sees the whole order: ids are dealt to buckets that follow each other, by quantiles and evenly between
-    them, and the first row of each bucket is copied to the end of the one before. Null ids come last, equal
-    ids in the order of ``tie``, descending.
+    them, and the first row of each bucket is copied to the end of the one before. There are ``QUANTILES * FINE`` buckets at most, so
+    that what is known of them is small; a bucket is sorted on disk if it has to be. Null ids come last, equal ids in the
+    order of ``tie``, descending.
     """
     ids = docs.agg(F.count("*").alias("n"), F.min(id_col).alias("least"), F.max(id_col).alias("most")).first()
     cells = max(1, min(QUANTILES, ids.n // BUCKET_ROWS))
-    fine = max(1, ids.n // (cells * BUCKET_ROWS))
+    fine = max(1, min(FINE, ids.n // (cells * BUCKET_ROWS)))
     bounds = docs.agg(F.percentile_approx(id_col, [k / cells for k in range(1, cells)], 10 * QUANTILES)).first()[0] if cells > 1 and ids.least is not None else []
     edges = sorted({*(bounds or []), ids.most}) if ids.least is not None else []
     key = F.col(id_col)
@@ -99,10 +103,10 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], tie: str) -> Dat
         bucket = F.lit(1).cast("long")
     spread = docs.withColumn("_b", bucket)
     heads = docs.select(bucket.alias("_b"), F.col(id_col).alias("_i")).groupBy("_b").agg(F.max("_i").alias("_head"))
-    order = Window.partitionBy(F.lit(0)).orderBy("_b")  # one row for each bucket
+    order = Window.partitionBy(F.lit(0)).orderBy("_b")  # one row for each bucket, QUANTILES * FINE of them at most
     last = F.max("_b").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = materialize(heads.select("_b", "_head", F.coalesce(F.lag("_b").over(order), last).alias("_before")), "heads")
-    spread = spread.join(F.broadcast(heads), "_b")  # at most QUANTILES times the fine cells between them
+    spread = spread.join(F.broadcast(heads), "_b")
     copies = F.when(key.eqNullSafe(F.col("_head")), F.array(F.struct("_b", F.lit(0).alias("g")), F.struct(F.col("_before").alias("_b"), F.lit(1).alias("g")))).otherwise(F.array(F.struct("_b", F.lit(0).alias("g"))))
     spread = spread.withColumn("_to", F.explode(copies)).select(*docs.columns, F.col("_to._b").alias("_bucket"), F.col("_to.g").alias("_copy"))
     near = Window.partitionBy("_bucket").orderBy("_copy", F.col(id_col).desc_nulls_last(), F.col(tie).desc())
@@ -129,26 +133,72 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.select("id", "n_chars", "edited", "signatures", "edited_signatures", near_edited.alias("near_edited"), near_next.alias("near_next"))
 
 
+def signature_sets(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(members, sets)``: ``(id, set_id)`` of all rows, and ``(set_id, s)`` of the distinct sets that are not empty."""
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = materialize(with_signatures(rows, "text", "s").select("id", F.xxhash64("s").alias("set_id"), "s"), "signatures")
+    return rows.select("id", "set_id"), materialize(rows.select("set_id", "s").filter("size(s) > 0").dropDuplicates(["set_id"]), "sets")
+
+
+def rare_prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """``(key, n, pos, s, band)``: the first signatures of each set by rarity, those that no other set has left out.
+
+    Two sets that are alike share one of their first ``n - ceil(similarity * n) + 1`` signatures, and their lengths differ by the factor
+    ``similarity`` at most: sets are parted by length into geometric bands, and only meet in their own and the next band.
+    ``s`` stands for a signature and a band in which the set looks for others; ``band`` is its own.
+    """
+    flat = materialize(sets.select(F.col("set_id").alias("key"), F.size("s").alias("n"), F.explode("s").alias("g")), "flat")
+    rarity = flat.groupBy("g").agg(F.count("*").alias("count")).withColumn("df", F.col("count"))
+    placed = join_facts(flat, rarity, "g", flat.count(), F.col("key"), count="count")
+    placed = placed.withColumn("pos", F.row_number().over(Window.partitionBy("key").orderBy("df", "g")) - 1)
+    prefix = placed.filter("df > 1").filter(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9))
+    band = F.floor(F.log("n") / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
+    prefix = prefix.select("key", "n", "pos", "g", band.alias("band")).withColumn("at", F.explode(F.array("band", F.col("band") + 1)))
+    return prefix.select("key", "n", "pos", F.xxhash64("g", "at").alias("s"), "band")
+
+
 def similar_sets(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """``(members, pairs)``: ``(id, set_id)`` of all rows, and ``(a, b, likeness)`` of the set ids at least ``similarity`` alike.
 
-    Equal sets are one class, so copies cost one row each; texts without signatures are in a class that is in no pair.
-    Signatures are ordered by rarity. Two sets that are alike share one of their first ``n - ceil(s n) + 1`` signatures,
-    and their lengths differ by the factor ``similarity`` at most: sets are parted by length into geometric bands,
-    and only meet in their own and the next band. What meets is verified on whole sets.
+    Equal sets are one class, so copies cost one row each; texts without signatures are in a class that is in no pair. All pairs of alike
+    sets are given, which of a large family are many; :func:`similar_classes` does without them.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = materialize(with_signatures(rows, "text", "s").select("id", F.xxhash64("s").alias("set_id"), "s"), "signatures")
-    sets = materialize(rows.select("set_id", "s").filter("size(s) > 0").dropDuplicates(["set_id"]), "sets")
-    flat = sets.select("set_id", F.size("s").alias("n"), F.explode("s").alias("g"))
-    rarity = flat.groupBy("g").agg(F.count("*").alias("df"))
-    placed = flat.join(rarity, "g").withColumn("at", F.row_number().over(Window.partitionBy("set_id").orderBy("df", "g")))
-    band = F.floor(F.log("n") / F.log(F.lit(1 / similarity)) + 1e-9).cast("int")
-    prefix = placed.filter("df > 1").filter(F.col("at") <= F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1).select("set_id", "n", "g", band.alias("band"))
-    left = prefix.select(F.col("set_id").alias("a"), F.col("n").alias("na"), "g", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("own"))
-    right = prefix.select(F.col("set_id").alias("b"), F.col("n").alias("nb"), "g", "band")
-    met = left.join(right, ["g", "band"]).filter((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
+    members, sets = signature_sets(docs, id_col, text_col)
+    prefix = materialize(rare_prefixes(sets, similarity), "prefixes").distinct()
+    left, right = (prefix.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), "s") for c in "ab")
+    met = left.join(right, "s").filter((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
     met = met.filter(F.col("na") >= similarity * F.col("nb") - 1e-9).select("a", "b").distinct()
     both = met.join(sets.select(F.col("set_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("s").alias("y")), "b")
     pairs = both.select("a", "b", likeness(F.col("x"), F.col("y")).alias("likeness")).filter(F.col("likeness") >= similarity)
-    return rows.select("id", "set_id"), pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
+    return members, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
+
+
+def similar_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, set_id, class_id)`` for every row of ``docs``: sets reachable over links of ``similarity`` share the least ``id`` of their rows.
+
+    In each bucket of a prefix signature and a band, sets are compared with one of them, that with the fewest signatures of its own;
+    sets that this leaves in different classes are then compared among themselves, so that no link is lost, but a family of copies costs
+    one comparison for each. Texts without signatures are one class; null ids keep their rows and name no class unless all its ids are null.
+    """
+    members, sets = signature_sets(docs, id_col, text_col)
+    total = members.count()
+    prefix = materialize(rare_prefixes(sets, similarity), "prefixes")
+    bucket = Window.partitionBy("s")
+    own = F.col("n") - F.count("*").over(Window.partitionBy("key")) / 2
+    member = F.struct((own / F.col("n")).alias("deal"), "key", "n", "pos")
+    hubs = prefix.select("s", member.alias("a")).withColumn("b", F.min("a").over(bucket)).filter("a.key <> b.key")
+    pairs = materialize(shared_enough(hubs, similarity), "candidates")
+    own_sets = sets.select(F.col("set_id").alias("key"), F.col("s").alias("set"))
+    links = materialize(alike(pairs, own_sets, similarity), "links")
+    found = connected_components(links, "x", "y").select(F.col("node").alias("key"), "component")
+    now = prefix.join(found, "key", "left").select("s", F.struct("key", "n", "pos", F.coalesce("component", "key").alias("c")).alias("a"))
+    now = materialize(now.withColumn("lo", F.min("a.c").over(bucket)).withColumn("hi", F.max("a.c").over(bucket)).filter("lo <> hi").select("s", "a"), "unsettled")
+    met = now.join(now.withColumnRenamed("a", "b"), "s").filter("a.key < b.key and a.c <> b.c")
+    more = materialize(shared_enough(met, similarity).join(pairs, ["x", "y"], "left_anti"), "candidates")
+    links = links.unionByName(alike(more, own_sets, similarity))
+    found = connected_components(links, "x", "y").select(F.col("node").alias("set_id"), "component")
+    reps = members.groupBy("set_id").agg(F.min("id").alias("least"), F.count("*").alias("n")).join(found, "set_id", "left")
+    reps = materialize(reps.withColumn("component", F.coalesce("component", "set_id")), "representatives")
+    tops = reps.groupBy("component").agg(F.min("least").alias("class_id"), F.count("*").alias("size"))
+    named = join_facts(reps, tops, "component", total, F.col("set_id"), count="size").select("set_id", "class_id", "n")
+    return join_facts(members, materialize(named, "classes"), "set_id", total, F.xxhash64("id"))

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -66,6 +67,39 @@ def test_odd_rows(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_classes_are_those_of_all_pairs(spark, sf):
+    """The query's classes against all pairs; and a family of copies that are unlike each other, but like their original."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    assert_classes({r.doc_id: r.class_id for r in queries.document_classes(spark, sf).collect()}, docs, 0.8)
+    dice = random.Random(5)
+    base = [w for k in range(150) for w in ("the", f"a{k}", f"b{k}")]
+    made = [base]
+    for _ in range(30):
+        copy = list(base)
+        for k in dice.sample(range(150), 15):
+            copy[3 * k + 1] = f"c{dice.randrange(10**6)}"
+        made.append(copy)
+    rows = [(k, " ".join(w)) for k, w in enumerate(made)] + [(90, None), (91, ""), (92, "hm"), (93, "hm"), (None, "hm")]
+    found = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, set_id string")
+    got = {r.id: r.class_id for r in spotsigs.similar_classes(found).collect()}
+    assert got.pop(None) == 92
+    assert_classes(got, {i: t or "" for i, t in rows if i is not None}, 0.8)
+    assert spotsigs.similar_classes(found.limit(0)).count() == 0
+    plan = spotsigs.similar_classes(found)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def assert_classes(got, texts, similarity):
+    sets = {i: spots(t) for i, t in texts.items()}
+    want = {i: i for i in texts}
+    for i in sorted(texts):
+        for j in texts:
+            if j > i and want[i] != want[j] and jaccard(sets[i], sets[j]) >= similarity and bool(sets[i]) == bool(sets[j]):
+                low, high = sorted((want[i], want[j]))
+                want = {k: low if v == high else v for k, v in want.items()}
+    assert got == want and len(set(want.values())) < len(want)
+
+
 def test_similar_sets_lose_no_pair(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet").filter("lang = 'en'")
     members, pairs = spotsigs.similar_sets(docs, 0.6)
