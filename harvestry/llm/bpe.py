@@ -51,9 +51,11 @@ class Automaton:
         for at, (u, v, w) in enumerate(vocabulary.merges):
             if rank[w] == at:
                 self._add_gadget(rows, children[v], rank, last, at, u, v, w)
-        self.table, self.start = array("i"), array("i", [0])
+        # lists are looked up faster than arrays; equal numbers are one object, so that they take little more room
+        numbers = list(range(n + 1))
+        self.table, self.start, self.place = [], [0], list(self.place)
         for row in rows:
-            self.table.extend(row)
+            self.table.extend(map(numbers.__getitem__, row))
             self.start.append(len(self.table))
         self.whole = {word: t for word, t in vocabulary.ids.items() if self.alone[t]}
         self._add_steps()
@@ -101,7 +103,7 @@ class Automaton:
         after that, as nodes; ``label`` and ``size`` are the label of a node and its length.
         """
         self.step: dict[int, int] = {}
-        self.label, levels = array("i", [-1]), [[]]
+        self.label, levels = [-1], [[]]
         for word, t in self.whole.items():
             node = 0
             for depth, b in enumerate(word, 1):
@@ -115,7 +117,7 @@ class Automaton:
                 node = at
             self.label[node] = t
         n = len(self.label)
-        self.back, self.ends, self.shorter = array("i", [0]) * n, array("i", [0]) * n, array("i", [0]) * n
+        self.back, self.ends, self.shorter = [0] * n, [0] * n, [0] * n
         for level in levels[1:]:
             for node, key in level:
                 parent, b = key >> 8, key & 255
@@ -126,7 +128,7 @@ class Automaton:
                     self.back[node] = at
                 self.shorter[node] = self.ends[self.back[node]]
                 self.ends[node] = node if self.label[node] >= 0 else self.shorter[node]
-        self.size = array("i", [len(self.labels[t]) if t >= 0 else 0 for t in self.label])
+        self.size = [len(self.labels[t]) if t >= 0 else 0 for t in self.label]
 
     def arc(self, state: int, t: int) -> bool:
         """Whether the automaton has an arc ``t`` from ``state``."""
@@ -143,24 +145,27 @@ class Automaton:
             return [whole]
         step, back, ends, shorter = self.step.get, self.back, self.ends, self.shorter
         label, size, table, start, place = self.label, self.size, self.table, self.start, self.place
-        node, states = 0, [-1]
-        for at, b in enumerate(word, 1):
+        node, states, at = 0, [-1], 0
+        for b in word:
+            at += 1
             while (to := step(node << 8 | b)) is None:
                 node = back[node]
             node = to
             end = ends[node]
-            while at > size[end]:
-                state = states[at - size[end]]
+            while (begin := at - size[end]) > 0:
+                state = states[begin]
                 low = start[state]
                 if not (bisect_right(table, place[label[end]], low, start[state + 1]) - low) & 1:
                     break
                 end = shorter[end]
             states.append(label[end])
-        ids, at = [], len(word)
+        ids = []
         while at:
-            ids.append(states[at])
-            at -= len(self.labels[states[at]])
-        return ids[::-1]
+            t = states[at]
+            ids.append(t)
+            at -= len(self.labels[t])
+        ids.reverse()
+        return ids
 
     def decode(self, ids: memoryview | list[int]) -> bytes:
         """The labels of the arcs ``ids``, joined."""
