@@ -205,49 +205,59 @@ def _frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.nda
 
 
 def _sketched(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``(key, v, n, s)`` of every text: fingerprint, number of shingles, and the first of them, rare ones before frequent ones."""
+    """``(key, v, n, w, s)`` of every text: fingerprint, number of shingles, and the first of them, rare ones before frequent ones.
+
+    ``w`` grows with the place of the last of ``s`` in the order.
+    """
     known, counts = _frequent_shingles(texts, width)
     def told(shingled: Shingler, text: str | None) -> tuple:
         own = shingled(text)
         v = majority(own[k : k + CHUNK].view(np.uint64) for k in range(0, len(own), CHUNK))
-        if len(known) and len(own):
+        if not len(own):
+            return v, 0, 0, own
+        often = np.zeros(len(own), np.int64)
+        if len(known):
             at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            own = own[np.argsort(np.where(known[at] == own, counts[at], 0), kind="stable")]
-        return v, len(own), own[: _prefix_length(len(own), similarity)] if len(own) else own
+            often = np.where(known[at] == own, counts[at], 0)
+        order = np.argsort(often, kind="stable")[: _prefix_length(len(own), similarity)]
+        last = (int(often[order[-1]]) << 44) | ((int(own[order[-1]]) + (1 << 63)) >> 20)
+        return v, len(own), last, own[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingled = Shingler(width)
         for batch in batches:
             rows = ((k.as_py(), *told(shingled, t.as_py())) for k, t in zip(batch.column(0), batch.column(1)))
-            yield from _batches(rows, ["key", "v", "n", "s"], [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())])
+            yield from _batches(rows, ["key", "v", "n", "w", "s"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())])
 
-    return texts.mapInArrow(run, "key long, v long, n int, s array<long>")
+    return texts.mapInArrow(run, "key long, v long, n int, w long, s array<long>")
 
 
 def _met(sketched: DataFrame) -> DataFrame:
-    """``(key, n, pos, s, own)``: the first shingles that another text has among its first ones too.
+    """``(key, n, w, s, own)``: the first shingles that another text has among its first ones too.
 
     ``own`` counts the others: of a family of copies the original has the least, as edits make shingles of their own.
     """
-    flat = sketched.select("key", F.col("n").cast("long").alias("n"), F.posexplode("s").alias("pos", "s"))
-    flat = flat.select("key", F.shiftleft("n", 32).bitwiseOR(F.col("pos").cast("long")).alias("np"), "s")  # most rows end here: they are kept small
+    flat = sketched.select("key", F.explode("s").alias("s"))  # most rows end here: they are kept small
     bucket = Window.partitionBy("s")
     flat = flat.withColumn("lo", F.min("key").over(bucket)).withColumn("hi", F.max("key").over(bucket))
-    met = flat.filter("lo <> hi").select("key", "np", "s").distinct()
-    met = met.withColumn("n", F.shiftright("np", 32).cast("int")).withColumn("pos", F.col("np").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).drop("np")
-    return met.withColumn("own", F.col("n") - F.count("*").over(Window.partitionBy("key")))
+    met = flat.filter("lo <> hi").select("key", "s").distinct().withColumn("shared", F.count("*").over(Window.partitionBy("key")))
+    sizes = sketched.select("key", "n", "w").dropDuplicates(["key"])
+    return met.join(sizes, "key").select("key", "n", "w", "s", (F.col("n") - F.col("shared")).alias("own"))
 
 
 def shared_enough(met: DataFrame, similarity: float) -> DataFrame:
-    """``(x, y)`` of the pairs in ``met``, a row ``(a, b)`` of structs with ``key`` and ``n`` for each first item they share, that can be ``similarity`` alike.
+    """``(x, y)`` of the pairs in ``met``, a row ``(a, b)`` of structs with ``key``, ``n`` and ``w`` for each first item they share, that can be ``similarity`` alike.
 
-    Of two sets take the one whose first items end earlier in the common order: those that the other has are among that one's first
-    items too. So they have no more in common than the first items they share, and what comes after the first items of that set.
+    Their sizes must be so alike. And of two sets take the one whose first items end earlier in the common order, which has the lesser ``w``: those that
+    the other has are among that one's first items too. So they have no more in common than the first items they share, and what comes
+    after the first items of that set. Sets with equal ``w`` are judged by the larger one.
     """
     a, b = F.col("a"), F.col("b")
-    rest = F.greatest(*[F.ceil(c["n"] * similarity - 1e-9) - 1 for c in (a, b)])
+    after = [F.ceil(c["n"] * similarity - 1e-9) - 1 for c in (a, b)]
+    rest = F.when(a["w"] < b["w"], after[0]).when(b["w"] < a["w"], after[1]).otherwise(F.greatest(*after))
     need = similarity / (1 + similarity) * (a["n"] + b["n"]) - 1e-6 - rest
-    rows = met.select(F.least("a.key", "b.key").alias("x"), F.greatest("a.key", "b.key").alias("y"), need.alias("need"))
+    rows = met.filter(F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - 1e-9)
+    rows = rows.select(F.least("a.key", "b.key").alias("x"), F.greatest("a.key", "b.key").alias("y"), need.alias("need"))
     return rows.groupBy("x", "y").agg(F.count("*").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("x", "y")
 
 
@@ -278,7 +288,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sketched = materialize(_sketched(texts, width, similarity), "sketched")
     met = materialize(_met(sketched), "met")
     bucket = Window.partitionBy("s")
-    now = met.select("s", F.struct((F.col("own").cast("double") / F.col("n")).alias("deal"), "key", "n", "pos").alias("a"))
+    now = met.select("s", F.struct((F.col("own").cast("double") / F.col("n")).alias("deal"), "key", "n", "w").alias("a"))
     hubs = shared_enough(now.withColumn("b", F.min("a").over(bucket)).filter("a.key <> b.key"), similarity)
     ball = _ball_pairs(sketched, radius).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     pairs = materialize(hubs.unionByName(ball).distinct(), "candidates")
@@ -286,7 +296,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = materialize(alike(pairs, _sets(texts, pairs, width), similarity), "links")
     release(spark)
     groups = connected_components(links, "x", "y")
-    now = met.join(groups.select(F.col("node").alias("key"), "component"), "key", "left").select("s", F.struct("key", "n", "pos", F.coalesce("component", "key").alias("c")).alias("a"))
+    now = met.join(groups.select(F.col("node").alias("key"), "component"), "key", "left").select("s", F.struct("key", "n", "w", F.coalesce("component", "key").alias("c")).alias("a"))
     now = now.withColumn("lo", F.min("a.c").over(bucket)).withColumn("hi", F.max("a.c").over(bucket)).filter("lo <> hi").select("s", "a")
     now = materialize(now, "unsettled")
     both = now.join(now.withColumnRenamed("a", "b"), "s").filter("a.key < b.key and a.c <> b.c")

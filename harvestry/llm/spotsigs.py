@@ -185,13 +185,13 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     prefix = materialize(rare_prefixes(sets, similarity), "prefixes")
     bucket = Window.partitionBy("s")
     own = F.col("n") - F.count("*").over(Window.partitionBy("key")) / 2
-    member = F.struct((own / F.col("n")).alias("deal"), "key", "n", "pos")
+    member = F.struct((own / F.col("n")).alias("deal"), "key", "n", F.lit(0).alias("w"))
     hubs = prefix.select("s", member.alias("a")).withColumn("b", F.min("a").over(bucket)).filter("a.key <> b.key")
     pairs = materialize(shared_enough(hubs, similarity), "candidates")
     own_sets = sets.select(F.col("set_id").alias("key"), F.col("s").alias("set"))
     links = materialize(alike(pairs, own_sets, similarity), "links")
     found = connected_components(links, "x", "y").select(F.col("node").alias("key"), "component")
-    now = prefix.join(found, "key", "left").select("s", F.struct("key", "n", "pos", F.coalesce("component", "key").alias("c")).alias("a"))
+    now = prefix.join(found, "key", "left").select("s", F.struct("key", "n", F.lit(0).alias("w"), F.coalesce("component", "key").alias("c")).alias("a"))
     now = materialize(now.withColumn("lo", F.min("a.c").over(bucket)).withColumn("hi", F.max("a.c").over(bucket)).filter("lo <> hi").select("s", "a"), "unsettled")
     met = now.join(now.withColumnRenamed("a", "b"), "s").filter("a.key < b.key and a.c <> b.c")
     more = materialize(shared_enough(met, similarity).join(pairs, ["x", "y"], "left_anti"), "candidates")
