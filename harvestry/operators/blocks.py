@@ -77,7 +77,11 @@ def detect_blocks(parsed: DataFrame, *keep: str, region: str = "NG", noise=V.NOI
     key = keep[0]
     n = F.length("text")
     rows = blocks_of(parsed, candidates(), *keep).filter(n >= 20)
-    rows = rows.filter(((F.col("direct") > 0) & (n <= PAGE_SHARE * F.col("page_len"))) | ((F.col("listed") > 0) & (n <= 1200)) | ((F.col("section") > 0) & (n <= SECTION_SHARE * F.col("page_len"))))
+    rows = rows.filter(
+        ((F.col("direct") > 0) & (n <= PAGE_SHARE * F.col("page_len"))) | ((F.col("listed") > 0) & (n <= 1200)) | (
+            (F.col("section") > 0) & (n <= SECTION_SHARE * F.col("page_len"))
+        )
+    )
     rows = with_contacts(rows, region, noise).drop("nodes", "tokens", "sub", "markup", "lines")
     # what follows looks at all candidates of a page, and is planned above the windows: contacts are not worked out again
     rows = rows.withColumn("n_candidates", F.count("*").over(Window.partitionBy(key))).withColumn("signals", signals())
@@ -114,9 +118,21 @@ def entities(blocks: DataFrame, *keep: str) -> DataFrame:
     """One company record per block of :func:`detect_blocks`, records without a real name or any contact left out."""
     host_name = U.name_from_url(F.coalesce(F.nullif("website", F.lit("")), F.col("url")))
     name = T.clean_company_name(F.coalesce(F.nullif("name", F.lit("")), host_name))
-    rows = blocks.select(*keep, F.col("url").alias("source_url"), "pos", "n_hits", name.alias("company_name"), F.col("b.path").alias("container_path"), "emails", F.col("phones").alias("phone_numbers"), "addresses", F.nullif("website", F.lit("")).alias("website"), "socials", F.lit("dom_block").alias("extraction_scope"))
-    rows = rows.withColumns({"email": F.get("emails", F.lit(0)), "phone": F.get("phone_numbers", F.lit(0)), "address": F.get("addresses", F.lit(0)), "business_name": F.col("company_name"), "listing_name": F.col("company_name")})
-    rows = rows.withColumn("confidence", S.entity_confidence(F.col("company_name"), F.col("email"), F.col("phone"), F.col("address"), F.col("website"), F.col("socials"), same_block=True))
+    rows = blocks.select(
+        *keep, F.col("url").alias("source_url"), "pos", "n_hits", name.alias("company_name"), F.col("b.path").alias("container_path"), "emails",
+        F.col("phones").alias("phone_numbers"), "addresses", F.nullif("website", F.lit("")).alias("website"), "socials",
+        F.lit("dom_block").alias("extraction_scope")
+    )
+    rows = rows.withColumns(
+        {
+            "email": F.get("emails", F.lit(0)), "phone": F.get("phone_numbers", F.lit(0)), "address": F.get("addresses", F.lit(0)),
+            "business_name": F.col("company_name"), "listing_name": F.col("company_name")
+        }
+    )
+    rows = rows.withColumn(
+        "confidence",
+        S.entity_confidence(F.col("company_name"), F.col("email"), F.col("phone"), F.col("address"), F.col("website"), F.col("socials"), same_block=True)
+    )
     return useful(rows)
 
 
@@ -168,9 +184,19 @@ def _structured(rows: DataFrame, keep: tuple, region: str, validate: bool) -> Da
     def one(x: Column) -> Column:
         return F.when(S.present(x), F.array(x)).otherwise(none)
 
-    done = rows.select(*keep, F.col("url").alias("source_url"), "pos", name.alias("company_name"), email.alias("email"), phone.alias("phone"), address.alias("address"), site.alias("website"), F.col("call").isNotNull().alias("called"))
-    done = done.withColumns({"emails": one(F.col("email")), "phone_numbers": F.when(F.col("called"), F.array("phone")).otherwise(none), "addresses": one(F.col("address")), "socials": none})
+    done = rows.select(
+        *keep, F.col("url").alias("source_url"), "pos", name.alias("company_name"), email.alias("email"), phone.alias("phone"),
+        address.alias("address"), site.alias("website"), F.col("call").isNotNull().alias("called")
+    )
+    done = done.withColumns(
+        {"emails": one(F.col("email")), "phone_numbers": F.when(F.col("called"), F.array("phone")).otherwise(none), "addresses": one(F.col("address")), "socials": none}
+    )
     done = done.withColumns({c: F.nullif(c, F.lit("")) for c in ("email", "phone", "address", "website")})
-    done = done.withColumns({"n_hits": F.lit(1), "container_path": F.lit(None).cast("string"), "extraction_scope": F.lit("structured_data"), "business_name": F.col("company_name"), "listing_name": F.col("company_name")}).drop("called")
+    done = done.withColumns(
+        {
+            "n_hits": F.lit(1), "container_path": F.lit(None).cast("string"), "extraction_scope": F.lit("structured_data"),
+            "business_name": F.col("company_name"), "listing_name": F.col("company_name")
+        }
+    ).drop("called")
     score = S.entity_confidence(F.col("company_name"), F.col("email"), F.col("phone"), F.col("address"), F.col("website"), F.col("socials"), structured=True)
     return useful(done.withColumn("confidence", score))

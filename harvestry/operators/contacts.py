@@ -132,7 +132,10 @@ def extract_phones(region: str = "NG") -> Column:
     dialled = F.expr(f"transform(filter(sub, n -> n.tag = 'a' and startswith({href}, 'tel:')), n -> substring({href}, 5))")
     chats = F.expr(f"transform(filter(sub, n -> n.tag = 'a' and (contains({href}, 'wa.me/') or contains({href}, 'whatsapp.com/send'))), n -> {href})")
     asked = r"(?:^|&)phone=([^&]*)"
-    chats = F.transform(chats, lambda h: F.array(F.when(U.part(h, 2).contains("wa.me"), F.btrim(U.part(h, 3), F.lit("/"))), F.try_url_decode(F.regexp_extract(U.part(h, 4), asked, 1))))
+    chats = F.transform(
+        chats,
+        lambda h: F.array(F.when(U.part(h, 2).contains("wa.me"), F.btrim(U.part(h, 3), F.lit("/"))), F.try_url_decode(F.regexp_extract(U.part(h, 4), asked, 1)))
+    )
     found = F.concat(dialled, F.filter(F.flatten(chats), lambda c: c != ""), T.find_phones(F.col("text")))
     return F.filter(F.array_distinct(F.transform(found, lambda p: T.normalize_phone(p, region))), lambda p: p != "")
 
@@ -173,7 +176,10 @@ def sql_text(value: str) -> str:
 
 def _links() -> Column:
     """The links of the block with their URLs, as the parser resolved them on the page's."""
-    return F.transform(some("sub", both(tag_is("a"), has_attr(RESOLVED))), lambda n: F.struct(value_of(n, "href").alias("href"), value_of(n, RESOLVED).alias("url"), F.lower(T.clean_text(node_text(n))).alias("anchor")))
+    return F.transform(
+        some("sub", both(tag_is("a"), has_attr(RESOLVED))),
+        lambda n: F.struct(value_of(n, "href").alias("href"), value_of(n, RESOLVED).alias("url"), F.lower(T.clean_text(node_text(n))).alias("anchor"))
+    )
 
 
 def extract_website(strict_social: bool = False) -> Column:
@@ -196,7 +202,12 @@ def extract_socials(strict_social: bool = False) -> Column:
 def with_contacts(blocks: DataFrame, region: str = "NG", noise=V.NOISE_EMAIL_PARTS, strict_social: bool = False) -> DataFrame:
     """``blocks`` with ``name, emails, phones, addresses, website, socials``."""
     done = blocks.withColumn("links", _links())
-    return done.withColumns({"name": extract_name(), "emails": extract_emails(noise), "phones": extract_phones(region), "addresses": extract_addresses(), "website": extract_website(strict_social), "socials": extract_socials(strict_social)}).drop("links")
+    return done.withColumns(
+        {
+            "name": extract_name(), "emails": extract_emails(noise), "phones": extract_phones(region), "addresses": extract_addresses(),
+            "website": extract_website(strict_social), "socials": extract_socials(strict_social)
+        }
+    ).drop("links")
 
 
 def signals() -> Column:

@@ -80,7 +80,10 @@ def quotes(found: DataFrame, *keep: str, scope: str = "pricing_container", stric
     rows = rows.withColumn("heading", _first("sub", TITLE_PLACES, lambda t: t != "")).withColumn("company", hint).withColumn("title", S.quote_title(F.col("heading"), F.col("cut")))
     rows = rows.withColumn("description", S.quote_description(F.col("cut"), F.col("title"), F.col("p.price")))
     score = S.quote_confidence(F.col("p.price"), F.col("p.currency"), F.col("title"), F.col("description"), F.lit(""), F.lit(True), S.starts_from(F.col("cut")))
-    return rows.select(*keep, F.col("url").alias("source_url"), "root", "pos", "company", "title", "p.price", "p.amount", "p.currency", "description", F.lit(scope).alias("extraction_scope"), score.alias("confidence"))
+    return rows.select(
+        *keep, F.col("url").alias("source_url"), "root", "pos", "company", "title", "p.price", "p.amount", "p.currency", "description",
+        F.lit(scope).alias("extraction_scope"), score.alias("confidence")
+    )
 
 
 def distinct_in_page(found: DataFrame, key: str) -> DataFrame:
@@ -112,7 +115,10 @@ def attach_companies(found: DataFrame, companies: DataFrame, key: str, least: fl
     """
     counts = companies.groupBy(key).agg(F.count("*").alias("n_companies"), F.min_by("company_name", "place").alias("only"))
     rows = found.join(counts, key, "left").withColumn("open", (F.coalesce("company", F.lit("")) == "") & (F.col("n_companies") > 1))
-    rest = rows.filter(~F.coalesce("open", F.lit(False))).withColumn("company", F.when((F.coalesce("company", F.lit("")) == "") & (F.col("n_companies") == 1), F.coalesce("only", F.lit(""))).otherwise(F.coalesce("company", F.lit(""))))
+    rest = rows.filter(~F.coalesce("open", F.lit(False))).withColumn(
+        "company",
+        F.when((F.coalesce("company", F.lit("")) == "") & (F.col("n_companies") == 1), F.coalesce("only", F.lit(""))).otherwise(F.coalesce("company", F.lit("")))
+    )
     names = [c for c in found.columns if c != "company"]
     open_ = rows.filter("open").withColumn("said", F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))))
     met = open_.select(*names, "said").join(companies.select(key, F.coalesce("company_name", F.lit("")).alias("name"), F.col("place").alias("c_place")), key)
@@ -152,8 +158,12 @@ def quotes_for_company(found: DataFrame, rows: DataFrame, seed: str) -> DataFram
     asked = rows.select(F.col(seed).alias("seed"), "row_id", F.lower(F.coalesce("listing_name", F.lit(""))).alias("name"), "n_companies")
     single, many = asked.filter("n_companies = 1"), asked.filter("n_companies <> 1")
     owners, names = quote.select("seed", "owner").distinct(), many.select("seed", "name").distinct()
-    inside = contained(names.withColumnRenamed("name", "needle"), owners.withColumnRenamed("owner", "hay")).select("seed", F.col("needle").alias("name"), F.col("hay").alias("owner"))
-    around = contained(owners.withColumnRenamed("owner", "needle"), names.withColumnRenamed("name", "hay")).select("seed", F.col("hay").alias("name"), F.col("needle").alias("owner"))
+    inside = contained(
+        names.withColumnRenamed("name", "needle"), owners.withColumnRenamed("owner", "hay")
+    ).select("seed", F.col("needle").alias("name"), F.col("hay").alias("owner"))
+    around = contained(
+        owners.withColumnRenamed("owner", "needle"), names.withColumnRenamed("name", "hay")
+    ).select("seed", F.col("hay").alias("name"), F.col("needle").alias("owner"))
     met = many.join(inside.unionByName(around).distinct(), ["seed", "name"]).join(quote, ["seed", "owner"]).select("seed", "row_id", "q")
     met = met.unionByName(many.filter("name = ''").join(quote.filter("owner <> ''"), "seed").select("seed", "row_id", "q"))
     met = met.unionByName(single.join(quote, "seed").select("seed", "row_id", "q"))

@@ -25,21 +25,32 @@ def validate_batches(requests: DataFrame, limit: int = MAX_URLS) -> DataFrame:
     rows = rows.withColumn("v", F.when(F.col("ok"), U.with_scheme(F.col("v"))).otherwise(F.col("v")))
     blank = F.coalesce(F.col("v") == "", F.lit(True))
     item = F.struct("pos", "v")
-    done = rows.groupBy("request_id").agg(F.count("pos").alias("n"), F.collect_list(F.when(F.col("ok"), item)).alias("good"), F.collect_list(F.when(~F.col("ok") & ~blank, item)).alias("bad"))
+    done = rows.groupBy("request_id").agg(
+        F.count("pos").alias("n"), F.collect_list(F.when(F.col("ok"), item)).alias("good"),
+        F.collect_list(F.when(~F.col("ok") & ~blank, item)).alias("bad")
+    )
 
     def urls(col: str) -> Column:
         return F.transform(F.array_sort(col), lambda x: x["v"])
 
     good, bad = F.size("good"), F.size("bad")
     some = (F.col("n") > 0) & (F.col("n") <= limit) & (good > 0)
-    message = F.when(F.col("n") == 0, "No URLs provided").when(F.col("n") > limit, f"Maximum {limit} URLs allowed per request").when(good == 0, "No valid URLs found").when(bad > 0, F.format_string("Validated %d URLs. %d invalid.", good, bad)).otherwise("All URLs are valid")
+    message = F.when(F.col("n") == 0, "No URLs provided").when(F.col("n") > limit, f"Maximum {limit} URLs allowed per request").when(good == 0, "No valid URLs found").when(
+        bad > 0, F.format_string("Validated %d URLs. %d invalid.", good, bad)
+    ).otherwise("All URLs are valid")
     none = F.array().cast("array<string>")
-    return done.select("request_id", some.alias("valid"), message.alias("message"), F.when(some, urls("good")).otherwise(none).alias("valid_urls"), F.when(some, urls("bad")).otherwise(none).alias("invalid_urls"), F.when(some, good).otherwise(0).alias("count"))
+    return done.select(
+        "request_id", some.alias("valid"), message.alias("message"), F.when(some, urls("good")).otherwise(none).alias("valid_urls"),
+        F.when(some, urls("bad")).otherwise(none).alias("invalid_urls"), F.when(some, good).otherwise(0).alias("count")
+    )
 
 
 def model_requests(records: DataFrame, cut: int = 2200, max_links: int = 20) -> DataFrame:
     """``(request_hash, request)``: distinct payloads ``(source_url, container_path, heading, text, links, traditional, dom_signals)``; those without text and heading are left out."""
-    payload = F.struct("source_url", "container_path", F.coalesce("heading", F.lit("")).alias("heading"), T.clean_text(F.col("text"), cut).alias("text"), F.slice("links", 1, max_links).alias("links"), "traditional", "dom_signals")
+    payload = F.struct(
+        "source_url", "container_path", F.coalesce("heading", F.lit("")).alias("heading"), T.clean_text(F.col("text"), cut).alias("text"),
+        F.slice("links", 1, max_links).alias("links"), "traditional", "dom_signals"
+    )
     rows = records.select(F.to_json(payload).alias("request"), payload.alias("p")).filter((F.col("p.text") != "") | (F.col("p.heading") != ""))
     return rows.select(F.sha2("request", 256).alias("request_hash"), "request").dropDuplicates(["request_hash"])
 
@@ -66,7 +77,14 @@ def normalize_responses(responses: DataFrame) -> DataFrame:
     score = F.coalesce(F.expr("try_variant_get(confidence, '$', 'double')"), F.lit(0.0))
     quote = "array<struct<title: string, price: string, currency: string, description: string, confidence: double>>"
     quotes = F.coalesce(F.expr(f"try_variant_get(quotes, '$', '{quote}')"), F.expr(f"cast(array() as {quote})"))
-    quotes = F.transform(F.filter(quotes, lambda q: S.present(T.clean_text(q["price"]))), lambda q: F.struct(T.clean_text(q["title"], 120).alias("title"), T.clean_text(q["price"], 80).alias("price"), F.upper(T.clean_text(q["currency"], 8)).alias("currency"), T.clean_text(q["description"], 300).alias("description"), S.clamp(F.coalesce(q["confidence"], F.lit(0.0))).alias("confidence")))
+    quotes = F.transform(
+        F.filter(quotes, lambda q: S.present(T.clean_text(q["price"]))),
+        lambda q: F.struct(
+            T.clean_text(q["title"], 120).alias("title"), T.clean_text(q["price"], 80).alias("price"),
+            F.upper(T.clean_text(q["currency"], 8)).alias("currency"), T.clean_text(q["description"], 300).alias("description"),
+            S.clamp(F.coalesce(q["confidence"], F.lit(0.0))).alias("confidence")
+        )
+    )
     return rows.select(
         "request_hash",
         F.when(T.has_real_name(name), name).otherwise("").alias("company_name"),
@@ -87,7 +105,10 @@ def apply_responses(records: DataFrame, normalized: DataFrame, region: str = "NG
     A name of confidence 0.35 and more, or where there was none, replaces; contacts are united in order; a website replaces; the score is
     worked out anew, blended with the model's, and the larger counts.
     """
-    said = normalized.select("request_hash", *[F.col(c).alias(f"m_{c}") for c in ("company_name", "emails", "phones", "address", "website", "social_links", "page_type", "confidence")])
+    said = normalized.select(
+        "request_hash",
+        *[F.col(c).alias(f"m_{c}") for c in ("company_name", "emails", "phones", "address", "website", "social_links", "page_type", "confidence")]
+    )
     rows = records.join(said, "request_hash", "left")
     told = F.col("m_confidence").isNotNull()
     ai = F.coalesce("m_confidence", F.lit(0.0))
@@ -107,7 +128,10 @@ def apply_responses(records: DataFrame, normalized: DataFrame, region: str = "NG
     })
     rows = rows.withColumns({one: F.coalesce(F.get(many, F.lit(0)), one) for one, many in (("email", "emails"), ("phone", "phone_numbers"), ("address", "addresses"))})
     rows = rows.withColumns({c: F.when(rename, F.col("company_name")).otherwise(F.col(c)) for c in ("business_name", "listing_name")})
-    fresh = S.entity_confidence(F.col("company_name"), F.col("email"), F.col("phone"), F.col("address"), F.col("website"), F.col("socials"), same_block=True, header=S.present(F.col("heading")), semantic=ai >= 0.6, ai=ai)
+    fresh = S.entity_confidence(
+        F.col("company_name"), F.col("email"), F.col("phone"), F.col("address"), F.col("website"), F.col("socials"), same_block=True,
+        header=S.present(F.col("heading")), semantic=ai >= 0.6, ai=ai
+    )
     rows = rows.withColumn("_new", fresh)
     blended = F.greatest("_new", F.round(F.col("_new") * 0.65 + ai * 0.35, 3))
     rows = rows.withColumn("confidence", F.when(told, blended).otherwise(F.col("confidence")))
@@ -116,7 +140,9 @@ def apply_responses(records: DataFrame, normalized: DataFrame, region: str = "NG
 
 def model_quotes(records: DataFrame, normalized: DataFrame) -> DataFrame:
     """The quotes that a model found, named by its company or the record's."""
-    rows = records.select("request_hash", "source_url", F.col("company_name").alias("own")).join(normalized.select("request_hash", F.col("company_name").alias("said"), "quotes"), "request_hash")
+    rows = records.select("request_hash", "source_url", F.col("company_name").alias("own")).join(
+        normalized.select("request_hash", F.col("company_name").alias("said"), "quotes"), "request_hash"
+    )
     rows = rows.select("source_url", F.coalesce(F.nullif("said", F.lit("")), F.col("own"), F.lit("")).alias("company"), F.posexplode("quotes").alias("pos", "q"))
     return rows.select("source_url", "pos", "company", "q.title", "q.price", "q.currency", "q.description", F.lit("ai_container").alias("extraction_scope"), "q.confidence")
 

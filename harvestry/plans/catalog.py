@@ -293,7 +293,9 @@ def anchor_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text and path of every link node."""
     nodes = node_table(parse_pages(table(spark, sf_dir, "pages"), "page_id"), "page_id").filter("tag = 'a'")
     rows = nodes.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("node_id", "text", "path"))).alias("x"))
-    return rows.select("page_id", F.posexplode("x").alias("pos", "a")).select("page_id", F.col("pos").cast("long").alias("pos"), T.clean_text(F.col("a.text")).alias("text"), "a.path")
+    return rows.select("page_id", F.posexplode("x").alias("pos", "a")).select(
+        "page_id", F.col("pos").cast("long").alias("pos"), T.clean_text(F.col("a.text")).alias("text"), "a.path"
+    )
 
 
 _FACTS = f"""
@@ -408,14 +410,23 @@ def similar_customer_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _seed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directory cards with a price each, two pages a seed; every third seed has a page that could not be had, and each nation a seed with nothing else."""
     f = corpora.supplier_facts(spark, sf_dir)
-    card = F.concat(F.lit("<div><h3>"), "name", F.lit('</h3><a href="mailto:'), "email", F.lit('">Mail</a><address>'), "address", F.lit("</address><p>from $"), F.col("key") + 100, F.lit("</p></div>"))
+    card = F.concat(
+        F.lit("<div><h3>"), "name", F.lit('</h3><a href="mailto:'), "email", F.lit('">Mail</a><address>'), "address", F.lit("</address><p>from $"),
+        F.col("key") + 100, F.lit("</p></div>")
+    )
     pages = corpora._pages(f.select("page", F.col("key").alias("at"), card.alias("card")), "priced.house", '<main class="directory-results">', "</main>")
     seed = F.floor(F.col("page_id") / 2)
     pages = pages.withColumns({"seed_url": F.concat(F.lit("seed"), seed), "fetch_error": F.lit(None).cast("string")})
     nothing = F.lit(None).cast("string")
-    late = pages.filter((F.col("page_id") % 6) == 0).select((F.col("page_id") + 1_000_000_000).alias("page_id"), F.concat("url", F.lit("/late")).alias("url"), nothing.alias("html"), "seed_url", F.lit("timeout").alias("fetch_error"))
+    late = pages.filter((F.col("page_id") % 6) == 0).select(
+        (F.col("page_id") + 1_000_000_000).alias("page_id"), F.concat("url", F.lit("/late")).alias("url"), nothing.alias("html"), "seed_url",
+        F.lit("timeout").alias("fetch_error")
+    )
     key = F.col("n_nationkey").cast("long")
-    lost = table(spark, sf_dir, "nation").select((key + 2_000_000_000).alias("page_id"), F.concat(F.lit("https://lost.house/"), key).alias("url"), nothing.alias("html"), F.concat(F.lit("lost"), key).alias("seed_url"), F.lit("refused").alias("fetch_error"))
+    lost = table(spark, sf_dir, "nation").select(
+        (key + 2_000_000_000).alias("page_id"), F.concat(F.lit("https://lost.house/"), key).alias("url"), nothing.alias("html"),
+        F.concat(F.lit("lost"), key).alias("seed_url"), F.lit("refused").alias("fetch_error")
+    )
     return pages.unionByName(late).unionByName(lost)
 
 
@@ -446,8 +457,12 @@ def exported_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     companies, quotes, done = _seeds(spark, sf_dir)
     path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
     rollup.write_exports(done, rollup.csv_rows(companies, quotes), path)
-    back = spark.read.schema("seed_url string, status string, companies array<struct<company_name: string, email: string>>, errors array<struct<error: string>>").json(f"{path}/json")
-    return back.select("seed_url", "status", F.explode_outer("companies").alias("c"), F.get("errors", F.lit(0))["error"].alias("first_error")).select("seed_url", "status", "c.company_name", "c.email", "first_error")
+    back = spark.read.schema(
+        "seed_url string, status string, companies array<struct<company_name: string, email: string>>, errors array<struct<error: string>>"
+    ).json(f"{path}/json")
+    return back.select(
+        "seed_url", "status", F.explode_outer("companies").alias("c"), F.get("errors", F.lit(0))["error"].alias("first_error")
+    ).select("seed_url", "status", "c.company_name", "c.email", "first_error")
 
 
 @query(_SEEDS + """
@@ -468,7 +483,10 @@ def analyst_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = rollup.analyst_table(*_seeds(spark, sf_dir))
     name = F.col("`Listing / Business Name`")
     own = F.get(F.filter(F.split("Quotes", "; "), lambda q: q.startswith(F.concat(name, F.lit(" $")))), F.lit(0))
-    return t.select("seed_url", name.alias("listing"), F.col("Email").alias("email"), F.col("Phone").alias("phone"), own.alias("own_quote"), F.col("Confidence").alias("confidence"), F.col("Status").alias("status"))
+    return t.select(
+        "seed_url", name.alias("listing"), F.col("Email").alias("email"), F.col("Phone").alias("phone"), own.alias("own_quote"),
+        F.col("Confidence").alias("confidence"), F.col("Status").alias("status")
+    )
 
 
 @query(_RESULTS + " SELECT sum(greatest(n_companies, 1))::BIGINT AS listings, sum(n_quotes)::BIGINT AS quotes, sum(n_pages)::BIGINT AS pages FROM r")
@@ -483,21 +501,39 @@ def csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The row export with quoted cells (A4)."""
     c, none = table(spark, sf_dir, "customer"), F.lit(None).cast("string")
     name = F.concat(F.lit("Shop "), F.col("c_custkey"))
-    rows = c.select("c_custkey", F.lit("").alias("source_url"), F.lit("pages, house").alias("url"), name.alias("company_name"), none.alias("business_name"), F.lit('Say "hi"').alias("listing_name"), none.alias("email"), F.concat(F.lit("+44"), F.col("c_custkey")).alias("phone"), none.alias("address"), none.alias("website"), F.array(F.lit("a"), F.lit("b")).alias("socials"), F.lit("0.5").alias("confidence"), F.lit("ok").alias("status"))
+    rows = c.select(
+        "c_custkey", F.lit("").alias("source_url"), F.lit("pages, house").alias("url"), name.alias("company_name"), none.alias("business_name"),
+        F.lit('Say "hi"').alias("listing_name"), none.alias("email"), F.concat(F.lit("+44"), F.col("c_custkey")).alias("phone"),
+        none.alias("address"), none.alias("website"), F.array(F.lit("a"), F.lit("b")).alias("socials"), F.lit("0.5").alias("confidence"),
+        F.lit("ok").alias("status")
+    )
     done = rollup.status_rows(rows)
     return done.select(F.regexp_extract("company_name", r"(\d+)", 1).cast("long").alias("c_custkey"), "line")
 
 
-@query(_FACTS + """ SELECT key, 'Model House ' || key AS company_name, email, '+1202' || lpad(key::VARCHAR, 7, '5') AS phone, CASE WHEN key % 2 = 0 THEN 0.9 ELSE 1.0 END::DOUBLE AS ai_confidence, 1 AS n_quotes FROM f""")
+@query(
+    _FACTS + """ SELECT key, 'Model House ' || key AS company_name, email, '+1202' || lpad(key::VARCHAR, 7, '5') AS phone, CASE WHEN key % 2 = 0 THEN 0.9 ELSE 1.0 END::DOUBLE AS ai_confidence, 1 AS n_quotes FROM f"""
+)
 def model_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests made from records, answers joined by hash, normalised and applied."""
     f = corpora.supplier_facts(spark, sf_dir)
     none = F.array().cast("array<string>")
-    rows = f.select("key", F.lit("https://model.house/").alias("source_url"), F.lit("body > div").alias("container_path"), F.lit("").alias("heading"), F.concat_ws(" ", "name", "address").alias("text"), F.array(F.struct(F.lit("x").alias("text"), F.col("social").alias("href"))).alias("links"), F.struct("name").alias("traditional"), F.struct(F.lit(1).alias("signal_count")).alias("dom_signals"), F.lit("").alias("company_name"), F.lit("").alias("business_name"), F.lit("").alias("listing_name"), none.alias("emails"), none.alias("phone_numbers"), none.alias("addresses"), none.alias("socials"), *[F.lit(None).cast("string").alias(c) for c in ("email", "phone", "address", "website")], F.lit(0.2).alias("confidence"))
+    rows = f.select(
+        "key", F.lit("https://model.house/").alias("source_url"), F.lit("body > div").alias("container_path"), F.lit("").alias("heading"),
+        F.concat_ws(" ", "name", "address").alias("text"), F.array(F.struct(F.lit("x").alias("text"), F.col("social").alias("href"))).alias("links"),
+        F.struct("name").alias("traditional"), F.struct(F.lit(1).alias("signal_count")).alias("dom_signals"), F.lit("").alias("company_name"),
+        F.lit("").alias("business_name"), F.lit("").alias("listing_name"), none.alias("emails"), none.alias("phone_numbers"), none.alias("addresses"),
+        none.alias("socials"), *[F.lit(None).cast("string").alias(c) for c in ("email", "phone", "address", "website")],
+        F.lit(0.2).alias("confidence")
+    )
     asked = materialize(R.model_requests(rows), "requests")
     number = F.regexp_extract("request", r"Vendor House (\d+)", 1)
     # numbers as numbers or text, lists as lists or single values, a quote without a price
-    answer = F.concat(F.lit('{"company_name":"Model House '), number, F.lit(' ","emails":"sales'), number, F.lit("@house"), number, F.lit('.co","phones":["+1202'), F.lpad(number, 7, "5"), F.lit('"],"confidence":'), F.when(number.cast("long") % 2 == 0, "0.9").otherwise('"7"'), F.lit(',"quotes":[{"title":"a","price":"$5","currency":"usd"},{"title":"b","price":""}]}'))
+    answer = F.concat(
+        F.lit('{"company_name":"Model House '), number, F.lit(' ","emails":"sales'), number, F.lit("@house"), number, F.lit('.co","phones":["+1202'),
+        F.lpad(number, 7, "5"), F.lit('"],"confidence":'), F.when(number.cast("long") % 2 == 0, "0.9").otherwise('"7"'),
+        F.lit(',"quotes":[{"title":"a","price":"$5","currency":"usd"},{"title":"b","price":""}]}')
+    )
     known = asked.select("request_hash", answer.alias("response"))
     hashed = rows.join(asked.select("request_hash", number.cast("long").alias("key")), "key")
     said = materialize(R.normalize_responses(R.cached(asked, known)), "responses")
@@ -560,7 +596,10 @@ def sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
     phone = F.when(k % 2 == 0, "tel 12-34").otherwise(F.concat(F.lit("tel+1 (202) "), F.lpad(k, 7, "0"), F.lit("x")))
     address = F.when(k % 5 == 0, " - 1 ").otherwise(F.concat(k, F.lit("\n Mill  Road |")))
     host = U.name_from_url(F.concat(F.lit("https://www.big-shop"), k, F.lit("a.co:80/x")))
-    return table(spark, sf_dir, "supplier").select("s_suppkey", T.sanitize_email(email).alias("email"), T.sanitize_phone(phone).alias("phone"), T.sanitize_address(address).alias("address"), host.alias("host_name"))
+    return table(spark, sf_dir, "supplier").select(
+        "s_suppkey", T.sanitize_email(email).alias("email"), T.sanitize_phone(phone).alias("phone"), T.sanitize_address(address).alias("address"),
+        host.alias("host_name")
+    )
 
 
 @query("""

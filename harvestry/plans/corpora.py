@@ -32,9 +32,14 @@ def _pages(cards: DataFrame, host: str, head: str, tail: str) -> DataFrame:
     """Cards ``(page, at, card)`` as pages ``(page_id, url, html)``; every page ends with some text of its own."""
     # pages are costly for their size: they are dealt to all tasks, and stay there
     tasks = int(cards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cards.repartition(tasks, "page").groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "card"))), lambda x: x["card"]), "").alias("body"))
+    rows = cards.repartition(tasks, "page").groupBy("page").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "card"))), lambda x: x["card"]), "").alias("body")
+    )
     filler = "<p>" + "This page lists some partners of the house and says little else. " * 2 + "</p>"
-    return rows.select(F.col("page").alias("page_id"), F.concat(F.lit(f"https://{host}/list/"), F.col("page")).alias("url"), F.concat(F.lit("<html><body><h1>Our partners</h1>" + head), F.col("body"), F.lit(tail + filler + "</body></html>")).alias("html"))
+    return rows.select(
+        F.col("page").alias("page_id"), F.concat(F.lit(f"https://{host}/list/"), F.col("page")).alias("url"),
+        F.concat(F.lit("<html><body><h1>Our partners</h1>" + head), F.col("body"), F.lit(tail + filler + "</body></html>")).alias("html")
+    )
 
 
 def directory_pages(spark: SparkSession, sf_dir: str, cards: int = CARDS) -> DataFrame:
@@ -50,7 +55,10 @@ def directory_pages(spark: SparkSession, sf_dir: str, cards: int = CARDS) -> Dat
     def said(before: str, value: str, after: str) -> Column:
         return F.concat(F.lit(before), F.col(value), F.lit(after))
 
-    name = by(4, said("<h3>", "name", "</h3>"), said("<p>Member since 99</p><strong>", "name", "</strong>"), said('<h4>Our partner</h4><span class="company-name">', "name", "</span>"), said('<h2>Welcome</h2><i itemprop="name">', "name", "</i>"))
+    name = by(
+        4, said("<h3>", "name", "</h3>"), said("<p>Member since 99</p><strong>", "name", "</strong>"),
+        said('<h4>Our partner</h4><span class="company-name">', "name", "</span>"), said('<h2>Welcome</h2><i itemprop="name">', "name", "</i>")
+    )
     mail = F.when(F.pmod("key", F.lit(5)) == 0, "").otherwise(said('<a href="mailto:', "email", '?subject=hi">Mail us</a> '))
     phone = by(3, said('<a href="tel:', "phone", '">Call us</a>'), said("<p>Ring ", "phone", " now</p>"), said('<a href="https://wa.me/', "phone", '">Chat</a>'))
     address = by(3, said("<address>", "address", "</address>"), said('<b class="venue">', "address", "</b>"), said('<p>Address: ', "address", "</p>"))
@@ -65,7 +73,10 @@ def section_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = supplier_facts(spark, sf_dir)
     body = F.concat(F.lit('<div class="contact-panel"><h2>'), "name", F.lit("</h2><p>Write to "), "email", F.lit("</p></div>"))
     rest = "<p>" + "This page says a lot of other things that matter little to anyone. " * 4 + "</p>"
-    return f.select(F.col("key").alias("page_id"), F.concat(F.lit("https://section.house/"), "key").alias("url"), F.concat(F.lit("<html><body><h1>Hello</h1>"), body, F.lit(rest + "</body></html>")).alias("html"))
+    return f.select(
+        F.col("key").alias("page_id"), F.concat(F.lit("https://section.house/"), "key").alias("url"),
+        F.concat(F.lit("<html><body><h1>Hello</h1>"), body, F.lit(rest + "</body></html>")).alias("html")
+    )
 
 
 def website_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +84,9 @@ def website_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = supplier_facts(spark, sf_dir)
     way = F.pmod("key", F.lit(3))
     name = F.concat(F.when(way == 0, "Caf&eacute;").when(way == 1, "Caf&#233;").otherwise("Caf&amp;eacute;"), F.lit(" House "), "key")
-    link = F.when(way == 0, F.concat(F.lit("<a href=../go/"), "key", F.lit(">Website</a>"))).when(way == 1, F.concat(F.lit("<a href='//shop"), "key", F.lit(".co/a?x=1&amp;y=2#top'>more</a>")))
+    link = F.when(way == 0, F.concat(F.lit("<a href=../go/"), "key", F.lit(">Website</a>"))).when(
+        way == 1, F.concat(F.lit("<a href='//shop"), "key", F.lit(".co/a?x=1&amp;y=2#top'>more</a>"))
+    )
     link = link.otherwise(F.concat(F.lit('<a title="a>b" HREF = "https://shop'), "key", F.lit('.co/./b/../c/">more</a>')))
     social = F.concat(F.lit("<a href=//instagram.com/house"), "key", F.lit(">pictures</a>"))
     card = F.concat(F.lit("<li><h3>"), name, F.lit("</h3><a href=/inside>inside</a> "), social, link, F.lit(" Market Street and more"))
@@ -91,7 +104,10 @@ def disguised_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded = F.lpad("email", F.length("email") + F.pmod(-F.length("email"), F.lit(3)), " ")
     coded = F.concat(F.lit('<p data-x="1">code '), F.base64(F.encode(padded, "utf-8")), F.lit(" end</p>"))
     way = F.pmod("key", F.lit(3))
-    card = F.concat(F.lit('<div class="company-card"><h3>'), "name", F.lit("</h3>"), F.when(way == 0, spelled).when(way == 1, protected).otherwise(coded), F.lit("<address>"), "address", F.lit("</address></div>"))
+    card = F.concat(
+        F.lit('<div class="company-card"><h3>'), "name", F.lit("</h3>"), F.when(way == 0, spelled).when(way == 1, protected).otherwise(coded),
+        F.lit("<address>"), "address", F.lit("</address></div>")
+    )
     return _pages(f.select("page", F.col("key").alias("at"), card.alias("card")), "disguised.house", "<main>", "</main>")
 
 
@@ -99,7 +115,9 @@ def structured_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per supplier with JSON-LD: an object, a list or a graph, the address as an object or a string, by turns; every fifth has a URL only."""
     f = supplier_facts(spark, sf_dir)
     way, bare = F.pmod("key", F.lit(3)), F.pmod("key", F.lit(5)) == 4
-    address = F.when(F.pmod("key", F.lit(2)) == 0, F.concat(F.lit('{"@type":"PostalAddress","streetAddress":"'), "address", F.lit('","addressCountry":"US"}'))).otherwise(F.concat(F.lit('"'), "address", F.lit('"')))
+    address = F.when(
+        F.pmod("key", F.lit(2)) == 0, F.concat(F.lit('{"@type":"PostalAddress","streetAddress":"'), "address", F.lit('","addressCountry":"US"}'))
+    ).otherwise(F.concat(F.lit('"'), "address", F.lit('"')))
     contact = F.concat(F.lit('"email":"'), "email", F.lit('","telephone":"'), "phone", F.lit('","address":'), address)
     one = F.concat(F.lit('{"@type":"Organization","name":"'), "name", F.lit(' &amp; S&oacute;ns",'), F.when(bare, '"url":"about?x=1"').otherwise(contact), F.lit("}"))
     body = F.when(way == 0, one).when(way == 1, F.concat(F.lit("["), one, F.lit("]"))).otherwise(F.concat(F.lit('{"@graph":['), one, F.lit(',{"@type":"Person","name":"x"}]}')))
@@ -131,7 +149,13 @@ def customer_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     site = F.when(way == 2, F.concat(F.when(second, "https://www.shop").otherwise("https://shop"), key, F.when(second, ".co/about").otherwise(".co")))
     name = F.concat(F.lit("Shop "), F.substring(F.md5(key), 1, 16), F.when(second & (way < 2), " renamed entirely elsewhere").otherwise(""))
     return c.select(
-        F.floor(F.col("c_custkey") / 50).cast("long").alias("seed"), F.concat(F.lit("https://pages.house/"), F.col("side"), F.lit("/"), key).alias("source_url"), F.lit(0).alias("pos"), F.lit(1).alias("n_hits"),
-        name.alias("company_name"), name.alias("business_name"), name.alias("listing_name"), F.concat(F.lit("body > div#c"), key).alias("container_path"), email.alias("email"), F.when(email.isNotNull(), F.array(email)).otherwise(none).alias("emails"),
-        phone.alias("phone"), F.when(phone.isNotNull(), F.array(phone)).otherwise(none).alias("phone_numbers"), F.lit(None).cast("string").alias("address"), none.alias("addresses"), site.alias("website"), none.alias("socials"), F.lit("dom_block").alias("extraction_scope"), F.lit(0.6).alias("confidence"),
+        F.floor(F.col("c_custkey") / 50).cast("long").alias("seed"), F.concat(
+            F.lit("https://pages.house/"), F.col("side"), F.lit("/"), key
+        ).alias("source_url"), F.lit(0).alias("pos"), F.lit(1).alias("n_hits"),
+        name.alias("company_name"), name.alias("business_name"), name.alias("listing_name"), F.concat(F.lit("body > div#c"), key).alias("container_path"), email.alias("email"), F.when(
+            email.isNotNull(), F.array(email)
+        ).otherwise(none).alias("emails"),
+        phone.alias("phone"), F.when(
+            phone.isNotNull(), F.array(phone)
+        ).otherwise(none).alias("phone_numbers"), F.lit(None).cast("string").alias("address"), none.alias("addresses"), site.alias("website"), none.alias("socials"), F.lit("dom_block").alias("extraction_scope"), F.lit(0.6).alias("confidence"),
     )

@@ -31,7 +31,10 @@ def with_seed(pages: DataFrame) -> DataFrame:
     return pages if "seed_url" in pages.columns else pages.withColumn("seed_url", U.host_of_absolute(F.col("url")))
 
 
-def extract(pages: DataFrame, region: str = "NG", noise=V.NOISE_EMAIL_PARTS, cap: int | None = B.MAX_BLOCKS, section_cap: int | None = B.MAX_SECTIONS, quote_cap: int | None = Q.MAX_CONTAINERS) -> Extraction:
+def extract(
+    pages: DataFrame, region: str = "NG", noise=V.NOISE_EMAIL_PARTS, cap: int | None = B.MAX_BLOCKS, section_cap: int | None = B.MAX_SECTIONS,
+    quote_cap: int | None = Q.MAX_CONTAINERS
+) -> Extraction:
     """Companies and quotes of every page of ``(page_id, url, html)``. Each page is parsed once, and the node table written once.
 
     A column ``fetch_error`` says why a page could not be had; such pages, and those that can't be parsed, are errors of their seed. The caps
@@ -51,7 +54,10 @@ def extract(pages: DataFrame, region: str = "NG", noise=V.NOISE_EMAIL_PARTS, cap
     both = materialize(Q.all_quotes(Q.distinct_in_page(in_blocks, "page_id"), Q.distinct_in_page(in_pages, "page_id")), "quotes")
     quotes = materialize(Q.attach_companies(both, companies.select("page_id", "company_name", "place"), "page_id"), "quotes")
     error = F.coalesce("failed", "error")
-    status = parsed.select("page_id", "seed_url", F.col("url").alias("source_url"), F.when(error.isNull(), "success").otherwise("error").alias("status"), error.alias("error"), F.col("page_id").alias("place"))
+    status = parsed.select(
+        "page_id", "seed_url", F.col("url").alias("source_url"), F.when(error.isNull(), "success").otherwise("error").alias("status"),
+        error.alias("error"), F.col("page_id").alias("place")
+    )
     return Extraction(companies, quotes, status)
 
 

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from harvestry.functions import urls as U
 from harvestry.operators.quotes import quotes_for_company
 
-CSV_COLUMNS = ("source_url", "company_name", "business_name", "listing_name", "email", "phone", "address", "website", "socials", "confidence", "quote_title", "quote_price", "quote_currency", "quote_confidence")
+CSV_COLUMNS = (
+    "source_url", "company_name", "business_name", "listing_name", "email", "phone", "address", "website", "socials", "confidence", "quote_title",
+    "quote_price", "quote_currency", "quote_confidence"
+)
 ROW_COLUMNS = ("source_url", "company_name", "business_name", "listing_name", "email", "phone", "address", "website", "socials", "confidence", "status")
 TABLE_COLUMNS = ("Source URL", "Listing / Business Name", "Email", "Phone", "Address", "Website", "Socials", "Quotes", "Confidence", "Status")
 
@@ -48,11 +51,21 @@ def seed_results(pages: DataFrame, companies: DataFrame, quotes: DataFrame, disc
     pages and records are; the flat tables stay the main output.
     """
     done = seed_status(pages, companies, quotes)
-    crawled = pages.filter("source_url is not null").groupBy("seed_url").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "source_url"))), lambda x: x["source_url"]).alias("crawled_urls"))
-    errors = pages.filter("status = 'error'").groupBy("seed_url").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "source_url", "error"))), lambda x: F.struct(x["source_url"].alias("source_url"), x["error"].alias("error"))).alias("errors"))
+    crawled = pages.filter("source_url is not null").groupBy("seed_url").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "source_url"))), lambda x: x["source_url"]).alias("crawled_urls")
+    )
+    errors = pages.filter("status = 'error'").groupBy("seed_url").agg(
+        F.transform(
+            F.array_sort(F.collect_list(F.struct("place", "source_url", "error"))),
+            lambda x: F.struct(x["source_url"].alias("source_url"), x["error"].alias("error"))
+        ).alias("errors")
+    )
     company_columns = [c for c in companies.columns if c not in ("seed_url", "place", "eid", "scope")]
     quote_columns = [c for c in quotes.columns if c not in ("seed_url", "place")]
-    tables = [crawled, errors, _listed(companies, "place", *company_columns).withColumnRenamed("rows", "companies"), _listed(quotes, "place", *quote_columns).withColumnRenamed("rows", "quotes"), contact_rollup(companies)]
+    tables = [
+        crawled, errors, _listed(companies, "place", *company_columns).withColumnRenamed("rows", "companies"),
+        _listed(quotes, "place", *quote_columns).withColumnRenamed("rows", "quotes"), contact_rollup(companies)
+    ]
     if discovered is not None:
         tables.append(discovered.groupBy("seed_url").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "url"))), lambda x: x["url"]).alias("discovered_urls")))
     for t in tables:
@@ -63,15 +76,27 @@ def seed_results(pages: DataFrame, companies: DataFrame, quotes: DataFrame, disc
 
 def run_metrics(seeds: DataFrame) -> DataFrame:
     """Rows of the analyst's table, quotes, and pages (or seeds if no page was crawled), over all seeds of :func:`seed_results`."""
-    sums = seeds.agg(F.sum(F.greatest(F.col("n_companies"), F.lit(1))).alias("listings"), F.sum("n_quotes").alias("quotes"), F.sum(F.size("crawled_urls")).alias("crawled"), F.count("*").alias("seeds"))
-    return sums.select(F.coalesce("listings", F.lit(0)).alias("listings"), F.coalesce("quotes", F.lit(0)).alias("quotes"), F.coalesce(F.nullif("crawled", F.lit(0)), F.col("seeds")).alias("pages"))
+    sums = seeds.agg(
+        F.sum(F.greatest(F.col("n_companies"), F.lit(1))).alias("listings"), F.sum("n_quotes").alias("quotes"),
+        F.sum(F.size("crawled_urls")).alias("crawled"), F.count("*").alias("seeds")
+    )
+    return sums.select(
+        F.coalesce("listings", F.lit(0)).alias("listings"), F.coalesce("quotes", F.lit(0)).alias("quotes"),
+        F.coalesce(F.nullif("crawled", F.lit(0)), F.col("seeds")).alias("pages")
+    )
 
 
 def csv_rows(companies: DataFrame, quotes: DataFrame) -> DataFrame:
     """The 14 columns of the flat export: companies, then quotes; what a kind lacks is null. ``order`` sorts a seed's rows."""
     url = F.coalesce(F.nullif("source_url", F.lit("")), F.col("seed_url")).alias("source_url")
-    left = companies.select("seed_url", F.lit(0).alias("kind"), "place", url, "company_name", "business_name", "listing_name", "email", "phone", "address", "website", F.array_join("socials", "; ").alias("socials"), F.col("confidence").cast("string").alias("confidence"))
-    right = quotes.select("seed_url", F.lit(1).alias("kind"), "place", url, F.col("company").alias("company_name"), F.col("title").alias("quote_title"), F.col("price").alias("quote_price"), F.col("currency").alias("quote_currency"), F.col("confidence").cast("string").alias("quote_confidence"))
+    left = companies.select(
+        "seed_url", F.lit(0).alias("kind"), "place", url, "company_name", "business_name", "listing_name", "email", "phone", "address", "website",
+        F.array_join("socials", "; ").alias("socials"), F.col("confidence").cast("string").alias("confidence")
+    )
+    right = quotes.select(
+        "seed_url", F.lit(1).alias("kind"), "place", url, F.col("company").alias("company_name"), F.col("title").alias("quote_title"),
+        F.col("price").alias("quote_price"), F.col("currency").alias("quote_currency"), F.col("confidence").cast("string").alias("quote_confidence")
+    )
     return left.unionByName(right, allowMissingColumns=True).select("seed_url", "kind", "place", *CSV_COLUMNS)
 
 
@@ -101,13 +126,35 @@ def analyst_table(companies: DataFrame, quotes: DataFrame, seeds: DataFrame) ->
     def first(one: str, many: str) -> Column:
         return F.coalesce(F.nullif(one, F.lit("")), F.get(many, F.lit(0)), F.lit(""))
 
-    rows = own.select("seed_url", "row_id", "n_companies", "status", F.coalesce(F.nullif("source_url", F.lit("")), F.col("seed_url")).alias("source_url"), name.alias("listing_name"), first("email", "emails").alias("email"), first("phone", "phone_numbers").alias("phone"), first("address", "addresses").alias("address"), F.coalesce("website", F.lit("")).alias("website"), F.array_join("socials", "; ").alias("socials"), "confidence")
+    rows = own.select(
+        "seed_url", "row_id", "n_companies", "status", F.coalesce(F.nullif("source_url", F.lit("")), F.col("seed_url")).alias("source_url"),
+        name.alias("listing_name"), first("email", "emails").alias("email"), first("phone", "phone_numbers").alias("phone"),
+        first("address", "addresses").alias("address"), F.coalesce("website", F.lit("")).alias("website"),
+        F.array_join("socials", "; ").alias("socials"), "confidence"
+    )
     # a seed without companies is one listing without a name, and so the owner of all its quotes
-    bare = counts.filter("n_companies = 0").select("seed_url", F.lit(0).alias("row_id"), F.lit(1).cast("long").alias("n_companies"), "status", F.col("seed_url").alias("source_url"), *[F.lit("").alias(c) for c in ("listing_name", "email", "phone", "address", "website", "socials")], F.lit(None).cast("double").alias("confidence"))
+    bare = counts.filter("n_companies = 0").select(
+        "seed_url", F.lit(0).alias("row_id"), F.lit(1).cast("long").alias("n_companies"), "status", F.col("seed_url").alias("source_url"),
+        *[F.lit("").alias(c) for c in ("listing_name", "email", "phone", "address", "website", "socials")],
+        F.lit(None).cast("double").alias("confidence")
+    )
     rows = quotes_for_company(quotes, rows.unionByName(bare), "seed_url")
-    said = F.array_join(F.filter(F.transform(F.coalesce("quotes", F.array().cast("array<struct<place:int,title:string,price:string,currency:string>>")), lambda q: F.concat_ws(" ", F.nullif(q["title"], F.lit("")), F.nullif(q["price"], F.lit("")), F.nullif(q["currency"], F.lit("")))), lambda t: t != ""), "; ")
+    said = F.array_join(
+        F.filter(
+            F.transform(
+                F.coalesce("quotes", F.array().cast("array<struct<place:int,title:string,price:string,currency:string>>")),
+                lambda q: F.concat_ws(" ", F.nullif(q["title"], F.lit("")), F.nullif(q["price"], F.lit("")), F.nullif(q["currency"], F.lit("")))
+            ),
+            lambda t: t != ""
+        ),
+        "; "
+    )
     percent = F.when(F.col("confidence").isNotNull(), F.concat(F.floor(F.col("confidence") * 100 + 0.5).cast("string"), F.lit("%"))).otherwise("N/A")
-    cells = [F.col("source_url"), *[F.coalesce(F.nullif(c, F.lit("")), F.lit("N/A")) for c in ("listing_name", "email", "phone", "address", "website", "socials")], F.coalesce(F.nullif(said, F.lit("")), F.lit("N/A")), percent, F.coalesce("status", F.lit("N/A"))]
+    cells = [
+        F.col("source_url"),
+        *[F.coalesce(F.nullif(c, F.lit("")), F.lit("N/A")) for c in ("listing_name", "email", "phone", "address", "website", "socials")],
+        F.coalesce(F.nullif(said, F.lit("")), F.lit("N/A")), percent, F.coalesce("status", F.lit("N/A"))
+    ]
     return rows.select("seed_url", "row_id", *[c.alias(n) for c, n in zip(cells, TABLE_COLUMNS)])
 
 

@@ -108,7 +108,12 @@ class _Nodes(HTMLParser):
         classes = known.get("class", "").split()
         label = tag + (f"#{known['id']}" if known.get("id") else "." + ".".join(classes[:2]) if classes else "")
         path = [*(self.open[-1]["_path"] if self.open else []), label] if tag != "html" else []
-        node = {"node_id": len(self.nodes), "end_id": len(self.nodes) + 1, "parent_id": self.open[-1]["node_id"] if self.open else -1, "depth": len(self.open), "tag": tag, "id": known.get("id"), "classes": classes, "attrs": list(known.items()), "path": " > ".join(path[-6:]), "_path": path[-6:], "tok_start": len(self.tokens), "tok_len": 0, "html_start": at, "html_len": self.size - at}
+        node = {
+            "node_id": len(self.nodes), "end_id": len(self.nodes) + 1, "parent_id": self.open[-1]["node_id"] if self.open else -1,
+            "depth": len(self.open), "tag": tag, "id": known.get("id"), "classes": classes, "attrs": list(known.items()),
+            "path": " > ".join(path[-6:]), "_path": path[-6:], "tok_start": len(self.tokens), "tok_len": 0, "html_start": at,
+            "html_len": self.size - at
+        }
         self.nodes.append(node)
         self.open.append(node)
 
@@ -166,7 +171,10 @@ def parse_pages(pages: DataFrame, *keep: str) -> DataFrame:
     """
     names = ["url", "html", *keep]
     ints = ("node_id", "end_id", "parent_id", "depth")
-    node = [(n, pa.int32()) for n in ints] + [("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())), ("path", pa.string())]
+    node = [(n, pa.int32()) for n in ints] + [
+        ("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())), ("attrs", pa.map_(pa.string(), pa.string())),
+        ("path", pa.string())
+    ]
     node += [(n, pa.int32()) for n in ("tok_start", "tok_len", "html_start", "html_len")]
     kinds = [pa.list_(pa.struct(node)), pa.list_(pa.string()), pa.list_(pa.string()), pa.string()]
 
