@@ -59,7 +59,10 @@ def ordered_log(events: DataFrame, message_col: str | None = None) -> DataFrame:
     """
     kind = F.col("kind") if "kind" in events.columns else F.lit("message")
     message = F.col(message_col).cast("string") if message_col else F.lit(None).cast("string")
-    log = events.select(F.col("conv_id").cast("long").alias("conv"), F.col("seq").cast("long").alias("seq"), message.alias("message"), kind.alias("kind"), F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    log = events.select(
+        F.col("conv_id").cast("long").alias("conv"), F.col("seq").cast("long").alias("seq"), message.alias("message"), kind.alias("kind"),
+        F.col("role").cast("string").alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
     if not message_col:
         return log.withColumn("place", F.col("seq"))
     own = log.filter("message is null").withColumn("place", F.col("seq"))
@@ -111,7 +114,9 @@ def render(events: DataFrame, message_col: str | None = None) -> DataFrame:
     segment under the loss mask: the text of assistants, else empty. Messages are dealt out one by one, so that
     a long conversation is rendered by many tasks; only the deltas of one message need to be held together.
     """
-    log = ordered_log(events, message_col).withColumn("step", F.when(F.col("kind").isin("message", "edit", "regenerate"), 0).when(F.col("kind") == "delta", 1).when(F.col("kind") == "delete", 2)).filter("step is not null")
+    log = ordered_log(events, message_col).withColumn(
+        "step", F.when(F.col("kind").isin("message", "edit", "regenerate"), 0).when(F.col("kind") == "delta", 1).when(F.col("kind") == "delete", 2)
+    ).filter("step is not null")
     order = ["conv", "place", "message", "seq", "step", "role", "text"]
     spread = log.repartition("conv", "place", "message").sortWithinPartitions(*order)
     names = ["conv", "place", "message", "role", "text", "segment", "loss_start", "loss_end"]

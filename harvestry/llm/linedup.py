@@ -32,7 +32,10 @@ def line_key(line: Column) -> Column:
 def lines(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
     """``(id, k, pos, h, site)`` for every line that is not blank; ``k`` is the hash of the whole text."""
     text = _text(docs, text_col)
-    cut = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("k"), F.col(site_col).cast("string").alias("site"), F.posexplode(F.split(text, "\n")).alias("pos", "line"))
+    cut = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("k"), F.col(site_col).cast("string").alias("site"),
+        F.posexplode(F.split(text, "\n")).alias("pos", "line")
+    )
     return cut.select("id", "k", "pos", line_key(F.col("line")).alias("key"), "site").filter("key <> ''").select("id", "k", "pos", F.xxhash64("key").alias("h"), "site")
 
 

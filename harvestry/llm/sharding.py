@@ -73,10 +73,17 @@ def propagate(links: DataFrame, cap: list[int], rounds: int = ROUNDS) -> DataFra
     total = state.count()
     for at in range(rounds):
         tally = state.groupBy("key").agg(*[F.count_if(F.col("shard") == k).alias(f"c{k}") for k in shards], F.count("*").alias("n"))
-        seen = join_facts(state, tally, "key", total, F.xxhash64("rid")).groupBy("rid").agg(F.min("shard").alias("shard"), F.min("key").alias("salt"), *[F.sum(f"c{k}").alias(f"c{k}") for k in shards])
+        seen = join_facts(state, tally, "key", total, F.xxhash64("rid")).groupBy("rid").agg(
+            F.min("shard").alias("shard"), F.min("key").alias("salt"), *[F.sum(f"c{k}").alias(f"c{k}") for k in shards]
+        )
         held = {r.shard: r.n for r in state.groupBy("shard").agg(F.count_distinct("rid").alias("n")).collect()}
         open_ = [F.lit(held.get(k, 0) < FULL * cap[k]) for k in shards]
-        choices = [F.struct(F.when(open_[k] | (F.col("shard") == k), F.col(f"c{k}")).otherwise(-1).alias("n"), open_[k].alias("open"), (-F.pmod(F.lit(k) - F.xxhash64("salt"), F.lit(n))).alias("tie"), F.lit(k).alias("k")) for k in shards]
+        choices = [
+            F.struct(
+                F.when(open_[k] | (F.col("shard") == k), F.col(f"c{k}")).otherwise(-1).alias("n"), open_[k].alias("open"),
+                (-F.pmod(F.lit(k) - F.xxhash64("salt"), F.lit(n))).alias("tie"), F.lit(k).alias("k")
+            ) for k in shards
+        ]
         wish = materialize(seen.select("rid", "shard", F.array_max(F.array(*choices))["k"].alias("to")), "wishes")
         flows = wish.groupBy("shard", "to").agg(F.count("*").alias("n")).collect()
         wanted = [[0] * n for _ in shards]
@@ -102,7 +109,10 @@ def balanced_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     each have a slot; null ids are placed like others.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(text).alias("key"))
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).cast("long").alias("text_crc32"), F.xxhash64(text).alias("key")
+    )
     rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "rows")
     total = rows.count()
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key", "n", F.lit(True).alias("linked"))

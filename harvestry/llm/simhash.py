@@ -296,7 +296,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = materialize(alike(pairs, _sets(texts, pairs, width), similarity), "links")
     release(spark)
     groups = connected_components(links, "x", "y")
-    now = met.join(groups.select(F.col("node").alias("key"), "component"), "key", "left").select("s", F.struct("key", "n", "w", F.coalesce("component", "key").alias("c")).alias("a"))
+    now = met.join(groups.select(F.col("node").alias("key"), "component"), "key", "left").select(
+        "s", F.struct("key", "n", "w", F.coalesce("component", "key").alias("c")).alias("a")
+    )
     now = now.withColumn("lo", F.min("a.c").over(bucket)).withColumn("hi", F.max("a.c").over(bucket)).filter("lo <> hi").select("s", "a")
     now = materialize(now, "unsettled")
     both = now.join(now.withColumnRenamed("a", "b"), "s").filter("a.key < b.key and a.c <> b.c")

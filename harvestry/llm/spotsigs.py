@@ -59,7 +59,10 @@ def with_signatures(df: DataFrame, text_col: str, name: str) -> DataFrame:
     full = F.filter(pairs, lambda z: z["p"].contains("~") & (content(F.coalesce(z["q"], F.lit(""))) != ""))
     df = df.withColumn("_spots", F.flatten(F.transform(full, chains)))
     words = F.filter(F.split("_words", " "), lambda w: w != "")
-    threes = F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))).alias("b"), F.slice(words, F.lit(3), F.greatest(F.size(words), F.lit(1))).alias("c"))
+    threes = F.arrays_zip(
+        words.alias("a"), F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))).alias("b"),
+        F.slice(words, F.lit(3), F.greatest(F.size(words), F.lit(1))).alias("c")
+    )
     threes = F.transform(F.filter(threes, lambda z: z["c"].isNotNull()), lambda z: F.concat_ws(" ", z["a"], z["b"], z["c"]))
     rest = F.when(F.length("_words") > 2, F.array("_words")).otherwise(F.array().cast("array<string>"))
     df = df.withColumn("_spots", F.when(F.size("_spots") > 0, F.col("_spots")).otherwise(threes))
@@ -107,7 +110,9 @@ def with_next(docs: DataFrame, id_col: str, columns: list[str], tie: str) -> Dat
     last = F.max("_b").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     heads = materialize(heads.select("_b", "_head", F.coalesce(F.lag("_b").over(order), last).alias("_before")), "heads")
     spread = spread.join(F.broadcast(heads), "_b")
-    copies = F.when(key.eqNullSafe(F.col("_head")), F.array(F.struct("_b", F.lit(0).alias("g")), F.struct(F.col("_before").alias("_b"), F.lit(1).alias("g")))).otherwise(F.array(F.struct("_b", F.lit(0).alias("g"))))
+    copies = F.when(
+        key.eqNullSafe(F.col("_head")), F.array(F.struct("_b", F.lit(0).alias("g")), F.struct(F.col("_before").alias("_b"), F.lit(1).alias("g")))
+    ).otherwise(F.array(F.struct("_b", F.lit(0).alias("g"))))
     spread = spread.withColumn("_to", F.explode(copies)).select(*docs.columns, F.col("_to._b").alias("_bucket"), F.col("_to.g").alias("_copy"))
     near = Window.partitionBy("_bucket").orderBy("_copy", F.col(id_col).desc_nulls_last(), F.col(tie).desc())
     spread = spread.withColumns({f"next_{c}": F.lead(c).over(near) for c in columns})  # one window, and one shuffle

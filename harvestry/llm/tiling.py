@@ -205,7 +205,10 @@ def leaking_texts(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     return answers.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("item_id", "covered", "words"))).alias("leaks"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", least: int = LEAST, coverage: float = COVERAGE) -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", least: int = LEAST,
+    coverage: float = COVERAGE
+) -> DataFrame:
     """``(id, item_id, covered, words, coverage)``: the documents that cover at least ``coverage`` of an item's words.
 
     Words are lower-cased runs of letters, digits and underscores; tiles have at least ``least`` words, the least match of the method, so
