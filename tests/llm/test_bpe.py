@@ -105,3 +105,12 @@ def test_query_digests(spark, sf, library):
         assert r.n_tokens == len(ids)
         assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_token_count_query(spark, sf, library):
+    at = sf.replace("sf0.001", "sf0.01")
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    got = queries.op8_token_counts(spark, at).collect()
+    counts = {i: len(x.ids) for i, x in zip(texts, library.encode_batch(list(texts.values()), add_special_tokens=False))}
+    assert {(r.doc_id, r.n_bytes, r.n_tokens, r.over_limit) for r in got} == {(i, len(t.encode()), counts[i], counts[i] > 1024) for i, t in texts.items()}
+    assert len(got) == len(texts) and {r.over_limit for r in got} == {True, False}
