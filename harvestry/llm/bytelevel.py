@@ -13,8 +13,8 @@ from pyspark.sql import SparkSession
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Code points of a text that are cut at a time.
 WINDOW = 1 << 20
-#: Words that are remembered, and code points of the longest of them.
-REMEMBERED, LONGEST = 250_000, 64
+#: Words that are remembered where they are costly, and where they are cheap; and code points of the longest of them.
+REMEMBERED, FEW, LONGEST = 250_000, 60_000, 64
 
 _pretokens = regex.compile(PATTERN).findall
 _odd_space = re.compile(r"[^\S \n]").search

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from harvestry.llm import bloom
-from harvestry.llm.bytelevel import Recent
+from harvestry.llm.bytelevel import FEW, Recent
 from harvestry.plans.components import connected_components
 from harvestry.plans.skew import join_facts
 from harvestry.sources.shared import materialize, release
@@ -31,7 +31,7 @@ CHUNK = 1 << 15
 #: Texts, about, that are counted to order shingles by rarity, and frequent shingles that are told apart, at most.
 ORDER_TEXTS, ORDER_SHINGLES = 20_000, 1 << 18
 #: Shingles that leave a task at a time.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -151,7 +151,7 @@ class Shingler:
 
     def __init__(self, width: int):
         self.width = width
-        self.words = Recent(lambda w: xxhash.xxh64_intdigest(w, SEED))
+        self.words = Recent(lambda w: xxhash.xxh64_intdigest(w, SEED), FEW)
 
     def __call__(self, text: str | None) -> np.ndarray:
         """The distinct shingles of a text, sorted; of fewer words than a shingle has, that of the whole sequence."""

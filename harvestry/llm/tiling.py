@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from harvestry.llm import bloom
-from harvestry.llm.bytelevel import Recent
+from harvestry.llm.bytelevel import FEW, Recent
 from harvestry.plans.skew import join_facts
 from harvestry.sources.shared import materialize
 
@@ -43,7 +43,7 @@ class Words:
     """Texts as arrays of 64-bit hashes of their words; holds the words that a task has met."""
 
     def __init__(self):
-        self.known = Recent(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")))
+        self.known = Recent(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")), FEW)
 
     def __call__(self, text: str | None) -> np.ndarray:
         words = words_of(text)

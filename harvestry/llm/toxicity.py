@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harvestry.llm.bytelevel import Recent
+from harvestry.llm.bytelevel import FEW, Recent
 from harvestry.sources.shared import materialize
 
 #: Terms that can stand for each other without making a sentence more or less toxic. A swap takes the next of a group.
@@ -117,7 +117,7 @@ def feature_counts(train: DataFrame) -> DataFrame:
     """``(feature, pos, neg)``: labelled texts of each class with the feature, over all rows; features of any class 1 text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Recent(word_features)
+        made = Recent(word_features, FEW)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
@@ -190,7 +190,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column, settings: Settings = S
         return sorted(features(text)), [x for x, _ in pairs], [y for _, y in pairs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = Recent(lambda w: tuple(index[f] for f in word_features(w) if f in index))
+        made = Recent(lambda w: tuple(index[f] for f in word_features(w) if f in index), FEW)
         for batch in batches:
             rows = [(h.as_py(), k.as_py(), y.as_py(), *told(made, t.as_py())) for h, k, y, t in zip(*batch.columns)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=["h", "k", "y", "own", "lost", "won"])
@@ -271,7 +271,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     @F.pandas_udf("double")
     def probability(texts):
         own = shared.value
-        made = Recent(own.features_of)
+        made = Recent(own.features_of, FEW)
         odds = np.array([own.value(text_words(t), made) for t in texts], float)
         return texts.__class__(1 / (1 + np.exp(-odds)), dtype="float64")
 
