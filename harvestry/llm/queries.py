@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestry.llm import bpe, chat, linedup, secrets, sharding, simhash, spotsigs, tiling, tokencount, toxicity
+from harvestry.llm import bpe, chat, linedup, runs, secrets, sharding, simhash, spotsigs, tiling, tokencount, toxicity
 from harvestry.sources.shared import table
 
 
@@ -110,10 +110,25 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return found.withColumnRenamed("id", "doc_id")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of repeated words in every whole document, of which a tenth is made to repeat itself, and digests of the texts without repetitions."""
+    found = runs.periodic_runs(runs.repeat_tails(table(spark, sf_dir, "documents")), "id")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("best", runs.most_repeated(F.col("runs")))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.floor(F.lit(1000) * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_chat_formatting, op2_simhash_near_dedup, op3_sharding, op4_toxicity, op5_document_fingerprints, op6_line_dedup,
-        op7_bpe_encoding_and_decoding, op8_token_counts, op9_secret_scans, op10_benchmark_decontamination, document_classes
+        op7_bpe_encoding_and_decoding, op8_token_counts, op9_secret_scans, op10_benchmark_decontamination, op11_periodic_runs, document_classes
     )
 }
 ORACLES: dict[str, str] = {
