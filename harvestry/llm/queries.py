@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestry.llm import bpe, chat, linedup, runs, secrets, sharding, simhash, spotsigs, tiling, tokencount, toxicity
+from harvestry.llm import bpe, chat, codes, linedup, minhash, runs, secrets, sharding, simhash, spotsigs, tiling, tokencount, toxicity
 from harvestry.sources.shared import table
 
 
@@ -125,13 +125,68 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all embeddings: 4 parts, codebooks of 256 entries, 4 rounds."""
+    coded, books = codes.compress(table(spark, sf_dir, "embeddings"))
+    found = codes.with_label_errors(coded)
+    return found.select(
+        F.col("id").alias("vec_id"), codes.hex_code(F.col("code")).alias("code"), "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256")
+    )
+
+
+def op13_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all documents: sets of 3-word shingles with a Jaccard of 0.85 or more."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85).withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_chat_formatting, op2_simhash_near_dedup, op3_sharding, op4_toxicity, op5_document_fingerprints, op6_line_dedup,
-        op7_bpe_encoding_and_decoding, op8_token_counts, op9_secret_scans, op10_benchmark_decontamination, op11_periodic_runs, document_classes
+        op7_bpe_encoding_and_decoding, op8_token_counts, op9_secret_scans, op10_benchmark_decontamination, op11_periodic_runs, op12_vector_code_compression,
+        op13_minhash_near_dedup, document_classes
     )
 }
+
+
+def _product_code_sql(parts: int = 4, size: int = 256, rounds: int = 4) -> str:
+    """All parts against all entries, round by round; distances are whole numbers in doubles."""
+    turns = []
+    for r in range(rounds + 1):
+        turns.append(f"""
+        a{r} AS MATERIALIZED (
+            SELECT x.vec_id, x.p, min(CAST(x.xx - 2 * list_inner_product(x.x, c.x) + c.xx AS BIGINT) * {size} + c.k) AS best
+            FROM parts x JOIN c{r} c ON x.p = c.p GROUP BY x.vec_id, x.p)""")
+        if r < rounds:
+            turns.append(f"""
+        m{r} AS (
+            SELECT p, k, list(mean ORDER BY pos) AS x FROM (
+                SELECT p, k, pos, floor(sum(v) / count(*)) AS mean FROM (
+                    SELECT x.p, a.best % {size} AS k, unnest(x.x) AS v, generate_subscripts(x.x, 1) AS pos
+                    FROM parts x JOIN a{r} a ON x.vec_id = a.vec_id AND x.p = a.p) GROUP BY p, k, pos) GROUP BY p, k),
+        c{r + 1} AS MATERIALIZED (
+            SELECT p, k, x, list_inner_product(x, x) AS xx
+            FROM (SELECT c.p, c.k, coalesce(m.x, c.x) AS x FROM c{r} c LEFT JOIN m{r} m ON c.p = m.p AND c.k = m.k))""")
+    return f"""
+        WITH kept AS (
+            SELECT vec_id, label, list_transform(embedding, lambda e: floor(1024 * CAST(e AS DOUBLE))) AS v FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+        parts AS MATERIALIZED (
+            SELECT vec_id, p, x, list_inner_product(x, x) AS xx FROM (
+                SELECT vec_id, p, v[p * (len(v) // {parts}) + 1 : (p + 1) * (len(v) // {parts})] AS x FROM kept, unnest(range({parts})) AS t(p))),
+        c0 AS MATERIALIZED (SELECT p, k, x, xx FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS k FROM parts) WHERE k < {size}),
+        {",".join(turns)},
+        told AS (
+            SELECT a.vec_id, string_agg(printf('%02x', CAST(best % {size} AS BIGINT)), '' ORDER BY p) AS code, CAST(sum(best // {size}) AS BIGINT) AS error
+            FROM a{rounds} a GROUP BY a.vec_id),
+        books AS (
+            SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY p, k, pos)) AS digest
+            FROM (SELECT p, k, unnest(x) AS v, generate_subscripts(x, 1) AS pos FROM c{rounds}))
+        SELECT t.vec_id, t.code, t.error, CAST(sum(t.error) OVER (PARTITION BY e.label) AS BIGINT) AS label_error, digest AS codebooks_sha256
+        FROM told t JOIN kept e ON t.vec_id = e.vec_id, books"""
+
+
 ORACLES: dict[str, str] = {
+    "op12_vector_code_compression": _product_code_sql(),
     "op1_chat_formatting": r"""
         WITH c AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from harvestry.llm import bloom
 from harvestry.llm.bytelevel import FEW, Recent
 from harvestry.plans.components import connected_components
-from harvestry.plans.skew import join_facts
+from harvestry.plans.skew import HOT_ROWS, join_facts
 from harvestry.sources.shared import materialize, release
 
 SEED = 42
@@ -169,7 +169,7 @@ class Shingler:
         return np.unique(rolled.view(np.int64))
 
 
-def _batches(rows: Iterable[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+def batches_of(rows: Iterable[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
     """Rows that end with an array, in batches of a bounded number of its items."""
     out, size = [], 0
 
@@ -205,62 +205,116 @@ def _frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.nda
 
 
 def _sketched(texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """``(key, v, n, w, s)`` of every text: fingerprint, number of shingles, and the first of them, rare ones before frequent ones.
+    """``(key, v, n, w, k, s)`` of every text: fingerprint, number of shingles, and the first of them, ``k`` that are not known as frequent before the others.
 
     ``w`` grows with the place of the last of ``s`` in the order.
     """
     known, counts = _frequent_shingles(texts, width)
+
     def told(shingled: Shingler, text: str | None) -> tuple:
         own = shingled(text)
         v = majority(own[k : k + CHUNK].view(np.uint64) for k in range(0, len(own), CHUNK))
         if not len(own):
-            return v, 0, 0, own
+            return v, 0, 0, 0, own
         often = np.zeros(len(own), np.int64)
         if len(known):
             at = np.minimum(np.searchsorted(known, own), len(known) - 1)
             often = np.where(known[at] == own, counts[at], 0)
         order = np.argsort(often, kind="stable")[: _prefix_length(len(own), similarity)]
         last = (int(often[order[-1]]) << 44) | ((int(own[order[-1]]) + (1 << 63)) >> 20)
-        return v, len(own), last, own[order]
+        return v, len(own), last, int((often[order] == 0).sum()), own[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingled = Shingler(width)
         for batch in batches:
             rows = ((k.as_py(), *told(shingled, t.as_py())) for k, t in zip(batch.column(0), batch.column(1)))
-            yield from _batches(rows, ["key", "v", "n", "w", "s"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())])
+            yield from batches_of(rows, ["key", "v", "n", "w", "k", "s"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.list_(pa.int64())])
 
-    return texts.mapInArrow(run, "key long, v long, n int, w long, s array<long>")
+    return texts.mapInArrow(run, "key long, v long, n int, w long, k int, s array<long>")
 
 
 def _met(sketched: DataFrame) -> DataFrame:
-    """``(key, n, w, s, own)``: the first shingles that another text has among its first ones too.
+    """``(key, n, w, s, rem, own)``: the first shingles that another text has among its first ones too.
 
-    ``own`` counts the others: of a family of copies the original has the least, as edits make shingles of their own.
+    ``rem`` counts the shingles of the text in this table from ``s`` on, in an order that all texts share: those not known as frequent by how many texts have
+    them among their first ones, then the others as they come. Whatever texts share of their first shingles from one on is no more than either's ``rem``.
+    ``own`` counts a text's other shingles: of a family of copies the original has the least, as edits make shingles of their own. Frequent
+    shingles need no search for another text, and others are told by a filter, so that those of one text only stay where they are.
     """
-    flat = sketched.select("key", F.explode("s").alias("s"))  # most rows end here: they are kept small
-    bucket = Window.partitionBy("s")
-    flat = flat.withColumn("lo", F.min("key").over(bucket)).withColumn("hi", F.max("key").over(bucket))
-    met = flat.filter("lo <> hi").select("key", "s").distinct().withColumn("shared", F.count("*").over(Window.partitionBy("key")))
-    sizes = sketched.select("key", "n", "w").dropDuplicates(["key"])
-    return met.join(sizes, "key").select("key", "n", "w", "s", (F.col("n") - F.col("shared")).alias("own"))
-
-
-def shared_enough(met: DataFrame, similarity: float) -> DataFrame:
-    """``(x, y)`` of the pairs in ``met``, a row ``(a, b)`` of structs with ``key``, ``n`` and ``w`` for each first item they share, that can be ``similarity`` alike.
+    rare = sketched.select("key", F.explode(F.slice("s", F.lit(1), F.col("k"))).alias("s"))
+    shared = rare.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
+    shared = materialize(shared.select("s", "n", F.col("n").alias("texts")), "shared-shingles")
+    bits = sketched.sparkSession.sparkContext.broadcast(bloom.build(shared, "s"))
 
-    Their sizes must be so alike. And of two sets take the one whose first items end earlier in the common order, which has the lesser ``w``: those that
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists, (key, n, w, k) = batch.column("s"), (batch.column(c).to_numpy() for c in ("key", "n", "w", "k"))
+            length = lists.value_lengths().to_numpy().astype(np.int64)
+            row, s = np.repeat(np.arange(len(length)), length), lists.flatten().to_numpy()
+            rem = length[row] - (np.arange(len(s)) - (np.cumsum(length) - length)[row])
+            frequent = length - k
+            rem = np.where(rem <= frequent[row], rem, 0)
+            on = np.flatnonzero((rem > 0) | bloom.passes(s.view(np.uint64), bits.value))
+            columns = [key[row[on]], n[row[on]], w[row[on]], frequent[row[on]].astype(np.int32), s[on], rem[on].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "n", "w", "frequent", "s", "rem"])
+
+    flat = sketched.filter("n > 0").select("key", "n", "w", "k", "s").mapInArrow(run, "key long, n int, w long, frequent int, s long, rem int")
+    flat = flat.dropDuplicates(["key", "s"])
+    total = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    found = join_facts(flat.filter("rem = 0"), shared, "s", total, F.xxhash64("key")).unionByName(flat.filter("rem > 0").withColumn("texts", F.lit(0).cast("long")))
+    order = Window.partitionBy("key", F.col("rem") > 0).orderBy(F.desc("texts"), F.desc("s"))
+    rem = F.when(F.col("rem") > 0, F.col("rem")).otherwise(F.col("frequent") + F.row_number().over(order))
+    return found.select("key", "n", "w", "s", rem.alias("rem"), (F.col("n") - F.count("*").over(Window.partitionBy("key"))).alias("own"))
+
+
+def needed(a: Column, b: Column, similarity: float) -> Column:
+    """How many of their first items two sets ``similarity`` alike share at least: structs with ``n`` and ``w``.
+
+    Of two sets take the one whose first items end earlier in the common order, which has the lesser ``w``: those that
     the other has are among that one's first items too. So they have no more in common than the first items they share, and what comes
     after the first items of that set. Sets with equal ``w`` are judged by the larger one.
     """
-    a, b = F.col("a"), F.col("b")
     after = [F.ceil(c["n"] * similarity - 1e-9) - 1 for c in (a, b)]
     rest = F.when(a["w"] < b["w"], after[0]).when(b["w"] < a["w"], after[1]).otherwise(F.greatest(*after))
-    need = similarity / (1 + similarity) * (a["n"] + b["n"]) - 1e-6 - rest
+    return overlap(a, b, similarity) - rest
+
+
+def overlap(a: Column, b: Column, similarity: float) -> Column:
+    """The least number of common items of two sets ``similarity`` alike, and a little less."""
+    return similarity / (1 + similarity) * (a["n"] + b["n"]) - 1e-6
+
+
+def shared_enough(met: DataFrame, similarity: float) -> DataFrame:
+    """``(x, y)`` of the pairs in ``met``, a row ``(a, b)`` of structs with ``key``, ``n`` and ``w`` for each first item they share, that can be ``similarity`` alike."""
     rows = met.filter(F.least("a.n", "b.n") >= similarity * F.greatest("a.n", "b.n") - 1e-9)
-    rows = rows.select(F.least("a.key", "b.key").alias("x"), F.greatest("a.key", "b.key").alias("y"), need.alias("need"))
+    rows = rows.select(F.least("a.key", "b.key").alias("x"), F.greatest("a.key", "b.key").alias("y"), needed(F.col("a"), F.col("b"), similarity).alias("need"))
     return rows.groupBy("x", "y").agg(F.count("*").alias("shared"), F.max("need").alias("need")).filter("shared >= need").select("x", "y")
 
 
+def with_hubs(members: DataFrame, total: int) -> DataFrame:
+    """``(a, b)`` of the ``members`` ``(s, a)`` of each bucket ``s`` but its hub, the least of them: with the hub as ``b``."""
+    hubs = members.groupBy("s").agg(F.min("a").alias("b"), F.count("*").alias("n"))
+    return join_facts(members, hubs, "s", total, F.xxhash64("a.key")).filter("a.key <> b.key").select("a", "b")
+
+
+def across(members: DataFrame, components: DataFrame, total: int, least: Callable, similarity: float) -> DataFrame:
+    """``(x, y)``: the members ``(s, a)`` of a bucket that are in different ``(key, component)``, and can be ``similarity`` alike.
+
+    Members hold as ``rem`` how many items they have from ``s`` on in the common order. The first item that two sets share is followed by no more
+    common ones than that, so that pairs come out of a bucket only if both have the ``least(a, b)`` number of items from there on. Texts
+    of a family whose edits are all their own have none, as their own items come first.
+    """
+    keyed = members.withColumn("key", F.col("a.key")).join(components, "key", "left")
+    now = materialize(keyed.select("s", "a", F.coalesce("component", "key").alias("c")), "coloured")
+    mixed = now.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("s", "n")
+    now = materialize(join_facts(now, mixed.withColumn("_mixed", F.lit(True)), "s", total, F.xxhash64("a.key")).select("s", "a", "c"), "unsettled")
+    others = now.select(F.col("s").alias("t"), F.col("a").alias("b"), F.col("c").alias("d"))
+    a, b = F.col("a"), F.col("b")
+    can = (a["key"] < b["key"]) & (F.col("c") != F.col("d")) & (F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]) - 1e-9)
+    both = now.join(others, (F.col("s") == F.col("t")) & can & (F.least(a["rem"], b["rem"]) >= least(a, b, similarity)))
+    return both.select(a["key"].alias("x"), b["key"].alias("y")).distinct()
+
+
 def _ball_pairs(sketched: DataFrame, radius: int) -> DataFrame:
     """``(x, y)``: texts whose fingerprints collide, each fingerprint's texts as a star on the least, and colliding ones by those."""
     values = sketched.filter("n > 0").groupBy("v").agg(F.min("key").alias("x"), F.max("key").alias("last"), F.count("*").alias("n"))
@@ -287,22 +341,16 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("key"), "text")
     sketched = materialize(_sketched(texts, width, similarity), "sketched")
     met = materialize(_met(sketched), "met")
-    bucket = Window.partitionBy("s")
-    now = met.select("s", F.struct((F.col("own").cast("double") / F.col("n")).alias("deal"), "key", "n", "w").alias("a"))
-    hubs = shared_enough(now.withColumn("b", F.min("a").over(bucket)).filter("a.key <> b.key"), similarity)
+    total = met.count()
+    members = met.select("s", F.struct((F.col("own").cast("double") / F.col("n")).alias("deal"), "key", "n", "w", "rem").alias("a"))
+    hubs = shared_enough(with_hubs(members, total), similarity)
     ball = _ball_pairs(sketched, radius).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     pairs = materialize(hubs.unionByName(ball).distinct(), "candidates")
     release(spark)
     links = materialize(alike(pairs, _sets(texts, pairs, width), similarity), "links")
     release(spark)
-    groups = connected_components(links, "x", "y")
-    now = met.join(groups.select(F.col("node").alias("key"), "component"), "key", "left").select(
-        "s", F.struct("key", "n", "w", F.coalesce("component", "key").alias("c")).alias("a")
-    )
-    now = now.withColumn("lo", F.min("a.c").over(bucket)).withColumn("hi", F.max("a.c").over(bucket)).filter("lo <> hi").select("s", "a")
-    now = materialize(now, "unsettled")
-    both = now.join(now.withColumnRenamed("a", "b"), "s").filter("a.key < b.key and a.c <> b.c")
-    more = materialize(shared_enough(both, similarity).join(pairs, ["x", "y"], "left_anti"), "candidates")
+    groups = connected_components(links, "x", "y").select(F.col("node").alias("key"), "component")
+    more = materialize(across(members, groups, total, needed, similarity).join(pairs, ["x", "y"], "left_anti"), "candidates")
     found = materialize(alike(more, _sets(texts, more, width), similarity), "links")
     groups = connected_components(links.unionByName(found), "x", "y")
     release(spark)
@@ -319,20 +367,31 @@ def _sets(texts: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             asked = np.flatnonzero(bloom.passes(batch.column(0).to_numpy().view(np.uint64), bits.value)).tolist()
             rows = ((batch.column(0)[k].as_py(), shingled(batch.column(1)[k].as_py())) for k in asked)
-            yield from _batches(rows, ["key", "set"], [pa.int64(), pa.list_(pa.int64())])
+            yield from batches_of(rows, ["key", "set"], [pa.int64(), pa.list_(pa.int64())])
 
     return materialize(texts.mapInArrow(run, "key long, set array<long>").dropDuplicates(["key"]), "sets")
 
 
 def alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs ``(x, y)`` whose ``sets`` have a Jaccard of ``similarity``. Only the sets in pairs are dealt out."""
+    """The written pairs ``(x, y)`` whose ``sets`` have a Jaccard of ``similarity``. Only the sets in pairs are dealt out.
+
+    A set that is in many pairs, as a hub is, goes to several tasks, each with ``HOT_ROWS`` of its pairs or so.
+    """
+    total, part = pairs.count(), round(similarity * 1_000_000)
+    dealt, copies = pairs, {}
+    for c, other in (("x", "y"), ("y", "x")):
+        counts = pairs.groupBy(F.col(c).alias("key")).agg(F.count("*").alias("n")).withColumn("copies", F.ceil(F.col("n") / HOT_ROWS))
+        copies[c] = materialize(counts, "pairs-of-sets")
+        dealt = join_facts(dealt.withColumn("key", F.col(c)), copies[c], "key", total, F.xxhash64(other)).drop("key")
+        dealt = dealt.withColumn(f"{c}_copy", F.pmod(F.xxhash64(other), F.col("copies"))).drop("copies")
 
     def side(c: str, name: str) -> DataFrame:
-        return sets.join(pairs.select(F.col(c).alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias(c), F.col("set").alias(name))
+        numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))
+        return sets.join(copies[c], "key").select(F.col("key").alias(c), F.col("set").alias(name), numbers.alias(f"{c}_copy"))
 
-    common = F.size(F.array_intersect("s", "t"))
-    both = pairs.join(side("y", "t"), "y").join(side("x", "s"), "x")
-    return both.filter(common >= similarity * (F.size("s") + F.size("t") - common)).select("x", "y")
+    both = dealt.join(side("y", "t"), ["y", "y_copy"]).join(side("x", "s"), ["x", "x_copy"])
+    common = F.size(F.array_intersect("s", "t")).cast("long")
+    return both.filter(common * 1_000_000 >= part * (F.size("s") + F.size("t") - common)).select("x", "y")
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:

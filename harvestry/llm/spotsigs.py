@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from harvestry.llm.simhash import alike, shared_enough
+from harvestry.llm.simhash import across, alike, overlap, shared_enough, with_hubs
 from harvestry.plans.components import connected_components
 from harvestry.plans.skew import join_facts
 from harvestry.sources.shared import materialize
@@ -162,22 +162,6 @@ def rare_prefixes(sets: DataFrame, similarity: float) -> DataFrame:
     return prefix.select("key", "n", "pos", F.xxhash64("g", "at").alias("s"), "band")
 
 
-def similar_sets(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``(members, pairs)``: ``(id, set_id)`` of all rows, and ``(a, b, likeness)`` of the set ids at least ``similarity`` alike.
-
-    Equal sets are one class, so copies cost one row each; texts without signatures are in a class that is in no pair. All pairs of alike
-    sets are given, which of a large family are many; :func:`similar_classes` does without them.
-    """
-    members, sets = signature_sets(docs, id_col, text_col)
-    prefix = materialize(rare_prefixes(sets, similarity), "prefixes").distinct()
-    left, right = (prefix.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), "s") for c in "ab")
-    met = left.join(right, "s").filter((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))))
-    met = met.filter(F.col("na") >= similarity * F.col("nb") - 1e-9).select("a", "b").distinct()
-    both = met.join(sets.select(F.col("set_id").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("s").alias("y")), "b")
-    pairs = both.select("a", "b", likeness(F.col("x"), F.col("y")).alias("likeness")).filter(F.col("likeness") >= similarity)
-    return members, pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "likeness")
-
-
 def similar_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, set_id, class_id)`` for every row of ``docs``: sets reachable over links of ``similarity`` share the least ``id`` of their rows.
 
@@ -188,18 +172,15 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     members, sets = signature_sets(docs, id_col, text_col)
     total = members.count()
     prefix = materialize(rare_prefixes(sets, similarity), "prefixes")
-    bucket = Window.partitionBy("s")
+    rows = prefix.count()
     own = F.col("n") - F.count("*").over(Window.partitionBy("key")) / 2
-    member = F.struct((own / F.col("n")).alias("deal"), "key", "n", F.lit(0).alias("w"))
-    hubs = prefix.select("s", member.alias("a")).withColumn("b", F.min("a").over(bucket)).filter("a.key <> b.key")
-    pairs = materialize(shared_enough(hubs, similarity), "candidates")
+    inside = prefix.select("s", F.struct((own / F.col("n")).alias("deal"), "key", "n", F.lit(0).alias("w"), (F.col("n") - F.col("pos")).alias("rem")).alias("a"))
+    inside = materialize(inside, "buckets")
+    pairs = materialize(shared_enough(with_hubs(inside, rows), similarity), "candidates")
     own_sets = sets.select(F.col("set_id").alias("key"), F.col("s").alias("set"))
     links = materialize(alike(pairs, own_sets, similarity), "links")
     found = connected_components(links, "x", "y").select(F.col("node").alias("key"), "component")
-    now = prefix.join(found, "key", "left").select("s", F.struct("key", "n", F.lit(0).alias("w"), F.coalesce("component", "key").alias("c")).alias("a"))
-    now = materialize(now.withColumn("lo", F.min("a.c").over(bucket)).withColumn("hi", F.max("a.c").over(bucket)).filter("lo <> hi").select("s", "a"), "unsettled")
-    met = now.join(now.withColumnRenamed("a", "b"), "s").filter("a.key < b.key and a.c <> b.c")
-    more = materialize(shared_enough(met, similarity).join(pairs, ["x", "y"], "left_anti"), "candidates")
+    more = materialize(across(inside, found, rows, overlap, similarity).join(pairs, ["x", "y"], "left_anti"), "candidates")
     links = links.unionByName(alike(more, own_sets, similarity))
     found = connected_components(links, "x", "y").select(F.col("node").alias("set_id"), "component")
     reps = members.groupBy("set_id").agg(F.min("id").alias("least"), F.count("*").alias("n")).join(found, "set_id", "left")
