@@ -8,6 +8,7 @@ of the two are penalised, so that a group's mention alone does not make a text t
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
@@ -52,17 +53,18 @@ class Settings:
 
     Feature statistics are counted over all labelled rows; ``support`` is the least number of labelled texts that a
     feature must occur in, and ``gain`` the least likelihood ratio by which it tells the classes apart.
-    ``counterfactual``, ``sparsity`` and ``ridge`` weigh the penalties.
+    ``counterfactual``, ``sparsity`` and ``ridge`` weigh the penalties. The fit ends when no slope is over ``settled``, or with a warning after ``rounds``.
     """
 
     sample: int = 20_000
     features: int = 4_000
     support: int = 5
-    gain: float = 8.0
+    gain: float = 6.0
     counterfactual: float = 1.0
-    sparsity: float = 1e-3
-    ridge: float = 3e-5
-    rounds: int = 600
+    sparsity: float = 1e-4
+    ridge: float = 3e-4
+    rounds: int = 50_000
+    settled: float = 1e-7
     groups: tuple = IDENTITY_GROUPS
 
 
@@ -134,7 +136,10 @@ def feature_counts(train: DataFrame) -> DataFrame:
 
 
 def select_features(counts: DataFrame, n_pos: int, n_neg: int, settings: Settings) -> list[str]:
-    """The features that tell the classes apart best, by the likelihood ratio statistic; at most ``settings.features``."""
+    """The features that tell the classes apart best, by the likelihood ratio statistic, at most ``settings.features``; and those of identity terms.
+
+    The features of identity terms are some hundred, and stay whatever they tell: else a swap would change nothing that the model sees.
+    """
     p, n = F.col("pos").cast("double"), F.col("neg").cast("double")
     total, share = n_pos + n_neg, (F.col("pos") + F.col("neg")).cast("double") / (n_pos + n_neg)
 
@@ -143,15 +148,18 @@ def select_features(counts: DataFrame, n_pos: int, n_neg: int, settings: Setting
 
     gain = part(p, share * n_pos) + part(n, share * n_neg) + part(n_pos - p, (1 - share) * n_pos) + part(n_neg - n, (1 - share) * n_neg)
     best = counts.filter((p + n >= settings.support) & (p + n < total)).select("feature", gain.alias("gain")).filter(F.col("gain") > settings.gain)
-    return sorted(r.feature for r in best.orderBy(F.desc("gain"), "feature").limit(settings.features).collect())
+    named = sorted({f for g in settings.groups for w in g for f in word_features(w)})
+    named = counts.filter(F.col("feature").isin(named)).select("feature").collect() if named else []
+    return sorted({r.feature for r in [*best.orderBy(F.desc("gain"), "feature").limit(settings.features).collect(), *named]})
 
 
 @dataclass(frozen=True)
 class Model:
-    """Weights by feature, and the bias. The sizes are bounded by ``Settings.features``."""
+    """Weights by feature, and the bias. The sizes are bounded by ``Settings.features``. ``pairs``: unlike sentences and twins that the fit has weighed."""
 
     weights: dict
     bias: float
+    pairs: int = 0
 
     def value(self, words: set[str], made: Recent) -> float:
         """The log-odds of a set of words: each weighted feature counts once."""
@@ -200,35 +208,46 @@ def fit(docs: DataFrame, labels: DataFrame, rows: Column, settings: Settings = S
     sample = train.filter(place <= bound).select(place.alias("h"), F.xxhash64("text").alias("k"), "y", "text")
     sample = sample.mapInArrow(run, "h long, k long, y int, own array<int>, lost array<array<int>>, won array<array<int>>")
     table = sample.orderBy("h", "k", "y").limit(settings.sample).toArrow()
-    y = (table.column("y").to_numpy() > 0).astype(float)
-    own = _ragged(table.column("own").combine_chunks())
-    lost, won = (_ragged(table.column(c).combine_chunks().flatten()) for c in ("lost", "won"))
-    pairs = sum(len(x) for x in table.column("lost").combine_chunks())
-    weights, bias = _descend(own, lost, won, pairs, y, len(names), settings)
-    # a sparse fit chooses the features, and a second one without the pull towards zero weighs them
-    chosen = np.flatnonzero(abs(weights) > 1e-3)
-    place = np.full(len(names), -1)
-    place[chosen] = np.arange(len(chosen))
-    own, lost, won = ((place[i][place[i] >= 0], row[place[i] >= 0]) for i, row in (own, lost, won))
+    # texts with the same features are one row with a weight, and so are pairs
+    texts = Counter((tuple(x), float(y > 0)) for x, y in zip(table.column("own").to_pylist(), table.column("y").to_pylist()))
+    pairs = Counter((tuple(x), tuple(y)) for a, b in zip(table.column("lost").to_pylist(), table.column("won").to_pylist()) for x, y in zip(a, b))
+    weights, bias = _descend(texts, pairs, len(names), settings)
+    # a sparse fit chooses the features, and a second one without the pull towards zero weighs them; identity terms stay
+    always = {f for g in settings.groups for w in g for f in word_features(w)}
+    chosen = [k for k, f in enumerate(names) if abs(weights[k]) > 1e-3 or f in always]
+    place = {k: n for n, k in enumerate(chosen)}
+
+    def left(features: tuple) -> tuple:
+        return tuple(place[k] for k in features if k in place)
+
+    fewer, twin = Counter(), Counter()
+    for (x, y), n in texts.items():
+        fewer[left(x), y] += n
+    for (x, y), n in pairs.items():
+        twin[left(x), left(y)] += n
     names = [names[k] for k in chosen]
-    weights, bias = _descend(own, lost, won, pairs, y, len(names), replace(settings, sparsity=0.0))
-    return Model({f: float(w) for f, w in zip(names, weights) if w}, float(bias))
+    weights, bias = _descend(fewer, twin, len(names), replace(settings, sparsity=0.0))
+    return Model({f: float(w) for f, w in zip(names, weights) if w}, float(bias), sum(pairs.values()))
 
 
-def _ragged(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+def _ragged(lists: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
     """The entries of all rows end to end, and the row of each."""
-    lengths = lists.value_lengths().to_numpy()
-    return lists.flatten().to_numpy(), np.repeat(np.arange(len(lengths)), lengths)
+    return np.array([k for x in lists for k in x], np.int64), np.repeat(np.arange(len(lists)), [len(x) for x in lists])
 
 
-def _descend(own: tuple, lost: tuple, won: tuple, pairs: int, y: np.ndarray, size: int, settings: Settings) -> tuple[np.ndarray, float]:
+def _descend(texts: Counter, pairs: Counter, size: int, settings: Settings) -> tuple[np.ndarray, float]:
     """Accelerated proximal descent on log loss + ridge + counterfactual penalty, with soft thresholds for sparsity.
 
-    The counterfactual penalty is the mean squared difference of the log-odds of a sentence and its twin, over the ``pairs`` in
-    which they differ: in the features that the sentence has ``lost`` and ``won`` by the swap.
+    ``texts`` counts ``(features, y)``; classes weigh the same. The counterfactual penalty is the mean squared difference of the log-odds of a sentence and
+    its twin, over the ``pairs`` in which they differ: in the features ``(lost, won)`` by the swap. The step is bounded by the curvature of what
+    there is, so that the descent ends at the least, by its slopes, and says so if it has not.
     """
-    n, m = len(y), max(pairs, 1)
-    balance = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+    own, y = _ragged([x for x, _ in texts]), np.array([y for _, y in texts])
+    times, often = np.array(list(texts.values()), float), np.array(list(pairs.values()), float)
+    lost, won = (_ragged([pair[k] for pair in pairs]) for k in (0, 1))
+    n, m, share = len(texts), len(pairs), (times * y).sum() / times.sum()
+    balance = times / times.sum() * np.where(y > 0, 0.5 / max(share, 1e-9), 0.5 / max(1 - share, 1e-9))
+    often *= 2 * settings.counterfactual / max(often.sum(), 1)
 
     def score(at: tuple, w: np.ndarray, rows: int) -> np.ndarray:
         return np.bincount(at[1], w[at[0]], minlength=rows)
@@ -236,28 +255,26 @@ def _descend(own: tuple, lost: tuple, won: tuple, pairs: int, y: np.ndarray, siz
     def back(at: tuple, r: np.ndarray) -> np.ndarray:
         return np.bincount(at[0], r[at[1]], minlength=size)
 
-    most = max(*(np.bincount(x[1], minlength=1).max(initial=1) for x in (own, lost, won)), 1)
-    rate = 1.0 / (0.25 * balance.max() * (most + 1) + 4 * settings.counterfactual * most + settings.ridge)
-    rate *= 8  # the bound is for the worst text; a step that fails below halves it
+    # the mean of the squared lengths of rows bounds the curvature
+    held = np.bincount(own[1], minlength=n) + 1
+    swapped_ = np.bincount(lost[1], minlength=m) + np.bincount(won[1], minlength=m)
+    rate = 1 / (0.25 * (balance * held).sum() + (often * swapped_).sum() + settings.ridge)
     w = v = np.zeros(size)
     b = c = 0.0
-    t, last = 1.0, np.inf
+    t = 1.0
     for _ in range(settings.rounds):
-        z = score(own, v, n) + c
-        gap = score(lost, v, m) - score(won, v, m)
-        p = 1 / (1 + np.exp(-z))
-        r = balance * (p - y) / n
-        g = back(own, r) + settings.ridge * v + settings.counterfactual * 2 / m * (back(lost, gap) - back(won, gap))
-        loss = float((balance * (np.logaddexp(0, z) - y * z)).mean() + settings.counterfactual * (gap**2).mean() + settings.ridge / 2 * (v @ v) + settings.sparsity * abs(v).sum())
-        if loss > last * 1.05:
-            rate, t, v, c, last = rate / 2, 1.0, w, b, np.inf
-            continue
-        last = loss
-        step = v - rate * g
+        r = balance * (1 / (1 + np.exp(-(score(own, v, n) + c))) - y)
+        gap = often * (score(lost, v, m) - score(won, v, m))
+        step = v - rate * (back(own, r) + settings.ridge * v + back(lost, gap) - back(won, gap))
         new, bias = np.sign(step) * np.maximum(abs(step) - rate * settings.sparsity, 0), c - rate * r.sum()
+        if max(abs(v - new).max(initial=0), abs(c - bias)) <= settings.settled * rate:
+            return new, bias
+        if (v - new) @ (new - w) + (c - bias) * (bias - b) > 0:
+            t = 1.0  # the momentum leads uphill
         after = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, c = new + (t - 1) / after * (new - w), bias + (t - 1) / after * (bias - b)
         w, b, t = new, bias, after
+    warnings.warn(f"the fit did not settle in {settings.rounds} rounds", stacklevel=2)
     return w, b
 
 

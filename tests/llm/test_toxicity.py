@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from harvestry.llm import queries, toxicity
@@ -65,9 +66,10 @@ def test_labels_of_held_out_rows_do_not_matter(spark, sf):
 
 
 def test_gradient_settles():
-    own, none = (np.array([0, 1, 0, 1]), np.array([0, 1, 2, 3])), (np.array([], int), np.array([], int))
-    w, b = toxicity._descend(own, none, none, 0, np.array([1.0, 0, 1, 0]), 2, toxicity.Settings(sparsity=0.0))
+    w, b = toxicity._descend(Counter({((0,), 1.0): 2, ((1,), 0.0): 2}), Counter(), 2, toxicity.Settings(sparsity=0.0))
     assert w[0] + b > 2 > -2 > w[1] + b
+    with pytest.warns(UserWarning, match="did not settle"):
+        toxicity._descend(Counter({((0,), 1.0): 2, ((1,), 0.0): 2}), Counter(), 2, toxicity.Settings(sparsity=0.0, rounds=3))
 
 
 def test_descent_reaches_the_least_of_the_penalised_loss():
@@ -75,23 +77,38 @@ def test_descent_reaches_the_least_of_the_penalised_loss():
     dice = np.random.default_rng(3)
     x, y = dice.random((60, 5)) < 0.4, (dice.random(60) < 0.4).astype(float)
     a, b = dice.random((8, 5)) < 0.3, dice.random((8, 5)) < 0.3
-    settings = toxicity.Settings(counterfactual=0.7, sparsity=0.0, ridge=0.05, rounds=3000)
+    settings = toxicity.Settings(counterfactual=0.7, sparsity=0.0, ridge=0.05)
     balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
 
     def loss(w):
         z = x @ w[:5] + w[5]
         return (balance * (np.logaddexp(0, z) - y * z)).mean() + 0.7 * (((a.astype(float) - b) @ w[:5]) ** 2).mean() + 0.025 * (w[:5] @ w[:5])
 
-    def ragged(m):
-        rows, at = np.nonzero(m)
-        return at, rows
+    def rows(m):
+        return [tuple(np.flatnonzero(r).tolist()) for r in m]
 
-    got = np.append(*toxicity._descend(ragged(x), ragged(a & ~b), ragged(b & ~a), 8, y, 5, settings))
+    got = np.append(*toxicity._descend(Counter(zip(rows(x), y.tolist())), Counter(zip(rows(a & ~b), rows(b & ~a))), 5, settings))
     for k in range(6):
         for step in (-1e-3, 1e-3):
             assert loss(got) <= loss(got + step * np.eye(6)[k]) + 1e-9
 
 
+def test_fit_of_the_query_settles_and_weighs_twins(spark, sf, monkeypatch):
+    """On the given tables: pairs reach the fit, more rounds change nothing, and a neutral mention scores as its twin does."""
+    sf = sf.replace("sf0.001", "sf0.01")
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels, toxicity.fold() != 1)
+    more = toxicity.fit(docs, labels, toxicity.fold() != 1, toxicity.Settings(rounds=500_000, settled=1e-9))
+    assert model.pairs > 20 and model.weights.keys() == more.weights.keys()
+    assert max(abs(model.weights[f] - more.weights[f]) for f in model.weights) < 0.01
+    known = {f for g in toxicity.IDENTITY_GROUPS for w in g for f in toxicity.word_features(w)}
+    assert known & model.weights.keys()
+    made = toxicity.Recent(model.features_of)
+    pairs = [p for r in docs.collect() for p in toxicity.twins(r.text, toxicity.swaps())]
+    apart = [abs(1 / (1 + np.exp(-model.value(toxicity.text_words(a), made))) - 1 / (1 + np.exp(-model.value(toxicity.text_words(b), made)))) for a, b in pairs]
+    assert len(pairs) > 100 and max(apart) < 0.05
+
+
 def test_sentences_are_swapped_in_place():
     into = toxicity.swaps((("he", "she"), ("muslim", "jewish", "hindu")))
     assert toxicity.swapped("He saw SHE and a Muslim, not the theme; hindu?", into) == "She saw HE and a Jewish, not the theme; muslim?"
