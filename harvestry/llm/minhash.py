@@ -6,24 +6,23 @@ early, as soon as its next rank can't be less than any that the signature has. T
 probability of their Jaccard likeness. Places are cut into bands, and sets that agree in a whole band are candidates.
 
 With 32 bands of 4 places, sets of likeness 0.85 agree in no band with a probability of 6e-11. Candidates are first those of
-a bucket with its hub, the set that meets most others; then sets of a bucket that this has left in different components meet
-each other, if their signatures agree in as many places as sets with a link do but for some 1e-9 of them. Buckets of many such sets are split: they meet
-again by pairs of such buckets.
+a bucket with its hub, the set that meets most others. Buckets that this leaves with several components are not taken pair by pair, which of a family of
+texts just below the likeness would be all pairs: their sets meet again by their first shingles in a common order, rare ones first, which
+misses no pair and keeps apart what differs in shingles of its own.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestry.llm import bloom
-from harvestry.llm.simhash import Shingler, alike, batches_of
+from harvestry.llm.simhash import Shingler, across, alike, batches_of, needed, shared_shingles, sketched
 from harvestry.plans.components import connected_components
 from harvestry.plans.skew import join_facts
 from harvestry.sources.shared import materialize
@@ -32,11 +31,6 @@ from harvestry.sources.shared import materialize
 BANDS, ROWS = 32, 4
 #: Elements of sets that are ranked at a time.
 ELEMENTS = 1 << 14
-#: Sets of a bucket in different components from which on the bucket is split.
-SPLIT = 100
-#: Bits of each place that tell signatures apart before sets are compared, and longs that hold them.
-NIBBLE = 4
-LONGS = BANDS * ROWS * NIBBLE // 64
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _NEVER = np.uint64(2**64 - 1)
 
@@ -105,33 +99,8 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return found.view(np.int64)
 
 
-def nibbles(signatures: np.ndarray) -> np.ndarray:
-    """The low bits of all places, packed into longs."""
-    low = (signatures & np.uint64((1 << NIBBLE) - 1)).reshape(len(signatures), LONGS, -1)
-    shifts = np.arange(low.shape[2], dtype=np.uint64) * np.uint64(NIBBLE)
-    return np.bitwise_or.reduce(low << shifts, axis=2).view(np.int64)
-
-
-def agreeing(a: str, b: str) -> Column:
-    """In how many places two packed signatures, the arrays ``a`` and ``b``, agree."""
-    apart = []
-    for k in range(LONGS):
-        x = F.expr(f"{a}[{k}] ^ {b}[{k}]")
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
-        x = x.bitwiseOR(F.shiftrightunsigned(x, 2))
-        apart.append(F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111))))
-    return F.lit(BANDS * ROWS) - sum(apart[1:], apart[0])
-
-
-def least_agreement(percent: int) -> int:
-    """Places in which sets with a likeness of ``percent`` agree, less six deviations of it."""
-    p = percent / 100 + (1 - percent / 100) / 2**NIBBLE
-    n = BANDS * ROWS
-    return max(0, math.floor(n * p - 6.1 * math.sqrt(n * p * (1 - p))))
-
-
 def signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``(id, row_key, set_key, n, bands, low)`` of every row: its shingle set by 128 bits and its number of shingles, bands and packed signature."""
+    """``(id, row_key, set_key, n, bands)`` of every row: its shingle set by 128 bits, its number of shingles and its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingled = Shingler(width)
@@ -148,11 +117,11 @@ def signed(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
 
     def told(part: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:
         keys = [xxhash.xxh3_128_hexdigest(s.tobytes()) for s in sets]
-        own = signatures_of(sets)
-        arrays = [pa.array(list(a), pa.list_(pa.int64())) for a in (band_hashes(own), nibbles(own))]
-        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), *arrays], names=["id", "row_key", "set_key", "n", "bands", "low"])
+        bands = band_hashes(signatures_of(sets))
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel()))
+        return pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys), pa.array([len(s) for s in sets], pa.int64()), lists], names=["id", "row_key", "set_key", "n", "bands"])
 
-    return rows_of(docs, id_col, text_col).mapInArrow(run, "id long, row_key long, set_key string, n long, bands array<long>, low array<long>")
+    return rows_of(docs, id_col, text_col).mapInArrow(run, "id long, row_key long, set_key string, n long, bands array<long>")
 
 
 def rows_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -191,22 +160,32 @@ def _hub_pairs(met: DataFrame) -> DataFrame:
 
 
 def _unsettled(met: DataFrame, components: DataFrame, total: int) -> DataFrame:
-    """``(band, key, c, many)``: the members of buckets that hold more than one component, and how many of them there are."""
+    """``(key, c)``: the members of buckets that hold more than one component."""
     now = materialize(met.join(components, "key", "left").select("band", "key", F.coalesce("c", "key").alias("c")), "coloured")
     mixed = now.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-    return join_facts(now, mixed.select("band", "n", F.col("n").alias("many")), "band", total, F.xxhash64("key"))
+    return join_facts(now, mixed.select("band", "n"), "band", total, F.xxhash64("key")).select("key", "c").distinct()
 
 
-def split_buckets(unsettled: DataFrame, limit: int = SPLIT) -> DataFrame:
-    """``(band, key, c)``: buckets of more than ``limit`` sets are replaced by those of the pairs of such buckets that a set is in.
+def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(key, text)`` of the rows whose key is in ``wanted``, by a filter that lets few others pass."""
+    bits = rows.sparkSession.sparkContext.broadcast(bloom.build(wanted, "row_key"))
 
-    Sets with a link that share no smaller bucket share at least two of the large ones but for 2e-9 of them.
-    """
-    large = unsettled.filter(F.col("many") > limit)
-    own = large.groupBy("key", "c").agg(F.array_sort(F.collect_list("band")).alias("bands"))  # BANDS at most
-    pairs = own.select("key", "c", F.posexplode("bands").alias("at", "one"), "bands")
-    pairs = pairs.select("key", "c", "one", F.explode(F.slice("bands", F.col("at") + 2, F.lit(BANDS))).alias("two"))
-    return unsettled.filter(F.col("many") <= limit).select("band", "key", "c").unionByName(pairs.select(F.xxhash64("one", "two").alias("band"), "key", "c"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bloom.passes(batch.column(0).to_numpy().view(np.uint64), bits.value)))
+
+    return materialize(rows.select(F.col("row_key").alias("key"), "text").mapInArrow(run, "key long, text string"), "texts")
+
+
+def _other_pairs(rows: DataFrame, unsettled: DataFrame, width: int, percent: int) -> DataFrame:
+    """``(x, y)``: the sets ``(key, c, row_key)`` of different components ``c`` that have enough of their first shingles in common to be linked."""
+    members = shared_shingles(materialize(sketched(_texts_of(rows, unsettled), width, percent / 100), "sketched"))
+    members = materialize(members.select("s", F.struct("key", "n", "w", "rem").alias("a")), "members")
+    colours = unsettled.select(F.col("row_key").alias("key"), F.col("c").alias("component"))
+    found = across(members, colours, members.count(), needed, percent / 100)
+    names = unsettled.select(F.col("row_key").alias("r"), "key")
+    both = found.join(names.withColumnsRenamed({"r": "x", "key": "a"}), "x").join(names.withColumnsRenamed({"r": "y", "key": "b"}), "y")
+    return both.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
@@ -221,11 +200,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows_of(docs, id_col, text_col)
     marks = materialize(signed(docs, id_col, text_col, width), "signed")
     nodes = marks.filter("n > 0").groupBy("set_key").agg(
-        F.min("id").alias("least"), F.min(F.struct("id", "row_key")).alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"),
-        F.first("low").alias("low"), F.count("*").alias("rows")
+        F.min("id").alias("least"), F.min(F.struct("id", "row_key")).alias("row"), F.first("bands").alias("bands"), F.count("*").alias("rows")
     )
     # once the table is written, the numbers stay
-    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("key"), "set_key", "least", "row.row_key", "n", "bands", "low", "rows"), "sets-with-copies")
+    nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("key"), "set_key", "least", "row.row_key", "bands", "rows"), "sets-with-copies")
     flat = nodes.select("key", F.explode("bands").alias("band"))
     shared = flat.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band", "n", F.col("n").alias("many"))
     met = materialize(join_facts(flat, shared, "band", nodes.count() * BANDS, F.xxhash64("key")), "met")
@@ -233,13 +211,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = materialize(_hub_pairs(met), "candidates")
     links = _links(first, nodes, rows, width, percent)
     components = connected_components(links, "x", "y").select(F.col("node").alias("key"), F.col("component").alias("c"))
-    rest = split_buckets(materialize(_unsettled(met.select("band", "key"), components, total), "unsettled"))
-    rest = materialize(rest.join(nodes.select("key", "n", "low"), "key"), "unsettled")
-    a, b = (rest.select("band", *(F.col(x).alias(f"{x}_{s}") for x in ("key", "c", "n", "low"))) for s in "ab")
-    can = (F.col("key_a") < F.col("key_b")) & (F.col("c_a") != F.col("c_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-    more = a.join(b, (a["band"] == b["band"]) & can & (agreeing("low_a", "low_b") >= least_agreement(percent)))
-    more = more.select(F.col("key_a").alias("x"), F.col("key_b").alias("y")).distinct().join(first, ["x", "y"], "left_anti")
-    more = materialize(more, "candidates")
+    rest = _unsettled(met.select("band", "key"), components, total).join(nodes.select("key", "row_key"), "key")
+    more = _other_pairs(rows, materialize(rest, "unsettled"), width, percent)
+    more = materialize(more.join(first, ["x", "y"], "left_anti"), "candidates")
     links = links.unionByName(_links(more, nodes, rows, width, percent))
     components = connected_components(links, "x", "y").select(F.col("node").alias("key"), "component")
     named = nodes.select("key", "set_key", "least", "rows").join(components, "key", "left")

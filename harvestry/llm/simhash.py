@@ -204,7 +204,7 @@ def _frequent_shingles(texts: DataFrame, width: int) -> tuple[np.ndarray, np.nda
     return s[order], n[order]
 
 
-def _sketched(texts: DataFrame, width: int, similarity: float) -> DataFrame:
+def sketched(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     """``(key, v, n, w, k, s)`` of every text: fingerprint, number of shingles, and the first of them, ``k`` that are not known as frequent before the others.
 
     ``w`` grows with the place of the last of ``s`` in the order.
@@ -233,7 +233,7 @@ def _sketched(texts: DataFrame, width: int, similarity: float) -> DataFrame:
     return texts.mapInArrow(run, "key long, v long, n int, w long, k int, s array<long>")
 
 
-def _met(sketched: DataFrame) -> DataFrame:
+def shared_shingles(firsts: DataFrame) -> DataFrame:
     """``(key, n, w, s, rem, own)``: the first shingles that another text has among its first ones too.
 
     ``rem`` counts the shingles of the text in this table from ``s`` on, in an order that all texts share: those not known as frequent by how many texts have
@@ -241,10 +241,10 @@ def _met(sketched: DataFrame) -> DataFrame:
     ``own`` counts a text's other shingles: of a family of copies the original has the least, as edits make shingles of their own. Frequent
     shingles need no search for another text, and others are told by a filter, so that those of one text only stay where they are.
     """
-    rare = sketched.select("key", F.explode(F.slice("s", F.lit(1), F.col("k"))).alias("s"))
+    rare = firsts.select("key", F.explode(F.slice("s", F.lit(1), F.col("k"))).alias("s"))
     shared = rare.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
     shared = materialize(shared.select("s", "n", F.col("n").alias("texts")), "shared-shingles")
-    bits = sketched.sparkSession.sparkContext.broadcast(bloom.build(shared, "s"))
+    bits = firsts.sparkSession.sparkContext.broadcast(bloom.build(shared, "s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,7 +258,7 @@ def _met(sketched: DataFrame) -> DataFrame:
             columns = [key[row[on]], n[row[on]], w[row[on]], frequent[row[on]].astype(np.int32), s[on], rem[on].astype(np.int32)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "n", "w", "frequent", "s", "rem"])
 
-    flat = sketched.filter("n > 0").select("key", "n", "w", "k", "s").mapInArrow(run, "key long, n int, w long, frequent int, s long, rem int")
+    flat = firsts.filter("n > 0").select("key", "n", "w", "k", "s").mapInArrow(run, "key long, n int, w long, frequent int, s long, rem int")
     flat = flat.dropDuplicates(["key", "s"])
     total = shared.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     found = join_facts(flat.filter("rem = 0"), shared, "s", total, F.xxhash64("key")).unionByName(flat.filter("rem > 0").withColumn("texts", F.lit(0).cast("long")))
@@ -339,12 +339,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     spark = docs.sparkSession
     release(spark)
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("key"), "text")
-    sketched = materialize(_sketched(texts, width, similarity), "sketched")
-    met = materialize(_met(sketched), "met")
+    firsts = materialize(sketched(texts, width, similarity), "sketched")
+    met = materialize(shared_shingles(firsts), "met")
     total = met.count()
     members = met.select("s", F.struct((F.col("own").cast("double") / F.col("n")).alias("deal"), "key", "n", "w", "rem").alias("a"))
     hubs = shared_enough(with_hubs(members, total), similarity)
-    ball = _ball_pairs(sketched, radius).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+    ball = _ball_pairs(firsts, radius).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     pairs = materialize(hubs.unionByName(ball).distinct(), "candidates")
     release(spark)
     links = materialize(alike(pairs, _sets(texts, pairs, width), similarity), "links")

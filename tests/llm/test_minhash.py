@@ -67,16 +67,6 @@ def test_signatures():
         assert np.var(found) < 1.6 * likeness * (1 - likeness) / 128
 
 
-def test_agreement_counts_places(spark):
-    deal = np.random.default_rng(3)
-    made = deal.integers(0, 2**63, (2, 128)).astype(np.uint64)
-    made[1, ::3] = made[0, ::3]
-    want = int(((made[0] & np.uint64(15)) == (made[1] & np.uint64(15))).sum())
-    a, b = ([int(x) for x in row] for row in minhash.nibbles(made))
-    row = spark.createDataFrame([(a, b)], "a array<long>, b array<long>").select(minhash.agreeing("a", "b").alias("n")).first()
-    assert row.n == want > 40
-
-
 def family(dice, size, words, edits, prefix):
     base = [f"{prefix}{k}" for k in range(words)]
     out = []
@@ -98,19 +88,6 @@ def test_families(spark):
     assert check(minhash.near_duplicates(docs).collect(), dict(enumerate(made))) > 500
 
 
-def test_split_buckets_keep_links(spark, monkeypatch):
-    """Sets of large buckets meet again in pairs of such buckets."""
-    rows = [(b, k, k, 120) for b in range(4) for k in range(6) if (k + b) % 3] + [(9, 0, 0, 5), (9, 5, 5, 5)]
-    kept = minhash.split_buckets(spark.createDataFrame(rows, "band long, key long, c long, many long"), 100).collect()
-    by = {}
-    for r in kept:
-        by.setdefault(r.band, set()).add(r.key)
-    own = {k: {b for b, x, _, n in rows if x == k and n > 100} for k in range(6)}
-    for k in range(6):
-        for m in range(k):
-            assert any({k, m} <= x for x in by.values()) == (len(own[k] & own[m]) > 1 or {k, m} == {0, 5})
-
-
 def test_odd_rows(spark):
     rows = [(None, "a b c"), (None, "q r s t"), (1, None), (2, ""), (2, " "), (3, "A b\tc"), (3, "A b\tc"), (4, "a"), (5, "A"), (6, "w x " * 40_000), (7, "w x " * 30_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("k").alias("key"), F.lit(1).alias("n"), F.lit(2).alias("set_key"), F.lit(3).alias("band"))
