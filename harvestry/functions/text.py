@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import html
 from collections.abc import Iterable
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,8 +13,12 @@ from harvestry.functions import vocabulary as V
 
 #: Left and right trim of cleaned text.
 EDGES = " \t\r\n:|-"
-#: The entities that are resolved without leaving the JVM; :mod:`harvestry.functions.helpers` resolves all.
+#: The entities that parsed texts may still hold; :func:`unescape` resolves all.
 BASIC_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+#: Names may also stand without their semicolon, and before other letters; these are the longest.
+_BARE = max(len(n) for n in html5 if n[-1] != ";")
+#: Numbers up to here that do not stand for their own character.
+_LOW = {n: c for n in range(256) if (c := html.unescape(f"&#{n};")) != chr(n)}
 
 
 def literal(words: Iterable[str]) -> str:
@@ -35,15 +41,64 @@ def basic_unescape(col: Column) -> Column:
     return col
 
 
-def clean_text(col: Column, max_length: int | None = None) -> Column:
-    """Entities resolved, white space collapsed, edges cut; null becomes empty. Cut to ``max_length`` if given."""
-    done = collapse(basic_unescape(F.coalesce(col, F.lit(""))))
+def _map(values: dict) -> Column:
+    """Strings by strings, as one literal: a map of thousands of literals would take long to plan."""
+    return F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in values.items())), F.lit("\x01"), F.lit("\x02"))
+
+
+def code_point(number: Column) -> Column:
+    """The character of a number, which must be one."""
+    return F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
+
+
+def _reference(after: Column) -> Column:
+    """What follows an ampersand, with the reference that it starts with resolved, if it starts with one."""
+    number = F.regexp_extract(after, "^#([0-9]+|[xX][0-9a-fA-F]+);?", 1)
+    size = F.length(F.regexp_extract(after, "^#(?:[0-9]+|[xX][0-9a-fA-F]+);?", 0))
+    bare = F.ltrim(F.regexp_replace(number, "^[xX]", ""), F.lit("0"))
+    told = F.when(F.length(bare) > 12, F.lit(1 << 32)).when(number.rlike("^[xX]"), F.conv(F.concat(F.lit("0"), bare), 16, 10).cast("long")).otherwise(F.concat(F.lit("0"), bare).cast("long"))
+    empty = told.between(0xFDD0, 0xFDEF) | (told.bitwiseAND(0xFFFE) == 0xFFFE)
+    low = F.try_element_at(_map({n: c for n, c in _LOW.items() if c}), told.cast("string"))
+    by_number = F.when(told.isin([n for n, c in _LOW.items() if not c]), "").otherwise(F.coalesce(
+        low, F.when(told.between(0xD800, 0xDFFF) | (told > 0x10FFFF), "\ufffd").when(empty, "").otherwise(code_point(told))
+    ))
+    names, bare_names = _map(html5), _map({n: c for n, c in html5.items() if n[-1] != ";"})
+    name = F.regexp_extract(after, "^[^\\t\\n\\f <&#;]{1,32};?", 0)
+    whole = F.concat(F.try_element_at(names, name), F.substring(after, F.length(name) + 1, F.lit(1 << 30)))
+    # the longest name without its semicolon that the word starts with
+    cut = [F.when(F.length(name) > k, F.concat(F.try_element_at(bare_names, F.substring(name, 1, k)), F.substring(after, k + 1, 1 << 30))) for k in range(_BARE, 1, -1)]
+    return F.when(number != "", F.concat(by_number, F.substring(after, size + 1, F.lit(1 << 30)))).otherwise(F.coalesce(whole, *cut, F.concat(F.lit("&"), after)))
+
+
+def unescape(col: Column) -> Column:
+    """All named and numeric character references resolved, once, as browsers do: with or without a semicolon."""
+    parts = F.transform(F.split(col, "&"), lambda x, k: F.when((k == 0) | (x == ""), F.when(k == 0, x).otherwise("&")).otherwise(_reference(x)))
+    return F.when(col.contains("&"), F.array_join(parts, "")).otherwise(col)
+
+
+def clean_text(col: Column, max_length: int | None = None, parsed: bool = False) -> Column:
+    """Entities resolved, white space collapsed, edges cut; null becomes empty. Cut to ``max_length`` if given.
+
+    In ``parsed`` texts the parser has resolved entities already.
+    """
+    some = F.coalesce(col, F.lit(""))
+    done = collapse(basic_unescape(some) if parsed else unescape(some))
     return F.rtrim(F.substring(done, 1, max_length)) if max_length else done
 
 
-def clean_company_name(col: Column) -> Column:
+def parsed_text(col: Column, max_length: int | None = None) -> Column:
+    """:func:`clean_text` of a text of a parsed page."""
+    return clean_text(col, max_length, parsed=True)
+
+
+def parsed_name(col: Column) -> Column:
+    """:func:`clean_company_name` of a text of a parsed page."""
+    return clean_company_name(col, parsed=True)
+
+
+def clean_company_name(col: Column, parsed: bool = False) -> Column:
     """A name of 120 characters at most, without a trailing navigation word; empty if under 2 characters."""
-    name = clean_text(col, 120)
+    name = clean_text(col, 120, parsed)
     name = F.regexp_replace(name, rf"(?i)\b(?:{'|'.join(V.TRAILING_NAV)})\b$", "")
     name = F.btrim(name, F.lit(EDGES))
     return F.when(F.length(name) < 2, "").otherwise(name)
@@ -130,14 +185,26 @@ def decode_base64_emails(col: Column) -> Column:
     return F.filter(texts, lambda t: F.coalesce(t.contains("@"), F.lit(False)))
 
 
-def normalize_phone(col: Column, region: str = "NG") -> Column:
-    """7 to 15 digits, with a plus if there was one, if the region's trunk prefix tells, or if there are over 10; else empty."""
-    value = F.trim(F.regexp_replace(clean_text(col), r"(?i)\b(?:ext|extension|x)\.?\s*\d+$", ""))
+def phone_rules(rules: dict = V.TRUNKS) -> Column:
+    """The table of regions as a map to their trunk prefix, the digits of a number with it, and country code."""
+    return F.create_map(*[x for k, (trunk, size, country) in rules.items() for x in (F.lit(k), F.struct(F.lit(trunk).alias("trunk"), F.lit(size).alias("size"), F.lit(country).alias("country")))])
+
+
+def normalize_phone(col: Column, region: str | Column = "NG", rules: dict = V.TRUNKS, parsed: bool = False) -> Column:
+    """7 to 15 digits, with a plus if there was one, if the region's trunk prefix tells, or if there are over 10; else empty.
+
+    ``region`` may be a column: each row then goes by the rule of its own region; a region without a rule, or null, has no trunk prefix.
+    """
+    value = F.trim(F.regexp_replace(clean_text(col, parsed=parsed), r"(?i)\b(?:ext|extension|x)\.?\s*\d+$", ""))
     digits = F.regexp_replace(value, r"\D", "")
     done = F.when(~F.length(digits).between(7, 15), "").when(value.startswith("+"), F.concat(F.lit("+"), digits))
-    if region in V.TRUNKS:
-        trunk, size, country = V.TRUNKS[region]
-        done = done.when(digits.startswith(trunk) & (F.length(digits) == size), F.concat(F.lit("+" + country), F.substring(digits, len(trunk) + 1, 15)))
+    if isinstance(region, str):
+        rules = {k: v for k, v in rules.items() if k == region}
+        region = F.lit(region)
+    if rules:
+        rule = F.try_element_at(phone_rules(rules), region)
+        local = F.coalesce(digits.startswith(rule["trunk"]) & (F.length(digits) == rule["size"]), F.lit(False))
+        done = done.when(local, F.concat(F.lit("+"), rule["country"], F.substring(digits, F.length(rule["trunk"]) + 1, F.lit(15))))
     return done.when(F.length(digits) > 10, F.concat(F.lit("+"), digits)).otherwise(digits)
 
 

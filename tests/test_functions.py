@@ -1,4 +1,6 @@
 import base64
+import html
+from html.entities import html5
 
 from pyspark.sql import functions as F
 
@@ -67,3 +69,21 @@ def test_prices_and_scores(spark):
 def test_helpers(spark):
     assert values(spark, ["&eacute;&#x41;", None], helpers.html_unescape) == ["\xe9A", None]
     assert values(spark, ["Acme", "", None], lambda c: helpers.name_ratio(c, F.lit("acme"))) == [1.0, 0.0, 0.0]
+
+
+def test_all_character_references(spark):
+    """Every named entity, with what may follow it, and numbers of all kinds, as the standard library resolves them."""
+    texts = [f"a&{n}{rest}" for n in html5 for rest in ("", "x", ";", " &amp")]
+    texts += [f"&#{n};&#x{n:x}{rest}" for n in (*range(0, 300), 0xD7FF, 0xD800, 0xDFFF, 0xFDD0, 0xFFFE, 0xFFFF, 0x10000, 0x1FFFE, 0x10FFFF, 0x110000, 10**30) for rest in ("", ";")]
+    texts += ["", "&", "&&", "&;", "&#;", "&#x;", "&#xg", "a & b", "&" + "x" * 40 + ";", "&amp;lt;", "&#00065;", "&#X41", "&notin;&notit;&no", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.unescape(F.col("t")).alias("u")).collect()
+    wrong = [(r.t, r.u) for r in got if r.u != (None if r.t is None else html.unescape(r.t))]
+    assert not wrong, wrong[:5]
+
+
+def test_phones_by_rows_of_regions(spark):
+    rows = [("NG", "08031234567", "+2348031234567"), ("GB", "02079 460000", "+442079460000"), ("US", "02079460000", "+02079460000"), (None, "0302123456", "0302123456"), ("GH", "0302123456", "+233302123456")]
+    df = spark.createDataFrame(rows, "region string, phone string, want string")
+    assert all(r.got == r.want for r in df.withColumn("got", T.normalize_phone(F.col("phone"), F.col("region"))).collect())
+    other = {"XX": ("8", 9, "7")}
+    assert df.select(T.normalize_phone(F.lit("812345678"), F.lit("XX"), other).alias("p")).first().p == "+712345678"
