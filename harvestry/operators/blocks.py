@@ -11,7 +11,8 @@ from harvestry.functions import text as T
 from harvestry.functions import urls as U
 from harvestry.functions import vocabulary as V
 from harvestry.functions.helpers import html_unescape, url_join
-from harvestry.operators.contacts import attr_has, both, class_has, has_attr, is_class, node_text, signals, tag_is, with_contacts
+from harvestry.operators.contacts import attr_has, both, class_has, has_attr, is_class, signals, tag_is, with_contacts, with_index
+from harvestry.sources.shared import materialize
 
 MAX_BLOCKS, MAX_SECTIONS = 80, 40
 PAGE_SHARE, SECTION_SHARE = 0.75, 0.65
@@ -54,27 +55,43 @@ def candidates() -> Column:
     return F.expr(f"filter({judged}, w -> w.direct + w.listed + w.section > 0 and w.b.tok_len > 0)")
 
 
+def indexed(parsed: DataFrame) -> DataFrame:
+    """Parsed pages with the index of their places, written."""
+    return parsed if "hits" in parsed.columns else materialize(with_index(parsed), "indexed")
+
+
 def blocks_of(parsed: DataFrame, wanted: Column, *keep: str) -> DataFrame:
-    """Rows for the nodes ``b`` in the array ``wanted`` of structs ``(b, direct, listed, section)``, each with its subtree and text."""
-    page_len = F.length(T.clean_text(F.array_join("tokens", " ")))
-    rows = parsed.select(*keep, "url", "nodes", "tokens", "html", page_len.alias("page_len"), F.explode(wanted).alias("w"))
-    b = F.col("w.b")
+    """Rows for the nodes ``b`` in the array ``wanted`` of structs ``(b, direct, listed, section)``, each with its text and its part of the index.
+
+    No row carries nodes of its page: the parts of the index are cut before the nodes become rows.
+    """
+    page_len = F.length(T.parsed_text(F.array_join("tokens", " ")))
+    cut = F.transform(
+        wanted, lambda w: F.struct(
+            w.alias("w"), F.filter("hits", lambda h: (h["id"] > w["b"]["node_id"]) & (h["id"] < w["b"]["end_id"])).alias("hits"),
+            F.filter("labelled", lambda h: (h["id"] > w["b"]["node_id"]) & (h["id"] < w["b"]["end_id"])).alias("labelled"),
+            F.slice("tokens", w["b"]["tok_start"] + 1, w["b"]["tok_len"]).alias("own"), F.substring("html", w["b"]["html_start"] + 1, w["b"]["html_len"]).alias("markup")
+        )
+    )
+    rows = indexed(parsed).select(*keep, "url", page_len.alias("page_len"), F.explode(cut).alias("c"))
     return rows.select(
-        *keep, "url", "nodes", "tokens", "page_len", b.alias("b"), "w.direct", "w.listed", "w.section",
-        F.slice("nodes", b["node_id"] + 2, b["end_id"] - b["node_id"] - 1).alias("sub"),
-        T.clean_text(node_text(b)).alias("text"), node_text(b, glue="\n").alias("lines"), F.substring("html", b["html_start"] + 1, b["html_len"]).alias("markup"),
-    )
+        *keep, "url", "page_len", "c.w.b", "c.w.direct", "c.w.listed", "c.w.section", "c.hits", "c.labelled",
+        T.parsed_text(F.array_join("c.own", " ")).alias("text"), F.array_join("c.own", "\n").alias("lines"), "c.markup"
+    )
 
 
-def detect_blocks(parsed: DataFrame, *keep: str, region: str = "NG", noise=V.NOISE_EMAIL_PARTS, cap: int | None = MAX_BLOCKS, section_cap: int | None = MAX_SECTIONS) -> DataFrame:
+def detect_blocks(parsed: DataFrame, *keep: str, region: str = "NG", noise=V.NOISE_EMAIL_PARTS, cap: int | None = MAX_BLOCKS, section_cap: int | None = MAX_SECTIONS, **caps) -> DataFrame:
     """The listing blocks of each page with their contacts: company blocks, repeated siblings, else sections.
 
     ``keep`` must hold the page's key as its first column. A node that several places name is one row with ``n_hits``. Of nested
     candidates the innermost stay, and of equally long ones the first. The innermost ``cap`` hits stay, shortest first, or
-    ``section_cap`` of a page that only has sections; without a cap all do.
+    ``section_cap`` of a page that only has sections; without a cap all do. ``caps`` are those of a block's addresses and social links.
     Contacts are extracted once for every node that any rule looks at; one shuffle brings a page's candidates together.
+    A page that names its own ``region`` in ``parsed`` has its phones read by the rule of that one.
     """
-    key = keep[0]
+    key, own_region = keep[0], "region" in parsed.columns
+    if own_region:
+        keep = tuple(dict.fromkeys((*keep, "region")))
     n = F.length("text")
     rows = blocks_of(parsed, candidates(), *keep).filter(n >= 20)
     rows = rows.filter(
@@ -82,7 +99,7 @@ def detect_blocks(parsed: DataFrame, *keep: str, region: str = "NG", noise=V.NOI
             (F.col("section") > 0) & (n <= SECTION_SHARE * F.col("page_len"))
         )
     )
-    rows = with_contacts(rows, region, noise).drop("nodes", "tokens", "sub", "markup", "lines")
+    rows = with_contacts(rows, F.coalesce("region", F.lit(region)) if own_region else region, noise, **caps).drop("hits", "labelled", "markup", "lines")
     # what follows looks at all candidates of a page, and is planned above the windows: contacts are not worked out again
     rows = rows.withColumn("n_candidates", F.count("*").over(Window.partitionBy(key))).withColumn("signals", signals())
     contacts = F.size("emails") + F.size("phones") + F.size("addresses")
@@ -97,18 +114,26 @@ def detect_blocks(parsed: DataFrame, *keep: str, region: str = "NG", noise=V.NOI
     return _innermost(rows, key, most).drop("any", "direct", "listed", "section", "n_candidates")
 
 
-def _innermost(found: DataFrame, key: str, cap: Column) -> DataFrame:
-    """Nested candidates that hold a shorter one, or stand in one as long, go; of the rest the first ``cap`` hits stay."""
-    small = F.struct(F.col("b.node_id").alias("s"), F.col("b.end_id").alias("e"), F.length("text").alias("n"))
-    found = found.withColumn("others", F.collect_list(small).over(Window.partitionBy(key))).withColumn("me", small)
+def innermost(found: DataFrame, key: str) -> DataFrame:
+    """The candidates ``(b, text)`` of each page that hold no shorter one and stand in none as long.
 
-    def beats(o: Column) -> Column:
-        me = F.col("me")
-        inside = (o["s"] > me["s"]) & (o["e"] <= me["e"])
-        outside = (o["s"] < me["s"]) & (o["e"] >= me["e"])
-        return (inside & (o["n"] < me["n"])) | (outside & (o["n"] == me["n"]))
+    Nodes are nested or apart, so that in document order a candidate holds the one after it, or none. Texts of nodes that are apart add up: of a
+    node's candidates the first is as long as the node only if it holds all others. So candidates as long as each other follow each other, each in the one before, and what
+    the last of them holds is shorter. One pass over a page decides.
+    """
+    start, end, n = F.col("b.node_id"), F.col("b.end_id"), F.length("text")
+    order = Window.partitionBy(key).orderBy(start)
+    goes_on = F.coalesce((F.lag(end).over(order) >= end) & (F.lag(n).over(order) == n), F.lit(False))
+    holds = F.coalesce((F.lead(start).over(order) < end) & (F.lead(n).over(order) < n), F.lit(False))
+    rows = found.withColumns({"_goes_on": goes_on, "_holds": holds})
+    rows = rows.withColumn("_chain", F.sum((~F.col("_goes_on")).cast("int")).over(order))
+    rows = rows.withColumn("_held", F.max("_holds").over(Window.partitionBy(key, "_chain")))
+    return rows.filter("not _goes_on and not _held").drop("_goes_on", "_holds", "_chain", "_held")
 
-    found = found.filter(~F.exists("others", lambda o: beats(o))).drop("others", "me")
+
+def _innermost(found: DataFrame, key: str, cap: Column) -> DataFrame:
+    """The first ``cap`` hits of the innermost candidates, shortest first."""
+    found = innermost(found, key)
     order = Window.partitionBy(key).orderBy(F.length("text"), F.col("b.node_id"))
     before = F.coalesce(F.sum("n_hits").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return found.withColumn("before", before).filter(F.coalesce(F.col("before") < cap, F.lit(True))).withColumn("pos", F.row_number().over(order) - 1).drop("before")
@@ -117,7 +142,7 @@ def _innermost(found: DataFrame, key: str, cap: Column) -> DataFrame:
 def entities(blocks: DataFrame, *keep: str) -> DataFrame:
     """One company record per block of :func:`detect_blocks`, records without a real name or any contact left out."""
     host_name = U.name_from_url(F.coalesce(F.nullif("website", F.lit("")), F.col("url")))
-    name = T.clean_company_name(F.coalesce(F.nullif("name", F.lit("")), host_name))
+    name = T.parsed_name(F.coalesce(F.nullif("name", F.lit("")), host_name))
     rows = blocks.select(
         *keep, F.col("url").alias("source_url"), "pos", "n_hits", name.alias("company_name"), F.col("b.path").alias("container_path"), "emails",
         F.col("phones").alias("phone_numbers"), "addresses", F.nullif("website", F.lit("")).alias("website"), "socials",
@@ -172,11 +197,11 @@ def _structured(rows: DataFrame, keep: tuple, region: str, validate: bool) -> Da
     where = F.row_number().over(Window.partitionBy(*keep, "url").orderBy("script", "i", "j")) - 1
     rows = rows.filter(kinds.rlike("organization|localbusiness|corporation")).withColumn("pos", where)
     rows = rows.select(*keep, "url", "pos", *[html_unescape(c).alias(n) for n, c in said.items()])
-    told = F.filter(F.array(*[T.clean_text(F.col(f"part{k}")) for k in range(len(parts))]), lambda x: x != "")
-    address = T.clean_text(F.coalesce("place", F.array_join(told, ", ")), 240)
-    email, phone = F.lower(T.clean_text(F.col("mail"))), T.normalize_phone(F.col("call"), region)
+    told = F.filter(F.array(*[T.parsed_text(F.col(f"part{k}")) for k in range(len(parts))]), lambda x: x != "")
+    address = T.parsed_text(F.coalesce("place", F.array_join(told, ", ")), 240)
+    email, phone = F.lower(T.parsed_text(F.col("mail"))), T.normalize_phone(F.col("call"), region, parsed=True)
     site = F.when(F.coalesce(F.trim("site"), F.lit("")) == "", "").otherwise(url_join("url", "site"))
-    name = T.clean_company_name(F.col("name"))
+    name = T.parsed_name(F.col("name"))
     if validate:
         email = F.when(T.is_valid_email(email), email).otherwise("")
     none = F.array().cast("array<string>")

@@ -1,7 +1,8 @@
 """What a block of a page says: names, emails, phones, addresses, websites and social links.
 
-A block row holds its own subtree (``sub``, nodes in document order), its text, its lines and its markup, so every extraction is a
-Column over arrays and nothing is joined or shuffled.
+A page is looked through once: its index lists, for every place where something may stand, the nodes that stand there with what they say. What is inside
+a block is the part of the index between its first and last node, so that "the first in a subtree by priority" is a lookup in a few entries, and no
+block carries nodes. Nothing is joined or shuffled.
 """
 
 from __future__ import annotations
@@ -96,77 +97,126 @@ ADDRESS_PLACES = (
 )
 
 
-def extract_name(tokens: str = "tokens") -> Column:
-    """The first real name at the name places, in the label of the block, in an image's text, or the text itself."""
+#: The places of the index by number: name and address places from these on, and single ones.
+NAMES_AT, ADDRESSES_AT, PARTS_AT, IMAGES_AT = 0, 100, 200, 300
+MAILS_AT, SHIELDED_AT, SHIELDED_LINKS_AT, DIALLED_AT, CHATS_AT, LINKS_AT = 310, 311, 312, 320, 321, 330
+_LABEL = "(?i)" + V.ADDRESS_LABELS
 
-    def value(n: Column) -> Column:
-        return F.when(n["node_id"].isNotNull(), F.when(n["tag"] == "meta", value_of(n, "content")).otherwise(node_text(n, tokens)))
 
-    label = value_of(F.col("b"), "aria-label")
-    image = value_of(F.get(some("sub", both(tag_is("img"), has_attr("alt"))), F.lit(0)), "alt")
-    told = F.filter(F.concat(F.transform(firsts("sub", NAME_PLACES), value), F.array(label, image)), lambda x: x.isNotNull())
-    whole = F.filter(F.array(T.clean_company_name(F.col("text"))), lambda t: T.looks_like_name(t))
-    found = F.filter(F.concat(F.transform(told, lambda x: T.clean_company_name(x)), whole), lambda x: T.has_real_name(x))
+def _places() -> dict[int, str]:
+    href = attr("href")
+    return {
+        **{NAMES_AT + k: p for k, p in enumerate(NAME_PLACES)},
+        **{ADDRESSES_AT + k: p for k, p in enumerate(ADDRESS_PLACES)},
+        PARTS_AT: f"{attr('itemprop')} in ('streetAddress', 'addressLocality', 'addressRegion')",
+        IMAGES_AT: both(tag_is("img"), has_attr("alt")),
+        MAILS_AT: f"n.tag = 'a' and startswith({href}, 'mailto:')",
+        SHIELDED_AT: has_attr("data-cfemail"),
+        SHIELDED_LINKS_AT: f"n.tag = 'a' and contains({href}, '/cdn-cgi/l/email-protection#')",
+        DIALLED_AT: f"n.tag = 'a' and startswith({href}, 'tel:')",
+        CHATS_AT: f"n.tag = 'a' and (contains({href}, 'wa.me/') or contains({href}, 'whatsapp.com/send'))",
+        LINKS_AT: both(tag_is("a"), has_attr(RESOLVED)),
+    }
+
+
+def with_index(parsed: DataFrame) -> DataFrame:
+    """Parsed pages with ``hits``, the places ``at`` which nodes ``id`` stand with their ``text``, ``attr`` and ``url``, and ``labelled`` addresses.
+
+    ``labelled`` are the innermost nodes of texts with an address label: what they say themselves, and what their next sibling says.
+    Both are to be written with the page, so that they are worked out once for it.
+    """
+    found = ", ".join(f"if({p}, {k}, null)" for k, p in _places().items())
+    here = f"transform(nodes, n -> transform(filter(array({found}), k -> k is not null), k -> struct(k as at, n.node_id as id)))"
+    words = "array_join(slice(tokens, nodes[h.id].tok_start + 1, nodes[h.id].tok_len), ' ')"
+    other = {IMAGES_AT: "alt", SHIELDED_AT: "data-cfemail"}
+    said = " ".join(f"when h.at = {k} then {attr(v, 'nodes[h.id]')}" for k, v in other.items())
+    meta = f"h.at < {ADDRESSES_AT} and nodes[h.id].tag = 'meta'"
+    told = f"""transform(flatten({here}), h -> struct(h.at, h.id,
+        case when {meta} then {attr("content", "nodes[h.id]")} when h.at < {IMAGES_AT} or h.at = {LINKS_AT} then {words} end as text,
+        case {said} when h.at > {IMAGES_AT} then {attr("href", "nodes[h.id]")} end as attr,
+        if(h.at = {LINKS_AT}, {attr(RESOLVED, "nodes[h.id]")}, null) as url))"""
+    # tokens with a label are few; a node holds one of them by its numbers
+    spots = f"filter(sequence(0, size(tokens)), t -> rlike(coalesce(get(tokens, t), ''), {sql_text(_LABEL)}))"
+    rows = parsed.withColumns({"hits": F.expr(told), "spots": F.expr(spots)})
+
+    def holds(n: str) -> str:
+        return f"exists(spots, t -> t >= {n}.tok_start and t < {n}.tok_start + {n}.tok_len)"
+
+    inner = f"filter(nodes, n -> {holds('n')} and not exists(slice(nodes, n.node_id + 2, n.end_id - n.node_id - 1), o -> {holds('o')}))"
+    inner = F.when(F.size("spots") > 0, F.expr(inner)).otherwise(F.slice("nodes", 1, 0))
+
+    def labelled(n: Column) -> Column:
+        after = F.get("nodes", n["end_id"])
+        follow = F.when((after["parent_id"] == n["parent_id"]), T.parsed_text(node_text(after), 240))
+        return F.struct(n["node_id"].alias("id"), F.btrim(F.regexp_replace(T.parsed_text(node_text(n), 240), _LABEL, ""), F.lit(" :-")).alias("own"), follow.alias("follow"))
+
+    return rows.withColumn("labelled", F.transform(inner, labelled)).drop("spots")
+
+
+def inside(array: str, block: str = "w.b") -> str:
+    """The entries of an index array within a block, in SQL text."""
+    return f"filter({array}, h -> h.id > {block}.node_id and h.id < {block}.end_id)"
+
+
+def _at(low: int, high: int | None = None) -> Column:
+    """The entries of a block at the places from ``low`` to ``high``, by place and then in document order."""
+    return F.array_sort(F.expr(f"filter(hits, h -> h.at between {low} and {high or low})"))
+
+
+def extract_name() -> Column:
+    """The first real name at the name places, in the label of the block, in an image's text, or the text itself.
+
+    Of the nodes at a place only the first counts.
+    """
+    at = _at(NAMES_AT, ADDRESSES_AT - 1)
+    first = F.filter(at, lambda h, k: (k == 0) | (F.get(at, k - 1)["at"] != h["at"]))
+    label, image = value_of(F.col("b"), "aria-label"), F.get(_at(IMAGES_AT), F.lit(0))["attr"]
+    told = F.filter(F.concat(F.transform(first, lambda h: h["text"]), F.array(label, image)), lambda x: x.isNotNull())
+    whole = F.filter(F.array(T.parsed_name(F.col("text"))), lambda t: T.looks_like_name(t))
+    found = F.filter(F.concat(F.transform(told, lambda x: T.parsed_name(x)), whole), lambda x: T.has_real_name(x))
     return F.coalesce(F.get(found, F.lit(0)), F.lit(""))
 
 
 def extract_emails(noise=V.NOISE_EMAIL_PARTS) -> Column:
     """Mail links, protected addresses, patterns in plain or disguised markup and text, and base64, in that order."""
     markup, text = F.col("markup"), F.col("text")
-    href = attr("href")
-    mail = F.expr(f"transform(filter(sub, n -> n.tag = 'a' and startswith({href}, 'mailto:')), n -> split_part(substring({href}, 8), '?', 1))")
-    shielded = F.transform(F.expr(f"transform(filter(sub, n -> {has_attr('data-cfemail')}), n -> {attr('data-cfemail')})"), lambda x: T.decode_protected_email(x))
-    linked = F.expr(f"transform(filter(sub, n -> n.tag = 'a' and contains({href}, '/cdn-cgi/l/email-protection#')), n -> substring_index({href}, '#', -1))")
-    linked = F.transform(linked, lambda x: T.decode_protected_email(x))
+    mail = F.transform(_at(MAILS_AT), lambda h: F.substring_index(F.substring(h["attr"], 8, 1 << 30), "?", 1))
+    shielded = F.transform(_at(SHIELDED_AT), lambda h: T.decode_protected_email(h["attr"]))
+    linked = F.transform(_at(SHIELDED_LINKS_AT), lambda h: T.decode_protected_email(F.substring_index(h["attr"], "#", -1)))
     likely = markup.contains("@") | markup.rlike(r"(?i)\bat\b")
     in_markup = F.when(likely, T.find_emails(T.deobfuscate(T.basic_unescape(markup)))).otherwise(_none())
     in_text = F.when(text.contains("@") | text.rlike(r"(?i)\bat\b"), T.find_emails(T.deobfuscate(text))).otherwise(_none())
     coded = T.find_emails(F.array_join(T.decode_base64_emails(markup), " "))
-    found = F.transform(F.concat(mail, shielded, linked, in_markup, in_text, coded), lambda e: F.lower(T.clean_text(e)))
+    found = F.transform(F.concat(mail, shielded, linked, in_markup, in_text, coded), lambda e: F.lower(T.parsed_text(e)))
     return F.filter(F.array_distinct(found), lambda e: T.is_valid_email(e, noise))
 
 
-def extract_phones(region: str = "NG") -> Column:
+def extract_phones(region: str | Column = "NG") -> Column:
     """Phone links, chat links, and patterns in the text, normalised."""
-    href = attr("href")
-    dialled = F.expr(f"transform(filter(sub, n -> n.tag = 'a' and startswith({href}, 'tel:')), n -> substring({href}, 5))")
-    chats = F.expr(f"transform(filter(sub, n -> n.tag = 'a' and (contains({href}, 'wa.me/') or contains({href}, 'whatsapp.com/send'))), n -> {href})")
+    dialled = F.transform(_at(DIALLED_AT), lambda h: F.substring(h["attr"], 5, 1 << 30))
+    chats = F.transform(_at(CHATS_AT), lambda h: h["attr"])
     asked = r"(?:^|&)phone=([^&]*)"
     chats = F.transform(
         chats,
         lambda h: F.array(F.when(U.part(h, 2).contains("wa.me"), F.btrim(U.part(h, 3), F.lit("/"))), F.try_url_decode(F.regexp_extract(U.part(h, 4), asked, 1)))
     )
     found = F.concat(dialled, F.filter(F.flatten(chats), lambda c: c != ""), T.find_phones(F.col("text")))
-    return F.filter(F.array_distinct(F.transform(found, lambda p: T.normalize_phone(p, region))), lambda p: p != "")
+    return F.filter(F.array_distinct(F.transform(found, lambda p: T.normalize_phone(p, region, parsed=True))), lambda p: p != "")
 
 
-def extract_addresses() -> Column:
+def extract_addresses(cap: int | None = MAX_ADDRESSES) -> Column:
     """Address places, item parts, labelled text and its next sibling, and lines with the look of an address."""
 
-    def texts(hits: Column, cut: int = 240) -> Column:
-        return F.filter(F.transform(hits, lambda n: T.clean_text(node_text(n), cut)), lambda t: t != "")
-
-    placed = texts(F.expr(f"flatten(array({', '.join(f'filter(sub, n -> {p})' for p in ADDRESS_PLACES)}))"))
-    parts = texts(some("sub", f"coalesce({attr('itemprop')} in ('streetAddress', 'addressLocality', 'addressRegion'), false)"), 160)
-    # the innermost element of a labelled text: its own tokens, apart from those of children, hold the label
-    label = "(?i)" + V.ADDRESS_LABELS
-
-    def labelled(n: str) -> str:
-        return f"{n}.tok_len > 0 and exists(slice(tokens, {n}.tok_start + 1, {n}.tok_len), t -> rlike(t, {sql_text(label)}))"
+    def texts(at: Column, cut: int = 240) -> Column:
+        return F.filter(F.transform(at, lambda h: T.parsed_text(h["text"], cut)), lambda t: t != "")
 
-    inner = some(f"filter(sub, m -> {labelled('m')})", f"not exists(slice(nodes, n.node_id + 2, n.end_id - n.node_id - 1), o -> {labelled('o')})")
-    inner = F.when(F.col("text").rlike(label), inner).otherwise(F.slice("sub", 1, 0))
-
-    def told(n: Column) -> Column:
-        own = T.clean_text(node_text(n), 240)
-        after = F.get("nodes", n["end_id"])
-        follow = F.when((after["parent_id"] == n["parent_id"]), T.clean_text(node_text(after), 240))
-        return F.array(F.btrim(F.regexp_replace(own, label, ""), F.lit(" :-")), follow)
-
-    said = F.filter(F.flatten(F.transform(inner, told)), lambda t: t != "")
-    lines = F.filter(F.transform(F.split(F.col("lines"), "\n"), lambda x: T.clean_text(x, 240)), lambda x: T.looks_like_address(x))
+    placed, parts = texts(_at(ADDRESSES_AT, PARTS_AT - 1)), texts(_at(PARTS_AT), 160)
+    told = F.when(F.col("text").rlike(_LABEL), F.col("labelled")).otherwise(F.slice("labelled", 1, 0))
+    said = F.filter(F.flatten(F.transform(told, lambda h: F.array(h["own"], h["follow"]))), lambda t: t != "")
+    lines = F.filter(F.transform(F.split(F.col("lines"), "\n"), lambda x: T.parsed_text(x, 240)), lambda x: T.looks_like_address(x))
     found = T.unique_keep_order(F.concat(placed, parts, said, lines))
-    return F.slice(F.filter(found, lambda a: F.length(a) >= 10), 1, MAX_ADDRESSES)
+    found = F.filter(found, lambda a: F.length(a) >= 10)
+    return found if cap is None else F.slice(found, 1, cap)
 
 
 def sql_text(value: str) -> str:
@@ -176,10 +226,7 @@ def sql_text(value: str) -> str:
 
 def _links() -> Column:
     """The links of the block with their URLs, as the parser resolved them on the page's."""
-    return F.transform(
-        some("sub", both(tag_is("a"), has_attr(RESOLVED))),
-        lambda n: F.struct(value_of(n, "href").alias("href"), value_of(n, RESOLVED).alias("url"), F.lower(T.clean_text(node_text(n))).alias("anchor"))
-    )
+    return F.transform(_at(LINKS_AT), lambda h: F.struct(h["attr"].alias("href"), h["url"], F.lower(T.parsed_text(h["text"])).alias("anchor")))
 
 
 def extract_website(strict_social: bool = False) -> Column:
@@ -194,18 +241,22 @@ def extract_website(strict_social: bool = False) -> Column:
     return F.coalesce(F.get(F.filter("links", fits), F.lit(0))["url"], F.lit(""))
 
 
-def extract_socials(strict_social: bool = False) -> Column:
+def extract_socials(strict_social: bool = False, cap: int | None = MAX_SOCIALS) -> Column:
     hits = F.filter("links", lambda x: F.coalesce(U.is_social(F.lower(U.part(x["url"], 2)), strict_social), F.lit(False)))
-    return F.slice(T.unique_keep_order(F.transform(hits, lambda x: x["url"])), 1, MAX_SOCIALS)
+    found = T.unique_keep_order(F.transform(hits, lambda x: x["url"]))
+    return found if cap is None else F.slice(found, 1, cap)
 
 
-def with_contacts(blocks: DataFrame, region: str = "NG", noise=V.NOISE_EMAIL_PARTS, strict_social: bool = False) -> DataFrame:
-    """``blocks`` with ``name, emails, phones, addresses, website, socials``."""
+def with_contacts(
+    blocks: DataFrame, region: str | Column = "NG", noise=V.NOISE_EMAIL_PARTS, strict_social: bool = False, addresses: int | None = MAX_ADDRESSES,
+    socials: int | None = MAX_SOCIALS
+) -> DataFrame:
+    """``blocks`` with ``name, emails, phones, addresses, website, socials``; at most so many addresses and social links, all of them with None."""
     done = blocks.withColumn("links", _links())
     return done.withColumns(
         {
-            "name": extract_name(), "emails": extract_emails(noise), "phones": extract_phones(region), "addresses": extract_addresses(),
-            "website": extract_website(strict_social), "socials": extract_socials(strict_social)
+            "name": extract_name(), "emails": extract_emails(noise), "phones": extract_phones(region), "addresses": extract_addresses(addresses),
+            "website": extract_website(strict_social), "socials": extract_socials(strict_social, socials)
         }
     ).drop("links")
 

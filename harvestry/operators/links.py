@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from harvestry.functions import urls as U
-from harvestry.functions.text import clean_text
+from harvestry.functions.text import parsed_text
+from harvestry.plans.skew import join_facts
 from harvestry.sources.html import RESOLVED, parse_pages
-from harvestry.sources.shared import materialize
+from harvestry.sources.shared import materialize, shared_dir
 
 MAX_LINKS, MAX_DEPTH, MAX_PAGES = 150, 3, 150
 
@@ -24,7 +27,7 @@ def anchors(pages: DataFrame, *keep: str) -> DataFrame:
     rows = parsed.select(*keep, F.col("url").alias("page_url"), "tokens", F.posexplode(found).alias("pos", "a"))
     text = F.array_join(F.slice("tokens", F.col("a.tok_start") + 1, F.col("a.tok_len")), " ")
     attrs = F.col("a.attrs")
-    return rows.select(*keep, "page_url", "pos", attrs["href"].alias("href"), attrs[RESOLVED].alias("url"), clean_text(text).alias("anchor_text"))
+    return rows.select(*keep, "page_url", "pos", attrs["href"].alias("href"), attrs[RESOLVED].alias("url"), parsed_text(text).alias("anchor_text"))
 
 
 def internal_links(links: DataFrame, http_only: bool = False, all_internal: bool = True) -> DataFrame:
@@ -73,19 +76,39 @@ def frontier(start: DataFrame, links: DataFrame, depth: int = MAX_DEPTH, pages:
     """``(seed_url, url, depth, parent_url, rank)``: what a crawl of each seed visits, level by level.
 
     ``start`` is ``(seed_url, url, rank)`` at depth 0, ``links`` is ``(page_url, url, rank)``. A URL is visited once
-    per seed, from the parent that comes first, and a seed ends at ``pages`` URLs. Each level is one table in the shared folder.
+    per seed, from the parent that comes first, and a seed ends at ``pages`` URLs. Levels are partitions of one table in the shared folder, to which
+    each adds its own rows only. Seeds that are full are left out before their pages are looked up. Pages that many seeds reach, hubs, have their
+    lists of links sent to where those seeds are.
     """
-    seen = start.groupBy("seed_url", "url").agg(F.min("rank").alias("order"))
+    spark = start.sparkSession
+    path = f"{shared_dir(spark)}/frontier-{uuid.uuid4().hex}"
+    schema = "seed_url string, url string, parent_url string, rank int, last int"
+
+    def written(level: int, rows: DataFrame) -> DataFrame:
+        rows.write.parquet(f"{path}/depth={level}")
+        return spark.read.schema(schema).parquet(f"{path}/depth={level}")
+
+    first = start.groupBy("seed_url", "url").agg(F.min("rank").alias("order"))
     order = Window.partitionBy("seed_url").orderBy("order", "url")
-    seen = seen.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= pages)
-    seen = materialize(seen.select("seed_url", "url", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent_url"), "rank"), "frontier")
-    for level in range(1, depth + 1):
-        last = seen.filter(F.col("depth") == level - 1).select("seed_url", F.col("url").alias("parent_url"), F.col("rank").alias("parent_rank"))
-        found = last.join(links.select(F.col("page_url").alias("parent_url"), "url", F.col("rank").alias("link_rank")), "parent_url")
-        found = unseen(found, seen).groupBy("seed_url", "url").agg(F.min(F.struct("parent_rank", "link_rank", "parent_url")).alias("b"))
-        count = seen.groupBy("seed_url").agg(F.count("*").alias("n"))
+    first = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= pages)
+    size = F.max("rank").over(Window.partitionBy("seed_url"))
+    level = written(0, first.select("seed_url", "url", F.lit(None).cast("string").alias("parent_url"), "rank", size.alias("last")))
+    seen = level
+    # of a page's links as many as a seed can have, and as many again that it may have seen: no others can be reached from there
+    best = links.groupBy("page_url", "url").agg(F.min("rank").alias("rank"))
+    best = best.withColumn("n", F.row_number().over(Window.partitionBy("page_url").orderBy("rank", "url"))).filter(F.col("n") <= 2 * pages)
+    targets = F.array_sort(F.collect_list(F.struct(F.col("rank").alias("link_rank"), "url")))
+    lists = materialize(best.groupBy(F.col("page_url").alias("parent_url")).agg(targets.alias("links")), "links")
+    for at in range(1, depth + 1):
+        # ``last`` is how many pages a seed has so far
+        open_ = level.filter(F.col("last") < pages).select("seed_url", F.col("url").alias("parent_url"), F.col("rank").alias("parent_rank"), "last")
+        hubs = open_.groupBy("parent_url").agg(F.count("*").alias("n")).join(lists, "parent_url")
+        found = join_facts(open_, hubs, "parent_url", open_.count(), F.col("seed_url"))
+        found = found.select("seed_url", "parent_url", "parent_rank", "last", F.explode("links").alias("l"))
+        found = found.groupBy("seed_url", F.col("l.url").alias("url")).agg(F.min(F.struct("parent_rank", "l.link_rank", "parent_url")).alias("b"), F.first("last").alias("before"))
+        found = found.join(seen.select("seed_url", "url"), ["seed_url", "url"], "left_anti")
         place = F.row_number().over(Window.partitionBy("seed_url").orderBy("b.parent_rank", "b.link_rank", "url"))
-        found = found.withColumn("place", place).join(count, "seed_url").filter(F.col("n") + F.col("place") <= pages)
-        found = found.select("seed_url", "url", F.lit(level).alias("depth"), "b.parent_url", (F.col("n") + F.col("place")).cast("int").alias("rank"))
-        seen = materialize(seen.unionByName(found), "frontier")
-    return seen
+        found = found.withColumn("rank", (F.col("before") + place).cast("int")).filter(F.col("rank") <= pages)
+        level = written(at, found.select("seed_url", "url", "b.parent_url", "rank", F.max("rank").over(Window.partitionBy("seed_url")).alias("last")))
+        seen = seen.unionByName(level)
+    return spark.read.schema(schema + ", depth int").option("basePath", path).parquet(path).select("seed_url", "url", "depth", "parent_url", "rank")

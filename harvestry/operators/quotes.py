@@ -28,7 +28,7 @@ HINT_PLACES = (
 
 def _first(array: str, places, keep) -> Column:
     """The first text over the places that ``keep`` accepts; empty if none."""
-    texts = F.transform(firsts(array, places), lambda n: F.when(n["node_id"].isNotNull(), T.clean_text(node_text(n), 120)))
+    texts = F.transform(firsts(array, places), lambda n: F.when(n["node_id"].isNotNull(), T.parsed_text(node_text(n), 120)))
     return F.coalesce(F.get(F.filter(texts, lambda t: t.isNotNull() & keep(t)), F.lit(0)), F.lit(""))
 
 
@@ -39,38 +39,41 @@ def containers(parsed: DataFrame, *keep: str, roots: DataFrame | None = None, st
     in order of their places, or all without a cap. With ``roots`` a block without containers that shows a price is its own container.
     """
     key = keep[0]
-    rows = parsed.select(*keep, "url", "nodes", "tokens")
+    pages = parsed.select(*keep, "url", "nodes", "tokens")
     if roots is None:
-        rows = rows.withColumn("root", F.lit(None).cast("int")).withColumn("inner", F.col("nodes"))
+        rows = pages.withColumn("root", F.lit(None).cast("int")).withColumn("inner", F.col("nodes"))
         scope_text = F.array_join("tokens", " ")
     else:
-        rows = rows.join(roots.select(key, F.col("root_id").alias("root")).distinct(), key)
+        rows = pages.join(roots.select(key, F.col("root_id").alias("root")).distinct(), key)
         at = F.get("nodes", F.col("root"))
         rows = rows.withColumn("inner", F.slice("nodes", F.col("root") + 2, at["end_id"] - F.col("root") - 1))
         scope_text = node_text(F.get("nodes", F.col("root")))
-    rows = rows.withColumn("scope_len", F.length(T.clean_text(scope_text)))
-
     places = f"array({', '.join(f'coalesce({p}, false)' for p in CONTAINER_PLACES)})"
     judged = f"transform(inner, n -> transform(array({places}), o -> struct(n as b, array_position(o, true) as first, size(filter(o, x -> x)) as n_hits))[0])"
-    found = rows.withColumn("w", F.explode(F.expr(f"filter({judged}, w -> w.n_hits > 0 and w.b.tok_len > 0)")))
-    found = found.withColumn("text", T.clean_text(node_text(F.col("w.b"))))
+    wanted = f"filter({judged}, w -> w.n_hits > 0 and w.b.tok_len > 0)"
+    # texts are cut before nodes become rows, which carry no others
+    told = F.transform(F.expr(wanted), lambda w: F.struct(w["b"]["node_id"].alias("s"), w["b"]["end_id"].alias("e"), w["first"], w["n_hits"], T.parsed_text(node_text(w["b"])).alias("text")))
+    found = rows.select(*keep, "url", "root", F.length(T.parsed_text(scope_text)).alias("scope_len"), F.explode(told).alias("w")).select(*keep, "url", "root", "scope_len", "w.*")
     n = F.length("text")
-    found = found.filter((n >= 8) & S.has_price(F.col("text"), strict) & (n <= SHARE * F.col("scope_len")))
-    scope = Window.partitionBy(key, "root")
-    spans = F.collect_list(F.struct(F.col("w.b.node_id").alias("s"), F.col("w.b.end_id").alias("e"))).over(scope)
-    found = found.withColumn("spans", spans).filter(~F.exists("spans", lambda o: (o["s"] < F.col("w.b.node_id")) & (o["e"] >= F.col("w.b.end_id"))))
-    order = scope.orderBy("w.first", "w.b.node_id")
-    before = F.coalesce(F.sum("w.n_hits").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = outermost(found.filter((n >= 8) & S.has_price(F.col("text"), strict) & (n <= SHARE * F.col("scope_len"))), key, "root")
+    order = Window.partitionBy(key, "root").orderBy("first", "s")
+    before = F.coalesce(F.sum("n_hits").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     found = found.withColumn("before", before).filter(F.coalesce(F.col("before") < F.lit(cap).cast("long"), F.lit(True))).withColumn("pos", F.row_number().over(order) - 1)
-    b = F.col("w.b")
-    found = found.select(*keep, "url", "root", "tokens", "pos", "text", F.slice("nodes", b["node_id"] + 2, b["end_id"] - b["node_id"] - 1).alias("sub"), "nodes")
+    inner = F.slice("nodes", F.col("s") + 2, F.col("e") - F.col("s") - 1).alias("sub")
+    found = found.select(key, "root", "pos", "text", "s", "e").join(pages, key).select(*keep, "url", "root", "tokens", "pos", "text", inner, "nodes")
     if roots is not None:
         own = rows.join(found.select(key, "root").distinct(), [key, "root"], "left_anti")
-        own = own.withColumn("text", T.clean_text(scope_text)).filter(S.has_price(F.col("text"), strict))
+        own = own.withColumn("text", T.parsed_text(scope_text)).filter(S.has_price(F.col("text"), strict))
         found = found.unionByName(own.select(*keep, "url", "root", "tokens", F.lit(0).alias("pos"), "text", F.col("inner").alias("sub"), "nodes"))
     return found
 
 
+def outermost(found: DataFrame, *scope: str) -> DataFrame:
+    """The nodes ``(s, e)`` of each scope that stand in no other one: in document order, those that end behind all before them."""
+    order = Window.partitionBy(*scope).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    return found.withColumn("_reach", F.max("e").over(order)).filter(F.coalesce(F.col("_reach") < F.col("e"), F.lit(True))).drop("_reach")
+
+
 def quotes(found: DataFrame, *keep: str, scope: str = "pricing_container", strict: bool = False) -> DataFrame:
     """One quote per container: the first price in its first 600 characters. In blocks ``company`` is the block's hint."""
     rows = found.withColumn("cut", F.rtrim(F.substring("text", 1, 600))).withColumn("p", S.parse_price(F.col("cut"), strict)).filter("p is not null")
@@ -111,7 +114,8 @@ def attach_companies(found: DataFrame, companies: DataFrame, key: str, least: fl
     """``found`` with ``company`` filled: by a page's only company, or by the best match of name and quote text.
 
     ``companies`` is ``(key, company_name, place)``. The match is the name ratio to title and description, and 0.5 more if the name is in it;
-    of equal ones the first company; under ``least`` there is none. Only quotes without a company meet several companies.
+    of equal ones the first company; under ``least`` there is none. Only quotes without a company meet several companies, and only those pairs
+    are compared that can get there by their lengths and characters.
     """
     counts = companies.groupBy(key).agg(F.count("*").alias("n_companies"), F.min_by("company_name", "place").alias("only"))
     rows = found.join(counts, key, "left").withColumn("open", (F.coalesce("company", F.lit("")) == "") & (F.col("n_companies") > 1))
@@ -121,13 +125,31 @@ def attach_companies(found: DataFrame, companies: DataFrame, key: str, least: fl
     )
     names = [c for c in found.columns if c != "company"]
     open_ = rows.filter("open").withColumn("said", F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("description", F.lit("")))))
-    met = open_.select(*names, "said").join(companies.select(key, F.coalesce("company_name", F.lit("")).alias("name"), F.col("place").alias("c_place")), key)
-    score = name_ratio("name", "said") + F.when(F.col("said").contains(F.lower("name")), 0.5).otherwise(0.0)
-    met = met.withColumn("score", score)
+    own = companies.select(F.col(key).alias("c_key"), F.coalesce("company_name", F.lit("")).alias("name"), F.col("place").alias("c_place"))
+    # a ratio is at most what the lengths, and then the characters, of two texts allow: few pairs are worth the comparison itself
+    inside = F.col("said").contains(F.lower("name"))
+    most = F.when(F.col("name") == "", 0.0).otherwise(2 * F.least(F.length("name"), F.length("said")) / (F.length("name") + F.length("said")))
+    met = open_.select(*names, "said").join(own, (F.col(key) == F.col("c_key")) & (inside | (most >= least - 1e-9))).drop("c_key")
+    met = met.withColumn("inside", inside).filter(F.col("inside") | (common_characters("name", "said") >= least - 1e-9))
+    met = met.withColumn("score", name_ratio("name", "said") + F.when(F.col("inside"), 0.5).otherwise(0.0)).drop("inside")
     ident = [key, "source_rank", "root", "pos"] if "source_rank" in names else [key, "root", "pos"]
     best = met.groupBy(*ident).agg(F.max_by(F.struct("name", "score"), F.struct("score", -F.col("c_place"))).alias("best"), *[F.first(c).alias(c) for c in names if c not in ident])
     best = best.withColumn("company", F.when(F.col("best.score") >= least, F.col("best.name")).otherwise(""))
-    return rest.select(*found.columns).unionByName(best.select(*found.columns))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ident]
+    none = open_.join(best.select(*[F.col(c).alias(f"_{c}") for c in ident]), same, "left_anti").withColumn("company", F.lit(""))
+    return rest.select(*found.columns).unionByName(best.select(*found.columns)).unionByName(none.select(*found.columns))
+
+
+def common_characters(a: str, b: str) -> Column:
+    """What the characters of two strings, as bags, leave of their ratio at most: counted for each character of the shorter one."""
+    one, two = F.lower(a), F.lower(b)
+
+    def count(text: Column, c: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, c, F.lit("")))
+
+    letters = F.array_distinct(F.split(one, ""))
+    shared = F.reduce(letters, F.lit(0), lambda n, c: n + F.when(c == "", 0).otherwise(F.least(count(one, c), count(two, c))))
+    return F.when((one == "") | (two == ""), 0.0).otherwise(2 * shared / (F.length(one) + F.length(two)))
 
 
 def contained(needles: DataFrame, hays: DataFrame) -> DataFrame:

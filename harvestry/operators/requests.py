@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from harvestry.functions import scoring as S
 from harvestry.functions import text as T
 from harvestry.functions import urls as U
+from harvestry.functions.helpers import joined_urls
 
 MAX_URLS, MAX_SCORED = 10, 40
 RESPONSE = "company_name string, emails variant, phones variant, address string, website string, social_links variant, quotes variant, page_type string, confidence variant"
@@ -71,8 +72,12 @@ def as_list(name: str) -> Column:
 
 
 def normalize_responses(responses: DataFrame) -> DataFrame:
-    """Clean columns of ``(request_hash, response)``: cut texts, lists, valid emails, scores between 0 and 1, quotes with a price."""
-    rows = responses.select("request_hash", F.from_json("response", RESPONSE).alias("r")).select("request_hash", "r.*")
+    """Clean columns of ``(request_hash, response)``: cut texts, distinct lists, valid emails, scores between 0 and 1, quotes with a price.
+
+    Website and social links are references on the ``source_url`` of the answer, or of its ``request``.
+    """
+    page = F.col("source_url") if "source_url" in responses.columns else F.get_json_object("request", "$.source_url") if "request" in responses.columns else F.lit(None).cast("string")
+    rows = responses.select("request_hash", page.alias("page"), F.from_json("response", RESPONSE).alias("r")).select("request_hash", "page", "r.*")
     name = T.clean_company_name(F.col("company_name"))
     score = F.coalesce(F.expr("try_variant_get(confidence, '$', 'double')"), F.lit(0.0))
     quote = "array<struct<title: string, price: string, currency: string, description: string, confidence: double>>"
@@ -81,18 +86,18 @@ def normalize_responses(responses: DataFrame) -> DataFrame:
         F.filter(quotes, lambda q: S.present(T.clean_text(q["price"]))),
         lambda q: F.struct(
             T.clean_text(q["title"], 120).alias("title"), T.clean_text(q["price"], 80).alias("price"),
-            F.upper(T.clean_text(q["currency"], 8)).alias("currency"), T.clean_text(q["description"], 300).alias("description"),
+            T.clean_text(q["currency"], 12).alias("currency"), T.clean_text(q["description"], 300).alias("description"),
             S.clamp(F.coalesce(q["confidence"], F.lit(0.0))).alias("confidence")
         )
     )
     return rows.select(
         "request_hash",
         F.when(T.has_real_name(name), name).otherwise("").alias("company_name"),
-        F.filter(F.transform(as_list("emails"), lambda e: F.lower(T.clean_text(e))), lambda e: T.is_valid_email(e)).alias("emails"),
-        F.transform(as_list("phones"), lambda p: T.clean_text(p, 40)).alias("phones"),
+        T.unique_keep_order(F.filter(F.transform(as_list("emails"), lambda e: F.lower(T.clean_text(e))), lambda e: T.is_valid_email(e))).alias("emails"),
+        T.unique_keep_order(F.transform(as_list("phones"), lambda p: T.clean_text(p, 32))).alias("phones"),
         T.clean_text(F.col("address"), 240).alias("address"),
-        U.normalize_url(F.col("website")).alias("website"),
-        F.transform(as_list("social_links"), lambda u: U.normalize_url(u)).alias("social_links"),
+        F.coalesce(F.get(joined_urls("page", F.array("website")), F.lit(0)), F.lit("")).alias("website"),
+        T.unique_keep_order(joined_urls("page", as_list("social_links"))).alias("social_links"),
         quotes.alias("quotes"),
         T.clean_text(F.col("page_type"), 80).alias("page_type"),
         S.clamp(score).alias("confidence"),

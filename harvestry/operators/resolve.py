@@ -26,6 +26,8 @@ from harvestry.sources.shared import materialize
 SAME_HOST, SAME_NAME, BUMP = 0.72, 0.94, 0.05
 #: Characters of the pieces by which names are matched.
 GRAM = 3
+#: Names from which on a piece is common.
+COMMON = 20
 #: Rows that leave a task at a time.
 FLUSH = 5000
 ARRAYS = ("emails", "phone_numbers", "addresses", "socials")
@@ -66,28 +68,49 @@ def equal_names(records: DataFrame) -> DataFrame:
     return join_facts(rows, first, "k", records.count(), F.col("eid")).select("a", F.col("eid").alias("b"))
 
 
+def _met_pieces(rare: DataFrame, least: float) -> DataFrame:
+    """``(a, b)`` of the names that meet in their rarest pieces ``(eid, d, size, place, g, df, at)``, of which each has ``GRAM * d + 2`` if it is long enough.
+
+    Two long names share two of those. A piece of more than ``COMMON`` names is so no place to meet for them, but any two such pieces are; names of
+    fewer pieces, that may share one only, meet in it alone. What is shared stands at most as far apart as there are characters without a partner,
+    and lengths differ by no more than the ratio allows.
+    """
+    short = F.col("size") - GRAM + 1 < GRAM * F.col("d") + 2
+    fit = rare.filter(F.col("df") > 1)
+    single = fit.filter((F.col("df") <= COMMON) | short).select("g", "eid", "d", "size", "place")
+    common = fit.filter(F.col("df") > COMMON).groupBy("eid").agg(F.array_sort(F.collect_list("g")).alias("gs"), F.first("d").alias("d"), F.first("size").alias("size"))
+    pairs = common.select("eid", "d", "size", F.posexplode("gs").alias("k", "one"), "gs")
+    pairs = pairs.select("eid", "d", "size", "one", F.explode(F.slice("gs", F.col("k") + 2, F.size("gs"))).alias("two"))
+    double = pairs.select(F.xxhash64("one", "two").alias("g"), "eid", "d", "size", F.lit(None).cast("int").alias("place"))
+    both = single.unionByName(double)
+    left, right = (both.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("eid", "d", "size", "place")]) for s in "ab")
+    near = F.coalesce(F.abs(F.col("place_a") - F.col("place_b")) <= F.greatest("d_a", "d_b"), F.lit(True))
+    sizes = 2 * F.least("size_a", "size_b") >= least * (F.col("size_a") + F.col("size_b")) - 1e-9
+    met = left.join(right, (left["g"] == right["g"]) & (F.col("eid_a") < F.col("eid_b")) & near & sizes)
+    return met.select(F.col("eid_a").alias("a"), F.col("eid_b").alias("b")).distinct()
+
+
 def similar_names(records: DataFrame, least: float = SAME_NAME) -> DataFrame:
     """``(a, b)`` of different names of a scope with a ratio of ``least`` or more in either order, as their first records, the earlier first.
 
     A name has a piece of ``GRAM`` characters at each place. ``d`` characters without a partner spoil ``GRAM * d`` pieces at most, so that of
-    the ``GRAM * d + 1`` rarest pieces of two names they have one in common: names meet in those, are cut down by their edit distance, and
-    what is left is compared.
+    the ``GRAM * d + 1`` rarest pieces of two names they have one in common, and of one more two: names meet in those, are cut down by their edit distance,
+    and what is left is compared.
     """
     classes = materialize(named(records).groupBy("scope", "name").agg(F.min("eid").alias("eid")), "names")
     size = F.length("name")
     long = classes.filter(_slack(size, least) > 0).select("scope", "eid", "name", _slack(size, least).alias("d"))
     places = F.sequence(F.lit(1), F.greatest(F.length("name") - GRAM + 1, F.lit(1)))
-    flat = long.select("scope", "eid", "d", F.explode(F.transform(places, lambda i: F.substring("name", i, F.lit(GRAM)))).alias("piece"))
-    # the second occurrence of a piece is another piece
-    flat = flat.groupBy("scope", "eid", "piece").agg(F.count("*").alias("times"), F.first("d").alias("d"))
-    flat = materialize(flat.select("scope", "eid", "d", F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time"), "piece"), "pieces")
-    shared = flat.groupBy("scope", "piece", "time").agg(F.count("*").alias("n"), F.min("eid").alias("least"), F.max("eid").alias("most"))
+    flat = long.select("scope", "eid", "d", size.alias("size"), F.posexplode(F.transform(places, lambda i: F.substring("name", i, F.lit(GRAM)))).alias("place", "piece"))
+    # the second occurrence of a piece is another piece; only of a piece that a name has once the place is told
+    flat = flat.groupBy("scope", "eid", "piece").agg(F.count("*").alias("times"), F.first("d").alias("d"), F.first("size").alias("size"), F.min("place").alias("place"))
+    once = F.when(F.col("times") == 1, F.col("place"))
+    flat = materialize(flat.select("scope", "eid", "d", "size", once.alias("place"), F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time"), "piece"), "pieces")
     known = F.xxhash64("scope", "piece", "time").alias("g")
-    facts = shared.select(known, "n", F.col("n").alias("df"))
-    rare = join_facts(flat.select("eid", "d", known), facts, "g", flat.count(), F.xxhash64("eid"))
+    facts = flat.groupBy("scope", "piece", "time").agg(F.count("*").alias("n")).select(known, "n", F.col("n").alias("df"))
+    rare = join_facts(flat.select("eid", "d", "size", "place", known), facts, "g", flat.count(), F.xxhash64("eid"))
     rare = rare.withColumn("at", F.row_number().over(Window.partitionBy("eid").orderBy("df", "g")))
-    rare = rare.filter((F.col("at") <= GRAM * F.col("d") + 1) & (F.col("df") > 1)).select("g", "eid")
-    met = rare.withColumnRenamed("eid", "a").join(rare.withColumnRenamed("eid", "b"), "g").filter("a < b").select("a", "b").distinct()
+    met = _met_pieces(rare.filter(F.col("at") <= GRAM * F.col("d") + 2), least)
     names = long.select("eid", "scope", "name")
     both = met.join(names.withColumnsRenamed({"eid": "a", "scope": "s", "name": "p"}), "a").join(names.withColumnsRenamed({"eid": "b", "scope": "t", "name": "q"}), "b")
     apart = f"cast(floor({1 - least} * (length(p) + length(q)) + 1e-9) as int)"

@@ -333,6 +333,37 @@ def capped_directory_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _companies(parse_pages(corpora.directory_pages(spark, sf_dir, 100), "page_id")).select("page_id", "company_name")
 
 
+@query(_FACTS + """ SELECT page AS page_id, name AS company_name, email, address,
+      CASE key % 4 WHEN 0 THEN 'article.company-card' WHEN 1 THEN 'section.listing' WHEN 2 THEN 'section.listing > article.company-card'
+           ELSE 'section.listing > div.vendor-card > article.company-card' END AS block FROM f""")
+def nested_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Listings that stand in other candidates: the innermost are kept, and of those as long as each other the outermost."""
+    found = _companies(parse_pages(corpora.nested_pages(spark, sf_dir), "page_id"), cap=None)
+    return found.select("page_id", "company_name", "email", "address", F.regexp_extract("container_path", "main > (.*)$", 1).alias("block"))
+
+
+@query(_FACTS + """, r AS (SELECT *, key // 4 % 6 AS turn, lpad(key::VARCHAR, 6, '5') AS k FROM f)
+    SELECT name AS company_name, CASE turn WHEN 0 THEN '+2348032' || k WHEN 1 THEN '+442079' || k WHEN 2 THEN '+233302' || k WHEN 3 THEN '+33142' || k ELSE '0212' || k END AS phone FROM r""")
+def regional_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phones of pages of five regions and none in one job, each read by the rule of its own page."""
+    pages = corpora.regional_pages(spark, sf_dir)
+    return _companies(parse_pages(pages, "page_id", "region"), cap=None, region="").select("company_name", "phone")
+
+
+@query("""
+    WITH r AS (SELECT s_suppkey AS key, s_suppkey % 8 AS way FROM supplier)
+    SELECT key, CASE way WHEN 0 THEN 'Café & Co' WHEN 1 THEN '<b> ≥ 5' WHEN 2 THEN 'Ωmega ' || key WHEN 3 THEN 'AB€' WHEN 4 THEN '&unknown; ¬it; notme'
+           WHEN 5 THEN 'x� y' WHEN 6 THEN '¼ cup' ELSE '&amp; & 😀' END AS cleaned FROM r""")
+def entity_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with named, bare, decimal, hexadecimal, wrong and unknown character references, rendered from suppliers and cleaned."""
+    shapes = (
+        "Caf&eacute; &amp; Co", "&lt;b&gt; &ge;&nbsp;5", "&Omega;mega @", "&#65;&#x42;&#128;", "&unknown; &notit; notme", "x&#0;&#1; y",
+        " &frac14 cup&nbsp;", "&amp;amp; & &#x1F600;"
+    )
+    shape = F.get(F.array(*[F.lit(x) for x in shapes]), F.pmod("s_suppkey", F.lit(len(shapes))).cast("int"))
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("key"), T.clean_text(F.replace(shape, F.lit("@"), F.col("s_suppkey").cast("string"))).alias("cleaned"))
+
+
 @query(_FACTS + " SELECT page AS page_id, name AS company_name, email FROM f")
 def disguised_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emails that are spelled out, protected by a key, or in base64, on pages of more hits than the usual cap."""
@@ -376,6 +407,17 @@ def package_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("title", "price", "amount", "currency", "description", "confidence")
 
 
+@query("""
+    WITH p AS (SELECT *, p_retailprice::DECIMAL(18,2) AS amount FROM part)
+    SELECT p_partkey // 15 AS page_id, p_name || ' no ' || p_partkey AS title, CASE p_partkey % 3 WHEN 0 THEN '$' WHEN 1 THEN 'EUR' ELSE 'NGN' END || amount::VARCHAR AS price, amount,
+           CASE p_partkey % 3 WHEN 0 THEN 'USD' ELSE 'NGN' END AS currency FROM p WHERE p_partkey % 3 <> 1""")
+def repeated_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price boxes inside others, and each said twice: the outermost are read, and one quote of each is kept (D11, G4). A currency that is not known is no price."""
+    parsed = materialize(parse_pages(corpora.repeated_pricing_pages(spark, sf_dir), "page_id"), "parsed")
+    found = Q.distinct_in_page(Q.quotes(Q.containers(parsed, "page_id", cap=None), "page_id"), "page_id")
+    return found.select("page_id", "title", "price", "amount", "currency")
+
+
 @query("""
     WITH c AS (SELECT c_custkey // 50 AS seed, c_custkey AS k, c_custkey % 4 AS way FROM customer)
     SELECT seed, k AS c_custkey, CASE WHEN way = 3 THEN 2 ELSE 1 END AS n_companies, CASE WHEN way = 3 THEN 0.6 ELSE 0.65 END::DOUBLE AS confidence FROM c""")
@@ -542,6 +584,33 @@ def model_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.join(n, done.company_name == n.company).select("key", "company_name", "email", "phone", "ai_confidence", "n_quotes")
 
 
+@query(
+    _FACTS + """ SELECT key, CASE key % 3 WHEN 0 THEN 'https://model.house/about' WHEN 1 THEN 'https://shop' || key || '.co/x' ELSE 'https://model.house/list/shop' || key || '.co' END AS website,
+      'https://model.house/fb' || key || ' https://facebook.com/house' || key AS socials, '+' || rpad(key::VARCHAR, 31, '0') AS phone, 'usd of ' || key % 10 || ' at' AS currency, 'a, b' AS pages FROM f"""
+)
+def model_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with relative links, long phones, currencies as written and repeated entries, resolved on the page that they were asked about."""
+    f = corpora.supplier_facts(spark, sf_dir)
+    k = F.col("key").cast("string")
+    site = F.when(F.col("key") % 3 == 0, "/about").when(F.col("key") % 3 == 1, F.concat(F.lit("//shop"), k, F.lit(".co/x#top"))).otherwise(F.concat(F.lit("shop"), k, F.lit(".co")))
+    answer = F.to_json(
+        F.struct(
+            F.lit("Model House").alias("company_name"), F.concat(F.lit("+"), F.rpad(k, 50, "0")).alias("phones"), site.alias("website"),
+            F.array(F.concat(F.lit("../fb"), k), F.concat(F.lit("//facebook.com/house"), k, F.lit("/")), F.concat(F.lit("/fb"), k, F.lit("#x"))).alias("social_links"),
+            F.array(
+                F.struct(F.lit("a").alias("title"), F.lit("$5").alias("price"), F.concat(F.lit("usd of "), F.col("key") % 10, F.lit(" at home")).alias("currency")),
+                F.struct(F.lit("b").alias("title"), F.lit("6").alias("price"), F.lit("").alias("currency"))
+            ).alias("quotes")
+        )
+    )
+    asked = f.select(k.alias("request_hash"), F.lit("https://model.house/list/").alias("source_url"), answer.alias("response"))
+    said = R.normalize_responses(asked)
+    return said.select(
+        F.col("request_hash").cast("long").alias("key"), "website", F.array_join("social_links", " ").alias("socials"), F.get("phones", F.lit(0)).alias("phone"),
+        F.get("quotes", F.lit(0))["currency"].alias("currency"), F.array_join(F.transform("quotes", lambda q: q["title"]), ", ").alias("pages")
+    )
+
+
 @query(_ANCHORS + """, k AS (SELECT page_id, url, min(rank) AS rank FROM w WHERE rank <= 150 GROUP BY page_id, url), n AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY rank) AS i FROM k)
     SELECT page_id, url, least(1.0, (length(url) % 13) / 10.0)::DOUBLE AS model_score FROM n WHERE i <= 40 AND length(url) % 13 <> 5""")
 def model_page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -68,6 +68,30 @@ def directory_pages(spark: SparkSession, sf_dir: str, cards: int = CARDS) -> Dat
     return _pages(f.select(page, F.col("key").alias("at"), card.alias("card")), "directory.house", '<main class="directory-results">', "</main>")
 
 
+def nested_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates in candidates, by the key: a plain card; cards as long as each other in each other; a card in a longer one; a card in two longer ones."""
+    f = supplier_facts(spark, sf_dir)
+    inner = F.concat(F.lit("<h3>"), "name", F.lit('</h3><a href="mailto:'), "email", F.lit('">Mail us</a> <address>'), "address", F.lit("</address>"))
+    card = F.concat(F.lit('<article class="company-card">'), inner, F.lit("</article>"))
+    more = F.lit("<p>Listed with a few kind words of the house</p>")
+    way = F.pmod("key", F.lit(4))
+    shape = F.when(way == 0, card).when(way == 1, F.concat(F.lit('<section class="listing"><div class="vendor-card">'), card, F.lit("</div></section>")))
+    shape = shape.when(way == 2, F.concat(F.lit('<section class="listing">'), card, more, F.lit("</section>")))
+    shape = shape.otherwise(F.concat(F.lit('<section class="listing">'), more, F.lit('<div class="vendor-card">'), card, more, F.lit("</div></section>")))
+    return _pages(f.select("page", F.col("key").alias("at"), shape.alias("card")), "nested.house", "<main>", "</main>")
+
+
+def regional_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four cards a page, whose phones are told as at home; each page names its region, one of five, or none."""
+    f = supplier_facts(spark, sf_dir).withColumn("page", F.floor(F.col("key") / 4).cast("long"))
+    turn = F.pmod("page", F.lit(6)).cast("int")
+    local = F.concat(F.get(F.array(*[F.lit(x) for x in ("08032", "02079", "0302", "0142", "0212", "0212")]), turn), F.lpad(F.col("key").cast("string"), 6, "5"))
+    card = F.concat(F.lit("<div><h3>"), "name", F.lit('</h3><a href="tel:'), local, F.lit('">Call us</a><address>'), "address", F.lit("</address></div>"))
+    pages = _pages(f.select("page", F.col("key").alias("at"), card.alias("card")), "regions.house", '<main class="directory-results">', "</main>")
+    regions = F.array(*[F.lit(r) for r in ("NG", "GB", "GH", "FR", "US")], F.lit(None).cast("string"))
+    return pages.withColumn("region", F.get(regions, F.pmod("page_id", F.lit(6)).cast("int")))
+
+
 def section_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One page per supplier without any listing: only a section of contacts, beside other text."""
     f = supplier_facts(spark, sf_dir)
@@ -134,6 +158,21 @@ def pricing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(parts.select(page.alias("page"), "at", card.alias("card")), "prices.house", "<main>", "</main>")
 
 
+def repeated_pricing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boxes of parts, each twice, the second time in capitals and inside a longer price box; two parts of three say a currency in letters."""
+    parts = table(spark, sf_dir, "part")
+    way = F.pmod("p_partkey", F.lit(3))
+    sign = F.when(way == 0, "$").when(way == 1, "EUR ").otherwise("NGN ")
+    told = F.concat(F.col("p_name"), F.lit(" no "), F.col("p_partkey"))
+
+    def box(title: Column, start: str) -> Column:
+        return F.concat(F.lit('<div class="package"><h3>'), title, F.lit(f"</h3><span>{start} "), sign, price_text(), F.lit("</span></div>"))
+
+    twice = F.concat(F.lit('<div class="pricing"><b class="price">'), box(told, "from"), F.lit("</b></div>"), F.lit('<div class="plan">'), box(F.upper(told), "FROM"), F.lit("</div>"))
+    page = F.floor(F.col("p_partkey") / 15).cast("long")
+    return _pages(parts.select(page.alias("page"), F.col("p_partkey").alias("at"), twice.alias("card")), "repeated.house", "<main>", "</main>")
+
+
 def price_text() -> Column:
     """The retail price with two decimals."""
     return F.col("p_retailprice").cast("decimal(18,2)").cast("string")

@@ -37,13 +37,14 @@ def extract(
 ) -> Extraction:
     """Companies and quotes of every page of ``(page_id, url, html)``. Each page is parsed once, and the node table written once.
 
-    A column ``fetch_error`` says why a page could not be had; such pages, and those that can't be parsed, are errors of their seed. The caps
+    A column ``region`` says by whose rule a page's phones are read, where it is not null. A column ``fetch_error`` says why a page could not be had; such pages, and those that can't be parsed, are errors of their seed. The caps
     are those of a page's blocks, sections and price containers; None lifts them.
     """
     pages = with_seed(pages)
     failed = F.col("fetch_error") if "fetch_error" in pages.columns else F.lit(None).cast("string")
     pages = pages.withColumn("failed", failed)
-    parsed = materialize(parse_pages(pages, "page_id", "seed_url", "failed"), "parsed")
+    own = [c for c in ("region",) if c in pages.columns]
+    parsed = materialize(B.with_index(parse_pages(pages, "page_id", "seed_url", "failed", *own)), "parsed")
     found = materialize(B.detect_blocks(parsed, "page_id", "seed_url", region=region, noise=noise, cap=cap, section_cap=section_cap), "blocks")
     records = B.entities(found, "page_id", "seed_url").unionByName(B.structured_entities(parsed, "page_id", "seed_url", region=region))
     companies = resolve(records, "page_id").withColumnRenamed("scope", "page_id")
