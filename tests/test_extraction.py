@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from harvestry.operators import blocks as B
 from harvestry.operators import links as L
+from harvestry.operators import quotes as Q
 from harvestry.operators import requests as R
-from harvestry.operators.resolve import ARRAYS, RECORD, name_links, resolve
+from harvestry.operators.resolve import ARRAYS, RECORD, name_links, resolve, similar_names
 from harvestry.plans import directory
 from harvestry.sources.html import _parsed, parse_pages
 from harvestry.streaming import incremental
@@ -183,3 +184,101 @@ def test_seed_rollup(spark):
     row = done.first()
     assert (row.n_companies, row.n_quotes, row.status, len(row.companies)) == (2, 0, "success", 2)
     assert sorted(row.emails) == ["flour@north-mill.org", "flour@south-mill.org"] and len(row.crawled_urls) == 2
+
+
+def trees(dice, n):
+    """Random nested nodes ``(start, end, text)`` in document order."""
+    out = []
+
+    def grow(depth):
+        k = len(out)
+        out.append(None)
+        words = ["w" * dice.randrange(8, 30)] * dice.choice([0, 0, 1, 2])
+        while depth < 9 and len(out) < n and dice.random() < 0.75:
+            words.append(grow(depth + 1))
+        text = " ".join(w for w in words if w) or "x" * 21
+        out[k] = (k, len(out), text)
+        return text
+
+    while len(out) < n:
+        grow(0)
+    return [x for x in out if len(x[2]) >= 20 and dice.random() < 0.8]
+
+
+def test_nesting_is_decided_by_one_pass(spark):
+    """The innermost and the outermost of nested nodes against all pairs, and of a page of many thousand."""
+    dice = random.Random(4)
+    pages = {p: trees(dice, dice.choice([3, 20, 120])) for p in range(40)}
+    kept = {(p, s) for p, own in pages.items() for s, e, t in own if not any(
+        (s < a and b <= e and len(u) < len(t)) or (a < s and e <= b and len(u) == len(t)) for a, b, u in own)}
+    top = {(p, s) for p, own in pages.items() for s, e, _ in own if not any(a < s and e <= b for a, b, _ in own)}
+    df = spark.createDataFrame([(p, (s, e), t, s, e) for p, own in pages.items() for s, e, t in own], "page_id long, b struct<node_id: int, end_id: int>, text string, s int, e int")
+    assert {(r.page_id, r.b.node_id) for r in B.innermost(df, "page_id").collect()} == kept and len(kept) > 100
+    assert {(r.page_id, r.s) for r in Q.outermost(df, "page_id").collect()} == top and len(top) < len(kept)
+    deep = spark.range(20_000).select(F.lit(1).alias("page_id"), F.struct(F.col("id").cast("int").alias("node_id"), (40_000 - F.col("id")).cast("int").alias("end_id")).alias("b"))
+    deep = deep.withColumn("text", F.repeat(F.lit("x"), (20 + F.floor((20_000 - F.col("b.node_id")) / 1000)).cast("int")))
+    assert [r.b.node_id for r in B.innermost(deep, "page_id").collect()] == [19_001]
+
+
+def test_owners_of_many_quotes(spark):
+    """Quotes and companies of one page, each pair compared by the rules one by one."""
+    dice = random.Random(6)
+    words = "Ash Birch Cedar Dale Elm Fir Grove Hill Ivy Juniper Knoll Larch Mill North Oak Pine".split()
+    companies = [(1, " ".join(dice.choices(words, k=dice.choice([1, 2, 3]))), k) for k in range(60)] + [(2, "Only One", 0), (3, None, 0), (3, "", 1)]
+    found = [(1, None, k, None if k % 7 else "Own Name", " ".join(dice.choices(words, k=2)), " ".join(dice.choices([*words, "pack"], k=dice.choice([0, 1, 6])))) for k in range(150)]
+    found += [(2, None, 0, "", "a", "b"), (3, None, 0, None, "c", "d"), (4, None, 0, None, "e", None)]
+    got = Q.attach_companies(
+        spark.createDataFrame(found, "page_id long, root int, pos int, company string, title string, description string"),
+        spark.createDataFrame(companies, "page_id long, company_name string, place int"), "page_id").collect()
+    assert len(got) == len(found)
+    for r in got:
+        _, _, _, company, title, text = next(x for x in found if (x[0], x[2]) == (r.page_id, r.pos))
+        own, said = [n or "" for p, n, _ in companies if p == r.page_id], f"{title} {text or ''}".lower() if text is not None else title.lower()
+        best, top = "", 0.0
+        for n in own:
+            score = (similarity(n, said) if n else 0.0) + (0.5 if n.lower() in said else 0.0)
+            if score > top:
+                best, top = n, score
+        want = company or (own[0] if len(own) == 1 else best if top >= 0.35 else "")
+        assert r.company == want, (r, want, top)
+
+
+def test_names_that_begin_alike_meet_in_few_places(spark):
+    """Numbered names: all close pairs are found, and rows before any comparison grow with the names."""
+    made = {}
+    for n in (150, 600):
+        names = [f"Customer#{k * 37 % 100_003:09d}" for k in range(n)]
+        rows = spark.createDataFrame([(1, k, x) for k, x in enumerate(names)], "scope int, eid long, company_name string")
+        got = {(r.a, r.b) for r in similar_names(rows).collect()}
+        if n == 150:
+            assert got == {(a, b) for a in range(n) for b in range(a + 1, n) if max(similarity(names[a], names[b]), similarity(names[b], names[a])) >= 0.94} and got
+        made[n] = len(got)
+    assert made[600] > made[150]
+
+
+def test_frontier_is_appended(spark, tmp_path):
+    """Random links with hubs, against a plain walk; each level is written once."""
+    dice = random.Random(9)
+    links = [(f"p{a}", f"p{b}", r) for a in range(60) for r, b in enumerate(dice.sample(range(60), dice.choice([0, 1, 3, 40])))]
+    start = [(f"s{k}", f"p{dice.randrange(60)}", j) for k in range(8) for j in range(2)]
+    for pages in (5, 25, 150):
+        want = set()
+        for seed in {s for s, _, _ in start}:
+            order, ranks = [], {}
+            for _, u, r in sorted((x for x in start if x[0] == seed), key=lambda x: (x[2], x[1])):
+                if u not in ranks and len(order) < pages:
+                    order.append(u)
+                    ranks[u] = (0, None)
+            last = list(order)
+            for depth in (1, 2, 3):
+                fresh = []
+                for u in last:
+                    for _, v, _ in sorted((x for x in links if x[0] == u), key=lambda x: (x[2], x[1])):
+                        if v not in ranks and len(order) < pages:
+                            ranks[v] = (depth, u)
+                            order.append(v)
+                            fresh.append(v)
+                last = fresh
+            want |= {(seed, u, *ranks[u], k + 1) for k, u in enumerate(order)}
+        got = L.frontier(spark.createDataFrame(start, "seed_url string, url string, rank int"), spark.createDataFrame(links, "page_url string, url string, rank int"), pages=pages)
+        assert {tuple(r) for r in got.collect()} == want
