@@ -472,8 +472,14 @@ def _seed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.unionByName(late).unionByName(lost)
 
 
+def _extracted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Pages with their status, and companies, quotes and results by seed."""
+    found = directory.extract(_seed_pages(spark, sf_dir), cap=None)
+    return found.pages, *directory.seeds(found)
+
+
 def _seeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return directory.seeds(directory.extract(_seed_pages(spark, sf_dir), cap=None))
+    return _extracted(spark, sf_dir)[1:]
 
 
 _SEEDS = _FACTS + """, s AS (SELECT *, 'seed' || (page // 2) AS seed_url FROM f),
@@ -495,16 +501,33 @@ def seed_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_RESULTS + """ SELECT r.seed_url, r.status, s.name AS company_name, s.email, CASE WHEN r.status = 'success' THEN NULL WHEN r.status = 'error' THEN 'refused' ELSE 'timeout' END AS first_error
     FROM r LEFT JOIN s ON s.seed_url = r.seed_url""")
 def exported_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nested export, written as JSON lines by seed and read back."""
-    companies, quotes, done = _seeds(spark, sf_dir)
-    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
-    rollup.write_exports(done, rollup.csv_rows(companies, quotes), path)
+    """The nested export in parts of thirty companies, written as JSON lines by a hash of the seed, and read back whole."""
+    path, _ = _exported(spark, sf_dir)
     back = spark.read.schema(
-        "seed_url string, status string, companies array<struct<company_name: string, email: string>>, errors array<struct<error: string>>"
+        "seed_url string, part int, n_parts int, status string, companies array<struct<company_name: string, email: string>>, errors array<struct<error: string>>"
     ).json(f"{path}/json")
-    return back.select(
-        "seed_url", "status", F.explode_outer("companies").alias("c"), F.get("errors", F.lit(0))["error"].alias("first_error")
-    ).select("seed_url", "status", "c.company_name", "c.email", "first_error")
+    heads = back.filter("part = 0").select("seed_url", "status", F.get("errors", F.lit(0))["error"].alias("first_error"))
+    found = back.filter("part < n_parts").select("seed_url", F.explode("companies").alias("c")).select("seed_url", "c.company_name", "c.email")
+    return heads.join(found, "seed_url", "left").select("seed_url", "status", "company_name", "email", "first_error")
+
+
+def _exported(spark: SparkSession, sf_dir: str) -> tuple[str, DataFrame]:
+    pages, companies, quotes, _ = _extracted(spark, sf_dir)
+    path = f"{shared_dir(spark)}/export-{uuid.uuid4().hex}"
+    return path, rollup.write_exports(rollup.seed_parts(pages, companies, quotes, 30), rollup.csv_rows(companies, quotes).drop("kind", "place"), path, 8)
+
+
+@query(_SEEDS + """
+    , w AS (SELECT seed_url, 'https://priced.house/list/' || page AS source_url, name AS company_name, email, address, NULL AS quote_price, 1 AS n_parts FROM s
+            UNION ALL SELECT seed_url, 'https://priced.house/list/' || page, name, NULL, NULL, '$' || (key + 100), 1 FROM s),
+    n AS (SELECT seed_url, (count(*) + 29) // 30 AS n_parts FROM s GROUP BY seed_url)
+    SELECT w.seed_url, source_url, company_name, email, address, quote_price, n.n_parts::INT AS n_parts FROM w JOIN n ON n.seed_url = w.seed_url""")
+def exported_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flat export, written as CSV files by a hash of the seed, and read back whole by the manifest."""
+    path, manifest = _exported(spark, sf_dir)
+    back = spark.read.option("header", True).option("escape", '"').csv(f"{path}/csv").withColumn("bucket", F.col("bucket").cast("int"))
+    known = manifest.select("seed_url", "bucket", "n_parts")
+    return back.join(known, ["seed_url", "bucket"]).select("seed_url", "source_url", "company_name", "email", "address", "quote_price", "n_parts")
 
 
 @query(_SEEDS + """

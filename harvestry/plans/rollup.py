@@ -7,11 +7,15 @@ from pyspark.sql import functions as F
 
 from harvestry.functions import urls as U
 from harvestry.operators.quotes import quotes_for_company
+from harvestry.plans.skew import ranked_within
+from harvestry.sources.shared import materialize
 
 CSV_COLUMNS = (
     "source_url", "company_name", "business_name", "listing_name", "email", "phone", "address", "website", "socials", "confidence", "quote_title",
     "quote_price", "quote_currency", "quote_confidence"
 )
+#: Items of an array of a part of the nested export, and folders that its files are dealt to.
+PART, FILES = 1000, 64
 ROW_COLUMNS = ("source_url", "company_name", "business_name", "listing_name", "email", "phone", "address", "website", "socials", "confidence", "status")
 TABLE_COLUMNS = ("Source URL", "Listing / Business Name", "Email", "Phone", "Address", "Website", "Socials", "Quotes", "Confidence", "Status")
 
@@ -158,7 +162,56 @@ def analyst_table(companies: DataFrame, quotes: DataFrame, seeds: DataFrame) ->
     return rows.select("seed_url", "row_id", *[c.alias(n) for c, n in zip(cells, TABLE_COLUMNS)])
 
 
-def write_exports(seeds: DataFrame, rows: DataFrame, path: str) -> None:
-    """JSON lines and CSV files by seed under ``path``. Keys of seeds may clash, so the seed itself stays in every row."""
-    seeds.withColumn("key", U.output_key(F.col("seed_url"))).write.partitionBy("key").mode("overwrite").json(f"{path}/json")
-    rows.withColumn("key", U.output_key(F.col("seed_url"))).write.partitionBy("key").mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/csv")
+def _in_parts(df: DataFrame, order: list[Column], item: Column, name: str, size: int) -> DataFrame:
+    """``(seed_url, part, <name>)``: a seed's items in order, ``size`` of them in an array."""
+    ranked = ranked_within(df.select("seed_url", item.alias("item"), *[o.alias(f"o{k}") for k, o in enumerate(order)]), "seed_url", [F.col(f"o{k}").asc_nulls_first() for k in range(len(order))], "n")
+    part = F.floor((F.col("n") - 1) / size).cast("int").alias("part")
+    lists = ranked.groupBy("seed_url", part).agg(F.array_sort(F.collect_list(F.struct("n", "item"))).alias("x"))
+    return lists.select("seed_url", "part", F.transform("x", lambda x: x["item"]).alias(name))
+
+
+def seed_parts(pages: DataFrame, companies: DataFrame, quotes: DataFrame, size: int = PART) -> DataFrame:
+    """The nested export in numbered parts: ``(seed_url, part, n_parts, ...)``, each array with ``size`` items at most.
+
+    All parts have the seed's counts, status and first company's name; together in order they hold what :func:`seed_results` has in one row:
+    ``crawled_urls, errors, companies, quotes, emails, phone_numbers, addresses``. No task gathers a whole seed.
+    """
+    skipped = ("seed_url", "place", "eid", "scope")
+    nested = {n: F.struct("place", *[F.col(c) for c in df.columns if c not in skipped]) for n, df in (("companies", companies), ("quotes", quotes))}
+    failed = pages.filter("status = 'error'")
+    lists = [
+        _in_parts(pages.filter("source_url is not null"), [F.col("place"), F.col("source_url")], F.col("source_url"), "crawled_urls", size),
+        _in_parts(failed, [F.col("place"), F.col("source_url"), F.col("error")], F.struct("source_url", "error"), "errors", size),
+        _in_parts(companies, [F.col("place")], nested["companies"], "companies", size),
+        _in_parts(quotes, [F.col("place")], nested["quotes"], "quotes", size)
+    ]
+    for c in ("emails", "phone_numbers", "addresses"):
+        flat = companies.select("seed_url", "place", F.posexplode(c).alias("i", "v")).filter(F.trim("v") != "")
+        first = flat.groupBy("seed_url", F.lower(F.trim("v")).alias("k")).agg(F.min(F.struct("place", "i", "v")).alias("f"))
+        lists.append(_in_parts(first, [F.col("f.place"), F.col("f.i")], F.col("f.v"), c, size))
+    head = seed_status(pages, companies, quotes).join(companies.groupBy("seed_url").agg(F.min_by("company_name", "place").alias("company_name")), "seed_url", "left")
+    done = head.select("seed_url", F.lit(0).alias("part"))
+    for t in lists:
+        done = done.join(t, ["seed_url", "part"], "full")
+    done = done.withColumns({c: F.coalesce(c, F.array().cast(kind)) for c, kind in done.dtypes if kind.startswith("array")})
+    done = materialize(done, "parts")
+    count = done.groupBy("seed_url").agg((F.max("part") + 1).alias("n_parts"))
+    return done.join(head.join(count, "seed_url"), "seed_url").withColumn("source_url", F.col("seed_url"))
+
+
+def write_exports(parts: DataFrame, rows: DataFrame, path: str, files: int = FILES) -> DataFrame:
+    """JSON lines of :func:`seed_parts` and CSV ``rows`` under ``path``, dealt to ``files`` folders by a hash of their key, and the manifest of both.
+
+    The manifest, also written, is ``(key, seed_url, bucket, n_parts)``: where a seed's lines are and how many. Keys of seeds may clash, so the
+    seed itself stays in every line. However many seeds there are, and however large one is, files are about as large as each other: lines of a seed may be in
+    several files of its folder.
+    """
+    key = U.output_key(F.col("seed_url"))
+    bucket = F.pmod(F.xxhash64(key), F.lit(files)).cast("int")
+    for df, kind in ((parts, "json"), (rows, "csv")):
+        spread = df.withColumns({"key": key, "bucket": bucket}).repartition("bucket", F.pmod(F.xxhash64(*df.columns[:2]), F.lit(8)))
+        writer = spread.write.partitionBy("bucket").mode("overwrite")
+        writer.json(f"{path}/json") if kind == "json" else writer.option("header", True).option("escape", '"').csv(f"{path}/csv")
+    manifest = parts.filter("part = 0").select(key.alias("key"), "seed_url", bucket.alias("bucket"), "n_parts")
+    manifest.write.mode("overwrite").parquet(f"{path}/manifest")
+    return parts.sparkSession.read.schema(manifest.schema).parquet(f"{path}/manifest")

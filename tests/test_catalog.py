@@ -19,6 +19,15 @@ def rows_of(sql, sf):
     return [d[0] for d in want.description], want.fetchall()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def extracted_once():
+    """The queries by seed read the same extraction, whose tables are written once."""
+    plain, known = catalog._extracted, {}
+    catalog._extracted = lambda spark, sf_dir: known[sf_dir] if sf_dir in known else known.setdefault(sf_dir, plain(spark, sf_dir))
+    yield
+    catalog._extracted = plain
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_query(spark, sf, name):
     df = catalog.QUERIES[name](spark, sf)

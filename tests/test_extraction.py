@@ -10,7 +10,7 @@ from harvestry.operators import links as L
 from harvestry.operators import quotes as Q
 from harvestry.operators import requests as R
 from harvestry.operators.resolve import ARRAYS, RECORD, name_links, resolve, similar_names
-from harvestry.plans import directory
+from harvestry.plans import directory, rollup
 from harvestry.sources.html import _parsed, parse_pages
 from harvestry.streaming import incremental
 
@@ -282,3 +282,30 @@ def test_frontier_is_appended(spark, tmp_path):
             want |= {(seed, u, *ranks[u], k + 1) for k, u in enumerate(order)}
         got = L.frontier(spark.createDataFrame(start, "seed_url string, url string, rank int"), spark.createDataFrame(links, "page_url string, url string, rank int"), pages=pages)
         assert {tuple(r) for r in got.collect()} == want
+
+
+def test_exports_in_bounded_parts(spark, tmp_path):
+    """A seed of many companies, one with errors only, and two whose keys clash: all parts together are the nested row."""
+    n = 230
+    pages = [("big", f"https://big.org/{k:03d}", "success" if k % 50 else "error", None if k % 50 else "timeout", k) for k in range(n)]
+    pages += [("lost", "https://lost.org", "error", "refused", 1), ("a/b", "https://a", "success", None, 1), ("a-b", "https://b", "success", None, 1)]
+    companies = [("big", k + 1, f"Shop {k}", [f"s{k % 70}@x.co", f"S{k}@y.co"], [], [""]) for k in range(n)] + [("a/b", 1, "One", [], ["+1"], []), ("a-b", 1, "Two", [], ["+2"], [])]
+    quotes = [("big", k + 1, f"title {k}") for k in range(75)]
+    pages = spark.createDataFrame(pages, "seed_url string, source_url string, status string, error string, place long")
+    companies = spark.createDataFrame(companies, "seed_url string, place int, company_name string, emails array<string>, phone_numbers array<string>, addresses array<string>")
+    quotes = spark.createDataFrame(quotes, "seed_url string, place int, title string")
+    parts = rollup.seed_parts(pages, companies, quotes, 20)
+    whole = {r.seed_url: r.asDict(True) for r in rollup.seed_results(pages, companies, quotes).collect()}
+    made = {}
+    for r in parts.orderBy("seed_url", "part").collect():
+        made.setdefault(r.seed_url, []).append(r.asDict(True))
+    assert made.keys() == whole.keys()
+    for seed, own in made.items():
+        assert [r["part"] for r in own] == list(range(own[0]["n_parts"])) and all(r["status"] == whole[seed]["status"] and r["n_companies"] == whole[seed]["n_companies"] for r in own)
+        for c in ("crawled_urls", "errors", "companies", "quotes", "emails", "phone_numbers", "addresses"):
+            assert all(len(r[c]) <= 20 for r in own) and [x for r in own for x in r[c]] == whole[seed][c], (seed, c)
+    manifest = rollup.write_exports(parts, companies.select("seed_url", "company_name"), str(tmp_path), 4)
+    assert {(r.seed_url, r.key) for r in manifest.collect()} == {("big", "big"), ("lost", "lost"), ("a/b", "a_b"), ("a-b", "a_b")}
+    back = spark.read.schema("seed_url string, part int, companies array<struct<company_name: string>>, bucket int").json(f"{tmp_path}/json")
+    assert back.join(manifest, ["seed_url", "bucket"]).filter("part < n_parts").select(F.explode("companies.company_name")).count() == n + 2
+    assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == n + 2
