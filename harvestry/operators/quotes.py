@@ -10,6 +10,7 @@ from harvestry.functions import scoring as S
 from harvestry.functions import text as T
 from harvestry.functions.helpers import name_ratio
 from harvestry.operators.contacts import attr_is, class_has, firsts, is_class, node_text, tag_is
+from harvestry.plans.skew import ranked_within
 
 MAX_CONTAINERS, SHARE, ATTACH = 80, 0.75, 0.35
 
@@ -101,7 +102,7 @@ def distinct_in_seed(found: DataFrame, seed: str) -> DataFrame:
     same = [F.lower(F.coalesce(c, F.lit(""))) for c in ("company", "title", "price", "source_url")]
     order = [F.desc("confidence"), F.col("source_url"), F.col("source_rank"), F.col("pos")]
     best = found.withColumn("n", F.row_number().over(Window.partitionBy(seed, *same).orderBy(*order))).filter("n = 1").drop("n")
-    return best.withColumn("place", F.row_number().over(Window.partitionBy(seed).orderBy(*order)))
+    return ranked_within(best, seed, [*order, *[F.col(c).asc_nulls_first() for c in ("company", "title", "price")]], "place")
 
 
 def all_quotes(in_blocks: DataFrame, in_pages: DataFrame, from_model: DataFrame | None = None) -> DataFrame:

@@ -48,3 +48,18 @@ def connected_components(edges: DataFrame, src: str, dst: str, max_rounds: int =
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     own = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(own)
+
+
+def joined_components(components: DataFrame, links: DataFrame, src: str, dst: str) -> DataFrame:
+    """``components``, ``(node, component)`` of :func:`connected_components`, after more links: only components that these join are worked on again."""
+    named = components.withColumnsRenamed({"node": "_node", "component": "_own"})
+    ends = links.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v"))
+    for c in ("u", "v"):
+        ends = ends.join(named, F.col(c) == F.col("_node"), "left").withColumn(c, F.coalesce("_own", c)).drop("_node", "_own")
+    edges = materialize(ends.filter("u <> v").distinct(), "edges")
+    if edges.isEmpty():
+        return components
+    tops = materialize(connected_components(edges, "u", "v"), "components")
+    moved = tops.select(F.col("node").alias("_node"), F.col("component").alias("_top"))
+    held = components.join(moved, F.col("component") == F.col("_node"), "left").select("node", F.coalesce("_top", "component").alias("component"))
+    return held.unionByName(tops.join(components.select("node"), "node", "left_anti"))
