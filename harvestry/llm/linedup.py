@@ -48,7 +48,8 @@ def boilerplate(found: DataFrame, min_sites: int = MIN_SITES, lg_k: int = LG_K)
     sketches = [F.hll_sketch_estimate(F.hll_sketch_agg(c, lg_k)).alias(name) for c, name in (("site", "sites"), ("k", "texts"))]
     least = F.least("sites", "texts")
     spread = materialize(found.groupBy("h").agg(*sketches, F.count("*").alias("n")).withColumn("least", least).filter(least >= low), "spread")
-    near = found.select("h", "site", "k").join(spread.filter(F.col("least") <= high).select("h"), "h", "left_semi")
+    # a line on few sites may still be one of very many texts
+    near = join_facts(found.select("h", "site", "k"), spread.filter(F.col("least") <= high).select("h", "n"), "h", found.count(), F.xxhash64("site", "k"))
     exact = near.groupBy("h").agg(F.count_distinct("site").alias("sites"), F.count_distinct("k").alias("texts"), F.count("*").alias("n"))
     return spread.filter(F.col("least") > high).select("h", "n").unionByName(exact.filter(least >= min_sites).select("h", "n"))
 
