@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harvestry.llm import bloom
-from harvestry.llm.simhash import Shingler, across, alike, batches_of, needed, shared_shingles, sketched
+from harvestry.llm.simhash import Shingler, alike, batches_of, needed, settled, shared_shingles, sketched
 from harvestry.plans.components import connected_components
 from harvestry.plans.skew import join_facts
 from harvestry.sources.shared import materialize
@@ -160,10 +160,10 @@ def _hub_pairs(met: DataFrame) -> DataFrame:
 
 
 def _unsettled(met: DataFrame, components: DataFrame, total: int) -> DataFrame:
-    """``(key, c)``: the members of buckets that hold more than one component."""
+    """``(key)``: the members of buckets that hold more than one component."""
     now = materialize(met.join(components, "key", "left").select("band", "key", F.coalesce("c", "key").alias("c")), "coloured")
     mixed = now.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo <> hi")
-    return join_facts(now, mixed.select("band", "n"), "band", total, F.xxhash64("key")).select("key", "c").distinct()
+    return join_facts(now, mixed.select("band", "n"), "band", total, F.xxhash64("key")).select("key").distinct()
 
 
 def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -177,15 +177,11 @@ def _texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return materialize(rows.select(F.col("row_key").alias("key"), "text").mapInArrow(run, "key long, text string"), "texts")
 
 
-def _other_pairs(rows: DataFrame, unsettled: DataFrame, width: int, percent: int) -> DataFrame:
-    """``(x, y)``: the sets ``(key, c, row_key)`` of different components ``c`` that have enough of their first shingles in common to be linked."""
-    members = shared_shingles(materialize(sketched(_texts_of(rows, unsettled), width, percent / 100), "sketched"))
-    members = materialize(members.select("s", F.struct("key", "n", "w", "rem").alias("a")), "members")
-    colours = unsettled.select(F.col("row_key").alias("key"), F.col("c").alias("component"))
-    found = across(members, colours, members.count(), needed, percent / 100)
-    names = unsettled.select(F.col("row_key").alias("r"), "key")
-    both = found.join(names.withColumnsRenamed({"r": "x", "key": "a"}), "x").join(names.withColumnsRenamed({"r": "y", "key": "b"}), "y")
-    return both.select(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).distinct()
+def _members(rows: DataFrame, unsettled: DataFrame, width: int, percent: int) -> DataFrame:
+    """``(s, a)``: the first shingles that the sets ``(key, row_key)`` share with others of them, for :func:`settled`."""
+    met = shared_shingles(materialize(sketched(_texts_of(rows, unsettled), width, percent / 100), "sketched"))
+    named = met.withColumnRenamed("key", "row_key").join(unsettled.select("row_key", "key"), "row_key")
+    return materialize(named.select("s", F.struct("key", "n", "w", "rem").alias("a")), "members")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, percent: int = 85) -> DataFrame:
@@ -210,12 +206,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     total = met.count()
     first = materialize(_hub_pairs(met), "candidates")
     links = _links(first, nodes, rows, width, percent)
-    components = connected_components(links, "x", "y").select(F.col("node").alias("key"), F.col("component").alias("c"))
-    rest = _unsettled(met.select("band", "key"), components, total).join(nodes.select("key", "row_key"), "key")
-    more = _other_pairs(rows, materialize(rest, "unsettled"), width, percent)
-    more = materialize(more.join(first, ["x", "y"], "left_anti"), "candidates")
-    links = links.unionByName(_links(more, nodes, rows, width, percent))
-    components = connected_components(links, "x", "y").select(F.col("node").alias("key"), "component")
+    groups = materialize(connected_components(links, "x", "y"), "components")
+    components = groups.select(F.col("node").alias("key"), F.col("component").alias("c"))
+    rest = materialize(_unsettled(met.select("band", "key"), components, total).join(nodes.select("key", "row_key"), "key"), "unsettled")
+    groups = settled(_members(rows, rest, width, percent), groups, first, needed, percent / 100, lambda more: _links(more, nodes, rows, width, percent))
+    components = groups.select(F.col("node").alias("key"), "component")
     named = nodes.select("key", "set_key", "least", "rows").join(components, "key", "left")
     named = materialize(named.select("set_key", "least", "rows", F.coalesce("component", "key").alias("c")), "named")
     tops = named.groupBy("c").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))

@@ -21,7 +21,7 @@ from pyspark.sql.window import Window
 
 from harvestry.llm import bloom
 from harvestry.llm.bytelevel import FEW, Recent
-from harvestry.plans.components import connected_components
+from harvestry.plans.components import connected_components, joined_components
 from harvestry.plans.skew import HOT_ROWS, join_facts
 from harvestry.sources.shared import materialize, release
 
@@ -30,6 +30,8 @@ SEED = 42
 CHUNK = 1 << 15
 #: Texts, about, that are counted to order shingles by rarity, and frequent shingles that are told apart, at most.
 ORDER_TEXTS, ORDER_SHINGLES = 20_000, 1 << 18
+#: Members up to which a bucket is small.
+SMALL = 32
 #: Shingles that leave a task at a time.
 FLUSH = 1 << 19
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -297,16 +299,17 @@ def with_hubs(members: DataFrame, total: int) -> DataFrame:
     return join_facts(members, hubs, "s", total, F.xxhash64("a.key")).filter("a.key <> b.key").select("a", "b")
 
 
-def across(members: DataFrame, components: DataFrame, total: int, least: Callable, similarity: float) -> DataFrame:
+def across(members: DataFrame, components: DataFrame, total: int, least: Callable, similarity: float, limit: int | None = None) -> DataFrame:
     """``(x, y)``: the members ``(s, a)`` of a bucket that are in different ``(key, component)``, and can be ``similarity`` alike.
 
     Members hold as ``rem`` how many items they have from ``s`` on in the common order. The first item that two sets share is followed by no more
     common ones than that, so that pairs come out of a bucket only if both have the ``least(a, b)`` number of items from there on. Texts
-    of a family whose edits are all their own have none, as their own items come first.
+    of a family whose edits are all their own have none, as their own items come first. With a ``limit``, only buckets of so many members are looked at.
     """
-    keyed = members.withColumn("key", F.col("a.key")).join(components, "key", "left")
-    now = materialize(keyed.select("s", "a", F.coalesce("component", "key").alias("c")), "coloured")
+    keyed = members.withColumn("node", F.col("a.key")).join(components, "node", "left")
+    now = materialize(keyed.select("s", "a", F.coalesce("component", "node").alias("c")), "coloured")
     mixed = now.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("s", "n")
+    mixed = mixed if limit is None else mixed.filter(F.col("n") <= limit)
     now = materialize(join_facts(now, mixed.withColumn("_mixed", F.lit(True)), "s", total, F.xxhash64("a.key")).select("s", "a", "c"), "unsettled")
     others = now.select(F.col("s").alias("t"), F.col("a").alias("b"), F.col("c").alias("d"))
     a, b = F.col("a"), F.col("b")
@@ -315,6 +318,22 @@ def across(members: DataFrame, components: DataFrame, total: int, least: Callabl
     return both.select(a["key"].alias("x"), b["key"].alias("y")).distinct()
 
 
+def settled(members: DataFrame, groups: DataFrame, done: DataFrame, least: Callable, similarity: float, verified: Callable) -> DataFrame:
+    """``groups``, ``(node, component)``, with all links among ``members`` that pairs of ``done`` have not shown; ``verified`` gives the links of pairs.
+
+    Whoever is close to a text shares its rarer items, too: small buckets come first, whose pairs are no more than ``SMALL`` for each row, and then those in the others
+    that are still in different components.
+    """
+    total = members.count()
+    for limit in (SMALL, None):
+        more = across(members, groups, total, least, similarity, limit).join(done, ["x", "y"], "left_anti")
+        more = materialize(more, "candidates")
+        if not more.isEmpty():
+            groups = joined_components(groups, verified(more), "x", "y")
+            done = done.select("x", "y").unionByName(more)
+    return groups
+
+
 def _ball_pairs(sketched: DataFrame, radius: int) -> DataFrame:
     """``(x, y)``: texts whose fingerprints collide, each fingerprint's texts as a star on the least, and colliding ones by those."""
     values = sketched.filter("n > 0").groupBy("v").agg(F.min("key").alias("x"), F.max("key").alias("last"), F.count("*").alias("n"))
@@ -341,18 +360,18 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).select(F.xxhash64("text").alias("key"), "text")
     firsts = materialize(sketched(texts, width, similarity), "sketched")
     met = materialize(shared_shingles(firsts), "met")
-    total = met.count()
     members = met.select("s", F.struct((F.col("own").cast("double") / F.col("n")).alias("deal"), "key", "n", "w", "rem").alias("a"))
-    hubs = shared_enough(with_hubs(members, total), similarity)
+    hubs = shared_enough(with_hubs(members, met.count()), similarity)
     ball = _ball_pairs(firsts, radius).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
     pairs = materialize(hubs.unionByName(ball).distinct(), "candidates")
     release(spark)
-    links = materialize(alike(pairs, _sets(texts, pairs, width), similarity), "links")
+
+    def verified(asked: DataFrame) -> DataFrame:
+        return materialize(alike(asked, _sets(texts, asked, width), similarity), "links")
+
+    groups = materialize(connected_components(verified(pairs), "x", "y"), "components")
     release(spark)
-    groups = connected_components(links, "x", "y").select(F.col("node").alias("key"), "component")
-    more = materialize(across(members, groups, total, needed, similarity).join(pairs, ["x", "y"], "left_anti"), "candidates")
-    found = materialize(alike(more, _sets(texts, more, width), similarity), "links")
-    groups = connected_components(links.unionByName(found), "x", "y")
+    groups = settled(members, groups, pairs, needed, similarity, verified)
     release(spark)
     return groups.select(F.col("node").alias("text_key"), "component")
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from harvestry.llm.simhash import across, alike, overlap, shared_enough, with_hubs
+from harvestry.llm.simhash import alike, overlap, settled, shared_enough, with_hubs
 from harvestry.plans.components import connected_components
 from harvestry.plans.skew import join_facts
 from harvestry.sources.shared import materialize
@@ -179,10 +179,9 @@ def similar_classes(docs: DataFrame, similarity: float = 0.8, id_col: str = "doc
     pairs = materialize(shared_enough(with_hubs(inside, rows), similarity), "candidates")
     own_sets = sets.select(F.col("set_id").alias("key"), F.col("s").alias("set"))
     links = materialize(alike(pairs, own_sets, similarity), "links")
-    found = connected_components(links, "x", "y").select(F.col("node").alias("key"), "component")
-    more = materialize(across(inside, found, rows, overlap, similarity).join(pairs, ["x", "y"], "left_anti"), "candidates")
-    links = links.unionByName(alike(more, own_sets, similarity))
-    found = connected_components(links, "x", "y").select(F.col("node").alias("set_id"), "component")
+    found = materialize(connected_components(links, "x", "y"), "components")
+    found = settled(inside, found, pairs, overlap, similarity, lambda more: materialize(alike(more, own_sets, similarity), "links"))
+    found = found.withColumnRenamed("node", "set_id")
     reps = members.groupBy("set_id").agg(F.min("id").alias("least"), F.count("*").alias("n")).join(found, "set_id", "left")
     reps = materialize(reps.withColumn("component", F.coalesce("component", "set_id")), "representatives")
     tops = reps.groupBy("component").agg(F.min("least").alias("class_id"), F.count("*").alias("size"))
