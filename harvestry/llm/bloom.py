@@ -26,7 +26,7 @@ def build(keys: DataFrame, key: str) -> np.ndarray:
     at = keys.select(F.explode(F.array(*_positions(F.col(key), bits))).alias("at"))
     maps = at.groupBy(F.floor(F.col("at") / BITMAP).alias("part")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(BITMAP))).alias("bits"))
     whole = np.zeros(bits // 8, np.uint8)
-    for r in maps.toLocalIterator():
+    for r in maps.collect():  # as large as the filter
         whole[r.part * BITMAP // 8 : (r.part + 1) * BITMAP // 8] = np.frombuffer(r.bits, np.uint8)
     return whole
 
