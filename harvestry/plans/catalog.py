@@ -675,7 +675,25 @@ def streamed_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
         lambda records: records.groupBy("seed_url").agg(F.count("*").alias("n_pages"), F.min("url").alias("first_url")),
     )
     run.awaitTermination()
-    return spark.read.parquet(f"{path}/out/seeds").select("seed_url", "n_pages", "first_url")
+    return incremental.latest(spark, f"{path}/out").select("seed_url", "n_pages", "first_url")
+
+
+@query(_SEEDS + """ SELECT seed_url, name AS company_name, email, address FROM s""")
+def streamed_companies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of companies that arrive in two batches, extracted, and merged for the seeds that they touch (K1, K2)."""
+    path = f"{shared_dir(spark)}/companies-{uuid.uuid4().hex}"
+    pages = _seed_pages(spark, sf_dir).filter("html is not null").select("page_id", "url", "html", "seed_url")
+    pages.repartition(2, "page_id").write.parquet(f"{path}/in")
+    stream = incremental.page_stream(spark, f"{path}/in", pages.schema, 1)
+
+    def merged(records: DataFrame) -> DataFrame:
+        return resolve(records, "seed_url").withColumnRenamed("scope", "seed_url")
+
+    def found(batch: DataFrame) -> DataFrame:
+        return directory.extract(batch, cap=None).companies.withColumnRenamed("place", "pos")
+
+    incremental.snapshots(incremental.new_pages(stream), f"{path}/out", f"{path}/state", found, merged).awaitTermination()
+    return incremental.latest(spark, f"{path}/out").select("seed_url", "company_name", "email", "address")
 
 
 @query("""

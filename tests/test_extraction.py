@@ -309,3 +309,21 @@ def test_exports_in_bounded_parts(spark, tmp_path):
     back = spark.read.schema("seed_url string, part int, companies array<struct<company_name: string>>, bucket int").json(f"{tmp_path}/json")
     assert back.join(manifest, ["seed_url", "bucket"]).filter("part < n_parts").select(F.explode("companies.company_name")).count() == n + 2
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").count() == n + 2
+
+
+def test_view_reads_what_a_batch_touches(spark, tmp_path):
+    """Ten batches of as many seeds each: the view is that of all pages, and no batch reads more than the first ones, as buckets are split."""
+    all_, read = {}, []
+    for n in range(10):
+        rows = [(f"seed{(n * 5 + k * 13) % 60}", f"u{n}-{k}") for k in range(8)]
+        for s, _ in rows:
+            all_[s] = all_.get(s, 0) + 1
+        spark.createDataFrame(rows, "seed_url string, url string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = incremental.page_stream(spark, f"{tmp_path}/in", "seed_url string, url string")
+        incremental.snapshots(
+            stream, f"{tmp_path}/out", f"{tmp_path}/state", lambda b: b, lambda r: r.groupBy("seed_url").agg(F.count("*").alias("n")), bucket_records=2
+        ).awaitTermination()
+        read.append(incremental.last_step(spark, f"{tmp_path}/out"))
+    assert {r.seed_url: r.n for r in incremental.latest(spark, f"{tmp_path}/out").collect()} == all_
+    assert read[-1].records == 80 and read[-1].bits == 6 and [r.batch for r in read] == list(range(10))
+    assert max(r.read for r in read) < 40 and all(r.touched <= 8 for r in read)  # of 80 records
