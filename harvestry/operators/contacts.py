@@ -56,11 +56,6 @@ def both(*tests: str) -> str:
     return " and ".join(f"({t})" for t in tests)
 
 
-def some(array: str, test: str) -> Column:
-    """The nodes ``n`` of an array that pass a test."""
-    return F.expr(f"filter({array}, n -> {test})")
-
-
 def firsts(array: str, places: tuple[str, ...]) -> Column:
     """The first node at each of the places, null where there is none."""
     return F.expr(f"array({', '.join(f'get(filter({array}, n -> {p}), 0)' for p in places)})")
@@ -153,11 +148,6 @@ def with_index(parsed: DataFrame) -> DataFrame:
     return rows.withColumn("labelled", F.transform(inner, labelled)).drop("spots")
 
 
-def inside(array: str, block: str = "w.b") -> str:
-    """The entries of an index array within a block, in SQL text."""
-    return f"filter({array}, h -> h.id > {block}.node_id and h.id < {block}.end_id)"
-
-
 def _at(low: int, high: int | None = None) -> Column:
     """The entries of a block at the places from ``low`` to ``high``, by place and then in document order."""
     return F.array_sort(F.expr(f"filter(hits, h -> h.at between {low} and {high or low})"))
