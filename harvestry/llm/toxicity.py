@@ -58,7 +58,7 @@ class Settings:
 
     sample: int = 20_000
     features: int = 4_000
-    support: int = 5
+    support: int = 8
     gain: float = 6.0
     counterfactual: float = 1.0
     sparsity: float = 1e-4
