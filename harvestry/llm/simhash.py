@@ -32,6 +32,8 @@ CHUNK = 1 << 15
 ORDER_TEXTS, ORDER_SHINGLES = 20_000, 1 << 18
 #: Members up to which a bucket is small.
 SMALL = 32
+#: Buckets of a set, the first ones, by which it is told where it meets another set first.
+FIRST = 16
 #: Shingles that leave a task at a time.
 FLUSH = 1 << 19
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -299,34 +301,53 @@ def with_hubs(members: DataFrame, total: int) -> DataFrame:
     return join_facts(members, hubs, "s", total, F.xxhash64("a.key")).filter("a.key <> b.key").select("a", "b")
 
 
-def across(members: DataFrame, components: DataFrame, total: int, least: Callable, similarity: float, limit: int | None = None) -> DataFrame:
+def first_buckets(members: DataFrame, total: int) -> DataFrame:
+    """``(s, a, size)``: the ``members`` ``(s, a)`` of those buckets that can bring two sets together for the first time.
+
+    Of buckets that hold the same members only the first in the common order stays, as each member has more items from there on than from any
+    other of them. ``a`` has in ``top`` the first ``FIRST`` buckets that its set still has, in order.
+    """
+    key = F.col("a.key")
+    marks = F.bit_xor(F.xxhash64(key)).alias("p"), F.bit_xor(F.xxhash64(key, F.lit(1))).alias("q")
+    buckets = members.groupBy("s").agg(F.count("*").alias("n"), F.sum("a.rem").alias("rem"), *marks).filter("n > 1")
+    firsts = buckets.groupBy("n", "p", "q").agg(F.max(F.struct("rem", "s")).alias("first")).select("first.s", "n", F.col("n").alias("size"))
+    order = Window.partitionBy(key).orderBy(F.desc("a.rem"), F.desc("s")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    top = F.slice(F.collect_list("s").over(order), 1, FIRST)
+    held = join_facts(members, firsts, "s", total, F.xxhash64(key)).withColumn("top", top)
+    return held.select("s", F.struct("a.key", "a.n", "a.w", "a.rem", "top").alias("a"), "size")
+
+
+def across(members: DataFrame, components: DataFrame, total: int, least: Callable, similarity: float) -> DataFrame:
     """``(x, y)``: the members ``(s, a)`` of a bucket that are in different ``(key, component)``, and can be ``similarity`` alike.
 
     Members hold as ``rem`` how many items they have from ``s`` on in the common order. The first item that two sets share is followed by no more
     common ones than that, so that pairs come out of a bucket only if both have the ``least(a, b)`` number of items from there on. Texts
-    of a family whose edits are all their own have none, as their own items come first. With a ``limit``, only buckets of so many members are looked at.
+    of a family whose edits are all their own have none, as their own items come first. Two sets leave only the first bucket that they share, as far as both ``top`` tell it.
     """
     keyed = members.withColumn("node", F.col("a.key")).join(components, "node", "left")
     now = materialize(keyed.select("s", "a", F.coalesce("component", "node").alias("c")), "coloured")
     mixed = now.groupBy("s").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("n")).filter("lo <> hi").select("s", "n")
-    mixed = mixed if limit is None else mixed.filter(F.col("n") <= limit)
     now = materialize(join_facts(now, mixed.withColumn("_mixed", F.lit(True)), "s", total, F.xxhash64("a.key")).select("s", "a", "c"), "unsettled")
     others = now.select(F.col("s").alias("t"), F.col("a").alias("b"), F.col("c").alias("d"))
     a, b = F.col("a"), F.col("b")
     can = (a["key"] < b["key"]) & (F.col("c") != F.col("d")) & (F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]) - 1e-9)
-    both = now.join(others, (F.col("s") == F.col("t")) & can & (F.least(a["rem"], b["rem"]) >= least(a, b, similarity)))
+    can = can & (F.least(a["rem"], b["rem"]) >= least(a, b, similarity))
+    # a bucket that both have among their first ones has all that they share before it there, too
+    first = F.coalesce(F.get(F.array_intersect(a["top"], b["top"]), F.lit(0)), F.col("s")) == F.col("s")
+    both = now.join(others, (F.col("s") == F.col("t")) & can & first)
     return both.select(a["key"].alias("x"), b["key"].alias("y")).distinct()
 
 
 def settled(members: DataFrame, groups: DataFrame, done: DataFrame, least: Callable, similarity: float, verified: Callable) -> DataFrame:
     """``groups``, ``(node, component)``, with all links among ``members`` that pairs of ``done`` have not shown; ``verified`` gives the links of pairs.
 
-    Whoever is close to a text shares its rarer items, too: small buckets come first, whose pairs are no more than ``SMALL`` for each row, and then those in the others
-    that are still in different components.
+    Whoever is close to a text shares its rarer items, too: small buckets come first, whose pairs are no more than ``SMALL`` for each row, and then the others,
+    with what is still in different components. A small bucket has nothing left by then, as all its pairs have been looked at.
     """
-    total = members.count()
-    for limit in (SMALL, None):
-        more = across(members, groups, total, least, similarity, limit).join(done, ["x", "y"], "left_anti")
+    members = materialize(first_buckets(members, members.count()), "buckets")
+    for small in (True, False):
+        part = members.filter((F.col("size") <= SMALL) == F.lit(small))
+        more = across(part, groups, part.count(), least, similarity).join(done, ["x", "y"], "left_anti")
         more = materialize(more, "candidates")
         if not more.isEmpty():
             groups = joined_components(groups, verified(more), "x", "y")

@@ -156,3 +156,23 @@ def test_query(spark, sf):
     prints = {i: brute(t) for i, t in texts.items()}
     assert {r.doc_id: r.fingerprint for r in got} == {i: f"{p:016x}" for i, p in prints.items()}
     assert {r.doc_id: r.component_id for r in got} == classes(sorted(texts), prints)
+
+
+def test_two_sets_leave_one_bucket_of_all_that_they_share(spark, monkeypatch):
+    """Texts 1 and 2 share 40 shingles, the last 21 of them with text 3."""
+    rows = [(s, (key, 100, 0, 41 - s)) for s in range(1, 41) for key in ((1, 2) if s < 20 else (1, 2, 3))]
+    members = spark.createDataFrame(rows, "s long, a struct<key: long, n: int, w: long, rem: int>")
+    asked = []
+
+    def verified(pairs):
+        asked.extend((r.x, r.y) for r in pairs.collect())
+        return pairs.filter("y = 2")
+
+    monkeypatch.setattr(type(members), "distinct", lambda self: self if self.columns == ["x", "y"] else self.dropDuplicates())
+    none, pairs = spark.createDataFrame([], "node long, component long"), spark.createDataFrame([], "x long, y long")
+    groups = simhash.settled(members, none, pairs, lambda a, b, _: F.lit(1), 0.8, verified)
+    assert sorted(asked) == [(1, 2), (1, 3), (2, 3)]
+    assert {(r.node, r.component) for r in groups.collect()} == {(1, 1), (2, 1)}
+    held = simhash.first_buckets(members, len(rows)).collect()
+    assert sorted((r.s, r.a.key, r.size) for r in held) == [(1, 1, 2), (1, 2, 2), (20, 1, 3), (20, 2, 3), (20, 3, 3)]
+    assert {r.a.key: r.a.top for r in held} == {1: [1, 20], 2: [1, 20], 3: [20]}
