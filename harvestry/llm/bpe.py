@@ -7,7 +7,7 @@ would give. The table is sparse: a state's row holds the arcs that were taken aw
 ``v`` before ``m`` acted on them stand side by side in one order of the labels, a gadget takes away one interval of it.
 Encoding reads a word byte by byte, and finds the one arc that ends at each place: of the labels that end there (a second table
 steps from byte to byte to the longest of them, and on to shorter ones) the one for which the state at its start has an
-arc. Decoding emits the labels of the arcs.
+arc. Words that begin alike are read on from the end of their common beginning. Decoding emits the labels of the arcs.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from harvestry.llm.bytelevel import Recent, Vocabulary, chunks, pretokens, read_source
+from harvestry.llm.bytelevel import FEW, Recent, Vocabulary, chunks, pretokens, read_source
 
 #: Bytes of text that one batch of results covers.
 FLUSH = 4 << 20
+#: Bytes of the beginnings of words whose states are remembered.
+HEAD = 6
 
 
 class Automaton:
@@ -129,6 +131,9 @@ class Automaton:
                 self.shorter[node] = self.ends[self.back[node]]
                 self.ends[node] = node if self.label[node] >= 0 else self.shorter[node]
         self.size = [len(self.labels[t]) if t >= 0 else 0 for t in self.label]
+        self.spot = [self.place[t] if t >= 0 else -1 for t in self.label]
+        self.length = list(map(len, self.labels))
+        self.heads = Recent(lambda head: self._walk(head, 0, [-1]), FEW)
 
     def arc(self, state: int, t: int) -> bool:
         """Whether the automaton has an arc ``t`` from ``state``."""
@@ -143,10 +148,29 @@ class Automaton:
         """
         if (whole := self.whole.get(word)) is not None:
             return [whole]
+        if len(word) > HEAD:
+            node, states = self.heads[word[:HEAD]]
+            _, states = self._walk(word[HEAD:], node, states[:])
+        else:
+            _, states = self._walk(word, 0, [-1])
+        at, length = len(word), self.length
+        ids = []
+        while at:
+            t = states[at]
+            ids.append(t)
+            at -= length[t]
+        ids.reverse()
+        return ids
+
+    def _walk(self, part: bytes, node: int, states: list[int]) -> tuple[int, list[int]]:
+        """The node and the states of all places after ``part``, which goes on from ``node`` and adds to ``states``.
+
+        A place's state follows from what is before it only, so that words that begin alike have the same states there.
+        """
         step, back, ends, shorter = self.step.get, self.back, self.ends, self.shorter
-        label, size, table, start, place = self.label, self.size, self.table, self.start, self.place
-        node, states, at = 0, [-1], 0
-        for b in word:
+        label, size, table, start, spot = self.label, self.size, self.table, self.start, self.spot
+        at = len(states) - 1
+        for b in part:
             at += 1
             while (to := step(node << 8 | b)) is None:
                 node = back[node]
@@ -155,17 +179,11 @@ class Automaton:
             while (begin := at - size[end]) > 0:
                 state = states[begin]
                 low = start[state]
-                if not (bisect_right(table, place[label[end]], low, start[state + 1]) - low) & 1:
+                if not (bisect_right(table, spot[end], low, start[state + 1]) - low) & 1:
                     break
                 end = shorter[end]
             states.append(label[end])
-        ids = []
-        while at:
-            t = states[at]
-            ids.append(t)
-            at -= len(self.labels[t])
-        ids.reverse()
-        return ids
+        return node, states
 
     def decode(self, ids: memoryview | list[int]) -> bytes:
         """The labels of the arcs ``ids``, joined."""
@@ -179,15 +197,19 @@ class Encoder:
         self.vocabulary = Vocabulary(source)
         self.automaton = Automaton(self.vocabulary)
         self.words = Recent(self._inner)
+        self.pieces = Recent(self._piece, FEW)
 
     def _inner(self, chunk: str) -> bytes:
         return self._plain(" " + chunk)
 
+    def _piece(self, pretoken: str) -> bytes:
+        return array("I", self.automaton.encode(pretoken.encode())).tobytes()
+
     def _plain(self, chunk: str) -> bytes:
-        ids = array("I")
-        for word in [chunk] if chunk[1:].isalpha() and chunk[0] == " " else pretokens(chunk):
-            ids.extend(self.automaton.encode(word.encode()))
-        return ids.tobytes()
+        if chunk[:1] == " " and chunk[1:].isalpha():
+            return self._piece(chunk)
+        # a word before a mark is remembered as the chunk that it is elsewhere
+        return b"".join([self.words[w[1:]] if w[0] == " " and w[1:].isalpha() else self.pieces[w] for w in pretokens(chunk)])
 
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as unsigned 32-bit numbers; special strings in it are their own ids."""

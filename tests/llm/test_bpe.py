@@ -67,6 +67,23 @@ def test_every_path_is_what_merging_gives(source):
         assert own.arc(a, b) == (merged(vocabulary.labels[a] + vocabulary.labels[b]) == [a, b])
 
 
+def test_words_that_begin_alike_are_read_on_from_there(source):
+    own, read = bpe.Automaton(Vocabulary(source)), []
+
+    class Steps(dict):
+        def get(self, key):
+            read.append(key & 255)
+            return dict.get(self, key)
+
+    words = [b" qzjkwxv" + end for end in (b"ab", b"tionment", b"", "\xe9\xe8".encode(), b"tio")]
+    want = [own.encode(w) for w in words]
+    own.step = Steps(own.step)
+    assert [own.encode(w) for w in words] == want
+    assert [b"".join(own.labels[t] for t in ids) for ids in want] == words
+    at_most = sum(len(w) - 6 for w in words)
+    assert len(bytes(b for b, before in zip(read, [None, *read]) if b != before)) <= at_most
+
+
 def test_windows_of_a_long_text(library, source):
     text = "some words  and\nlines, " * 100_000
     assert sum(1 for _ in chunks(text)) > 1
