@@ -68,12 +68,59 @@ def equal_names(records: DataFrame) -> DataFrame:
     return join_facts(rows, first, "k", records.count(), F.col("eid")).select("a", F.col("eid").alias("b"))
 
 
+def _apart(sizes: tuple[Column, Column], least: float) -> tuple[Column, Column]:
+    """How many characters without a partner two names of these sizes may have in all, and by how many they differ at least."""
+    return F.floor((1 - least) * (sizes[0] + sizes[1]) + 1e-9).cast("int"), F.abs(sizes[0] - sizes[1])
+
+
+def _one_off(sizes: tuple[Column, Column], least: float) -> Column:
+    """Whether names of these sizes can be alike, and only if no more than one character of either has no partner."""
+    most, differ = _apart(sizes, least)
+    return (differ <= most) & (most + differ < 4)
+
+
+def _far_off(sizes: tuple[Column, Column], least: float) -> Column:
+    """Whether names of these sizes can be alike with two characters or more of the longer without a partner."""
+    most, differ = _apart(sizes, least)
+    return (differ <= most) & (most + differ >= 4)
+
+
+def _without(name: Column, at: Column) -> Column:
+    """What is left of a name without its character at a place from 1; all of it at 0."""
+    return F.concat(F.substring(name, F.lit(1), at - 1), F.substring(name, at + 1, F.length(name)))
+
+
+def _places(name: Column) -> Column:
+    """0 and the places of a name that leave different rests: of equal characters in a row, the first."""
+    return F.filter(F.sequence(F.lit(0), F.length(name)), lambda i: (i < 2) | (F.substring(name, i, F.lit(1)) != F.substring(name, i - 1, F.lit(1))))
+
+
+def _met_shortened(names: DataFrame, least: float) -> DataFrame:
+    """``(a, b, p, q)`` of the names ``(scope, eid, name)`` of a scope that are alike but for one character of either: they meet in what is left.
+
+    Names that meet in the same rest are alike themselves, so that what all of a scope's names begin with makes no pairs. Two names have at most two
+    rests in common, and two only if what differs alternates in both, as in ``xy`` and ``yx``; of these the pair leaves the one in which the earlier lacks the first place.
+    """
+    size = F.length("name")
+    short = names.filter(_one_off((size, size), least) | _one_off((size, size + 1), least))
+    keys = short.select("scope", "eid", "name", F.explode(_places(F.col("name"))).alias("at"))
+    keys = keys.withColumn("g", F.xxhash64("scope", _without(F.col("name"), F.col("at"))))
+    left, right = (keys.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("scope", "eid", "name", "at")]) for s in "ab")
+    p, q, i, j = F.col("name_a"), F.col("name_b"), F.col("at_a"), F.col("at_b")
+    same = (left["g"] == right["g"]) & (F.col("scope_a") == F.col("scope_b")) & (_without(p, i) == _without(q, j))
+    # sizes as the planner guesses them know nothing of the keys of a name, so that it would send all keys to all tasks
+    met = left.hint("merge").join(right, (F.col("eid_a") < F.col("eid_b")) & same & _one_off((F.length(p), F.length(q)), least))
+    rests = F.transform(_places(p), lambda k: _without(p, k)), F.transform(_places(q), lambda k: _without(q, k))
+    once = (i <= j) | (F.substring(p, i, F.lit(1)) != F.substring(q, i - 1, F.lit(1))) | (F.size(F.array_intersect(*rests)) == 1)
+    return met.filter(once).select(F.col("eid_a").alias("a"), F.col("eid_b").alias("b"), p.alias("p"), q.alias("q"))
+
+
 def _met_pieces(rare: DataFrame, least: float) -> DataFrame:
     """``(a, b)`` of the names that meet in their rarest pieces ``(eid, d, size, place, g, df, at)``, of which each has ``GRAM * d + 2`` if it is long enough.
 
     Two long names share two of those. A piece of more than ``COMMON`` names is so no place to meet for them, but any two such pieces are; names of
     fewer pieces, that may share one only, meet in it alone. What is shared stands at most as far apart as there are characters without a partner,
-    and lengths differ by no more than the ratio allows.
+    and lengths differ by no more than the ratio allows. Lengths of which :func:`_met_shortened` has all pairs are left to that.
     """
     short = F.col("size") - GRAM + 1 < GRAM * F.col("d") + 2
     fit = rare.filter(F.col("df") > 1)
@@ -85,21 +132,22 @@ def _met_pieces(rare: DataFrame, least: float) -> DataFrame:
     both = single.unionByName(double)
     left, right = (both.select("g", *[F.col(c).alias(f"{c}_{s}") for c in ("eid", "d", "size", "place")]) for s in "ab")
     near = F.coalesce(F.abs(F.col("place_a") - F.col("place_b")) <= F.greatest("d_a", "d_b"), F.lit(True))
-    sizes = 2 * F.least("size_a", "size_b") >= least * (F.col("size_a") + F.col("size_b")) - 1e-9
-    met = left.join(right, (left["g"] == right["g"]) & (F.col("eid_a") < F.col("eid_b")) & near & sizes)
+    met = left.join(right, (left["g"] == right["g"]) & (F.col("eid_a") < F.col("eid_b")) & near & _far_off((F.col("size_a"), F.col("size_b")), least))
     return met.select(F.col("eid_a").alias("a"), F.col("eid_b").alias("b")).distinct()
 
 
-def similar_names(records: DataFrame, least: float = SAME_NAME) -> DataFrame:
-    """``(a, b)`` of different names of a scope with a ratio of ``least`` or more in either order, as their first records, the earlier first.
+def _far_names(names: DataFrame, least: float) -> DataFrame:
+    """The names ``(scope, eid, name)`` whose scope has one of a length that :func:`_met_shortened` can't bring them together with."""
+    size, scope = F.length("name"), F.xxhash64("scope")
+    lengths = names.groupBy(scope.alias("k")).agg(F.collect_set(size).alias("sizes"), F.count("*").alias("n"))
+    told = join_facts(names.withColumn("k", scope), lengths, "k", names.count(), F.col("eid"))
+    return told.filter(F.exists("sizes", lambda other: _far_off((size, other), least))).select(*names.columns)
 
-    A name has a piece of ``GRAM`` characters at each place. ``d`` characters without a partner spoil ``GRAM * d`` pieces at most, so that of
-    the ``GRAM * d + 1`` rarest pieces of two names they have one in common, and of one more two: names meet in those, are cut down by their edit distance,
-    and what is left is compared.
-    """
-    classes = materialize(named(records).groupBy("scope", "name").agg(F.min("eid").alias("eid")), "names")
+
+def _met_far(names: DataFrame, least: float) -> DataFrame:
+    """``(a, b, p, q)`` of the names ``(scope, eid, name)`` of a scope that meet in their rarest pieces, where lengths allow more than one character of either without a partner."""
     size = F.length("name")
-    long = classes.filter(_slack(size, least) > 0).select("scope", "eid", "name", _slack(size, least).alias("d"))
+    long = materialize(_far_names(names, least).withColumn("d", _slack(size, least)), "far-names")
     places = F.sequence(F.lit(1), F.greatest(F.length("name") - GRAM + 1, F.lit(1)))
     flat = long.select("scope", "eid", "d", size.alias("size"), F.posexplode(F.transform(places, lambda i: F.substring("name", i, F.lit(GRAM)))).alias("place", "piece"))
     # the second occurrence of a piece is another piece; only of a piece that a name has once the place is told
@@ -114,9 +162,30 @@ def similar_names(records: DataFrame, least: float = SAME_NAME) -> DataFrame:
     names = long.select("eid", "scope", "name")
     both = met.join(names.withColumnsRenamed({"eid": "a", "scope": "s", "name": "p"}), "a").join(names.withColumnsRenamed({"eid": "b", "scope": "t", "name": "q"}), "b")
     apart = f"cast(floor({1 - least} * (length(p) + length(q)) + 1e-9) as int)"
-    both = both.filter("s = t").filter(f"levenshtein(p, q, {apart}) >= 0")
-    both = both.filter(F.greatest(name_ratio("p", "q"), name_ratio("q", "p")) >= least)
-    return both.select("a", "b")
+    return both.filter("s = t").filter(f"levenshtein(p, q, {apart}) >= 0").select("a", "b", "p", "q")
+
+
+def _candidates(records: DataFrame, least: float) -> DataFrame:
+    """``(a, b, p, q)``: pairs of different names of a scope, as their first records, the earlier first, of which all with a ratio of ``least`` or more are among them.
+
+    Names that can only be alike if no more than one character of either has no partner meet in what is left of them without one. For the others:
+    a name has a piece of ``GRAM`` characters at each place. ``d`` characters without a partner spoil ``GRAM * d`` pieces at most, so that of
+    the ``GRAM * d + 1`` rarest pieces of two names they have one in common, and of one more two: names meet in those, and are cut down by their edit distance.
+    """
+    classes = materialize(named(records).groupBy("scope", "name").agg(F.min("eid").alias("eid")), "names")
+    names = classes.filter(_slack(F.length("name"), least) > 0).select("scope", "eid", "name")
+    return _met_shortened(names, least).unionByName(_met_far(names, least))
+
+
+def similar_names(records: DataFrame, least: float = SAME_NAME) -> DataFrame:
+    """``(a, b)`` of different names of a scope with a ratio of ``least`` or more in either order, as their first records, the earlier first."""
+    return _candidates(records, least).filter(F.greatest(name_ratio("p", "q"), name_ratio("q", "p")) >= least).select("a", "b")
+
+
+def name_ratios(records: DataFrame, least: float = SAME_NAME) -> DataFrame:
+    """``(a, b, ratio)`` of a scope's records whose names have a ratio of ``least`` or more, the earlier to the later; equal names are a star, and their first stands for them."""
+    near = _candidates(records, least).select("a", "b", name_ratio("p", "q").alias("ratio")).filter(F.col("ratio") >= least)
+    return near.unionByName(equal_names(records).filter("a <> b").withColumn("ratio", F.lit(1.0)))
 
 
 def name_links(records: DataFrame, least: float = SAME_NAME) -> DataFrame:

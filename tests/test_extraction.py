@@ -9,7 +9,7 @@ from harvestry.operators import blocks as B
 from harvestry.operators import links as L
 from harvestry.operators import quotes as Q
 from harvestry.operators import requests as R
-from harvestry.operators.resolve import ARRAYS, RECORD, name_links, resolve, similar_names
+from harvestry.operators.resolve import ARRAYS, RECORD, name_links, name_ratios, resolve, similar_names
 from harvestry.plans import directory, rollup
 from harvestry.sources.html import _parsed, parse_pages
 from harvestry.streaming import incremental
@@ -256,6 +256,41 @@ def test_names_that_begin_alike_meet_in_few_places(spark):
     assert made[600] > made[150]
 
 
+def rows_of_joins(plan):
+    """The rows that each join of a plan has made."""
+    kind = plan.nodeName()
+    inner = [plan.executedPlan()] if kind == "AdaptiveSparkPlan" else [plan.plan()] if kind.endswith("QueryStage") else [plan.children().apply(k) for k in range(plan.children().size())]
+    own = [plan.metrics().apply("numOutputRows").value()] if kind.endswith("Join") else []
+    return own + [n for x in inner for n in rows_of_joins(x)]
+
+
+def test_joins_of_names_that_begin_alike_make_few_rows(spark):
+    names = [f"Customer#{k * 37 % 100_003:09d}" for k in range(1200)]
+    rows = spark.createDataFrame([(1, k, x) for k, x in enumerate(names)], "scope int, eid long, company_name string")
+    found = similar_names(rows)
+    n = len(found.collect())
+    assert n and max(rows_of_joins(found._jdf.queryExecution().executedPlan())) < 2 * n + len(names)
+
+
+def test_names_of_few_letters_meet_once(spark):
+    """Names in which letters alternate and repeat, of lengths that allow one or more characters without a partner: each pair of a scope once."""
+    dice = random.Random(8)
+    names = []
+    for _ in range(60):
+        base = "".join(dice.choices("xyz", k=dice.randrange(8, 40)))
+        at = dice.randrange(len(base) - 2)
+        names += [base, base[:at] + base[at + 1] + base[at] + base[at + 2 :], base[:at] + base[at + 1 :], base[1:] + base[0], base[:at] + "w" + base[at + 1 :], base + base[-1]]
+    scopes = [dice.randrange(2) for _ in names]
+    rows = spark.createDataFrame([(s, k, n) for k, (s, n) in enumerate(zip(scopes, names))], "scope int, eid long, company_name string")
+    first = {}
+    for k, key in enumerate(zip(scopes, names)):
+        first.setdefault(key, k)
+    want = sorted((a, b) for (s, p), a in first.items() for (t, q), b in first.items() if a < b and s == t and max(similarity(p, q), similarity(q, p)) >= 0.94)
+    assert sorted((r.a, r.b) for r in similar_names(rows).collect()) == want and len(want) > 50
+    ratios = {(a, b, similarity(names[a], names[b])) for a, b in want} | {(first[key], k, 1.0) for k, key in enumerate(zip(scopes, names)) if first[key] != k}
+    assert {tuple(r) for r in name_ratios(rows).collect()} == {x for x in ratios if x[2] >= 0.94}
+
+
 def test_frontier_is_appended(spark, tmp_path):
     """Random links with hubs, against a plain walk; each level is written once."""
     dice = random.Random(9)
