@@ -52,10 +52,13 @@ def top_links(links: DataFrame, by: str = "page_url", limit: int = MAX_LINKS) ->
 
 
 def discovery_list(seeds: DataFrame, ranked: DataFrame, limit: int = MAX_LINKS) -> DataFrame:
-    """``(seed_url, url, rank)``: the seed itself at rank 0, then its ranked links that differ from it, cut at ``limit`` in all."""
+    """``(seed_url, url, rank)``: the seed itself at rank 0, then its ranked links that differ from it, cut at ``limit`` in all.
+
+    Pages of the same URL are one seed, whose links with the same rank follow by URL.
+    """
     own = seeds.select("seed_url", F.col("seed_url").alias("url"), F.lit(0).alias("rank"))
     more = ranked.select(F.col("page_url").alias("seed_url"), "url", "rank").filter(F.lower("url") != F.lower("seed_url"))
-    order = Window.partitionBy("seed_url").orderBy("rank")
+    order = Window.partitionBy("seed_url").orderBy("rank", "url")
     both = own.unionByName(more).withColumn("rank", F.row_number().over(order) - 1)
     return both.filter(F.col("rank") < limit)
 

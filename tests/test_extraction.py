@@ -256,6 +256,16 @@ def test_names_that_begin_alike_meet_in_few_places(spark):
     assert made[600] > made[150]
 
 
+def test_links_of_pages_with_one_url_follow_by_url(spark):
+    """Of a URL that was fetched more than once, links with the same rank are in the order of their URLs, as they would be in SQL."""
+    seeds = spark.createDataFrame([("https://a.b/s",)] * 2, "seed_url string")
+    urls = [[f"https://a.b/{(k * 7 + page) % 10}{page}" for k in range(10)] for page in (2, 1)]
+    ranked = spark.createDataFrame([("https://a.b/s", u, k + 1) for own in urls for k, u in enumerate(own)], "page_url string, url string, rank int")
+    want = ["https://a.b/s"] * 2 + [u for pair in zip(*urls) for u in sorted(pair)]
+    for limit in (150, 9):
+        assert [(r.url, r.rank) for r in L.discovery_list(seeds, ranked, limit).orderBy("rank").collect()] == [(u, k) for k, u in enumerate(want)][:limit]
+
+
 def rows_of_joins(plan):
     """The rows that each join of a plan has made."""
     kind = plan.nodeName()
